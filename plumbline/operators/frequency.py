@@ -38,6 +38,8 @@ def kind_of(dtype: T.DataType) -> str:
         return "date"
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return "timestamp"
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)):
+        return "container"
     return "text"
 
 
@@ -83,7 +85,7 @@ class ColumnSet:
 
 #: Columns travel in three lanes, so that numbers are grouped as numbers and not as text.
 LANES = {
-    "text": ("text", "decimal"),
+    "text": ("text", "decimal", "container"),
     "whole": ("integer", "boolean", "date", "timestamp"),
     "real": ("real",),
 }
@@ -136,7 +138,8 @@ def describe_cells(cells_: DataFrame, columns: ColumnSet, lane: str) -> DataFram
     if lane == "text":
         short = F.col("facts").isNull()
         decimal = columns.any_of(o, "decimal")
-        checked = present & short & ~decimal
+        # containers are shown as text but not read as numbers or dates
+        checked = present & short & ~columns.any_of(o, "decimal", "container")
         out = {
             "value": F.when(short, raw),
             "digest": F.when(~short, raw),
@@ -144,7 +147,9 @@ def describe_cells(cells_: DataFrame, columns: ColumnSet, lane: str) -> DataFram
             "is_integer": checked & text.is_integer_text(raw),
             "is_numeric": (decimal & present) | (checked & text.is_numeric_text(raw)),
             "is_boolean": checked & text.is_boolean_text(raw),
-            "is_date": F.when(short, checked & text.is_date_text(raw)).otherwise(F.col("facts") % 2 == 1),
+            "is_date": F.when(short, checked & text.is_date_text(raw)).otherwise(
+                (F.col("facts") % 2 == 1) & ~columns.any_of(o, "container")
+            ),
             "bytes": F.coalesce(F.shiftright("facts", 1), F.octet_length(raw).cast("bigint")),
         }
     elif lane == "whole":

@@ -289,8 +289,7 @@ def top_values(ft: FrequencyTable, base: DataFrame, source: DataFrame | None = N
         .withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= size)
     )
-    if source is not None and ft.columns.of_kind("text"):
-        best = _restore_long_texts(ft, best, source, size)
+    best = _restore_long_texts(ft, best, source, size)
     valid = session.bounded(base.select(*ft.keys, "total_valid"), ft.max_profiles)
     return best.join(valid, ft.keys).select(
         *ft.labelled, "position", F.coalesce("value", "digest").alias("value"), F.col("n"),
@@ -298,10 +297,14 @@ def top_values(ft: FrequencyTable, base: DataFrame, source: DataFrame | None = N
     )
 
 
-def _restore_long_texts(ft: FrequencyTable, best: DataFrame, source: DataFrame, size: int) -> DataFrame:
+def _restore_long_texts(ft: FrequencyTable, best: DataFrame, source: DataFrame | None, size: int) -> DataFrame:
+    """Give the few chosen values that travelled as digests their texts back."""
+    longish = ft.columns.of_kind("text", "container")
+    if source is None or not longish:
+        return best
     sought = best.filter(F.col("digest").isNotNull()).select("ordinal", "digest").distinct()
-    stacked = [F.lit(len(ft.columns.of_kind("text")))]
-    for i in ft.columns.of_kind("text"):
+    stacked = [F.lit(len(longish))]
+    for i in longish:
         stacked += [F.lit(i), text.clean(text_of(source[f"`{ft.columns.names[i]}`"], ft.columns.types[i]))]
     long_cells = (
         source.select(F.stack(*stacked).alias("ordinal", "full"))
@@ -315,14 +318,16 @@ def _restore_long_texts(ft: FrequencyTable, best: DataFrame, source: DataFrame,
     return best.join(full, ["ordinal", "digest"], "left").withColumn("value", F.coalesce("value", "full")).drop("full")
 
 
-def sample_values(ft: FrequencyTable, size: int = SAMPLE_VALUES) -> DataFrame:
+def sample_values(ft: FrequencyTable, source: DataFrame | None = None, size: int = SAMPLE_VALUES) -> DataFrame:
     """The first distinct values of each column in row order."""
     order = Window.partitionBy(*ft.keys).orderBy("first_row", F.coalesce("value", "digest"))
-    return (
+    first = (
         ft.valid.select(*ft.labelled, "value", "digest", "first_row")
         .withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= size)
-        .select(*ft.labelled, "position", F.coalesce("value", "digest").alias("value"))
+    )
+    return _restore_long_texts(ft, first, source, size).select(
+        *ft.labelled, "position", F.coalesce("value", "digest").alias("value")
     )
 
 

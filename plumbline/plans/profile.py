@@ -75,11 +75,10 @@ def profile_frequencies(ft: FrequencyTable, parts: Collection[str], source: Data
             bins = stats.histogram(ft, base, sliced)
             extras.append(_packed(bins, keys, "bin", ["start", "end", "n"], "histogram"))
     if "top" in parts:
-        # digests can only be looked up again where rows are not split into datasets
-        top = stats.top_values(ft, base, source if ft.by is None else None)
+        top = stats.top_values(ft, base, source)
         extras.append(_packed(top, keys, "position", ["value", "n", "percentage"], "top_values"))
     if "samples" in parts:
-        extras.append(_packed(stats.sample_values(ft), keys, "position", ["value"], "sample_values"))
+        extras.append(_packed(stats.sample_values(ft, source), keys, "position", ["value"], "sample_values"))
     for extra in extras:
         out = out.join(session.bounded(extra, bound), keys, "left")
     return out
