@@ -7,7 +7,9 @@ def _load() -> None:
     from plumbline.catalog import (  # noqa: F401  registering is what importing them does
         columns,
         comparing,
+        nested,
         ruling,
+        statements,
     )
 
 

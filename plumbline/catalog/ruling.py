@@ -117,7 +117,7 @@ def _set_literal(v):
 
 
 _gx_query("gx_in_set", [{"rule_type": r, "column": c, "value_set": s} for r, c, s in SETS],
-          f""", tl AS (SELECT col, list(value ORDER BY position) AS vs FROM tops GROUP BY col), j AS (SELECT rule, want, ws, vs, len(list_filter(vs, x -> NOT list_contains(ws, x))) = 0 AS ok
+          f""", tl AS (SELECT col, list(value ORDER BY position) AS vs FROM tops GROUP BY col), j AS (SELECT rule, want, ws, vs, len(list_filter(vs, lambda x: NOT list_contains(ws, x))) = 0 AS ok
  FROM (VALUES {', '.join(f"('{r}', '{c}', {_set_literal(s)})" for r, c, s in SETS)}) v(rule, want, ws) JOIN tl ON col = want)
 SELECT rule AS rule_type, want AS "column", CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status,
  'Top values: ' || array_to_string(vs[1:5], ', ') || CASE WHEN ok AND len(vs) > 5 THEN '...' ELSE '' END AS observed,
@@ -206,7 +206,7 @@ _js_query("jsonschema_required", [("required", c, None, None, None) for c in ("e
 
 JS_TYPES = [("event_id", ["integer"]), ("amount", ["integer", "number"]), ("padded", ["number"]), ("day_text", ["string"]), ("flag_text", ["boolean", "null"]), ("nothing", ["null"]), ("absent", ["string"])]
 _js_query("jsonschema_type", [("type", c, t, None, None) for c, t in JS_TYPES],
-          f""", j AS (SELECT want, types, lower(inferred_type) AS seen, len(list_filter(types, t -> (t = 'string' AND lower(inferred_type) IN ('string', 'date', 'datetime')) OR (t = 'integer' AND inferred_type = 'Integer')
+          f""", j AS (SELECT want, types, lower(inferred_type) AS seen, len(list_filter(types, lambda t: (t = 'string' AND lower(inferred_type) IN ('string', 'date', 'datetime')) OR (t = 'integer' AND inferred_type = 'Integer')
  OR (t = 'number' AND inferred_type IN ('Integer', 'Numeric')) OR (t = 'boolean' AND inferred_type = 'Boolean') OR (t = 'null' AND inferred_type = 'Null'))) > 0 AS ok
  FROM (VALUES {', '.join(f"('{c}', {_set_literal(t)})" for c, t in JS_TYPES)}) v(want, types) JOIN base ON col = want)
 SELECT 'type' AS rule_type, want AS "column", CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status, seen AS observed, array_to_string(types, ' or ') AS expected,
@@ -220,7 +220,7 @@ for _kind, _c, _op, _bounds in (("minimum", "min", ">=", (0, 5)), ("maximum", "m
 
 ENUMS = [("padded", ["click", "view"]), ("flag_text", ["TRUE", "f"])]
 _js_query("jsonschema_enum", [("enum", c, None, None, s) for c, s in ENUMS],
-          f""", tl AS (SELECT col, list(value ORDER BY position) AS vs FROM tops GROUP BY col), j AS (SELECT want, ws, list_filter(vs, x -> NOT list_contains(ws, x)) AS unknown
+          f""", tl AS (SELECT col, list(value ORDER BY position) AS vs FROM tops GROUP BY col), j AS (SELECT want, ws, list_filter(vs, lambda x: NOT list_contains(ws, x)) AS unknown
  FROM (VALUES {', '.join(f"('{c}', {_set_literal(s)})" for c, s in ENUMS)}) v(want, ws) JOIN tl ON col = want)
 SELECT 'enum' AS rule_type, want AS "column", CASE WHEN len(unknown) = 0 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN len(unknown) > 0 THEN 'Found: ' || array_to_string(unknown[1:3], ', ') || '...' END AS observed,
  'One of: ' || array_to_string(ws, ', ') AS expected, CASE WHEN len(unknown) > 0 THEN 'Column contains values not in enum list' END AS reason FROM j""".replace(" , tl", " tl"), tops=True)

@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def derived(spark: SparkSession, sf: str, statement: str) -> DataFrame:
     """A statement both engines understand, run by Spark over the given tables."""
     used = [t for t in TABLES if re.search(rf"\b{t}\b", statement)]
-    marked = statement
+    marked = statement.replace("{", "{{").replace("}", "}}")
     for t in used:
         marked = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", marked)
     return spark.sql(marked, **{t: table(spark, sf, t) for t in used if "{" + t + "}" in marked})

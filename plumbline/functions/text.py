@@ -20,6 +20,11 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 NON_FINITE_PATTERN = r"^[+-]?(inf|infinity|nan)$"
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots, written as one reference."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def clean(c: Column) -> Column:
     """Strip Unicode whitespace from both ends."""
     return F.btrim(c, F.lit(WHITESPACE))

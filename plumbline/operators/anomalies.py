@@ -44,7 +44,7 @@ def read_numbered(spark, path: str, name: str = "row_number") -> DataFrame:
 def spread_facts(df: DataFrame, columns: list[str]) -> DataFrame:
     """mean, sample deviation and count of each number column, one row per column."""
     wide = df.agg(
-        *[f(text.finite(df[c].cast("double"))).alias(f"{tag}_{i}")
+        *[f(text.finite(df[text.quoted(c)].cast("double"))).alias(f"{tag}_{i}")
           for i, c in enumerate(columns)
           for tag, f in (("mean", F.avg), ("std", F.stddev_samp), ("n", F.count))]
     )
@@ -62,7 +62,7 @@ def outliers(df: DataFrame, key: str, columns: list[str], cap: int | None = ROWS
     """
     stacked = [F.lit(len(columns))]
     for c in columns:
-        stacked += [F.lit(c), text.finite(df[c].cast("double"))]
+        stacked += [F.lit(c), text.finite(df[text.quoted(c)].cast("double"))]
     cells = df.select(key, F.stack(*stacked).alias("column", "value"))
     facts = spread_facts(df, columns).filter((F.col("n") > VALUES_NEEDED) & (F.col("std_dev") > 0))
     far = (
@@ -77,7 +77,7 @@ def missing_rows(df: DataFrame, key: str, columns: list[str], cap: int | None =
     """Keys of rows whose cell is missing, per column."""
     stacked = [F.lit(len(columns))]
     for c in columns:
-        stacked += [F.lit(c), text.missing_predicate(text_of(df[c], df.schema[c].dataType))]
+        stacked += [F.lit(c), text.missing_predicate(text_of(df[text.quoted(c)], df.schema[c].dataType))]
     cells = df.select(key, F.stack(*stacked).alias("column", "gone")).filter("gone")
     return first_rows(cells.select("column", key), key, cap)
 

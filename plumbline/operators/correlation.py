@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import text
 from plumbline.functions.numeric import clamp
 from plumbline.functions.text import finite
 
@@ -26,7 +27,7 @@ def _pair_sums(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _one_scan(df: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
-    numbers = df.select(*[finite(df[c].cast("double")).alias(f"x{i}") for i, c in enumerate(columns)])
+    numbers = df.select(*[finite(df[text.quoted(c)].cast("double")).alias(f"x{i}") for i, c in enumerate(columns)])
     wanted = []
     for i, j in pairs:
         x, y = F.col(f"x{i}"), F.col(f"x{j}")

@@ -94,7 +94,7 @@ LANE_COLUMNS = {"text": ["raw", "facts"], "whole": ["raw"], "real": ["raw"]}
 
 def _cell(df: DataFrame, name: str, dtype: T.DataType) -> list[Column]:
     """The lane columns of one cell; a missing cell is null."""
-    c = df[f"`{name}`"]
+    c = df[text.quoted(name)]
     kind = kind_of(dtype)
     if kind in ("integer",):
         return [c.cast("bigint")]
@@ -127,7 +127,7 @@ def cells(df: DataFrame, columns: ColumnSet, lane: str, carry: Sequence[str] = (
     for i in members:
         stacked.append(F.lit(i))
         stacked.extend(_cell(df, columns.names[i], columns.types[i]))
-    return df.select(*carry, F.stack(*stacked).alias("ordinal", *LANE_COLUMNS[lane]))
+    return df.select(*[text.quoted(c) for c in carry], F.stack(*stacked).alias("ordinal", *LANE_COLUMNS[lane]))
 
 
 def describe_cells(cells_: DataFrame, columns: ColumnSet, lane: str) -> DataFrame:
@@ -245,7 +245,7 @@ def frequency(
     """
     picked = ColumnSet.pick(df, columns, [by] if by else [])
     carry = ([by] if by else []) + ([row_order] if row_order and row_order != by else [])
-    df = session.spread(df.select(*dict.fromkeys([*carry, *picked.names])))
+    df = session.spread(df.select(*[text.quoted(c) for c in dict.fromkeys([*carry, *picked.names])]))
     keep_first = row_order is not None
     lanes = []
     for lane in LANES:

@@ -16,7 +16,7 @@ DECISION_ORDER = ("SSN", "credit card", "email", "phone number", "IP address")
 def _named_cells(df: DataFrame, columns: list[str], carry: list[str]) -> DataFrame:
     stacked = [F.lit(len(columns))]
     for c in columns:
-        stacked += [F.lit(c), text.clean(text_of(df[f"`{c}`"], df.schema[c].dataType))]
+        stacked += [F.lit(c), text.clean(text_of(df[text.quoted(c)], df.schema[c].dataType))]
     cells = df.select(*carry, F.stack(*stacked).alias("column", "cell"))
     return cells.filter(~text.is_missing_text(F.col("cell")))
 

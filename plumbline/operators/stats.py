@@ -268,7 +268,7 @@ def quantiles_estimate(df: DataFrame, columns: list[str], accuracy: int = 10_000
     """Estimated quantiles straight from the rows, for callers that ask for speed over exactness."""
     stacked = [F.lit(len(columns))]
     for c in columns:
-        stacked += [F.lit(c), finite(df[f"`{c}`"].cast("double"))]
+        stacked += [F.lit(c), finite(df[text.quoted(c)].cast("double"))]
     tall = df.select(F.stack(*stacked).alias("column", "num"))
     asked = [float(q) for q in QUANTILES.values()]
     out = tall.groupBy("column").agg(F.percentile_approx("num", asked, accuracy).alias("q"))
@@ -305,7 +305,7 @@ def _restore_long_texts(ft: FrequencyTable, best: DataFrame, source: DataFrame |
     sought = best.filter(F.col("digest").isNotNull()).select("ordinal", "digest").distinct()
     stacked = [F.lit(len(longish))]
     for i in longish:
-        stacked += [F.lit(i), text.clean(text_of(source[f"`{ft.columns.names[i]}`"], ft.columns.types[i]))]
+        stacked += [F.lit(i), text.clean(text_of(source[text.quoted(ft.columns.names[i])], ft.columns.types[i]))]
     long_cells = (
         source.select(F.stack(*stacked).alias("ordinal", "full"))
         .filter(F.octet_length("full") > LONG_TEXT)
@@ -335,7 +335,7 @@ def value_sample(df: DataFrame, columns: list[str], key: str, size: int = 1000,
     """A repeatable sample of the finite numbers of each column: the ``size`` smallest hashes of the row key."""
     stacked = [F.lit(len(columns))]
     for c in columns:
-        stacked += [F.lit(c), df[c].cast("double")]
+        stacked += [F.lit(c), df[text.quoted(c)].cast("double")]
     rank = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     order = Window.partitionBy("column").orderBy("rank", key)
     return (
@@ -351,7 +351,7 @@ def distinct_exact(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct non-null values of each column as they stand, without text rules."""
     stacked = [F.lit(len(columns))]
     for c in columns:
-        stacked += [F.lit(c), df[c].cast("string")]
+        stacked += [F.lit(c), df[text.quoted(c)].cast("string")]
     tall = df.select(F.stack(*stacked).alias("column", "value"))
     return tall.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(
         F.count("value").alias("distinct")
@@ -378,7 +378,7 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 def row_digests(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     pieces = []
     for c in columns or df.columns:
-        cell = text_of(df[f"`{c}`"], df.schema[c].dataType)
+        cell = text_of(df[text.quoted(c)], df.schema[c].dataType)
         pieces.append(F.coalesce(F.concat(F.octet_length(cell).cast("string"), F.lit(":"), cell), F.lit("~")))
     return df.select(F.unhex(F.md5(F.concat(*pieces))).alias("row_digest"))
 

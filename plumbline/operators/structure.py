@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline import session
+
 # Examples kept per path; limits above which a tree view is advised.
 EXAMPLES, TREE_DEPTH, TREE_PATHS = 3, 5, 1000
 #: Levels followed before giving up on ever deeper input.
@@ -34,44 +36,50 @@ def _level(spark, parents: DataFrame) -> DataFrame:
     ))
 
 
-def path_cells(df: DataFrame, json_column: str, key: str, deepest: int = DEEPEST) -> DataFrame:
-    """One row per (row, path): row_key, path, depth, data_type and the value as text for scalars."""
-    spark = df.sparkSession
-    parsed = df.select(F.col(key).alias("row_key"), F.try_parse_json(F.col(json_column)).alias("v"))
-    level = _typed(parsed.filter(F.col("v").isNotNull()).select(
-        "row_key", F.lit("$").alias("path"), F.lit(0).alias("depth"), "v"))
-    levels = [level]
-    while len(levels) <= deepest:
-        level = _level(spark, level)
-        if level.isEmpty():
-            break
-        levels.append(level)
-    scalar = F.when(F.col("data_type").isin("string", "number", "boolean"), F.col("v").cast("string"))
-    everything = reduce(DataFrame.unionByName, levels)
-    return everything.select("row_key", "path", "depth", "data_type", F.nullif(scalar, F.lit("")).alias("text"))
+def _counts(nodes: DataFrame) -> DataFrame:
+    # one partially aggregated record per path and type, however often the path occurs
+    return nodes.groupBy("path", "depth", "data_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _examples(nodes: DataFrame) -> DataFrame:
+    """The first scalar values of each path by row key; ranked per task before the shuffle."""
+    first = Window.partitionBy("path").orderBy("row_key")
+    return (
+        nodes.filter(F.col("data_type").isin("string", "number", "boolean"))
+        .select("path", "row_key", F.col("v").cast("string").alias("text"))
+        .filter(F.col("text") != "")
+        .withColumn("nth", F.row_number().over(first))
+        .filter(F.col("nth") <= EXAMPLES)
+        .groupBy("path")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda e: e["text"]).alias("examples"))
+    )
 
 
 def structure_scan(df: DataFrame, json_column: str, key: str, deepest: int = DEEPEST) -> DataFrame:
-    """Path, parent, depth, occurrences, population in percent of the rows, type, children, examples."""
-    return summarize_paths(path_cells(df, json_column, key, deepest))
+    """Path, parent, depth, occurrences, population in percent of the rows, type, children, examples.
+
+    One pass per level. Only the objects nested in a level are written for the next one,
+    and the scan ends with the first level that has none.
+    """
+    parsed = df.select(F.col(key).alias("row_key"), F.try_parse_json(F.col(json_column)).alias("v"))
+    nodes = _typed(parsed.filter(F.col("v").isNotNull()).select(
+        "row_key", F.lit("$").alias("path"), F.lit(0).alias("depth"), "v"))
+    counts, examples = [_counts(nodes)], [_examples(nodes)]
+    while len(counts) <= deepest:
+        nodes = _level(df.sparkSession, nodes)
+        counts.append(_counts(nodes))
+        examples.append(_examples(nodes))
+        nodes = session.materialize(nodes.filter(F.col("data_type") == "object"), "objects")
+        if nodes.isEmpty():
+            break
+    return _summarize(reduce(DataFrame.unionByName, counts), reduce(DataFrame.unionByName, examples))
 
 
-def summarize_paths(cells: DataFrame) -> DataFrame:
-    # one partially aggregated record per path and type, however often the path occurs
-    kinds = cells.groupBy("path", "depth", "data_type").agg(F.count(F.lit(1)).alias("n"))
+def _summarize(kinds: DataFrame, examples: DataFrame) -> DataFrame:
     paths = kinds.groupBy("path", "depth").agg(
         F.sum("n").alias("occurrences"),
         F.when(F.count(F.lit(1)) > 1, "mixed").otherwise(F.max("data_type")).alias("data_type"),
     )
-    first = Window.partitionBy("path").orderBy("row_key")
-    examples = (
-        cells.filter(F.col("text").isNotNull())
-        .select("path", "row_key", "text")
-        .withColumn("nth", F.row_number().over(first))
-        .filter(F.col("nth") <= EXAMPLES)
-        .groupBy("path")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda e: e["text"]).alias("examples"))
-    )
     parent = F.when(F.col("path") != "$", F.regexp_extract("path", r"^(.*)\.[^.]*$", 1))
     children = paths.groupBy(parent.alias("path")).agg(F.count(F.lit(1)).alias("child_count"))
     rows = paths.filter(F.col("path") == "$").agg(F.max("occurrences")).scalar()

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions import text
+
 # Candidate delimiters in order of preference, records looked at.
 DELIMITERS, RECORDS_LOOKED_AT = {"comma": ",", "tab": "\t", "semicolon": ";", "pipe": "|"}, 10
 #: Up to this many files are peeked at one by one, each stopping after the first records.
@@ -81,7 +83,9 @@ def good_rows(scanned: DataFrame) -> DataFrame:
 def malformed_rows(scanned: DataFrame) -> DataFrame:
     """How many records were read and how many were malformed."""
     anchor = next(c for c in scanned.columns if c != BAD_RECORD)
-    checked = scanned.select(anchor, F.col(BAD_RECORD).isNotNull().alias("bad"))
+    # a field has to be asked for besides the bad record, else Spark declines to read the file
+    read = F.length(F.coalesce(F.col(text.quoted(anchor)), F.lit(""))) >= 0
+    checked = scanned.select((read & F.col(BAD_RECORD).isNotNull()).alias("bad"))
     return checked.agg(
         F.count(F.lit(1)).alias("total_rows"), F.count_if("bad").alias("malformed"),
         F.count_if(~F.col("bad")).alias("good_rows"),
@@ -136,9 +140,9 @@ def scan_primitive_json(items: DataFrame, value: str = "value") -> DataFrame:
 
 def json_bad_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """How many JSON lines there are and how many cannot be read."""
-    text = lines.filter(F.length(F.trim(value)) > 0)
+    filled = lines.filter(F.length(F.trim(value)) > 0)
     bad = F.try_parse_json(value).isNull()
-    return text.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(bad).alias("malformed"),
+    return filled.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(bad).alias("malformed"),
                     F.count_if(~bad).alias("good_rows"))
 
 

@@ -24,7 +24,7 @@ def read_stream(spark: SparkSession, folder: str, schema, form: str = "parquet",
 def _text_cells(df: DataFrame) -> DataFrame:
     stacked = [F.lit(len(df.columns))]
     for c in df.columns:
-        stacked += [F.lit(c), text.clean(text_of(df[f"`{c}`"], df.schema[c].dataType))]
+        stacked += [F.lit(c), text.clean(text_of(df[text.quoted(c)], df.schema[c].dataType))]
     return df.select(F.stack(*stacked).alias("column", "cell"))
 
 
