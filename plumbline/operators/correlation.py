@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline import session
 from plumbline.functions import text
 from plumbline.functions.numeric import clamp
 from plumbline.functions.text import finite
@@ -23,26 +24,22 @@ def _pair_sums(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
     scans = [pairs[k:k + PAIRS_PER_SCAN] for k in range(0, len(pairs), PAIRS_PER_SCAN)]
-    return reduce(DataFrame.unionByName, [_one_scan(df, columns, part) for part in scans])
+    wanted = session.spread(df.select(*[text.quoted(c) for c in columns]))
+    return reduce(DataFrame.unionByName, [_one_scan(wanted, columns, part) for part in scans])
 
 
 def _one_scan(df: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
     numbers = df.select(*[finite(df[text.quoted(c)].cast("double")).alias(f"x{i}") for i, c in enumerate(columns)])
-    wanted = []
-    for i, j in pairs:
-        x, y = F.col(f"x{i}"), F.col(f"x{j}")
-        both = x.isNotNull() & y.isNotNull()
-        wanted += [
-            F.count_if(both).alias(f"n_{i}_{j}"),
-            F.var_pop(F.when(both, x)).alias(f"vx_{i}_{j}"),
-            F.var_pop(F.when(both, y)).alias(f"vy_{i}_{j}"),
-            F.covar_pop(x, y).alias(f"c_{i}_{j}"),
-        ]
-    wide = numbers.agg(*wanted)
     stacked = [F.lit(len(pairs))]
     for i, j in pairs:
-        stacked += [F.lit(i), F.lit(j), *[F.col(f"{t}_{i}_{j}") for t in ("n", "vx", "vy", "c")]]
-    return wide.select(F.stack(*stacked).alias("i", "j", "n", "vx", "vy", "c"))
+        stacked += [F.lit(i), F.lit(j), F.col(f"x{i}"), F.col(f"x{j}")]
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    return numbers.select(F.stack(*stacked).alias("i", "j", "x", "y")).groupBy("i", "j").agg(
+        F.count_if(both).alias("n"),
+        F.var_pop(F.when(both, F.col("x"))).alias("vx"),
+        F.var_pop(F.when(both, F.col("y"))).alias("vy"),
+        F.covar_pop("x", "y").alias("c"),
+    )
 
 
 def pairwise(df: DataFrame, columns: list[str]) -> DataFrame:

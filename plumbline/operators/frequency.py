@@ -83,20 +83,20 @@ class ColumnSet:
         return cls(tuple(wanted), tuple(df.schema[c].dataType for c in wanted))
 
 
-#: Columns travel in three lanes, so that numbers are grouped as numbers and not as text.
+#: Columns are counted in three lanes, so that numbers are grouped as numbers and not as text.
 LANES = {
     "text": ("text", "decimal", "container"),
     "whole": ("integer", "boolean", "date", "timestamp"),
     "real": ("real",),
 }
-LANE_COLUMNS = {"text": ["raw", "facts"], "whole": ["raw"], "real": ["raw"]}
+LANE_COLUMNS = {"text": ["short", "facts"], "whole": ["whole"], "real": ["real"]}
 
 
 def _cell(df: DataFrame, name: str, dtype: T.DataType) -> list[Column]:
     """The lane columns of one cell; a missing cell is null."""
     c = df[text.quoted(name)]
     kind = kind_of(dtype)
-    if kind in ("integer",):
+    if kind == "integer":
         return [c.cast("bigint")]
     if kind == "boolean":
         return [c.cast("int").cast("bigint")]
@@ -130,63 +130,56 @@ def cells(df: DataFrame, columns: ColumnSet, lane: str, carry: Sequence[str] = (
     return df.select(*[text.quoted(c) for c in carry], F.stack(*stacked).alias("ordinal", *LANE_COLUMNS[lane]))
 
 
-def describe_cells(cells_: DataFrame, columns: ColumnSet, lane: str) -> DataFrame:
-    """Turn lane columns into text, number, length and type flags."""
-    o, raw = F.col("ordinal"), F.col("raw")
-    present = raw.isNotNull()
-    never = F.lit(False)
-    if lane == "text":
-        short = F.col("facts").isNull()
-        decimal = columns.any_of(o, "decimal")
-        # containers are shown as text but not read as numbers or dates
-        checked = present & short & ~columns.any_of(o, "decimal", "container")
-        out = {
-            "value": F.when(short, raw),
-            "digest": F.when(~short, raw),
-            "num": F.when(decimal, raw.try_cast("double")).when(checked, text.number_of_text(raw)),
-            "is_integer": checked & text.is_integer_text(raw),
-            "is_numeric": (decimal & present) | (checked & text.is_numeric_text(raw)),
-            "is_boolean": checked & text.is_boolean_text(raw),
-            "is_date": F.when(short, checked & text.is_date_text(raw)).otherwise(
-                (F.col("facts") % 2 == 1) & ~columns.any_of(o, "container")
-            ),
-            "bytes": F.coalesce(F.shiftright("facts", 1), F.octet_length(raw).cast("bigint")),
-        }
-    elif lane == "whole":
-        integer = columns.any_of(o, "integer")
-        value = F.coalesce(
-            F.when(integer, raw.cast("string")),
-            F.when(columns.any_of(o, "timestamp"), F.timestamp_micros(raw).cast("string")),
-            F.when(columns.any_of(o, "date"), F.date_from_unix_date(raw.cast("int")).cast("string")),
-            F.when(columns.any_of(o, "boolean"), raw.cast("boolean").cast("string")),
-        )
-        out = {
-            "value": value,
-            "digest": F.lit(None).cast("string"),
-            "num": F.when(integer, raw.cast("double")),
-            "is_integer": integer & present,
-            "is_numeric": integer & present,
-            "is_boolean": columns.any_of(o, "boolean") & present,
-            "is_date": columns.any_of(o, "date", "timestamp") & present,
-            "bytes": F.octet_length(value).cast("bigint"),
-        }
-    else:
-        value = raw.cast("string")
-        out = {
-            "value": value,
-            "digest": F.lit(None).cast("string"),
-            "num": text.finite(raw),
-            "is_integer": never,
-            "is_numeric": present,
-            "is_boolean": never,
-            "is_date": never,
-            "bytes": F.octet_length(value).cast("bigint"),
-        }
-    described = cells_.select(
-        *[c for c in cells_.columns if c not in ("raw", "facts")],
+def describe_values(counted: DataFrame, columns: ColumnSet) -> DataFrame:
+    """Turn counted lane columns into text, number, length and type flags.
+
+    Runs on distinct values, when the table is read: a reader that needs only numbers
+    never builds the texts.
+    """
+    o, never = F.col("ordinal"), F.lit(False)
+    parts = {"short": "string", "facts": "bigint", "whole": "bigint", "real": "double"}
+    for name, kind in parts.items():
+        if name not in counted.columns:
+            counted = counted.withColumn(name, F.lit(None).cast(kind))
+    short, facts, whole, real = (F.col(p) for p in parts)
+
+    def among(*kinds: str) -> Column:
+        return columns.any_of(o, *kinds)
+
+    is_long = facts.isNotNull()
+    integer, decimal, textual = among("integer"), among("decimal"), among("text")
+    # containers are shown as text but not read as numbers or dates
+    readable = textual & short.isNotNull() & ~is_long
+    value = F.coalesce(
+        F.when(~is_long, short),
+        F.when(among("boolean"), whole.cast("boolean").cast("string"))
+        .when(among("date"), F.date_from_unix_date(whole.cast("int")).cast("string"))
+        .when(among("timestamp"), F.timestamp_micros(whole).cast("string"))
+        .otherwise(whole.cast("string")),
+        real.cast("string"),
+    )
+    numeric = (integer & whole.isNotNull()) | real.isNotNull() | (decimal & short.isNotNull())
+    numeric = F.when(readable, text.is_numeric_text(short)).otherwise(numeric)
+    boolean = F.when(readable, text.is_boolean_text(short)).otherwise(among("boolean") & whole.isNotNull())
+    dated = (
+        F.when(readable, text.is_date_text(short)).when(textual & is_long, facts % 2 == 1)
+        .otherwise(among("date", "timestamp") & whole.isNotNull())
+    )
+    number = F.coalesce(
+        F.when(integer, whole.cast("double")), text.finite(real),
+        F.when(decimal, short.try_cast("double")).when(readable, text.number_of_text(short)),
+    )
+    flags = {
+        "is_integer": F.when(readable, text.is_integer_text(short)).otherwise(integer & whole.isNotNull()),
+        "is_numeric": numeric, "is_boolean": boolean, "is_date": dated,
+    }
+    described = counted.select(
+        *[c for c in counted.columns if c not in parts],
         columns.name_at(o).alias("column"),
-        (~present).alias("missing"),
-        *[F.coalesce(c, never).alias(k) if k.startswith("is_") else c.alias(k) for k, c in out.items()],
+        (short.isNull() & whole.isNull() & real.isNull()).alias("missing"),
+        value.alias("value"), F.when(is_long, short).alias("digest"), number.alias("num"),
+        F.coalesce(F.shiftright(facts, 1), F.octet_length(value).cast("bigint")).alias("bytes"),
+        *[F.coalesce(c, never).alias(k) for k, c in flags.items()],
     )
     # each valid cell is counted under one leading type only
     return described.withColumns(
@@ -255,12 +248,12 @@ def frequency(
         wanted = [F.count(F.lit(1)).alias("n")]
         if keep_first:
             wanted.append(F.min(row_order).alias("first_row"))
-        counted = raw.groupBy(*([by] if by else []), "ordinal", *LANE_COLUMNS[lane]).agg(*wanted)
-        lanes.append(describe_cells(counted, picked, lane))
-    counted = reduce(DataFrame.unionByName, lanes)
-    table = FrequencyTable(counted, picked, by)
+        lanes.append(raw.groupBy(*([by] if by else []), "ordinal", *LANE_COLUMNS[lane]).agg(*wanted))
+    counted = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lanes)
     if materialized:
-        table = replace(table, df=session.materialize(table.df, "frequency"))
+        counted = session.materialize(counted, "frequency")
+    counted = describe_values(counted, picked)
+    table = FrequencyTable(counted, picked, by)
     if by:
         # joins of per-dataset facts are sized by the real number of datasets
         seen = df.select(by).distinct().limit(session.BROADCAST_ROWS + 1).count()

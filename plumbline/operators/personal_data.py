@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plumbline import session
 from plumbline.functions import pii, text
 from plumbline.operators.frequency import text_of
 
@@ -21,6 +25,44 @@ def _named_cells(df: DataFrame, columns: list[str], carry: list[str]) -> DataFra
     return cells.filter(~text.is_missing_text(F.col("cell")))
 
 
+#: Shares of the row order tried when looking for the first cells of each column.
+PREFIXES = [0.00001, 0.001, 0.1]
+_RANKED_KEYS = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _first_cells(source: DataFrame, columns: list[str], key: str, looked_at: int) -> DataFrame:
+    """The first valid cells of each column in the order of ``key``.
+
+    Most columns are settled by a small prefix of the rows: a pass over the key finds
+    where some prefixes end, a pass over the longest prefix counts the valid cells in
+    each, and only the rows each column needs are then put in order. A column without
+    enough cells there is looked through as a whole.
+    """
+    ends: list = []
+    if isinstance(source.schema[key].dataType, _RANKED_KEYS):
+        found = source.agg(F.percentile_approx(key, PREFIXES, 10_000).alias("ends")).head()["ends"]
+        ends = sorted(set(found or []))
+    needs: dict[str, object] = dict.fromkeys(columns)
+    if ends:
+        cells = _named_cells(source.filter(F.col(key) <= ends[-1]), columns, [F.col(key).alias("_key")])
+        counts = cells.groupBy("column").agg(
+            *[F.count_if(F.col("_key") <= end).alias(f"until_{i}") for i, end in enumerate(ends)]
+        )
+        for row in counts.collect():  # one row per column
+            needs[row["column"]] = next((e for i, e in enumerate(ends) if row[f"until_{i}"] >= looked_at), None)
+    parts = []
+    for end in dict.fromkeys(needs.values()):
+        some = [c for c in columns if needs[c] == end]
+        rows = source if end is None else source.filter(F.col(key) <= end)
+        parts.append(_named_cells(rows, some, [F.col(key).alias("_key")]))
+    first = Window.partitionBy("column").orderBy("_key", "cell")
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .withColumn("_nth", F.row_number().over(first))
+        .filter(F.col("_nth") <= looked_at)
+    )
+
+
 def detect(df: DataFrame, columns: list[str], row_order: str | None = None,
            looked_at: int | None = LOOKED_AT) -> DataFrame:
     """Kind of personal data per column: content of the first valid cells first, then the name.
@@ -28,13 +70,11 @@ def detect(df: DataFrame, columns: list[str], row_order: str | None = None,
     ``row_order`` names the column giving the order of rows (scan order without it).
     With ``looked_at=None`` every cell of every column is judged.
     """
-    key = row_order or "_row"
     source = df if row_order else df.withColumn("_row", F.monotonically_increasing_id())
-    cells = _named_cells(source, columns, [key] if key not in columns else [F.col(key).alias("_key")])
-    key = key if key not in columns else "_key"
-    if looked_at is not None:
-        first = Window.partitionBy("column").orderBy(key, "cell")
-        cells = cells.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= looked_at)
+    if looked_at is None:
+        cells = _named_cells(session.spread(source), columns, [])
+    else:
+        cells = _first_cells(source, columns, row_order or "_row", looked_at)
     kinds = list(pii.CONTENT_PATTERNS)
     tags = {k: "hits_" + k.lower().replace(" ", "_") for k in kinds}
     hits = cells.groupBy("column").agg(
