@@ -39,8 +39,19 @@ def missing_predicate(c: Column) -> Column:
     return is_missing_text(clean(c.cast("string")))
 
 
+# The predicates below once more as SQL over {c}, for plans with many of them. The patterns
+# keep out what a bare cast would let in.
+INTEGER_SQL = f"({{c}} rlike r'{INTEGER_PATTERN}' and try_cast({{c}} as bigint) is not null)"
+NUMERIC_SQL = f"({{c}} rlike r'{NUMBER_PATTERN}' or lower({{c}}) rlike r'{NON_FINITE_PATTERN}')"
+BOOLEAN_SQL = f"lower({{c}}) in ({', '.join(repr(t) for t in BOOLEAN_TEXTS)})"
+# a separator, a digit and at least eight bytes
+DATE_SQL = "({c} rlike '[-/]' and octet_length({c}) >= 8 and {c} rlike '[0-9]')"
+_CAST_SQL = f"case when {{c}} rlike r'{NUMBER_PATTERN}' then try_cast({{c}} as double) end"
+NUMBER_OF_SQL = f"nullif({_CAST_SQL}, case when {{c}} like '-%' then -double('infinity') else double('infinity') end)"
+
+
 def is_integer_text(cleaned: Column) -> Column:
-    """Parses as a 64-bit integer; the pattern keeps out what a bare cast would let in."""
+    """Parses as a 64-bit integer."""
     return cleaned.rlike(INTEGER_PATTERN) & cleaned.try_cast("bigint").isNotNull()
 
 

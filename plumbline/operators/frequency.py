@@ -68,14 +68,12 @@ class ColumnSet:
     def of_kind(self, *kinds: str) -> list[int]:
         return [i for i, k in enumerate(self.kinds) if k in kinds]
 
-    def name_at(self, ordinal: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(n) for n in self.names]), ordinal + 1)
-
-    def any_of(self, ordinal: Column, *kinds: str) -> Column:
+    def among(self, *kinds: str) -> str:
+        """SQL condition on ``ordinal`` that holds for the columns of these kinds."""
         wanted = self.of_kind(*kinds)
         if len(wanted) == len(self.names):
-            return F.lit(True)
-        return ordinal.isin(wanted) if wanted else F.lit(False)
+            return "true"
+        return f"ordinal in ({', '.join(map(str, wanted))})" if wanted else "false"
 
     @classmethod
     def pick(cls, df: DataFrame, columns: Sequence[str] | None, skip: Sequence[str]) -> ColumnSet:
@@ -133,63 +131,56 @@ def cells(df: DataFrame, columns: ColumnSet, lane: str, carry: Sequence[str] = (
 def describe_values(counted: DataFrame, columns: ColumnSet) -> DataFrame:
     """Turn counted lane columns into text, number, length and type flags.
 
-    Runs on distinct values, when the table is read: a reader that needs only numbers
-    never builds the texts.
+    Runs on distinct values, not on cells.
     """
-    o, never = F.col("ordinal"), F.lit(False)
     parts = {"short": "string", "facts": "bigint", "whole": "bigint", "real": "double"}
-    for name, kind in parts.items():
-        if name not in counted.columns:
-            counted = counted.withColumn(name, F.lit(None).cast(kind))
-    short, facts, whole, real = (F.col(p) for p in parts)
-
-    def among(*kinds: str) -> Column:
-        return columns.any_of(o, *kinds)
-
-    is_long = facts.isNotNull()
-    integer, decimal, textual = among("integer"), among("decimal"), among("text")
+    have = counted.columns
+    gaps = [f"cast(null as {kind}) as {name}" for name, kind in parts.items() if name not in have]
+    kept = [c for c in have if c not in parts]
+    marks = {k: columns.among(k) for k in ("integer", "decimal", "boolean", "date", "timestamp", "text")}
     # containers are shown as text but not read as numbers or dates
-    readable = textual & short.isNotNull() & ~is_long
-    value = F.coalesce(
-        F.when(~is_long, short),
-        F.when(among("boolean"), whole.cast("boolean").cast("string"))
-        .when(among("date"), F.date_from_unix_date(whole.cast("int")).cast("string"))
-        .when(among("timestamp"), F.timestamp_micros(whole).cast("string"))
-        .otherwise(whole.cast("string")),
-        real.cast("string"),
-    )
-    numeric = (integer & whole.isNotNull()) | real.isNotNull() | (decimal & short.isNotNull())
-    numeric = F.when(readable, text.is_numeric_text(short)).otherwise(numeric)
-    boolean = F.when(readable, text.is_boolean_text(short)).otherwise(among("boolean") & whole.isNotNull())
-    dated = (
-        F.when(readable, text.is_date_text(short)).when(textual & is_long, facts % 2 == 1)
-        .otherwise(among("date", "timestamp") & whole.isNotNull())
-    )
-    number = F.coalesce(
-        F.when(integer, whole.cast("double")), text.finite(real),
-        F.when(decimal, short.try_cast("double")).when(readable, text.number_of_text(short)),
-    )
+    readable = f"({marks['text']} and short is not null and facts is null)"
+    moment = f"({marks['date']} or {marks['timestamp']})"
     flags = {
-        "is_integer": F.when(readable, text.is_integer_text(short)).otherwise(integer & whole.isNotNull()),
-        "is_numeric": numeric, "is_boolean": boolean, "is_date": dated,
+        "is_integer": (text.INTEGER_SQL, f"{marks['integer']} and whole is not null"),
+        "is_numeric": (text.NUMERIC_SQL, f"({marks['integer']} and whole is not null) or real is not null "
+                                         f"or ({marks['decimal']} and short is not null)"),
+        "is_boolean": (text.BOOLEAN_SQL, f"{marks['boolean']} and whole is not null"),
+        "is_date": (text.DATE_SQL, f"({moment} and whole is not null) or ({marks['text']} and facts % 2 = 1)"),
     }
-    described = counted.select(
-        *[c for c in counted.columns if c not in parts],
-        columns.name_at(o).alias("column"),
-        (short.isNull() & whole.isNull() & real.isNull()).alias("missing"),
-        value.alias("value"), F.when(is_long, short).alias("digest"), number.alias("num"),
-        F.coalesce(F.shiftright(facts, 1), F.octet_length(value).cast("bigint")).alias("bytes"),
-        *[F.coalesce(c, never).alias(k) for k, c in flags.items()],
+    first = counted.selectExpr("*", *gaps).selectExpr(
+        *[f"`{c}`" for c in kept],
+        f"element_at(array({', '.join(_literal(n) for n in columns.names)}), ordinal + 1) as column",
+        "(short is null and whole is null and real is null) as missing",
+        f"""coalesce(case when facts is null then short end,
+            case when {marks['boolean']} then cast(cast(whole as boolean) as string)
+                 when {marks['date']} then cast(date_from_unix_date(cast(whole as int)) as string)
+                 when {marks['timestamp']} then cast(timestamp_micros(whole) as string)
+                 else cast(whole as string) end,
+            cast(real as string)) as value""",
+        "case when facts is not null then short end as digest",
+        f"""coalesce(case when {marks['integer']} then cast(whole as double) end,
+            case when {marks['decimal']} then try_cast(short as double)
+                 when {readable} then {text.NUMBER_OF_SQL.format(c='short')}
+                 when not isnan(real) and abs(real) <> double('infinity') then real end) as num""",
+        *[f"coalesce(case when {readable} then {sql.format(c='short')} else {typed} end, false) as {name}"
+          for name, (sql, typed) in flags.items()],
+        "facts",
     )
     # each valid cell is counted under one leading type only
-    return described.withColumns(
-        {
-            "is_boolean": F.col("is_boolean") & ~F.col("is_numeric"),
-            "is_date": F.col("is_date") & ~F.col("is_numeric") & ~F.col("is_boolean"),
-        }
+    return first.selectExpr(
+        *[f"`{c}`" for c in kept], "column", "missing", "value", "digest", "num",
+        "coalesce(shiftright(facts, 1), cast(octet_length(value) as bigint)) as bytes", "is_integer", "is_numeric",
+        "is_boolean and not is_numeric as is_boolean",
+        "is_date and not is_numeric and not is_boolean as is_date",
     )
 
 
+def _literal(name: str) -> str:
+    escaped = name.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 @dataclass(frozen=True)
 class FrequencyTable:
     """``df``: keys, ordinal, column, value, digest, num, bytes, flags, ``n`` and maybe ``first_row``."""
@@ -250,9 +241,9 @@ def frequency(
             wanted.append(F.min(row_order).alias("first_row"))
         lanes.append(raw.groupBy(*([by] if by else []), "ordinal", *LANE_COLUMNS[lane]).agg(*wanted))
     counted = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lanes)
+    counted = describe_values(counted, picked)
     if materialized:
         counted = session.materialize(counted, "frequency")
-    counted = describe_values(counted, picked)
     table = FrequencyTable(counted, picked, by)
     if by:
         # joins of per-dataset facts are sized by the real number of datasets

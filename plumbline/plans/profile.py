@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import session
+from plumbline.functions.pii import name_hint
 from plumbline.operators import personal_data, quality, stats
 from plumbline.operators.frequency import FrequencyTable, frequency
 
@@ -47,40 +48,43 @@ def profile(
         order = "_row"
     names = list(columns) if columns is not None else [c for c in df.columns if c != by]
     ft = frequency(source, names, by, order if "samples" in parts else None, materialized=True)
-    out = profile_frequencies(ft, parts, df)
+    more = {}
     if "pii" in parts and by is None:
-        found = personal_data.detect(source, names, order).select("column", "pii_type")
-        out = out.join(session.bounded(found, len(names)), "column", "left")
-    else:
-        from plumbline.functions.pii import name_hint
-
+        more["pii"] = personal_data.detect(source, names, order).select("column", "pii_type")
+    out = profile_frequencies(ft, parts, df, more)
+    if "pii" not in more:
         out = out.withColumn("pii_type", name_hint(F.col("column")))
     return session.materialize(quality.with_quality(out, "pii_type"), "profile")
 
 
-def profile_frequencies(ft: FrequencyTable, parts: Collection[str], source: DataFrame | None = None) -> DataFrame:
-    """The profile rows of a frequency table, before quality is judged."""
+def profile_frequencies(ft: FrequencyTable, parts: Collection[str], source: DataFrame | None = None,
+                        more: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """The profile rows of a frequency table, before quality is judged.
+
+    ``more`` holds further tables with one row per column, joined by column name.
+    """
     keys, bound = ft.keys, ft.max_profiles
     base = session.materialize(stats.base_stats(ft), "base")
-    out = base
-    extras: list[DataFrame] = []
+    extras: dict[str, DataFrame] = {}
     if set(parts) & {"moments", "quantiles", "histogram"}:
         sliced = session.materialize(stats.slices(ft, base), "slices")
         if "moments" in parts:
-            extras.append(stats.moments(ft, base, sliced).select(
-                *keys, "variance", "std_dev", "skewness", "kurtosis"))
+            extras["moments"] = stats.moments(ft, base, sliced).select(
+                *keys, "variance", "std_dev", "skewness", "kurtosis")
         if "quantiles" in parts:
-            extras.append(stats.quantiles_wide(ft, base, sliced).drop("column"))
+            extras["quantiles"] = stats.quantiles_wide(ft, base, sliced).drop("column")
         if "histogram" in parts:
             bins = stats.histogram(ft, base, sliced)
-            extras.append(_packed(bins, keys, "bin", ["start", "end", "n"], "histogram"))
+            extras["histogram"] = _packed(bins, keys, "bin", ["start", "end", "n"], "histogram")
     if "top" in parts:
         top = stats.top_values(ft, base, source)
-        extras.append(_packed(top, keys, "position", ["value", "n", "percentage"], "top_values"))
+        extras["top_values"] = _packed(top, keys, "position", ["value", "n", "percentage"], "top_values")
     if "samples" in parts:
-        extras.append(_packed(stats.sample_values(ft, source), keys, "position", ["value"], "sample_values"))
-    for extra in extras:
-        out = out.join(session.bounded(extra, bound), keys, "left")
+        extras["samples"] = _packed(stats.sample_values(ft, source), keys, "position", ["value"], "sample_values")
+    written = session.materialize_all({**extras, **(more or {})})
+    out = base
+    for name, table in written.items():
+        out = out.join(session.bounded(table, bound), keys if name in extras else "column", "left")
     return out
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Write independent tables side by side, so that the cluster never waits for the slowest alone."""
+    with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
+        written = {name: pool.submit(materialize, df, name) for name, df in tables.items()}
+        return {name: future.result() for name, future in written.items()}
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Divide an input that has fewer splits than there are cores; larger inputs are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
