@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,17 +76,21 @@ def scan_csv(spark: SparkSession, paths: Sequence[str] | str, delimiter: str | N
     return spark.read.options(**options, columnNameOfCorruptRecord=BAD_RECORD, columnPruning=False).schema(schema).csv(paths)
 
 
+def _is_bad(scanned: DataFrame) -> Column:
+    # a field has to be asked for besides the bad record, else Spark declines to read the file
+    anchor = next(c for c in scanned.columns if c != BAD_RECORD)
+    asked = F.length(F.coalesce(scanned[text.quoted(anchor)].cast("string"), F.lit(""))) >= 0
+    return asked & F.col(BAD_RECORD).isNotNull()
+
+
 def good_rows(scanned: DataFrame) -> DataFrame:
-    return scanned.filter(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD)
+    """Without the malformed records."""
+    return scanned.filter(~_is_bad(scanned)).drop(BAD_RECORD)
 
 
 def malformed_rows(scanned: DataFrame) -> DataFrame:
     """How many records were read and how many were malformed."""
-    anchor = next(c for c in scanned.columns if c != BAD_RECORD)
-    # a field has to be asked for besides the bad record, else Spark declines to read the file
-    read = F.length(F.coalesce(F.col(text.quoted(anchor)), F.lit(""))) >= 0
-    checked = scanned.select((read & F.col(BAD_RECORD).isNotNull()).alias("bad"))
-    return checked.agg(
+    return scanned.select(_is_bad(scanned).alias("bad")).agg(
         F.count(F.lit(1)).alias("total_rows"), F.count_if("bad").alias("malformed"),
         F.count_if(~F.col("bad")).alias("good_rows"),
     )
