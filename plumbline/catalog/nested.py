@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline import session
+from plumbline.catalog.ruling import GROUPS
 from plumbline.catalog.twin import derived, query, table
 from plumbline.operators import flatten, structure
 from plumbline.sources import readers
@@ -144,14 +145,14 @@ def select_paths_json(spark, sf):
 
 # --- JSON containers ----------------------------------------------------------------------
 
-#: per region, an array of what its nations are called, numbered, or both
-ARRAYS = """SELECT n_regionkey AS k, CASE WHEN n_regionkey = 0 THEN concat('{"n": "', n_name, '"}') WHEN n_regionkey = 1 THEN CAST(n_nationkey AS STRING)
- WHEN n_regionkey = 2 THEN concat('["', n_name, '"]') WHEN n_regionkey = 3 AND n_nationkey > 10 THEN concat('"', n_name, '"') WHEN n_regionkey = 3 THEN concat('{"n": ', CAST(n_nationkey AS STRING), '}')
- ELSE 'null' END AS value FROM nation"""
+#: per group of customers, JSON items of one kind or of several
+ARRAYS = f"""SELECT c_group AS k, CASE WHEN c_group = 0 THEN concat('{{"n": "', c_name, '"}}') WHEN c_group = 1 THEN CAST(c_custkey AS STRING)
+ WHEN c_group = 2 THEN concat('["', c_name, '"]') WHEN c_group = 3 AND c_custkey > 10 THEN concat('"', c_name, '"') WHEN c_group = 3 THEN concat('{{"n": ', CAST(c_custkey AS STRING), '}}')
+ ELSE 'null' END AS value FROM {GROUPS}"""
 
 
-@query("json_container_kind", """SELECT n_regionkey AS k, CASE n_regionkey WHEN 0 THEN 'array_of_objects' WHEN 1 THEN 'array_of_primitives' WHEN 2 THEN 'array_of_arrays'
- WHEN 3 THEN CASE WHEN min(n_nationkey) <= 10 AND max(n_nationkey) > 10 THEN 'mixed_array' WHEN min(n_nationkey) > 10 THEN 'array_of_primitives' ELSE 'array_of_objects' END ELSE 'array_of_primitives' END AS kind, count(*) AS items FROM nation GROUP BY n_regionkey""")
+@query("json_container_kind", f"""SELECT c_group AS k, CASE c_group WHEN 0 THEN 'array_of_objects' WHEN 1 THEN 'array_of_primitives' WHEN 2 THEN 'array_of_arrays'
+ WHEN 3 THEN CASE WHEN min(c_custkey) <= 10 AND max(c_custkey) > 10 THEN 'mixed_array' WHEN min(c_custkey) > 10 THEN 'array_of_primitives' ELSE 'array_of_objects' END ELSE 'array_of_primitives' END AS kind, count(*) AS items FROM {GROUPS} GROUP BY c_group""")
 def json_container_kind(spark, sf):
     items = derived(spark, sf, ARRAYS)
     out = None
@@ -161,8 +162,8 @@ def json_container_kind(spark, sf):
     return out
 
 
-@query("scan_primitive_json", """SELECT CASE n_regionkey WHEN 1 THEN CAST(n_nationkey AS VARCHAR) WHEN 2 THEN '["' || n_name || '"]' WHEN 3 THEN n_name ELSE '' END AS value
- FROM nation WHERE n_regionkey IN (1, 2, 4) OR (n_regionkey = 3 AND n_nationkey > 10)""")
+@query("scan_primitive_json", f"""SELECT CASE c_group WHEN 1 THEN CAST(c_custkey AS VARCHAR) WHEN 2 THEN '["' || c_name || '"]' WHEN 3 THEN c_name ELSE '' END AS value
+ FROM {GROUPS} WHERE c_group IN (1, 2, 4) OR (c_group = 3 AND c_custkey > 10)""")
 def scan_primitive_json(spark, sf):
     return readers.scan_primitive_json(derived(spark, sf, ARRAYS))
 
@@ -244,9 +245,9 @@ def scan_parquet(spark, sf):
     return readers.scan_parquet(spark, f"{sf}/region.parquet")
 
 
-@query("scan_many", """SELECT 'nation.parquet' AS dataset, count(*) AS rows FROM nation UNION ALL SELECT 'region.parquet', count(*) FROM region UNION ALL SELECT 'supplier.parquet', count(*) FROM supplier""")
+@query("scan_many", """SELECT 'customer.parquet' AS dataset, count(*) AS rows FROM customer UNION ALL SELECT 'orders.parquet', count(*) FROM orders UNION ALL SELECT 'part.parquet', count(*) FROM part""")
 def scan_many(spark, sf):
-    many = readers.scan_many(spark, [f"{sf}/{t}.parquet" for t in ("nation", "region", "supplier")])
+    many = readers.scan_many(spark, [f"{sf}/{t}.parquet" for t in ("customer", "orders", "part")])
     return many.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -267,10 +268,10 @@ def row_count(spark, sf):
     return readers.row_count(table(spark, sf, "lineitem"))
 
 
-@query("list_tables", "SELECT name, n FROM (SELECT count(*) AS n FROM region), (VALUES ('listed_one'), ('listed_two')) v(name)")
+@query("list_tables", "SELECT name, n FROM (SELECT count(*) AS n FROM orders), (VALUES ('listed_one'), ('listed_two')) v(name)")
 def list_tables(spark, sf):
     for name in ("listed_one", "listed_two", "listed_three"):
-        readers.register_table(spark, f"{sf}/region.parquet", name)
+        readers.register_table(spark, f"{sf}/orders.parquet", name)
     readers.drop_table(spark, "listed_three")
     names = [n for n in readers.list_tables(spark) if n.startswith("listed_")]
     counts = [readers.row_count(spark.table(n)).select(F.lit(n).alias("name"), F.col("total_rows").alias("n")) for n in names]

@@ -128,6 +128,10 @@ _gx_query("gx_unsupported", [{"rule_type": r, "column": "amount"} for r in ("exp
  FROM (VALUES ('expect_column_stdev_to_be_between'), ('expect_column_values_to_match_regex')) v(rule), (SELECT count(*) AS n FROM base) WHERE n > 0""")
 
 
+#: customers in five groups
+GROUPS = "(SELECT c_custkey, c_name, CAST(floor(c_nationkey / 5) AS INT) AS c_group FROM customer) AS grouped"
+
+
 # --- check lines --------------------------------------------------------------------
 
 def soda_of(spark, lines):
@@ -166,11 +170,11 @@ def soda_operator(spark, sf):
     return rules_eval.evaluate_soda(checks, messy_base(spark, sf), WIDTH).select("raw", "status")
 
 
-#: check lines written from the rows of nation and region
-LINES = """SELECT n_nationkey AS k, CASE WHEN n_regionkey = 0 THEN concat('row_count > ', CAST(n_nationkey AS STRING))
- WHEN n_regionkey = 1 THEN concat('min(', n_name, ') >= -', CAST(n_nationkey AS STRING), '.5')
- WHEN n_regionkey = 2 THEN concat('avg(', n_name, ') between ', CAST(n_nationkey AS STRING), ' and 99')
- WHEN n_regionkey = 3 THEN concat('freshness(', n_name, ') < 1d') ELSE concat('failed rows from SQL ', n_name) END AS line FROM nation"""
+#: a check line per customer
+LINES = f"""SELECT c_custkey AS k, CASE WHEN c_group = 0 THEN concat('row_count > ', CAST(c_custkey AS STRING))
+ WHEN c_group = 1 THEN concat('min(', c_name, ') >= -', CAST(c_custkey AS STRING), '.5')
+ WHEN c_group = 2 THEN concat('avg(', c_name, ') between ', CAST(c_custkey AS STRING), ' and 99')
+ WHEN c_group = 3 THEN concat('freshness(', c_name, ') < 1d') ELSE concat('failed rows from SQL ', c_name) END AS line FROM {GROUPS}"""
 
 
 @query("soda_load", f"""WITH l AS ({LINES}), p AS (SELECT k, line, regexp_matches(line, '{rules_load.COMPARE_LINE}') AS c, regexp_matches(line, '{rules_load.BETWEEN_LINE}') AS b FROM l)
@@ -182,7 +186,7 @@ SELECT k, line AS raw, CASE WHEN c THEN regexp_extract(line, '{rules_load.COMPAR
  CASE WHEN c OR b THEN NULL WHEN contains(lower(line), 'sql') THEN 'Cannot validate: requires database execution' ELSE 'Cannot validate: requires timestamp comparison' END AS reason FROM p""")
 def soda_load(spark, sf):
     lines = derived(spark, sf, LINES)
-    files = lines.withColumn("text", F.concat(F.lit("checks for nation:\n  # a note\n  - "), F.col("line"), F.lit("\n")))
+    files = lines.withColumn("text", F.concat(F.lit("checks for customer:\n  # a note\n  - "), F.col("line"), F.lit("\n")))
     entries = rules_load.soda_lines(files, "text", ["k"])
     return rules_load.soda_rules(entries, "line", ["k"])
 
@@ -225,29 +229,29 @@ _js_query("jsonschema_enum", [("enum", c, None, None, s) for c, s in ENUMS],
 SELECT 'enum' AS rule_type, want AS "column", CASE WHEN len(unknown) = 0 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN len(unknown) > 0 THEN 'Found: ' || array_to_string(unknown[1:3], ', ') || '...' END AS observed,
  'One of: ' || array_to_string(ws, ', ') AS expected, CASE WHEN len(unknown) > 0 THEN 'Column contains values not in enum list' END AS reason FROM j""".replace(" , tl", " tl"), tops=True)
 
-#: one record schema per nation
-SCHEMAS = """SELECT n_nationkey AS k, concat('{"type": "array", "items": {"required": ["', n_name, '"], "properties": {"', n_name,
- '": {"type": ["integer", "null"], "minimum": ', CAST(n_regionkey AS STRING), '}, "kind": {"type": "string", "enum": ["a", "', n_name, '"]}}}}') AS text FROM nation"""
+#: a record schema per customer
+SCHEMAS = f"""SELECT c_custkey AS k, concat('{{"type": "array", "items": {{"required": ["', c_name, '"], "properties": {{"', c_name,
+ '": {{"type": ["integer", "null"], "minimum": ', CAST(c_group AS STRING), '}}, "kind": {{"type": "string", "enum": ["a", "', c_name, '"]}}}}}}}}') AS text FROM {GROUPS}"""
 
 
-@query("jsonschema_load", """SELECT n_nationkey AS k, 'required' AS rule_type, n_name AS "column", NULL::VARCHAR AS types, NULL::DOUBLE AS bound, NULL::VARCHAR AS allowed FROM nation
- UNION ALL SELECT n_nationkey, 'type', n_name, 'integer,null', NULL, NULL FROM nation UNION ALL SELECT n_nationkey, 'minimum', n_name, NULL, n_regionkey, NULL FROM nation
- UNION ALL SELECT n_nationkey, 'type', 'kind', 'string', NULL, NULL FROM nation UNION ALL SELECT n_nationkey, 'enum', 'kind', NULL, NULL, 'a,' || n_name FROM nation""")
+@query("jsonschema_load", f"""SELECT c_custkey AS k, 'required' AS rule_type, c_name AS "column", NULL::VARCHAR AS types, NULL::DOUBLE AS bound, NULL::VARCHAR AS allowed FROM {GROUPS}
+ UNION ALL SELECT c_custkey, 'type', c_name, 'integer,null', NULL, NULL FROM {GROUPS} UNION ALL SELECT c_custkey, 'minimum', c_name, NULL, c_group, NULL FROM {GROUPS}
+ UNION ALL SELECT c_custkey, 'type', 'kind', 'string', NULL, NULL FROM {GROUPS} UNION ALL SELECT c_custkey, 'enum', 'kind', NULL, NULL, 'a,' || c_name FROM {GROUPS}""")
 def jsonschema_load(spark, sf):
     rules = rules_load.json_schema_rules(derived(spark, sf, SCHEMAS), "text", ["k"])
     return rules.select("k", "rule_type", "column", F.array_join("types", ",").alias("types"), "bound", F.array_join("allowed", ",").alias("allowed"))
 
 
-#: one suite per nation, those of region 4 without a name
-SUITES = """SELECT n_nationkey AS k, concat('{', CASE WHEN n_regionkey = 4 THEN '' ELSE concat('"expectation_suite_name": "', n_name, '", ') END,
- '"expectations": [{"expectation_type": "expect_column_values_to_be_between", "kwargs": {"column": "', n_name, '", "min_value": ', CAST(n_regionkey AS STRING),
- ', "max_value": 9.5}}, {"expectation_type": "expect_something_else", "kwargs": {"value_set": ["x", 1]}}]}') AS text FROM nation"""
+#: a suite per customer, those of group 4 without a name
+SUITES = f"""SELECT c_custkey AS k, concat('{{', CASE WHEN c_group = 4 THEN '' ELSE concat('"expectation_suite_name": "', c_name, '", ') END,
+ '"expectations": [{{"expectation_type": "expect_column_values_to_be_between", "kwargs": {{"column": "', c_name, '", "min_value": ', CAST(c_group AS STRING),
+ ', "max_value": 9.5}}}}, {{"expectation_type": "expect_something_else", "kwargs": {{"value_set": ["x", 1]}}}}]}}') AS text FROM {GROUPS}"""
 
 
-@query("gx_load", """SELECT n_nationkey AS k, 'expect_column_values_to_be_between' AS rule_type, n_name AS "column", CAST(n_regionkey AS DOUBLE) AS min_value, CAST(9.5 AS DOUBLE) AS max_value,
- NULL::VARCHAR AS value_set, true AS supported, NULL::VARCHAR AS error FROM nation WHERE n_regionkey <> 4
- UNION ALL SELECT n_nationkey, 'expect_something_else', NULL, NULL, NULL, 'x,1', false, NULL FROM nation WHERE n_regionkey <> 4
- UNION ALL SELECT n_nationkey, NULL, NULL, NULL, NULL, NULL, NULL, 'format_error' FROM nation WHERE n_regionkey = 4""")
+@query("gx_load", f"""SELECT c_custkey AS k, 'expect_column_values_to_be_between' AS rule_type, c_name AS "column", CAST(c_group AS DOUBLE) AS min_value, CAST(9.5 AS DOUBLE) AS max_value,
+ NULL::VARCHAR AS value_set, true AS supported, NULL::VARCHAR AS error FROM {GROUPS} WHERE c_group <> 4
+ UNION ALL SELECT c_custkey, 'expect_something_else', NULL, NULL, NULL, 'x,1', false, NULL FROM {GROUPS} WHERE c_group <> 4
+ UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, NULL, NULL, 'format_error' FROM {GROUPS} WHERE c_group = 4""")
 def gx_load(spark, sf):
     r = rules_load.gx_rules(derived(spark, sf, SUITES), "text", ["k"])
     return r.select("k", "rule_type", "column", "min_value", "max_value", F.array_join("value_set", ",").alias("value_set"), "supported", "error")

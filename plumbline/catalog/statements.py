@@ -90,7 +90,7 @@ def stream_frequency(spark, sf):
     from pyspark.sql import Window
 
     running = streams.frequency_stream(events_stream(spark, sf).select("event_type", "props", "user_id"))
-    state = streams.run_to_table(running, "frequency-stream")
+    state = streams.run_to_table(running, "frequency-stream", ["column", "value"])
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     return state.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 10).drop("nth")
 
@@ -99,5 +99,5 @@ def stream_frequency(spark, sf):
 SELECT sum(n)::BIGINT AS total_rows, sum(n - 1)::BIGINT AS duplicate_rows, round(sum(n - 1) * 100.0 / sum(n), 6) AS duplicate_pct FROM g""")
 def stream_duplicates(spark, sf):
     running = streams.duplicates_stream(events_stream(spark, sf, "conversations").select("conv_id", "role"))
-    state = streams.run_to_table(running, "duplicates-stream")
+    state = streams.run_to_table(running, "duplicates-stream", ["row_digest"])
     return stats.duplicate_summary(state).withColumn("duplicate_pct", F.round("duplicate_pct", 6))

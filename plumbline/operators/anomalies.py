@@ -26,7 +26,7 @@ def number_rows(df: DataFrame, name: str = "row_number") -> DataFrame:
     starts = sizes.select("_part", (upto - F.col("_size")).alias("_start"))
     within = F.col("_id") - F.shiftleft(F.col("_part"), 33)
     parts = df.rdd.getNumPartitions()
-    return placed.join(session.bounded(starts, parts), "_part").select(
+    return placed.join(session.bounded(starts, parts, session.NARROW_BROADCAST_ROWS), "_part").select(
         *df.columns, (F.col("_start") + within + 1).alias(name)
     )
 

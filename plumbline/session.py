@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it is known to hold at most this many rows.
 BROADCAST_ROWS = 200_000
+#: The same for tables of two numbers, such as where each partition starts.
+NARROW_BROADCAST_ROWS = 2_000_000
 #: Number of slices a hot join key is split into when the small side cannot be broadcast.
 SALT_SLICES = 32
 
@@ -80,9 +82,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def bounded(df: DataFrame, max_rows: int) -> DataFrame:
+def bounded(df: DataFrame, max_rows: int, limit: int | None = None) -> DataFrame:
     """``df`` marked for broadcast when its row bound allows it, else as it is."""
-    return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if max_rows <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
 def attach(

@@ -71,22 +71,30 @@ def duplicates_stream(stream: DataFrame) -> DataFrame:
     return row_digests(stream).groupBy("row_digest").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_to_table(running: DataFrame, label: str) -> DataFrame:
+def run_to_table(running: DataFrame, label: str, keys: list[str] | None = None) -> DataFrame:
     """Process everything that is there, in batches, and return the final state as a table.
 
-    Progress and state live in the shared folder, so a lost executor or a restarted
-    driver goes on from the last batch.
+    A small state is written anew after each batch. With ``keys`` only the rows a batch
+    changed are written, and the last state of each key is picked when the table is read,
+    so a large state is never rewritten. Progress and state live in the shared folder: a
+    lost executor or a restarted driver goes on from the last batch.
     """
     spark = running.sparkSession
     place = session.scratch_path(spark, label)
     result = f"{place}/result"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(result)
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is run again replaces what its first try has written
+        target = f"{result}/batch={number}" if keys else result
+        batch.write.mode("overwrite").parquet(target)
 
     query = (
-        running.writeStream.outputMode("complete").foreachBatch(keep)
+        running.writeStream.outputMode("update" if keys else "complete").foreachBatch(keep)
         .option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(running.schema).parquet(result)
+    if not keys:
+        return spark.read.schema(running.schema).parquet(result)
+    states = spark.read.option("basePath", result).parquet(result)
+    rest = [c for c in running.columns if c not in keys]
+    return states.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])

@@ -33,8 +33,8 @@ def test_frequencies_and_duplicates(spark, sf):
     def stream():
         return streams.read_stream(spark, folder, schema, files_per_batch=1)
 
-    counted = streams.run_to_table(streams.frequency_stream(stream()), "frequencies")
+    counted = streams.run_to_table(streams.frequency_stream(stream()), "frequencies", ["column", "value"])
     batch = frequency(df, ["role", "text"]).valid.select("column", F.coalesce("value", "digest").alias("value"), "n")
     assert counted.exceptAll(batch).count() == 0 and batch.exceptAll(counted).count() == 0
-    d = stats.duplicate_summary(streams.run_to_table(streams.duplicates_stream(stream()), "rows")).head()
+    d = stats.duplicate_summary(streams.run_to_table(streams.duplicates_stream(stream()), "rows", ["row_digest"])).head()
     assert tuple(d) == tuple(stats.duplicate_rows(df, ["role", "text"]).head())
