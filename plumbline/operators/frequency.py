@@ -90,30 +90,23 @@ LANES = {
 LANE_COLUMNS = {"text": ["short", "facts"], "whole": ["whole"], "real": ["real"]}
 
 
-def _cell(df: DataFrame, name: str, dtype: T.DataType) -> list[Column]:
-    """The lane columns of one cell; a missing cell is null."""
+def _cell(df: DataFrame, name: str, dtype: T.DataType) -> Column:
+    """One cell in the type of its lane; a missing typed cell is null."""
     c = df[text.quoted(name)]
     kind = kind_of(dtype)
     if kind == "integer":
-        return [c.cast("bigint")]
+        return c.cast("bigint")
     if kind == "boolean":
-        return [c.cast("int").cast("bigint")]
+        return c.cast("int").cast("bigint")
     if kind == "date":
-        return [F.unix_date(c).cast("bigint")]
+        return F.unix_date(c).cast("bigint")
     if kind == "timestamp":
-        return [F.unix_micros(c.cast("timestamp"))]
+        return F.unix_micros(c.cast("timestamp"))
     if kind == "real":
-        return [c if isinstance(dtype, T.DoubleType) else c.cast("string").cast("double")]
+        return c if isinstance(dtype, T.DoubleType) else c.cast("string").cast("double")
     if kind == "decimal":
-        return [c.cast("string"), F.lit(None).cast("bigint")]
-    cleaned = text.clean(text_of(c, dtype))
-    is_long = F.octet_length(cleaned) > LONG_TEXT
-    # a digest no longer shows its length and whether it looked like a date
-    facts = F.octet_length(cleaned).cast("bigint") * 2 + text.is_date_text(cleaned).cast("int")
-    return [
-        F.when(is_long, F.sha2(cleaned, 256)).when(~text.is_missing_text(cleaned), cleaned),
-        F.when(is_long, facts),
-    ]
+        return c.cast("string")
+    return text.clean(text_of(c, dtype))
 
 
 def cells(df: DataFrame, columns: ColumnSet, lane: str, carry: Sequence[str] = ()) -> DataFrame | None:
@@ -121,11 +114,22 @@ def cells(df: DataFrame, columns: ColumnSet, lane: str, carry: Sequence[str] = (
     members = columns.of_kind(*LANES[lane])
     if not members:
         return None
+    carried = [text.quoted(c) for c in carry]
     stacked: list[Column] = [F.lit(len(members))]
     for i in members:
-        stacked.append(F.lit(i))
-        stacked.extend(_cell(df, columns.names[i], columns.types[i]))
-    return df.select(*[text.quoted(c) for c in carry], F.stack(*stacked).alias("ordinal", *LANE_COLUMNS[lane]))
+        stacked += [F.lit(i), _cell(df, columns.names[i], columns.types[i])]
+    if lane != "text":
+        return df.select(*carried, F.stack(*stacked).alias("ordinal", *LANE_COLUMNS[lane]))
+    # what is told of a text is worked out after stacking, once per cell
+    cell = F.col("cell")
+    is_long = F.octet_length(cell) > LONG_TEXT
+    # a digest no longer shows its length and whether it looked like a date
+    facts = F.octet_length(cell).cast("bigint") * 2 + text.is_date_text(cell).cast("int")
+    return df.select(*carried, F.stack(*stacked).alias("ordinal", "cell")).select(
+        *carried, "ordinal",
+        F.when(is_long, F.sha2(cell, 256)).when(~text.is_missing_text(cell), cell).alias("short"),
+        F.when(is_long, facts).alias("facts"),
+    )
 
 
 def describe_values(counted: DataFrame, columns: ColumnSet) -> DataFrame:
