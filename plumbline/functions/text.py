@@ -30,6 +30,14 @@ def clean(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def clean_cell(c: Column) -> Column:
+    """The same for a plain column: texts that start and end with a visible ASCII character stay as they are."""
+    def visible(end: Column) -> Column:
+        return F.ascii(end).between(33, 126)
+
+    return F.when(visible(c) & visible(F.substring(c, -1, 1)), c).otherwise(clean(c))
+
+
 def is_missing_text(cleaned: Column) -> Column:
     return cleaned.isNull() | F.lower(cleaned).isin(*MISSING_TEXTS)
 

@@ -106,7 +106,7 @@ def _cell(df: DataFrame, name: str, dtype: T.DataType) -> Column:
         return c if isinstance(dtype, T.DoubleType) else c.cast("string").cast("double")
     if kind == "decimal":
         return c.cast("string")
-    return text.clean(text_of(c, dtype))
+    return text_of(c, dtype)
 
 
 def cells(df: DataFrame, columns: ColumnSet, lane: str, carry: Sequence[str] = ()) -> DataFrame | None:
@@ -125,7 +125,10 @@ def cells(df: DataFrame, columns: ColumnSet, lane: str, carry: Sequence[str] = (
     is_long = F.octet_length(cell) > LONG_TEXT
     # a digest no longer shows its length and whether it looked like a date
     facts = F.octet_length(cell).cast("bigint") * 2 + text.is_date_text(cell).cast("int")
-    return df.select(*carried, F.stack(*stacked).alias("ordinal", "cell")).select(
+    trimmed = df.select(*carried, F.stack(*stacked).alias("ordinal", "cell")).select(
+        *carried, "ordinal", text.clean_cell(cell).alias("cell")
+    )
+    return trimmed.select(
         *carried, "ordinal",
         F.when(is_long, F.sha2(cell, 256)).when(~text.is_missing_text(cell), cell).alias("short"),
         F.when(is_long, facts).alias("facts"),

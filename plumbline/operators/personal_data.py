@@ -63,6 +63,24 @@ def _first_cells(source: DataFrame, columns: list[str], key: str, looked_at: int
     )
 
 
+def _head_cells(df: DataFrame, columns: list[str], looked_at: int) -> tuple[DataFrame | None, list[str]]:
+    """First valid cells of the columns that the first few rows settle, and the columns still open.
+
+    Reads only the start of the input; at most ``2 * looked_at`` rows come to the driver.
+    """
+    texts = [text.clean(text_of(df[text.quoted(c)], df.schema[c].dataType)).alias(f"c{i}") for i, c in enumerate(columns)]
+    head = df.select(*texts).head(2 * looked_at)
+    cells, still_open = [], []
+    for i, c in enumerate(columns):
+        valid = [r[i] for r in head if r[i] is not None and r[i].lower() not in text.MISSING_TEXTS]
+        if len(valid) >= looked_at or len(head) < 2 * looked_at:
+            cells += [(c, v) for v in valid[:looked_at]]
+        else:
+            still_open.append(c)
+    found = df.sparkSession.createDataFrame(cells, "column string, cell string") if cells else None
+    return found, still_open
+
+
 def detect(df: DataFrame, columns: list[str], row_order: str | None = None,
            looked_at: int | None = LOOKED_AT) -> DataFrame:
     """Kind of personal data per column: content of the first valid cells first, then the name.
@@ -70,11 +88,17 @@ def detect(df: DataFrame, columns: list[str], row_order: str | None = None,
     ``row_order`` names the column giving the order of rows (scan order without it).
     With ``looked_at=None`` every cell of every column is judged.
     """
-    source = df if row_order else df.withColumn("_row", F.monotonically_increasing_id())
     if looked_at is None:
-        cells = _named_cells(session.spread(source), columns, [])
+        cells = _named_cells(session.spread(df), columns, [])
+    elif row_order:
+        cells = _first_cells(df, columns, row_order, looked_at).select("column", "cell")
     else:
-        cells = _first_cells(source, columns, row_order or "_row", looked_at)
+        settled, still_open = _head_cells(df, columns, looked_at)
+        parts = [settled] if settled is not None else []
+        if still_open or not parts:
+            numbered = df.withColumn("_row", F.monotonically_increasing_id())
+            parts.append(_first_cells(numbered, still_open or columns, "_row", looked_at).select("column", "cell"))
+        cells = reduce(DataFrame.unionByName, parts)
     kinds = list(pii.CONTENT_PATTERNS)
     tags = {k: "hits_" + k.lower().replace(" ", "_") for k in kinds}
     hits = cells.groupBy("column").agg(

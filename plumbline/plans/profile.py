@@ -50,7 +50,7 @@ def profile(
     ft = frequency(source, names, by, order if "samples" in parts else None, materialized=True)
     more = {}
     if "pii" in parts and by is None:
-        more["pii"] = personal_data.detect(source, names, order).select("column", "pii_type")
+        more["pii"] = personal_data.detect(df, names, row_order).select("column", "pii_type")
     out = profile_frequencies(ft, parts, df, more)
     if "pii" not in more:
         out = out.withColumn("pii_type", name_hint(F.col("column")))

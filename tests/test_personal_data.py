@@ -33,3 +33,13 @@ def test_order_of_decision(spark):
                                "id int, a string, b string, zip string, c string")
     got = {c: r["pii_type"] for c, r in by_column(personal_data.detect(df, ["a", "b", "zip", "c"], "id")).items()}
     assert got == {"a": "SSN", "b": "date of birth", "zip": "postal code", "c": "credit card"}
+
+
+def test_scan_order_reads_on_where_the_first_rows_do_not_settle(spark):
+    df = spark.range(0, 5000, 1, 4).select(
+        F.concat(F.lit("u"), "id", F.lit("@example.com")).alias("note"),
+        F.when(F.col("id") >= 4000, F.lit("10.0.0.7")).alias("late"), F.lit(None).cast("string").alias("never"))
+    got = by_column(personal_data.detect(df, ["note", "late", "never"]))
+    assert got["note"]["pii_type"] == "email" and got["note"]["looked_at"] == 100
+    assert got["late"]["pii_type"] == "IP address" and got["late"]["looked_at"] == 100
+    assert "never" not in got
