@@ -6,9 +6,22 @@ Every stage takes (spark, docs, sf_dir) and works on all rows the stage before i
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline import session
-from plumbline.llm import decontaminate, mixing, token_files
+from plumbline.llm import decontaminate, mixing, ngram_join, quality, token_files
+from plumbline.llm.common import fold
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.train(docs, labels, fold(F.col("doc_id"), 3) != 1))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +42,12 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _recounted(docs: DataFrame) -> DataFrame:
     """``n_chars`` is kept in step with a changed text."""
-    from pyspark.sql import functions as F
-
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 STAGES = [
+    ("quality_classifier", good_quality),
+    ("ngram_jaccard_join", without_near_copies),
     ("benchmark_decontamination", without_benchmark),
     ("mixing", mixed),
     ("token_files", tokenised),

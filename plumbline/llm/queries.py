@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontaminate, mixing, token_files
-from plumbline.llm.common import documents
+from plumbline.llm import decontaminate, language_id, mixing, ngram_join, quality, secret_scan, token_files, toxicity
+from plumbline.llm.common import documents, fold
 from plumbline.llm.twins import TWINS
 
 
@@ -23,6 +23,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credential parts of every document."""
+    found = secret_scan.scan(documents(spark, sf_dir))
+    return found.select(
+        F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex",
+        F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a 5:2:1 mixture of the sources takes from every document."""
     plan = mixing.schedule(documents(spark, sf_dir))
@@ -38,12 +46,45 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_facts(spark, path)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learned from two thirds of the labels."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.train(docs, labels, fold(F.col("doc_id"), 3) != 1).score(docs, docs["doc_id"])
+    return _judged(scored, 0.5)
+
+
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        F.col("doc").alias("doc_id"), (fold(F.col("doc"), 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return ngram_join.link(documents(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; learned from two thirds of the labels."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _judged(toxicity.train(docs, labels, fold(F.col("doc_id"), 3) != 1).score(docs), 0.7)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from three quarters of the documents."""
+    docs = documents(spark, sf_dir)
+    found = language_id.predict(docs, language_id.train(docs, fold(F.col("doc_id"), 4) != 2))
+    return found.select(F.col("doc").alias("doc_id"), (fold(F.col("doc"), 4) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_mix, op7_token_files, pipeline)}
+    return {f.__name__: f for f in (
+        op1_decontaminate, op2_secrets, op3_mix, op6_quality, op7_token_files, op8_ngram_join, op9_toxicity, op10_language, pipeline,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,3 +54,62 @@ taken as (select doc_id, source, place, sum(size) taken from running, budget whe
 select doc_id, size, words source_size, target, coalesce(taken, 0)::bigint taken
 from queued left join taken using (doc_id, place)
 """
+
+TWINS["op8_ngram_join"] = r"""
+with recursive word_lists as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') w from documents),
+grams as (
+    select distinct doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') gram
+    from (select doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) i from word_lists where len(w) > 0)),
+sizes as (select doc_id, count(*) n from grams group by 1),
+common as (
+    select x.doc_id a, y.doc_id b, count(*) n from grams x join grams y on x.gram = y.gram and x.doc_id <> y.doc_id group by 1, 2),
+links as (
+    select a, b from common c join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c.n >= 80 * (x.n + y.n - c.n)),
+reach as (
+    select doc_id a, doc_id b from documents
+    union select r.a, l.b from reach r join links l on r.b = l.a),
+least_reached as (select a doc_id, min(b) component_id from reach group by 1)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id from least_reached left join sizes using (doc_id)
+"""
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"""
+_ID = r"""((?i:client_?id|access_?key_?id|account(?:_?id)?|user(?:_?name)?|login))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9@._-]+)"""
+_VALUE = r"""((?i:pass|pwd|key|auth|credential|signature))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"""
+_ENDPOINT = r"""(?i:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\x00-\x20\x22\x27<>]+"""
+_KINDS = (
+    (1, "assign", _ASSIGN, 2, 8, "secret"), (2, "access", "AKIA[A-Z0-9]+", 0, 16, "identifier"), (3, "hex", "[0-9a-f]+", 0, 32, "secret"),
+    (4, "id", _ID, 2, 3, "identifier"), (5, "value", _VALUE, 2, 8, "secret"), (6, "endpoint", _ENDPOINT, 0, 8, "endpoint"),
+    (7, "break", r"\n[\x20\t\r]*\n", 0, 0, "break"),
+)
+_MATCHES = " union all ".join(
+    f"select doc_id, {n} ord, '{kind}' kind, '{part}' part, {least} least, regexp_extract_all(text, '{pattern}') found, "
+    f"regexp_extract_all(text, '{pattern}', {group}) held, regexp_split_to_array(text, '{pattern}') gaps from texts"
+    for n, kind, pattern, group, least, part in _KINDS)
+TWINS["op2_secrets"] = f"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+matches as ({_MATCHES}),
+pieces as (
+    select doc_id, ord, kind, part, least, nth, length(gaps[nth]) gap, length(found[nth]) size, length(held[nth]) held
+    from (select *, unnest(range(1, len(found) + 1)) nth from matches where len(found) > 0)),
+placed as (
+    select *, sum(gap + size) over (partition by doc_id, kind order by nth)::bigint as stop from pieces),
+parts as (select doc_id, ord, kind, part, stop - size as start, stop from placed where held >= least),
+scoped as (
+    select *, sum((kind = 'break')::int) over (partition by doc_id order by start, stop rows unbounded preceding) as scope_no from parts),
+linked as (
+    select w.doc_id, w.ord, w.kind, w.start, w.stop from scoped w join scoped o
+    on w.doc_id = o.doc_id and w.scope_no = o.scope_no and o.part <> w.part and o.start <= w.stop + 300 and o.stop >= w.start - 300
+    where w.ord between 4 and 6 and o.kind <> 'break' group by all having count(distinct o.part) = 2),
+every as (
+    select doc_id, ord, kind, start, stop from parts where ord <= 3 union all select doc_id, ord, kind, start, stop from linked),
+written as (
+    select doc_id, count(*) filter (ord = 1) n_assign, count(*) filter (ord = 2) n_access, count(*) filter (ord = 3) n_hex,
+        string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) filter (ord <= 3) base,
+        string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) spans
+    from every group by 1)
+select doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bigint n_access, coalesce(n_hex, 0)::bigint n_hex,
+    sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from texts left join written using (doc_id)
+"""
