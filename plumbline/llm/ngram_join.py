@@ -143,7 +143,7 @@ def _prune(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Suffix filter: nodes whose histograms over hash ranges differ too much cannot overlap enough."""
     left = facts.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("bins").alias("bins_a"))
     right = facts.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("bins").alias("bins_b"))
-    common = F.aggregate(F.zip_with("bins_a", "bins_b", F.least), F.lit(0), lambda total, x: total + x)
+    common = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
     return pairs.join(left, "a").join(right, "b").where(
         100 * common >= percent * (F.col("size_a") + F.col("size_b") - common)).select("a", "b")
 

@@ -1,6 +1,6 @@
 """Token ids in binary segments, with document boundaries as Elias-Fano sequences.
 
-Documents are encoded, range partitioned and sorted by id, and written as a table of segments. A segment holds
+Documents are range partitioned and sorted by id, encoded, and written as a table of segments. A segment holds
 the concatenated ids of consecutive documents (little-endian, 16 bits where the vocabulary allows, else 32) and
 their start offsets as an Elias-Fano sequence: low bits packed, high bits in unary, with the bit position of every
 ``SAMPLE``-th one as select structure. An offset takes about 2 + log2(ids / documents) bits and is found without
@@ -10,7 +10,7 @@ Words between plain white space are encoded once per worker and looked up afterw
 never merge across white space, so the ids are those of the whole text (tests compare the two).
 
 Defined results: null text is empty (its ids are the end id alone); equal ids stand next to each other, ordered by
-their token ids; null ids come first; an empty table gives files without segments; further columns are ignored.
+their texts; null ids come first; an empty table gives files without segments; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,39 +96,68 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc`` and its token ids as little-endian bytes, with the end id."""
-    from tokenizers import Tokenizer
+class WordEncoder:
+    """Token ids of words as bytes, with a cache.
 
-    with open(tokenizer_path, encoding="utf-8") as file:
-        described = file.read()
-    wide = max(Tokenizer.from_str(described).get_vocab_size(), end_id + 1) > 1 << 16
-    kind = "<u4" if wide else "<u2"
-    shared = docs.sparkSession.sparkContext.broadcast(described)
-    name = f"tokenizer_{zlib.crc32(described.encode()):08x}"
+    Plain words (letters only) are handed to the tokenizer many at a time: each is one unit to it, and ends where an id
+    with the end-of-word mark stands. A word followed by plain punctuation is the two side by side. All others are encoded alone.
+    """
 
-    def load():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return Tokenizer.from_str(shared.value), {"": b""}
+    END_MARK, MARKS = "</w>", ",.;:!?"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = kept_in_worker(name, load)
-        end = np.array([end_id], kind).tobytes()
-        for block in blocks(batches, 1):
-            words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in block.column(1).to_pylist()]
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                known[""] = b""
-            new = list({w for some in words for w in some if w not in known})
-            for at in range(0, len(new), 10_000):
-                part = new[at:at + 10_000]
-                known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-            ids = [b"".join(map(known.__getitem__, some)) + end for some in words]
-            yield pa.record_batch({"doc": block.column(0), "ids": pa.array(ids, pa.binary())})
-
-    rows = pick(docs, doc=id_col, text=text_col)
-    schema = T.StructType([rows.schema["doc"], T.StructField("ids", T.BinaryType())])
-    return rows.mapInArrow(run, schema).withColumn("width", F.lit(4 if wide else 2))
+    def __init__(self, described: str, kind: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.kind = Tokenizer.from_str(described), kind
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[n for word, n in vocabulary.items() if word.endswith(self.END_MARK)]] = True
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _alone(self, words: list[str]) -> None:
+        for at in range(0, len(words), 10_000):
+            part = words[at:at + 10_000]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, found))
+
+    def _together(self, words: list[str]) -> None:
+        parts = [words[at:at + 200] for at in range(0, len(words), 200)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(found.ids, self.kind)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(cuts) != len(part):  # not a vocabulary that marks the ends of words
+                self._alone(part)
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(part, cuts.tolist()):
+                self.known[word] = data[start:end]
+                start = end
+
+    def add(self, words: set[str]) -> None:
+        known = self.known
+        tails, plain, other = {}, set(), set()
+        for word in words:
+            core = word.rstrip(self.MARKS)
+            if not core.isalpha():
+                other.add(word)
+                continue
+            if core not in known:
+                plain.add(core)
+            if core is not word and len(core) < len(word):
+                tails[word] = core
+                if (tail := word[len(core):]) not in known:
+                    other.add(tail)
+        self._together(list(plain))
+        self._alone(list(other))
+        known.update((word, known[core] + known[word[len(core):]]) for word, core in tails.items())
+
+    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        if len(self.known) > CACHED_WORDS:
+            self.known = {"": b""}
+        words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        self.add({w for some in words for w in some if w not in self.known})
+        return [b"".join(map(self.known.__getitem__, some)) + end for some in words]
 
 
 def write(
@@ -136,29 +165,39 @@ def write(
     id_col: str = "doc_id", text_col: str = "text",
 ) -> str:
     """Write the segments below ``path`` (default: a new folder in the shared one) and return it."""
-    path = path or session.scratch_path(docs.sparkSession, "token-files")
-    encoded = encode(docs, tokenizer_path or default_tokenizer(), end_id, id_col, text_col)
+    from tokenizers import Tokenizer
+
+    spark = docs.sparkSession
+    path = path or session.scratch_path(spark, "token-files")
+    with open(tokenizer_path or default_tokenizer(), encoding="utf-8") as file:
+        described = file.read()
+    width = 4 if max(Tokenizer.from_str(described).get_vocab_size(), end_id + 1) > 1 << 16 else 2
+    kind = f"<u{width}"
+    shared = spark.sparkContext.broadcast(described)
+    name = f"tokenizer_{zlib.crc32(described.encode()):08x}"
+    rows = pick(docs, doc=id_col, text=text_col)
     schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("n_ids", T.LongType()),
-        T.StructField("width", T.IntegerType()), T.StructField("docs", T.ArrayType(encoded.schema["doc"].dataType)),
+        T.StructField("width", T.IntegerType()), T.StructField("docs", T.ArrayType(rows.schema["doc"].dataType)),
         T.StructField("ids", T.BinaryType()), T.StructField("boundaries", T.BinaryType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, segment, held, docs, ids, width, kind = TaskContext.get().partitionId(), 0, 0, [], [], 2, pa.null()
+        encoder = kept_in_worker(name, lambda: WordEncoder(shared.value, kind))
+        end = np.array([end_id], kind).tobytes()
+        part, segment, held, docs, ids, doc_type = TaskContext.get().partitionId(), 0, 0, [], [], pa.null()
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) for x in ids], np.int64) // width
-            starts = np.concatenate(([0], np.cumsum(lengths)))
+            starts = np.concatenate(([0], np.cumsum([len(x) // width for x in ids])))
             return pa.record_batch({
                 "part": pa.array([part], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_ids": pa.array([int(starts[-1])], pa.int64()),
-                "width": pa.array([width], pa.int32()), "docs": pa.array([docs], pa.list_(kind)),
+                "width": pa.array([width], pa.int32()), "docs": pa.array([docs], pa.list_(doc_type)),
                 "ids": pa.array([b"".join(ids)], pa.binary()), "boundaries": pa.array([EliasFano.encode(starts)], pa.binary()),
             })
 
-        for batch in batches:
-            kind = batch.column(0).type
-            for doc, some, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for block in blocks(batches, 1):
+            doc_type = block.column(0).type
+            for doc, some in zip(block.column(0).to_pylist(), encoder.encode(block.column(1).to_pylist(), end)):
                 if held and held + len(some) > SEGMENT_IDS * width:
                     yield flush()
                     segment, held, docs, ids = segment + 1, 0, [], []
@@ -168,7 +207,8 @@ def write(
         if docs:
             yield flush()
 
-    encoded.repartitionByRange("doc").sortWithinPartitions("doc", "ids").mapInArrow(run, schema).write.parquet(path)
+    # the texts are put in order, not the ids: the range partitioner reads its input twice
+    rows.repartitionByRange("doc").sortWithinPartitions("doc", "text").mapInArrow(run, schema).write.parquet(path)
     return path
 
 
