@@ -37,7 +37,7 @@ from plumbline.llm.common import as_bytes, blocks, pick
 FREQUENT = 64
 MARGIN = 0.1
 CROWDED = 16
-BINS = 16
+BINS = 128
 #: Only A-Z change; bytes.split() then cuts at exactly the white space that the contract names.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -66,10 +66,27 @@ def _node(grams: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(grams.tobytes()), np.uint64).view(np.int64))
 
 
-def _facts(rows: DataFrame, n: int) -> DataFrame:
-    """Per row: ``doc``, ``node``, ``size`` and ``bins``, the n-grams counted by hash range."""
-    schema = T.StructType([rows.schema["doc"], T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()),
-                           T.StructField("bins", T.ArrayType(T.IntegerType()))])
+def _block_entries(sets: list[np.ndarray], percent: int):
+    """Prefix entries of one block: ``gram``, ``node``, ``place`` (size and rank in one number), which are crowded, and the crowded grams."""
+    own = {}
+    for some in sets:
+        if len(some):
+            length = prefix_length(len(some), percent) + int(len(some) * MARGIN)
+            own.setdefault(_node(some), (len(some), some[:length].view(np.int64)))
+    lengths = np.array([len(g) for _, g in own.values()], np.int64)
+    grams = np.concatenate([np.zeros(0, np.int64), *(g for _, g in own.values())])
+    nodes = np.repeat(np.fromiter(own, np.int64, len(own)), lengths)
+    ranks = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    places = np.repeat(np.array([size for size, _ in own.values()], np.int64), lengths) << 32 | ranks
+    distinct, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    return grams, nodes, places, (counts >= CROWDED)[inverse], distinct[counts >= CROWDED]
+
+
+def _scan(rows: DataFrame, percent: int, n: int) -> DataFrame:
+    """Per row ``doc, node, size, bins`` (the n-grams counted by hash range); and ``gram, node, place`` of the crowded entries."""
+    schema = T.StructType([
+        T.StructField("doc", rows.schema["doc"].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()),
+        T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("gram", T.LongType()), T.StructField("place", T.LongType())])
     edges = np.arange(1, BINS, dtype=np.uint64) * np.uint64((1 << 64) // BINS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,43 +96,34 @@ def _facts(rows: DataFrame, n: int) -> DataFrame:
             yield pa.record_batch({
                 "doc": block.column(0), "node": pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                 "size": pa.array([len(s) for s in sets], pa.int32()), "bins": pa.array(bins, pa.list_(pa.int32())),
-            })
+                "gram": pa.nulls(len(sets), pa.int64()), "place": pa.nulls(len(sets), pa.int64())})
+            grams, nodes, places, crowded, _ = _block_entries(sets, percent)
+            count = int(crowded.sum())
+            yield pa.record_batch({
+                "doc": pa.nulls(count, block.column(0).type), "node": pa.array(nodes[crowded]), "size": pa.nulls(count, pa.int32()),
+                "bins": pa.nulls(count, pa.list_(pa.int32())), "gram": pa.array(grams[crowded]), "place": pa.array(places[crowded])})
 
     return rows.mapInArrow(run, schema)
 
 
 def _entries(rows: DataFrame, percent: int, n: int) -> DataFrame:
-    """Prefix entries ``gram, node, place`` (size and rank in one number) and whether the gram is ``crowded`` in its block.
-
-    A crowded gram also gives one entry without a node, which tells those who count it.
-    """
+    """``gram, node, place`` of the entries that are not crowded; and one entry without a node for each crowded gram of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 1):
-            sets = {}
-            for text in as_bytes(block.column(1)):
-                some = shingles(text, n)
-                if len(some):
-                    length = prefix_length(len(some), percent) + int(len(some) * MARGIN)
-                    sets.setdefault(_node(some), (len(some), some[:length].view(np.int64)))
-            if not sets:
-                continue
-            lengths = np.array([len(g) for _, g in sets.values()])
-            grams = np.concatenate([g for _, g in sets.values()])
-            nodes = np.repeat(np.fromiter(sets, np.int64, len(sets)), lengths)
-            ranks = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            places = np.repeat(np.array([size for size, _ in sets.values()]), lengths) << 32 | ranks
-            distinct, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
-            told = distinct[counts >= CROWDED]
-            yield pa.record_batch({"gram": pa.array(grams), "node": pa.array(nodes), "place": pa.array(places), "crowded": pa.array((counts >= CROWDED)[inverse])})
-            yield pa.record_batch({"gram": pa.array(told), "node": pa.nulls(len(told), pa.int64()), "place": pa.nulls(len(told), pa.int64()),
-                                   "crowded": pa.array(np.zeros(len(told), bool))})
-
-    return rows.mapInArrow(run, "gram long, node long, place long, crowded boolean")
+            grams, nodes, places, crowded, told = _block_entries([shingles(t, n) for t in as_bytes(block.column(1))], percent)
+            yield pa.record_batch({"gram": pa.array(grams[~crowded]), "node": pa.array(nodes[~crowded]), "place": pa.array(places[~crowded])})
+            yield pa.record_batch({"gram": pa.array(told), "node": pa.nulls(len(told), pa.int64()), "place": pa.nulls(len(told), pa.int64())})
+
+    return rows.mapInArrow(run, "gram long, node long, place long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``node, grams`` (all of them) for the nodes in ``wanted`` (``node``, ``doc``)."""
+    """``node, grams`` (all of them) for the nodes in ``wanted`` (``node``, ``doc``).
+
+    The texts stay where they are while the list of wanted rows is small enough to be sent around; beyond that they are joined.
+    """
+    wanted = session.materialize(wanted, "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 0):
@@ -126,8 +134,9 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 "grams": pa.array([s.view(np.int64) for s, ok in zip(sets, same) if ok], pa.list_(pa.int64())),
             })
 
-    texts = rows.join(wanted.withColumnRenamed("doc", "of"), rows["doc"].eqNullSafe(F.col("of"))).select("text", "node")
-    return texts.mapInArrow(run, "node long, grams array<bigint>").dropDuplicates(["node"])
+    few = session.bounded(wanted.withColumnRenamed("doc", "of"), wanted.count())
+    texts = rows.join(few, rows["doc"].eqNullSafe(F.col("of"))).select("text", "node")
+    return session.materialize(texts.mapInArrow(run, "node long, grams array<bigint>"), "sets").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(stars.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def _lists(rows: DataFrame, percent: int, n: int) -> DataFrame:
+def _lists(rows: DataFrame, crowded: DataFrame, percent: int, n: int) -> DataFrame:
     """Prefix entries of grams that several nodes hold: ``gram, node, size, at, lead`` with two leaders of each list.
 
     ``plain`` lists are in order of hash and join only with nodes whose margin ran out (``lead``).
@@ -188,12 +197,12 @@ def _lists(rows: DataFrame, percent: int, n: int) -> DataFrame:
     entries = _entries(rows, percent, n)
     by_gram = Window.partitionBy("gram")
     ticket = F.when(F.col("node").isNotNull(), F.struct(F.xxhash64("node").alias("ticket"), F.col("node").alias("node")))
-    counted = entries.where("not crowded").select(
+    counted = entries.select(
         "gram", "node", "place", (F.count(F.lit(1)).over(by_gram) > FREQUENT).alias("many"), F.max(F.col("node").isNull()).over(by_gram).alias("told"),
         F.min(ticket).over(by_gram).alias("first"), F.max(ticket).over(by_gram).alias("last"))
     few = counted.where("node is not null and (told or first.node <> last.node)").select(
         "gram", "node", "place", (F.col("many") | F.col("told")).alias("frequent"), F.col("first.node").alias("first"), F.col("last.node").alias("last"))
-    crowded = entries.where("crowded").select("gram", "node", "place", F.lit(True).alias("frequent"),
+    crowded = crowded.select("gram", "node", "place", F.lit(True).alias("frequent"),
                                               F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
     lists = session.materialize(few.union(crowded), "lists")
 
@@ -243,39 +252,37 @@ def _candidates(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
 
 
-def _led(lists: DataFrame, leader: str, roots: DataFrame | None) -> DataFrame:
-    """Distinct pairs of each node with the leader of its lists, where they are not connected yet."""
-    pairs = lists.where(F.col("node") != F.col(leader)).select(F.greatest("node", leader).alias("b"), F.least("node", leader).alias("a")).distinct().select("a", "b")
-    if roots is None:
-        return pairs
-    of_a, of_b = (roots.select(F.col("node").alias(f"node_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
-    pairs = pairs.join(of_a, F.col("a") == F.col("node_a"), "left").join(of_b, F.col("b") == F.col("node_b"), "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+def _led(lists: DataFrame) -> DataFrame:
+    """Distinct pairs of each node with the two leaders of its lists."""
+    each = lists.select("node", F.explode(F.array("first", "last")).alias("leader")).where("node <> leader")
+    return each.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def connect(rows: DataFrame, facts: DataFrame, percent: int, n: int) -> DataFrame:
+def connect(rows: DataFrame, scanned: DataFrame, percent: int, n: int) -> DataFrame:
     """``node, root`` for the nodes that link with another."""
-    lists = _lists(rows, percent, n)
-    nodes = session.materialize(facts.where("node is not null").groupBy("node").agg(
+    lists = _lists(rows, scanned.where("gram is not null"), percent, n)
+    nodes = session.materialize(scanned.where("gram is null and node is not null").groupBy("node").agg(
         F.first("size").alias("size"), F.first("bins").alias("bins"), F.min("doc").alias("doc")), "nodes")
-    wanted = lists.select(F.col("node").alias("of")).distinct()
-    sets = session.materialize(_sets(rows, nodes.join(wanted, F.col("node") == F.col("of")).select("node", "doc"), n), "sets")
 
-    checked = edges = roots = None
-    for step in ("first", "last", "rest"):
-        pairs = _candidates(lists, roots, percent) if step == "rest" else _led(lists, step, roots)
+    def linked(pairs: DataFrame, checked: DataFrame | None) -> DataFrame:
+        """``a, b, linked`` of the pairs that pass the suffix filter and are not checked yet."""
         if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        judged = session.materialize(_verified(_prune(pairs, nodes, percent), sets, percent), "judged")
-        checked = judged.select("a", "b") if checked is None else checked.union(judged.select("a", "b"))
-        edges = judged.where("linked").select("a", "b") if edges is None else edges.union(judged.where("linked").select("a", "b"))
-        roots = session.materialize(components(edges), "roots")
-    return roots
+            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = session.materialize(_prune(pairs, nodes, percent), "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+        sets = _sets(rows, nodes.join(ends, F.col("node") == F.col("of")).select("node", "doc"), n)
+        return session.materialize(_verified(pairs, sets, percent), "judged")
+
+    first = linked(_led(lists), None)
+    roots = session.materialize(components(first.where("linked").select("a", "b")), "roots")
+    rest = linked(_candidates(lists, roots, percent), first)
+    return session.materialize(components(first.union(rest).where("linked").select("a", "b")), "roots")
 
 
 def _link(rows: DataFrame, percent: int, n: int) -> DataFrame:
-    facts = session.materialize(_facts(rows, n), "facts")
-    roots = connect(rows, facts, percent, n).withColumnRenamed("node", "of")
+    scanned = session.materialize(_scan(rows, percent, n), "scanned")
+    facts = scanned.where("gram is null")
+    roots = connect(rows, scanned, percent, n).withColumnRenamed("node", "of")
     placed = facts.select("doc", "node", "size").join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
     several = placed.where("node is not null").groupBy(F.col("root").alias("of_root")).agg(
         F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
