@@ -33,12 +33,12 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that none holds much more than BLOCK_BYTES of text (or one single text)."""
+def blocks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that none holds much more than ``size`` bytes of text (or one single text)."""
     for batch in batches:
         rows = max(1, batch.num_rows)
         each = max(1, batch.column(text_at).get_total_buffer_size() // rows)
-        step = max(1, BLOCK_BYTES // each)
+        step = max(1, size // each)
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontaminate, language_id, mixing, ngram_join, quality, secret_scan, token_files, toxicity
+from plumbline.llm import decontaminate, fingerprint, language_id, mixing, ngram_join, quality, secret_scan, suffix_dedup, token_files, toxicity
 from plumbline.llm.common import documents, fold
 from plumbline.llm.twins import TWINS
 
@@ -46,6 +46,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_facts(spark, path)
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted-sampling fingerprints of every document and its edited text."""
+    return fingerprint.fingerprint_edits(documents(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of passages of 200 bytes that occur more than once."""
+    found = suffix_dedup.find_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(F.col("doc").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learned from two thirds of the labels."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -83,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_decontaminate, op2_secrets, op3_mix, op6_quality, op7_token_files, op8_ngram_join, op9_toxicity, op10_language, pipeline,
+        op1_decontaminate, op2_secrets, op3_mix, op4_fingerprint, op5_suffix_dedup, op6_quality, op7_token_files, op8_ngram_join, op9_toxicity, op10_language, pipeline,
     )}
 
 

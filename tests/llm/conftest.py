@@ -1,0 +1,18 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from conftest_corpus import COLUMNS, awkward_rows  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def awkward(spark):
+    return spark.createDataFrame(awkward_rows(), COLUMNS).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], COLUMNS)
