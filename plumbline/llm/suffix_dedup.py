@@ -12,8 +12,9 @@ groups that are still equal go into a blind trie, which compares a new suffix wi
 where they differ. Suffixes that agree on DEPTH bytes are repeats.
 
 *Crowded grams.* Where ``CROWDED`` different stretches of one gram meet in a block of text, its anchors are marked there and
-then, and never sent to one place. More than ``CHUNK`` stretches of a gram are sorted in chunks; strings that are single in
-their chunk are then matched across chunks by 128-bit hash.
+then, and never sent to one place. A gram with more than ``CHUNK`` stretches is taken apart: strings that begin ``STEP`` or fewer
+bytes from each other share a core, and only strings with equal cores are sorted together. Where more than ``CHUNK`` pieces still
+have one core, they are sorted in chunks, and strings that are single in their chunk are matched across chunks by 128-bit hash.
 
 Defined results: null text is empty; texts shorter than DEPTH bytes stay whole; rows with equal id and text are repeats of each
 other like any others; an empty table gives an empty result; further columns are ignored.
@@ -39,6 +40,7 @@ GRAM = 32
 SHALLOW = 32
 CROWDED = 16
 CHUNK = 1024
+STEP = 16
 TEXT_AT_ONCE = 2 << 20
 SORTED_AT_ONCE = 2 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -77,7 +79,7 @@ def _least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """All anchors: ``text`` number, ``nth`` in the text, ``gram`` and ``stretch`` hashes, ``first`` and ``last`` string owned (offsets in the text)."""
+    """All anchors: ``text`` number, ``nth`` in the text, ``gram`` and ``stretch`` hashes, ``at``, and the ``first`` and ``last`` string owned (offsets in the text)."""
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
     starts = ends - lengths
@@ -88,7 +90,7 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
         valid[start:end - DEPTH + 1] = True
     places = np.flatnonzero(valid)
     if not len(places):
-        return {"text": empty, "nth": empty, "gram": empty, "stretch": empty, "first": empty, "last": empty}
+        return {"text": empty, "nth": empty, "gram": empty, "stretch": empty, "at": empty, "first": empty, "last": empty}
     powers = kept_in_worker("suffix_powers", Powers)
     up, down = powers.to(size + 1)
     sums = np.zeros(size + 1, np.uint64)
@@ -104,7 +106,7 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     stretch = (sums[last + DEPTH] - sums[first]) * down[first]
     shape = (at - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (last - first).astype(np.uint64)
     return {"text": text, "nth": nth, "gram": grams[at].view(np.int64), "stretch": _mixed(stretch ^ _mixed(shape)).view(np.int64),
-            "first": first - starts[text], "last": last - starts[text]}
+            "at": at - starts[text], "first": first - starts[text], "last": last - starts[text]}
 
 
 def _keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -228,7 +230,7 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """``doc, h, nth`` of the anchors whose gram is elsewhere too: ``repeated`` as a whole, or to be sorted as one of ``gram``, ``chunk``."""
+    """``doc, h, nth`` of the anchors whose gram is elsewhere too: ``repeated`` as a whole, or to be ``sorted`` with others of its ``gram``, which may be ``big``."""
     found = _anchor_rows(rows)
     early = session.materialize(found.where("kind in (1, 2)"), "crowded")
     by_gram, by_stretch = Window.partitionBy("gram"), Window.partitionBy("gram", "stretch")
@@ -247,9 +249,8 @@ def _candidates(rows: DataFrame) -> DataFrame:
     members = many.where("sorted").groupBy(F.col("gram").alias("of")).agg(F.count(F.lit(1)).alias("members"))
     many = many.join(members, F.col("gram") == F.col("of")).drop("of")
     again = early.where("kind = 1").select("doc", "h", "nth", "gram", "stretch", F.lit(True).alias("repeated"), F.lit(False).alias("sorted"), F.lit(1).cast("long").alias("members"))
-    chunks = F.ceil(F.col("members") / CHUNK)
     return few.union(many).union(again).where("repeated or sorted").select(
-        "doc", "h", "nth", "gram", "repeated", "sorted", chunks.alias("chunks"), F.pmod("stretch", chunks).alias("chunk"))
+        "doc", "h", "nth", "gram", "repeated", "sorted", (F.col("members") > CHUNK).alias("big"))
 
 
 _RANGES = "array<struct<start: int, end: int>>"
@@ -266,20 +267,29 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _pieces(text: bytes, at: int, first: int, last: int) -> list[tuple[int, int, bytes]]:
+    """A stretch in pieces: (hash of the core that its strings share, first string, bytes). Equal strings lie equally far before their anchor."""
+    out = []
+    for step in range((at - last) // STEP, (at - first) // STEP + 1):
+        start, end = max(first, at - STEP * step - STEP + 1), min(last, at - STEP * step)
+        core = xxhash.xxh3_64_intdigest(text[at - STEP * step:at - STEP * (step + 1) + 1 + DEPTH], step)
+        out.append(((core & ((1 << 63) - 1)) or 1, start, text[start:end + DEPTH]))
+    return out
+
+
 def _opened(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per row: its ranges that repeat as a whole, and its stretches to be sorted; the text only where there are any."""
     lists = candidates.groupBy(F.col("doc").alias("of"), F.col("h").alias("of_h")).agg(
-        F.collect_set(F.struct("nth", "repeated", "sorted", "gram", "chunk", "chunks")).alias("marks"))
+        F.collect_set(F.struct("nth", "repeated", "sorted", "gram", "big")).alias("marks"))
     joined = rows.join(lists, rows["doc"].eqNullSafe(lists["of"]) & (rows["h"] == lists["of_h"]), "left").select("doc", "h", "text", "marks")
     stretch = T.StructType([
-        T.StructField("gram", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("chunks", T.LongType()),
-        T.StructField("first", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
+        T.StructField("gram", T.LongType()), T.StructField("core", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
     schema = T.StructType([
         T.StructField("doc", rows.schema["doc"].dataType), T.StructField("h", T.LongType()), T.StructField("n_bytes", T.LongType()),
         T.StructField("sha256", T.StringType()), T.StructField("text", T.BinaryType()),
         T.StructField("ranges", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
         T.StructField("stretches", T.ArrayType(stretch))])
-    arrow_stretch = pa.list_(pa.struct([("gram", pa.int64()), ("chunk", pa.int64()), ("chunks", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())]))
+    arrow_stretch = pa.list_(pa.struct([("gram", pa.int64()), ("core", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 2, TEXT_AT_ONCE):
@@ -296,7 +306,8 @@ def _opened(rows: DataFrame, candidates: DataFrame) -> DataFrame:
                     if m["repeated"]:
                         whole.append((first, last + DEPTH))
                     if m["sorted"]:
-                        parts.append({"gram": m["gram"], "chunk": m["chunk"], "chunks": m["chunks"], "first": first, "bytes": texts[k][first:last + DEPTH]})
+                        pieces = _pieces(texts[k], int(a["at"][offset + m["nth"]]), first, last) if m["big"] else [(0, first, texts[k][first:last + DEPTH])]
+                        parts += [{"gram": m["gram"], "core": core, "first": at, "bytes": piece} for core, at, piece in pieces]
                 ranges[k] = [{"start": s, "end": e} for s, e in _merged(whole)]
                 stretches[k] = parts
             yield pa.record_batch({
@@ -311,6 +322,11 @@ def _opened(rows: DataFrame, candidates: DataFrame) -> DataFrame:
 def _sorted_repeats(opened: DataFrame) -> DataFrame:
     """``doc, h, start, end`` of repeats found by sorting; with ``high, low`` (a string's hash) where other chunks have to be asked."""
     stretches = opened.where("sha256 is null").select("doc", "h", F.explode("stretches").alias("s")).select("doc", "h", "s.*")
+    crowds = session.materialize(stretches.where("core <> 0").groupBy(F.col("gram").alias("of"), F.col("core").alias("of_core")).agg(
+        F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > CHUNK), "crowds")
+    counted = stretches.join(session.bounded(crowds, crowds.count()), (F.col("gram") == F.col("of")) & (F.col("core") == F.col("of_core")), "left")
+    chunks = F.coalesce(F.ceil(F.col("pieces") / CHUNK), F.lit(1))
+    stretches = counted.select("doc", "h", "gram", "core", F.pmod(F.xxhash64("doc", "h", "first"), chunks).alias("chunk"), chunks.alias("chunks"), "first", "bytes")
     schema = T.StructType([
         T.StructField("doc", opened.schema["doc"].dataType), T.StructField("h", T.LongType()), T.StructField("start", T.IntegerType()),
         T.StructField("end", T.IntegerType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType())])
@@ -321,9 +337,9 @@ def _sorted_repeats(opened: DataFrame) -> DataFrame:
         size = 0
 
         def judge() -> pa.RecordBatch:
-            buffer = b"".join(r[6] for r in held)
-            counts = np.array([len(r[6]) - DEPTH + 1 for r in held])
-            offsets = np.cumsum([0] + [len(r[6]) for r in held[:-1]])
+            buffer = b"".join(r[7] for r in held)
+            counts = np.array([len(r[7]) - DEPTH + 1 for r in held])
+            offsets = np.cumsum([0] + [len(r[7]) for r in held[:-1]])
             stretch = np.repeat(np.arange(len(held)), counts)
             inside = np.arange(len(stretch)) - np.repeat(np.cumsum(counts) - counts, counts)
             starts = offsets[stretch] + inside
@@ -336,15 +352,15 @@ def _sorted_repeats(opened: DataFrame) -> DataFrame:
             run_start = np.flatnonzero(flags)
             closing = repeated & np.concatenate((~repeated[1:] | (stretch[1:] != stretch[:-1]), [True]))
             run_end = np.flatnonzero(closing)
-            out = [(held[stretch[s]][0], held[stretch[s]][1], held[stretch[s]][5] + int(inside[s]), held[stretch[s]][5] + int(inside[e]) + DEPTH, None, None)
+            out = [(held[stretch[s]][0], held[stretch[s]][1], held[stretch[s]][6] + int(inside[s]), held[stretch[s]][6] + int(inside[e]) + DEPTH, None, None)
                    for s, e in zip(run_start.tolist(), run_end.tolist())]
-            chunked = np.array([r[4] > 1 for r in held])
+            chunked = np.array([r[5] > 1 for r in held])
             if chunked.any():
                 for n, alone in zip(order[~same].tolist(), (~next_same)[~same].tolist()):
                     if chunked[stretch[n]]:
                         row = held[stretch[n]]
                         code = xxhash.xxh3_128_digest(buffer[starts[n]:starts[n] + DEPTH])
-                        at = row[5] + int(inside[n])
+                        at = row[6] + int(inside[n])
                         out.append((row[0] if alone else None, row[1] if alone else None, at if alone else None, at + DEPTH if alone else None,
                                     int.from_bytes(code[:8], "big", signed=True), int.from_bytes(code[8:], "big", signed=True)))
             columns = list(zip(*out)) if out else [[] for _ in range(6)]
@@ -353,16 +369,16 @@ def _sorted_repeats(opened: DataFrame) -> DataFrame:
 
         for batch in batches:
             kind = batch.column(0).type
-            for row in zip(*(batch.column(c).to_pylist() for c in range(7))):
-                if size >= SORTED_AT_ONCE and row[2:4] != held[-1][2:4]:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(8))):
+                if size >= SORTED_AT_ONCE and row[2:5] != held[-1][2:5]:
                     yield judge()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[6])
+                size += len(row[7])
         if held:
             yield judge()
 
-    return session.materialize(stretches.repartition("gram", "chunk").sortWithinPartitions("gram", "chunk").mapInArrow(run, schema), "repeats")
+    return session.materialize(stretches.repartition("gram", "core", "chunk").sortWithinPartitions("gram", "core", "chunk").mapInArrow(run, schema), "repeats")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 WORDS = [a + b for a in "ka te mi so ru na lo pe".split() for b in "ra lin tos mek dun".split()]
 COLUMNS = ("doc_id long, text string, lang string, source string, n_chars long, score double, node long, gram string, label float, "
            "key int, id string, slice long, block int, `__key` long, h string")
@@ -22,3 +24,13 @@ def awkward_rows():
         (15, prose(6, 40) + " " + prose(7, 40), "en", "a"), (15, prose(8, 30), "fr", "z"),
     ]
     return [(*row, None if row[1] is None else len(row[1]), 0.5, 7, "gram", 1.0, 3, "id", 4, 2, 5, "h") for row in base]
+
+
+@pytest.fixture(scope="session")
+def awkward(spark):
+    return spark.createDataFrame(awkward_rows(), COLUMNS).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], COLUMNS)

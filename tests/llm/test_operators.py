@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import (decontaminate, fingerprint, language_id, mixing, ngram_join, quality, secret_scan, suffix_dedup,
                            token_files, toxicity)
-from conftest_corpus import COLUMNS, WORDS, awkward_rows, prose
+from conftest_corpus import COLUMNS, WORDS, awkward, awkward_rows, nothing, prose  # noqa: F401  fixtures among them
 
 
 def listed(df):
