@@ -120,9 +120,13 @@ def infer_types(spark, sf):
         (F.size("notes") > 0).alias("mostly_numeric"))
 
 
-@query("distinct_estimate")
+@query("distinct_estimate", f"""WITH {ME} SELECT col AS "column", "distinct" AS exact, true AS close FROM base WHERE total_valid > 0""")
 def distinct_estimate(spark, sf):
-    return stats.distinct_estimate(frequency(messy(spark, sf))).select("column", "distinct")
+    df = messy(spark, sf)
+    guessed = stats.distinct_estimate(df, list(MESSY_COLUMNS)).withColumnRenamed("distinct", "guess")
+    exact = stats.base_stats(frequency(df)).select("column", F.col("distinct").alias("exact"))
+    return guessed.join(session.bounded(exact, len(MESSY_COLUMNS)), "column").select(
+        "column", "exact", (F.abs(F.col("guess") - F.col("exact")) <= F.greatest(F.col("exact") * 0.06, F.lit(1))).alias("close"))
 
 
 @query("distinct_exact", " UNION ALL ".join(
@@ -155,9 +159,21 @@ def quantiles(spark, sf):
     return stats.quantiles_wide(ft, base).select("column", *[rr(c).alias(c) for c in stats.QUANTILES])
 
 
-@query("quantiles_estimate")
+@query("quantiles_estimate", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{q}' AS quantile, true AS close FROM (SELECT quantile_cont({c}, 0.5) AS m FROM lineitem) WHERE m IS NOT NULL"""
+    for c in LI_NUMBERS for q in stats.QUANTILES))
 def quantiles_estimate(spark, sf):
-    return stats.quantiles_estimate(table(spark, sf, "lineitem"), LI_NUMBERS)
+    """Whether each estimate has about the rank it stands for."""
+    df = table(spark, sf, "lineitem")
+    guessed = stats.quantiles_estimate(df, LI_NUMBERS)
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("quantile"), F.lit(q).alias("q"), F.col(k).cast("double").alias("guess")) for k, q in stats.QUANTILES.items()]))
+    sought = guessed.select("column", asked.alias("a")).select("column", "a.*")
+    stacked = F.stack(F.lit(len(LI_NUMBERS)), *[x for c in LI_NUMBERS for x in (F.lit(c), df[c].cast("double"))])
+    cells = df.select(stacked.alias("column", "num"))
+    ranks = cells.join(session.bounded(sought, len(LI_NUMBERS) * len(stats.QUANTILES)), "column").groupBy("column", "quantile", "q").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("num") < F.col("guess")).alias("under"), F.count_if(F.col("num") <= F.col("guess")).alias("upto"))
+    slack = F.greatest(F.col("n") * 0.001, F.lit(1.0))
+    return ranks.select("column", "quantile", ((F.col("under") <= F.col("q") * F.col("n") + slack) & (F.col("upto") >= F.col("q") * F.col("n") - slack)).alias("close"))
 
 
 CATEGORIES = {"c_mktsegment": "text", "c_nationkey": "int", "c_name": "text"}
@@ -193,7 +209,7 @@ def top_values_sql(spark, sf):
         "column", "value", "n", F.col("position").cast("bigint").alias("position"))
 
 
-@query("unique_count", f"""WITH {LI} SELECT col AS "column", "distinct", least("distinct", 1000) AS unique_count FROM base""")
+@query("unique_count", f"""WITH {LI} SELECT col AS "column", "distinct", "distinct" AS unique_count FROM base""")
 def unique_count(spark, sf):
     return stats.base_stats(frequency(table(spark, sf, "lineitem"))).select("column", "distinct", "unique_count")
 
@@ -401,7 +417,7 @@ def _severity_sql(c):
 
 PII_SQL = f"""m AS ({CONTACTS}), r AS (SELECT c_custkey, unnest([{', '.join(f"'{c}'" for c in CONTACT_COLUMNS)}]) AS "column",
  unnest([{', '.join(f"trim({c})" for c in CONTACT_COLUMNS)}]) AS v FROM m),
- f AS (SELECT * FROM r WHERE NOT {missing_sql('v')} QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY c_custkey) <= 100),
+ f AS (SELECT * FROM r WHERE NOT {missing_sql('v')}),
  h AS (SELECT "column", count(*) AS looked_at, {', '.join(f'count(*) FILTER (WHERE {_hit_sql(k)}) AS "{k}"' for k in CONTENT_PATTERNS)},
  greatest(floor(count(*) * 0.3), 1) AS need, {_hint_sql()} AS hint FROM f GROUP BY "column"),
  kinds AS (SELECT "column", looked_at, CASE WHEN "SSN" >= need THEN 'SSN' WHEN "credit card" >= need THEN 'credit card' WHEN "email" >= need THEN 'email'
@@ -411,7 +427,7 @@ PII_SQL = f"""m AS ({CONTACTS}), r AS (SELECT c_custkey, unnest([{', '.join(f"'{
 
 
 def contact_kinds(spark, sf):
-    return personal_data.detect(derived(spark, sf, CONTACTS), CONTACT_COLUMNS, row_order="c_custkey")
+    return personal_data.detect(derived(spark, sf, CONTACTS), CONTACT_COLUMNS)
 
 
 @query("pii_content", f"""WITH {PII_SQL} SELECT "column", looked_at, pii_type FROM kinds""")
@@ -419,6 +435,21 @@ def pii_content(spark, sf):
     return contact_kinds(spark, sf).select("column", "looked_at", "pii_type")
 
 
+def _by_dataset(sql):
+    for old, new in (("r AS (SELECT c_custkey,", "r AS (SELECT CAST(c_custkey % 3 AS VARCHAR) AS dataset, c_custkey,"),
+                     ('h AS (SELECT "column"', 'h AS (SELECT dataset, "column"'), ('GROUP BY "column")', 'GROUP BY dataset, "column")'),
+                     ('kinds AS (SELECT "column"', 'kinds AS (SELECT dataset, "column"')):
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query("batch_pii", f"""WITH {_by_dataset(PII_SQL)} SELECT dataset, "column", pii_type FROM kinds""")
+def batch_pii(spark, sf):
+    """Personal data by content in each of three batches, in one profile."""
+    df = derived(spark, sf, CONTACTS).withColumn("dataset", (F.col("c_custkey") % 3).cast("string"))
+    return profile(df, CONTACT_COLUMNS, by="dataset", parts={"pii"}).filter("total_valid > 0").select("dataset", "column", "pii_type")
+
+
 @query("pii_name_hint", f"""SELECT DISTINCT role, {_hint_sql("concat(role, '_email')")} AS with_email,
  {_hint_sql("concat(role, '_fax')")} AS with_fax, {_hint_sql("concat('source_ip_', role)")} AS with_ip,
  {_hint_sql("concat(role, '_street')")} AS with_street, {_hint_sql("concat(role, '_DOB')")} AS with_dob, {_hint_sql("role")} AS plain FROM conversations""")
@@ -446,8 +477,8 @@ SELECT "column", pii_type, {_severity_sql('pii_type')} AS severity, c.rows, bool
 FROM kinds JOIN c USING ("column") WHERE pii_type IS NOT NULL""")
 def pii_summary(spark, sf):
     df = derived(spark, sf, CONTACTS)
-    kinds = personal_data.detect(df, CONTACT_COLUMNS, row_order="c_custkey")
-    base = stats.base_stats(frequency(df, CONTACT_COLUMNS))
+    ft = frequency(df, CONTACT_COLUMNS, materialized=True)
+    kinds, base = personal_data.detect_values(ft), stats.base_stats(ft)
     joined = base.join(session.bounded(kinds.select("column", "pii_type"), len(CONTACT_COLUMNS)), "column")
     return quality.pii_summary(joined, "pii_type")
 
@@ -479,14 +510,14 @@ OUTLIER_KEYS = """f AS (SELECT avg(value) AS m, stddev_samp(value) AS s, count(v
  o AS (SELECT event_id FROM events, f WHERE n > 10 AND s > 0 AND abs(value - m) > 3 * s)"""
 
 
-@query("outliers", f"""WITH {ORDERED_OUTLIERS} QUALIFY row_number() OVER (ORDER BY event_id) <= 1000""")
+@query("outliers", f"""WITH {ORDERED_OUTLIERS}""")
 def outliers(spark, sf):
     return anomalies.outliers(table(spark, sf, "events"), "event_id", ["value"])
 
 
 @query("missing_rows", f"""WITH m AS ({MESSY}), r AS (SELECT event_id, unnest(['user_text', 'flag_text', 'amount']) AS "column",
  unnest([user_text, flag_text, CAST(amount AS VARCHAR)]) AS v FROM m)
-SELECT "column", event_id FROM r WHERE {missing_sql(clean_sql('v'))} QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY event_id) <= 1000""")
+SELECT "column", event_id FROM r WHERE {missing_sql(clean_sql('v'))}""")
 def missing_rows(spark, sf):
     return anomalies.missing_rows(messy(spark, sf), "event_id", ["user_text", "flag_text", "amount"])
 

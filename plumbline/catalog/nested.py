@@ -209,12 +209,21 @@ def scan_csv(spark, sf):
     return readers.good_rows(readers.scan_csv(spark, path))
 
 
-@query("scan_csv_quoted", """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, replace(text, chr(10), ' ') AS text FROM conversations""")
+@query("scan_csv_quoted", """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, text FROM conversations""")
 def scan_csv_quoted(spark, sf):
     path = session.scratch_path(spark, "conversations-csv")
-    flat = table(spark, sf, "conversations").select("conv_id", "turn", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
-    flat.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    return readers.good_rows(readers.scan_csv(spark, path, ","))
+    table(spark, sf, "conversations").select("conv_id", "turn", "text").write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return readers.good_rows(readers.scan_csv(spark, path))
+
+
+@query("scan_csv_layouts", """SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier""")
+def scan_csv_layouts(spark, sf):
+    """Two files in one call, with different delimiters and headers."""
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    paths = [session.scratch_path(spark, f"layout-{i}") for i in range(2)]
+    rows.filter("key % 2 = 0").coalesce(1).write.options(header=True, sep=";").csv(paths[0])
+    rows.filter("key % 2 = 1").select("name", "key").coalesce(1).write.options(header=True, sep="\t").csv(paths[1])
+    return readers.good_rows(readers.scan_csv(spark, paths)).select("key", "name", "nation")
 
 
 @query("detect_delimiter", """SELECT name, delimiter FROM (VALUES ('comma', ','), ('tab', chr(9)), ('semicolon', ';'), ('pipe', '|')) v(name, delimiter), (SELECT count(*) AS n FROM supplier) WHERE n > 1""")
@@ -245,10 +254,20 @@ def scan_parquet(spark, sf):
     return readers.scan_parquet(spark, f"{sf}/region.parquet")
 
 
-@query("scan_many", """SELECT 'customer.parquet' AS dataset, count(*) AS rows FROM customer UNION ALL SELECT 'orders.parquet', count(*) FROM orders UNION ALL SELECT 'part.parquet', count(*) FROM part""")
+@query("scan_many", """SELECT 'first' AS dataset, count(*) AS rows, NULL::BIGINT AS failed FROM customer WHERE c_nationkey < 10
+ UNION ALL SELECT 'second', count(*), NULL FROM customer WHERE c_nationkey >= 10 UNION ALL SELECT 'broken', NULL, count(*) FROM region WHERE r_regionkey = 0""")
 def scan_many(spark, sf):
-    many = readers.scan_many(spark, [f"{sf}/{t}.parquet" for t in ("customer", "orders", "part")])
-    return many.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"))
+    """Two files of one name in different folders, and one that is no Parquet file."""
+    place = session.scratch_path(spark, "many")
+    customers = table(spark, sf, "customer")
+    customers.filter("c_nationkey < 10").write.parquet(f"{place}/first/d.parquet")
+    customers.filter("c_nationkey >= 10").write.parquet(f"{place}/second/d.parquet")
+    customers.select("c_name").write.text(f"{place}/broken/d.parquet")
+    paths = [f"{place}/{part}/d.parquet" for part in ("first", "second", "broken")]
+    folder = lambda c: F.regexp_extract(c, r"/(\w+)/d\.parquet", 1)
+    good = readers.scan_many(spark, paths).groupBy(folder("dataset").alias("dataset")).agg(F.count(F.lit(1)).alias("rows"))
+    bad = readers.unreadable(spark, paths).groupBy(folder("path").alias("dataset")).agg(F.count(F.lit(1)).alias("failed"))
+    return good.withColumn("failed", F.lit(None).cast("bigint")).unionByName(bad.withColumn("rows", F.lit(None).cast("bigint")))
 
 
 @query("register_table", """SELECT p_type, count(*) AS n FROM part GROUP BY p_type""")
@@ -257,8 +276,9 @@ def register_table(spark, sf):
     return spark.sql("SELECT p_type, count(*) AS n FROM data GROUP BY p_type")
 
 
-@query("describe_schema", """SELECT CAST(ordinal AS INTEGER) AS ordinal, "column", type FROM (SELECT count(*) AS n FROM part), (VALUES (0, 'p_partkey', 'bigint'), (1, 'p_name', 'string'), (2, 'p_brand', 'string'), (3, 'p_type', 'string'),
- (4, 'p_size', 'int'), (5, 'p_retailprice', 'double')) v(ordinal, "column", type) WHERE n >= 0""")
+@query("describe_schema", " UNION ALL ".join(
+    f"""SELECT {i} AS ordinal, '{c}' AS "column", CASE any_value(typeof({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS type,
+ count(*) AS rows, count({c}) AS filled FROM part""" for i, c in enumerate(("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"))))
 def describe_schema(spark, sf):
     return readers.describe_schema(table(spark, sf, "part"))
 
@@ -281,12 +301,14 @@ def list_tables(spark, sf):
     return out
 
 
-@query("schema_json", """SELECT name, kind FROM (SELECT count(*) AS n FROM nation), (VALUES ('n_nationkey', 'integer'), ('n_name', 'string'), ('n_regionkey', 'integer')) v(name, kind) WHERE n >= 0""")
+@query("schema_json", " UNION ALL ".join(
+    f"""SELECT '{c}' AS name, CASE any_value(typeof({c})) WHEN 'INTEGER' THEN 'integer' ELSE 'string' END AS kind, count({c}) AS filled FROM nation"""
+    for c in ("n_nationkey", "n_name", "n_regionkey")))
 def schema_json(spark, sf):
-    text = readers.schema_json(table(spark, sf, "nation"))
-    parsed = spark.createDataFrame([(text,)], "t string").select(
-        F.explode(F.from_json("t", "struct<fields:array<struct<name:string,type:string>>>")["fields"]).alias("f"))
-    return parsed.select("f.name", F.col("f.type").alias("kind"))
+    df = table(spark, sf, "nation")
+    fields = F.from_json(F.lit(readers.schema_json(df)), "struct<fields:array<struct<name:string,type:string>>>")["fields"]
+    filled = readers.describe_schema(df).select(F.col("column").alias("name"), "filled", F.filter(fields, lambda f: f["name"] == F.col("column"))[0]["type"].alias("kind"))
+    return filled.select("name", "kind", "filled")
 
 
 @query("write_rows_csv", """SELECT c_name, CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE CAST(c_acctbal AS VARCHAR) END AS balance FROM customer""")

@@ -44,7 +44,8 @@ def _gx_query(name, rows, sql, columns=("rule_type", "column", "status", "observ
     @query(name, f"WITH {ME}{', ' + top_sql() if tops else ''} {sql}")
     def run(spark, sf):
         p = messy_profile(spark, sf, {"moments", "top"}) if tops else messy_base(spark, sf)
-        return rules_eval.evaluate_gx(_gx(spark, rows), p, WIDTH).select(*columns)
+        values = frequency(derived(spark, sf, MESSY)).valid if tops else None
+        return rules_eval.evaluate_gx(_gx(spark, rows), p, WIDTH, values).select(*columns)
 
 
 def _n(x, d=2):
@@ -109,7 +110,7 @@ _gx_query("gx_unique", [{"rule_type": "expect_column_values_to_be_unique", "colu
  CASE WHEN NOT (total_valid > 0 AND "distinct" >= total_valid * 0.95) THEN 'All values unique' END AS expected, {NO} AS reason FROM base""")
 
 SETS = [("expect_column_values_to_be_in_set", "padded", ["click", "view", "error", "signup", "purchase", "other"]),
-        ("expect_column_distinct_values_to_be_in_set", "flag_text", ["TRUE"])]
+        ("expect_column_distinct_values_to_be_in_set", "flag_text", ["TRUE"]), ("expect_column_values_to_be_in_set", "user_text", [str(i) for i in range(1, 400)])]
 
 
 def _set_literal(v):
@@ -117,7 +118,7 @@ def _set_literal(v):
 
 
 _gx_query("gx_in_set", [{"rule_type": r, "column": c, "value_set": s} for r, c, s in SETS],
-          f""", tl AS (SELECT col, list(value ORDER BY position) AS vs FROM tops GROUP BY col), j AS (SELECT rule, want, ws, vs, len(list_filter(vs, lambda x: NOT list_contains(ws, x))) = 0 AS ok
+          f""", tl AS (SELECT col, list(value ORDER BY position) AS vs FROM tops GROUP BY col), j AS (SELECT rule, want, ws, vs, (SELECT count(*) FROM counted k WHERE k.col = want AND NOT list_contains(ws, k.value)) = 0 AS ok
  FROM (VALUES {', '.join(f"('{r}', '{c}', {_set_literal(s)})" for r, c, s in SETS)}) v(rule, want, ws) JOIN tl ON col = want)
 SELECT rule AS rule_type, want AS "column", CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status,
  'Top values: ' || array_to_string(vs[1:5], ', ') || CASE WHEN ok AND len(vs) > 5 THEN '...' ELSE '' END AS observed,
@@ -201,7 +202,8 @@ def _js_query(name, rows, sql, tops=False):
     @query(name, f"WITH {ME}{', ' + top_sql() if tops else ''} {sql}")
     def run(spark, sf):
         p = messy_profile(spark, sf, {"moments", "top"}) if tops else messy_base(spark, sf)
-        return rules_eval.evaluate_json_schema(_json_schema(spark, rows), p, WIDTH).select("rule_type", "column", "status", "observed", "expected", "reason")
+        values = frequency(derived(spark, sf, MESSY)).valid if tops else None
+        return rules_eval.evaluate_json_schema(_json_schema(spark, rows), p, WIDTH, values).select("rule_type", "column", "status", "observed", "expected", "reason")
 
 
 _js_query("jsonschema_required", [("required", c, None, None, None) for c in ("event_id", "absent")],
@@ -222,9 +224,9 @@ for _kind, _c, _op, _bounds in (("minimum", "min", ">=", (0, 5)), ("maximum", "m
  CASE WHEN NOT {_c} {_op} b THEN 'Observed {_c} (' || CAST({_c} AS BIGINT) || ') is {'less' if _c == 'min' else 'greater'} than schema {_kind}' END AS reason
  FROM base, (VALUES ({_bounds[0]}), ({_bounds[1]})) v(b) WHERE col = 'event_id'""")
 
-ENUMS = [("padded", ["click", "view"]), ("flag_text", ["TRUE", "f"])]
+ENUMS = [("padded", ["click", "view"]), ("flag_text", ["TRUE", "f"]), ("user_text", [str(i) for i in range(1, 400)])]
 _js_query("jsonschema_enum", [("enum", c, None, None, s) for c, s in ENUMS],
-          f""", tl AS (SELECT col, list(value ORDER BY position) AS vs FROM tops GROUP BY col), j AS (SELECT want, ws, list_filter(vs, lambda x: NOT list_contains(ws, x)) AS unknown
+          f""", tl AS (SELECT col, list(value ORDER BY position) AS vs FROM tops GROUP BY col), j AS (SELECT want, ws, coalesce((SELECT list(value ORDER BY n DESC, value) FROM counted k WHERE k.col = want AND NOT list_contains(ws, k.value)), []) AS unknown
  FROM (VALUES {', '.join(f"('{c}', {_set_literal(s)})" for c, s in ENUMS)}) v(want, ws) JOIN tl ON col = want)
 SELECT 'enum' AS rule_type, want AS "column", CASE WHEN len(unknown) = 0 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN len(unknown) > 0 THEN 'Found: ' || array_to_string(unknown[1:3], ', ') || '...' END AS observed,
  'One of: ' || array_to_string(ws, ', ') AS expected, CASE WHEN len(unknown) > 0 THEN 'Column contains values not in enum list' END AS reason FROM j""".replace(" , tl", " tl"), tops=True)
@@ -271,16 +273,16 @@ def _generated_sql(cte):
     parts = [
         one("expect_column_to_exist", "true"),
         one("expect_column_values_to_be_of_type", "true", type_=PART_TYPES),
-        one("expect_column_values_to_not_be_null", f"{valid} / CAST(count AS DOUBLE) >= 0.5", mostly="greatest(0, round(1 - missing / CAST(count AS DOUBLE) * 1.1, 4))"),
-        one("expect_column_values_to_be_between", "num_count > 0", min_value="round(min - abs(min) * 0.1, 6)", max_value="round(max + abs(max) * 0.1, 6)", mostly="1.0::DOUBLE"),
-        one("expect_column_mean_to_be_between", "num_count > 0 AND count >= 10", min_value="round(mean - abs(mean) * 0.1, 4)", max_value="round(mean + abs(mean) * 0.1, 4)"),
-        one("expect_column_values_to_be_unique", f'{valid} > 0 AND "distinct" >= {valid} * 0.999'),
+        one("expect_column_values_to_not_be_null", f"{valid} / CAST(count AS DOUBLE) >= 0.5", mostly="greatest(0, round(1 - missing / CAST(count AS DOUBLE) * 1.1::DOUBLE, 4))"),
+        one("expect_column_values_to_be_between", "num_count > 0", min_value="round(min - abs(min) * 0.1::DOUBLE, 6)", max_value="round(max + abs(max) * 0.1::DOUBLE, 6)", mostly="1.0::DOUBLE"),
+        one("expect_column_mean_to_be_between", "num_count > 0 AND count >= 10", min_value="round(mean - abs(mean) * 0.1::DOUBLE, 4)", max_value="round(mean + abs(mean) * 0.1::DOUBLE, 4)"),
+        one("expect_column_values_to_be_unique", f'{valid} > 0 AND "distinct" >= {valid} * 0.999::DOUBLE'),
         one("expect_column_values_to_be_in_set", "inferred_type = 'Boolean'", value_set="'" + ",".join(rules_gen.BOOLEAN_SET) + "'"),
         one("expect_column_distinct_values_to_be_in_set", f"inferred_type = 'String' AND \"distinct\" <= 20 AND {valid} > 0", value_set="vs"),
-        """SELECT 'expect_table_row_count_to_be_between', NULL, floor(max(count) * 0.9)::DOUBLE, ceil(max(count) * 1.1)::DOUBLE, NULL, NULL, NULL, NULL FROM prof""",
+        """SELECT 'expect_table_row_count_to_be_between', NULL, floor(max(count) * 0.9::DOUBLE)::DOUBLE, ceil(max(count) * 1.1::DOUBLE)::DOUBLE, NULL, NULL, NULL, NULL FROM prof""",
         """SELECT 'expect_table_column_count_to_equal', NULL, NULL, NULL, NULL, NULL, count(*)::DOUBLE, NULL FROM prof""",
     ]
-    return f"WITH {cte}, {top_sql()}, tl AS (SELECT col, string_agg(value, ',' ORDER BY position) AS vs FROM tops GROUP BY col), gen AS ({' UNION ALL '.join(parts)})"
+    return f"WITH {cte}, {top_sql(size=20)}, tl AS (SELECT col, string_agg(value, ',' ORDER BY position) AS vs FROM tops GROUP BY col), gen AS ({' UNION ALL '.join(parts)})"
 
 
 @query("generate_gx", f"{_generated_sql(ME)} SELECT * FROM gen")
@@ -317,9 +319,9 @@ SODA_SHORT = "regexp_replace(regexp_replace(format('{{:.4f}}', round({x}, 4)), '
 
 @query("generate_soda", f"""WITH {PA}, l AS (SELECT 'row_count > 0' AS line UNION ALL
  SELECT 'missing_count(' || col || ') = 0' FROM prof WHERE missing = 0 UNION ALL
- SELECT 'missing_percent(' || col || ') < ' || CAST(ceil(missing * 100.0 / count * 1.1 + 1) AS BIGINT) FROM prof WHERE missing > 0 UNION ALL
- SELECT 'duplicate_count(' || col || ') = 0' FROM prof WHERE total_valid > 0 AND "distinct" >= total_valid * 0.999 UNION ALL
- SELECT 'max(' || col || ') <= ' || {SODA_SHORT.format(x='max * 1.1')} FROM prof WHERE num_count > 0 UNION ALL
+ SELECT 'missing_percent(' || col || ') < ' || CAST(ceil(missing * 100.0 / count * 1.1::DOUBLE + 1) AS BIGINT) FROM prof WHERE missing > 0 UNION ALL
+ SELECT 'duplicate_count(' || col || ') = 0' FROM prof WHERE total_valid > 0 AND "distinct" >= total_valid * 0.999::DOUBLE UNION ALL
+ SELECT 'max(' || col || ') <= ' || {SODA_SHORT.format(x='max * 1.1::DOUBLE')} FROM prof WHERE num_count > 0 UNION ALL
  SELECT 'avg(' || col || '):' FROM prof WHERE num_count > 0 UNION ALL SELECT 'schema:' FROM prof WHERE inferred_type <> 'Null')
 SELECT line, count(*) AS n FROM l GROUP BY line""")
 def generate_soda(spark, sf):
@@ -380,6 +382,20 @@ def profile_report_json(spark, sf):
                     "r.quality.completeness", "r.quality.uniqueness", F.col("r.quality.isPotentialPII").alias("potential_pii"))
 
 
+@query("profile_report_document", f"""WITH {PA}, {top_sql()}, h AS (SELECT ordinal, (max - min) / least(greatest(ceil(log2(num_count) + 1), 5), 50) AS w FROM base WHERE num_count > 0 AND max > min)
+SELECT 'part' AS file, (SELECT count(*) FROM part) AS rows, (SELECT count(*) FROM base) AS columns, p.col AS name, p.count, round(median, 4) AS median, round(h.w, 4) AS bin_width,
+ CASE WHEN h.w IS NOT NULL THEN round(p.min, 4) END AS low, (SELECT string_agg(value, '|' ORDER BY position) FROM tops t WHERE t.ordinal = p.ordinal) AS top_values FROM prof p LEFT JOIN h USING (ordinal)""")
+def profile_report_document(spark, sf):
+    whole = reports.report_document(profile(table(spark, sf, "part")), "part")
+    shape = ("struct<meta:struct<fileName:string>,summary:struct<totalRows:bigint,totalColumns:bigint>,columns:array<struct<name:string,stats:struct<count:bigint,"
+             "numeric:struct<median:double>,categorical:struct<topValues:array<struct<value:string>>>,histogram:struct<min:double,binWidth:double>>>>>")
+    r = whole.select(F.from_json("text", shape).alias("r")).select("r.*").select(
+        F.col("meta.fileName").alias("file"), F.col("summary.totalRows").alias("rows"), F.col("summary.totalColumns").alias("columns"), F.explode("columns").alias("c"))
+    return r.select("file", "rows", "columns", "c.name", "c.stats.count", F.round("c.stats.numeric.median", 4).alias("median"),
+                    F.round("c.stats.histogram.binWidth", 4).alias("bin_width"), F.round("c.stats.histogram.min", 4).alias("low"),
+                    F.array_join(F.col("c.stats.categorical.topValues.value"), "|").alias("top_values"))
+
+
 @query("profile_report_csv", f"""WITH {PA} SELECT col AS "Column", inferred_type AS "Type", count AS "Count", missing AS "Missing", "distinct" AS "Distinct",
  {', '.join(f'{rr_sql(c)} AS "{n}"' for n, c in (('Mean', 'mean'), ('Median', 'median'), ('Min', 'min'), ('Max', 'max'), ('StdDev', 'std_dev'), ('Variance', 'variance'), ('Skewness', 'skewness'), ('Kurtosis', 'kurtosis')))} FROM prof""")
 def profile_report_csv(spark, sf):
@@ -407,13 +423,13 @@ def digest_input(spark, sf):
     return base.join(session.bounded(far, WIDTH), "column", "left")
 
 
-DIGEST = f"""{ME}, far AS (SELECT least(count(*), 1000) AS outs FROM cells c JOIN prof p ON p.ordinal = c.ordinal WHERE c.col = 'amount' AND abs(c.num - p.mean) > 3 * p.std_dev),
+DIGEST = f"""{ME}, far AS (SELECT count(*) AS outs FROM cells c JOIN prof p ON p.ordinal = c.ordinal WHERE c.col = 'amount' AND abs(c.num - p.mean) > 3 * p.std_dev),
  sig AS (SELECT p.ordinal, p.col, inferred_type, missing * 100.0 / count AS pct, "distinct" * 100.0 / count AS dp, CASE WHEN p.col = 'amount' THEN outs ELSE 0 END AS outs FROM prof p, far)"""
 
 
 @query("issue_digest", f"""WITH {DIGEST}, s AS (SELECT *, CASE WHEN pct > 10 THEN 8 ELSE 0 END + CASE WHEN outs > 0 THEN 5 ELSE 0 END + CASE WHEN pct > 0 THEN 2 ELSE 0 END AS score FROM sig)
 SELECT CAST(row_number() OVER (ORDER BY score DESC, col) AS INTEGER) AS rank, col AS "column", inferred_type, CAST(score AS INTEGER) AS issue_score, round(pct, 1) AS missing_pct, round(dp, 1) AS distinct_pct,
- CASE WHEN pct > 10 AND outs > 0 THEN 'Missing, Outliers' WHEN pct > 10 THEN 'Missing' WHEN outs > 0 THEN 'Outliers' ELSE '-' END AS issue_tags FROM s QUALIFY rank <= 20""")
+ CASE WHEN pct > 10 AND outs > 0 THEN 'Missing, Outliers' WHEN pct > 10 THEN 'Missing' WHEN outs > 0 THEN 'Outliers' ELSE '-' END AS issue_tags FROM s""")
 def issue_digest(spark, sf):
     return reports.issue_digest(digest_input(spark, sf))
 
@@ -421,6 +437,6 @@ def issue_digest(spark, sf):
 @query("digest_warnings", f"""WITH {DIGEST}, w AS (SELECT ordinal, col, format('{{:.1f}}', round(pct, 1)) || '% missing values' AS message, 8 AS severity FROM sig WHERE pct > 10
  UNION ALL SELECT ordinal, col, outs || ' outlier(s) detected', 5 FROM sig WHERE outs > 0
  UNION ALL SELECT ordinal, col, format('{{:.1f}}', round(pct, 1)) || '% missing values', 3 FROM sig WHERE pct > 0 AND pct <= 10)
-SELECT CAST(row_number() OVER (ORDER BY severity DESC, ordinal) AS INTEGER) AS rank, col AS "column", message, severity, greatest(count(*) OVER () - 5, 0) AS more FROM w QUALIFY rank <= 5""")
+SELECT CAST(row_number() OVER (ORDER BY severity DESC, ordinal) AS INTEGER) AS rank, col AS "column", message, severity, 0::BIGINT AS more FROM w""")
 def digest_warnings(spark, sf):
     return reports.digest_warnings(digest_input(spark, sf))

@@ -155,7 +155,7 @@ def top_sql(by: bool = False, size: int = 10) -> str:
     """CTE ``tops`` on top of the CTEs of ``profile_sql``."""
     k = "dataset, " if by else ""
     return (f"counted AS (SELECT {k}ordinal, col, t AS value, count(*) AS n FROM cells WHERE NOT gone GROUP BY ALL), "
-            f"tops AS (SELECT *, row_number() OVER (PARTITION BY {k}ordinal ORDER BY n DESC, CASE WHEN strlen(value) > 256 THEN sha256(value) ELSE value END) AS position "
+            f"tops AS (SELECT *, row_number() OVER (PARTITION BY {k}ordinal ORDER BY n DESC, value) AS position "
             f"FROM counted QUALIFY position <= {size})")
 
 

@@ -9,8 +9,8 @@ from plumbline import session
 from plumbline.functions import text
 from plumbline.operators.frequency import text_of
 
-# Deviations that make an outlier, values needed to judge, rows listed per column, page size.
-DEVIATIONS, VALUES_NEEDED, ROWS_LISTED, PAGE_SIZE = 3.0, 10, 1000, 50
+# Deviations that make an outlier, values needed to judge, page size.
+DEVIATIONS, VALUES_NEEDED, PAGE_SIZE = 3.0, 10, 50
 
 
 def number_rows(df: DataFrame, name: str = "row_number") -> DataFrame:
@@ -54,11 +54,11 @@ def spread_facts(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.stack(*stacked).alias("column", "mean", "std_dev", "n"))
 
 
-def outliers(df: DataFrame, key: str, columns: list[str], cap: int | None = ROWS_LISTED) -> DataFrame:
+def outliers(df: DataFrame, key: str, columns: list[str], cap: int | None = None) -> DataFrame:
     """Cells more than three deviations from their column's mean.
 
-    One row per column is joined back to the cells, so the rows never move; the list per
-    column stops at ``cap`` rows (by key), ``None`` lists them all.
+    One row per column is joined back to the cells, so the rows never move. All are listed
+    unless a ``cap`` per column (by key) is asked for.
     """
     stacked = [F.lit(len(columns))]
     for c in columns:
@@ -73,7 +73,7 @@ def outliers(df: DataFrame, key: str, columns: list[str], cap: int | None = ROWS
     return first_rows(far, key, cap)
 
 
-def missing_rows(df: DataFrame, key: str, columns: list[str], cap: int | None = ROWS_LISTED) -> DataFrame:
+def missing_rows(df: DataFrame, key: str, columns: list[str], cap: int | None = None) -> DataFrame:
     """Keys of rows whose cell is missing, per column."""
     stacked = [F.lit(len(columns))]
     for c in columns:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Levels of objects expanded and columns kept.
-MAX_DEPTH, MAX_COLUMNS = 3, 500
+# Levels of objects expanded, and columns above which a tree view is advised.
+MAX_DEPTH, MANY_COLUMNS = 3, 500
 
 
 def _quoted(path: list[str]) -> Column:
@@ -23,12 +23,10 @@ def _walk(schema: T.StructType, path: list[str], depth: int, limit: int | None):
             yield here, field.dataType
 
 
-def flatten_json(df: DataFrame, max_depth: int = MAX_DEPTH, max_columns: int = MAX_COLUMNS) -> DataFrame:
+def flatten_json(df: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Dotted columns; deeper objects become JSON text, arrays ``[array:N]``, null an empty text."""
     out = []
     for path, dtype in _walk(df.schema, [], 0, max_depth):
-        if len(out) == max_columns:
-            break
         c = _quoted(path)
         if isinstance(dtype, T.ArrayType):
             c = F.concat(F.lit("[array:"), F.size(c).cast("string"), F.lit("]"))
@@ -74,8 +72,6 @@ def select_paths(df: DataFrame, paths: list[str], json_column: str | None = None
 
     With ``json_column`` the paths are looked up in JSON texts, else in typed columns.
     """
-    if len(paths) > MAX_COLUMNS:
-        raise ValueError(f"at most {MAX_COLUMNS} paths can be selected")
     out = []
     parsed = F.try_parse_json(F.col(json_column)) if json_column else None
     for path in paths:
@@ -130,7 +126,7 @@ def node_type(dtype: T.DataType) -> str:
     return "string"
 
 
-def recommended_view(tree: DataFrame, max_columns: int = MAX_COLUMNS, max_depth: int = 3) -> DataFrame:
+def recommended_view(tree: DataFrame, max_columns: int = MANY_COLUMNS, max_depth: int = 3) -> DataFrame:
     """``tree`` or ``tabular`` for a typed schema."""
     leaves = F.count_if(F.col("child_count") == 0)
     return tree.agg(

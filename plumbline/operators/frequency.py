@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import session
-from plumbline.functions import text
+from plumbline.functions import pii, text
 
-#: Texts above this many bytes travel through shuffles as a digest, not in full.
+#: Texts above this many bytes travel through shuffles as a digest, not in full, with what is told of them.
 LONG_TEXT = 256
+#: A digest begins with this many characters of its text, which puts it in order.
+LEAD = 64
+#: What is told of a long text: bits for date, integer, number and each kind of personal data; its length above them.
+DATE_BIT, INTEGER_BIT, NUMERIC_BIT, FIRST_KIND_BIT, LENGTH_SHIFT = 1, 2, 4, 8, 16
 
 
 def kind_of(dtype: T.DataType) -> str:
@@ -87,7 +91,7 @@ LANES = {
     "whole": ("integer", "boolean", "date", "timestamp"),
     "real": ("real",),
 }
-LANE_COLUMNS = {"text": ["short", "facts"], "whole": ["whole"], "real": ["real"]}
+LANE_COLUMNS = {"text": ["short", "facts", "number"], "whole": ["whole"], "real": ["real"]}
 
 
 def _cell(df: DataFrame, name: str, dtype: T.DataType) -> Column:
@@ -123,15 +127,19 @@ def cells(df: DataFrame, columns: ColumnSet, lane: str, carry: Sequence[str] = (
     # what is told of a text is worked out after stacking, once per cell
     cell = F.col("cell")
     is_long = F.octet_length(cell) > LONG_TEXT
-    # a digest no longer shows its length and whether it looked like a date
-    facts = F.octet_length(cell).cast("bigint") * 2 + text.is_date_text(cell).cast("int")
+    # a digest no longer shows what its text looked like
+    marks = {DATE_BIT: text.is_date_text(cell), INTEGER_BIT: text.is_integer_text(cell), NUMERIC_BIT: text.is_numeric_text(cell)}
+    marks |= {FIRST_KIND_BIT << i: pii.matches(cell, kind) for i, kind in enumerate(pii.CONTENT_PATTERNS)}
+    facts = F.shiftleft(F.octet_length(cell).cast("bigint"), LENGTH_SHIFT)
+    for bit, holds in marks.items():
+        facts = facts + F.when(holds, F.lit(bit)).otherwise(F.lit(0))
     trimmed = df.select(*carried, F.stack(*stacked).alias("ordinal", "cell")).select(
         *carried, "ordinal", text.clean_cell(cell).alias("cell")
     )
     return trimmed.select(
         *carried, "ordinal",
-        F.when(is_long, F.sha2(cell, 256)).when(~text.is_missing_text(cell), cell).alias("short"),
-        F.when(is_long, facts).alias("facts"),
+        F.when(is_long, F.concat(F.substring(cell, 1, LEAD), F.sha2(cell, 256))).when(~text.is_missing_text(cell), cell).alias("short"),
+        F.when(is_long, facts).alias("facts"), F.when(is_long, text.number_of_text(cell)).alias("number"),
     )
 
 
@@ -140,7 +148,7 @@ def describe_values(counted: DataFrame, columns: ColumnSet) -> DataFrame:
 
     Runs on distinct values, not on cells.
     """
-    parts = {"short": "string", "facts": "bigint", "whole": "bigint", "real": "double"}
+    parts = {"short": "string", "facts": "bigint", "number": "double", "whole": "bigint", "real": "double"}
     have = counted.columns
     gaps = [f"cast(null as {kind}) as {name}" for name, kind in parts.items() if name not in have]
     kept = [c for c in have if c not in parts]
@@ -149,11 +157,11 @@ def describe_values(counted: DataFrame, columns: ColumnSet) -> DataFrame:
     readable = f"({marks['text']} and short is not null and facts is null)"
     moment = f"({marks['date']} or {marks['timestamp']})"
     flags = {
-        "is_integer": (text.INTEGER_SQL, f"{marks['integer']} and whole is not null"),
+        "is_integer": (text.INTEGER_SQL, f"({marks['integer']} and whole is not null) or ({marks['text']} and facts & {INTEGER_BIT} <> 0)"),
         "is_numeric": (text.NUMERIC_SQL, f"({marks['integer']} and whole is not null) or real is not null "
-                                         f"or ({marks['decimal']} and short is not null)"),
+                                         f"or ({marks['decimal']} and short is not null) or ({marks['text']} and facts & {NUMERIC_BIT} <> 0)"),
         "is_boolean": (text.BOOLEAN_SQL, f"{marks['boolean']} and whole is not null"),
-        "is_date": (text.DATE_SQL, f"({moment} and whole is not null) or ({marks['text']} and facts % 2 = 1)"),
+        "is_date": (text.DATE_SQL, f"({moment} and whole is not null) or ({marks['text']} and facts & {DATE_BIT} <> 0)"),
     }
     first = counted.selectExpr("*", *gaps).selectExpr(
         *[f"`{c}`" for c in kept],
@@ -169,6 +177,7 @@ def describe_values(counted: DataFrame, columns: ColumnSet) -> DataFrame:
         f"""coalesce(case when {marks['integer']} then cast(whole as double) end,
             case when {marks['decimal']} then try_cast(short as double)
                  when {readable} then {text.NUMBER_OF_SQL.format(c='short')}
+                 when {marks['text']} and facts is not null then number
                  when not isnan(real) and abs(real) <> double('infinity') then real end) as num""",
         *[f"coalesce(case when {readable} then {sql.format(c='short')} else {typed} end, false) as {name}"
           for name, (sql, typed) in flags.items()],
@@ -177,7 +186,7 @@ def describe_values(counted: DataFrame, columns: ColumnSet) -> DataFrame:
     # each valid cell is counted under one leading type only
     return first.selectExpr(
         *[f"`{c}`" for c in kept], "column", "missing", "value", "digest", "num",
-        "coalesce(shiftright(facts, 1), cast(octet_length(value) as bigint)) as bytes", "is_integer", "is_numeric",
+        f"coalesce(shiftright(facts, {LENGTH_SHIFT}), cast(octet_length(value) as bigint)) as bytes", "facts", "is_integer", "is_numeric",
         "is_boolean and not is_numeric as is_boolean",
         "is_date and not is_numeric and not is_boolean as is_date",
     )
@@ -196,6 +205,8 @@ class FrequencyTable:
     columns: ColumnSet
     by: str | None = None
     datasets: int | None = field(default=None)
+    #: the rows that were counted, for texts that travelled as digests
+    source: DataFrame | None = field(default=None, compare=False)
 
     @property
     def keys(self) -> list[str]:
@@ -251,7 +262,7 @@ def frequency(
     counted = describe_values(counted, picked)
     if materialized:
         counted = session.materialize(counted, "frequency")
-    table = FrequencyTable(counted, picked, by)
+    table = FrequencyTable(counted, picked, by, source=df)
     if by:
         # joins of per-dataset facts are sized by the real number of datasets
         seen = df.select(by).distinct().limit(session.BROADCAST_ROWS + 1).count()

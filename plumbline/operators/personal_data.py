@@ -2,108 +2,34 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline import session
 from plumbline.functions import pii, text
-from plumbline.operators.frequency import text_of
+from plumbline.operators.frequency import FIRST_KIND_BIT, FrequencyTable, frequency
 
-# Cells looked at per column, share of hits needed, order of the decision.
-LOOKED_AT, SHARE_NEEDED = 100, 0.3
+# Share of hits needed, order of the decision.
+SHARE_NEEDED = 0.3
 DECISION_ORDER = ("SSN", "credit card", "email", "phone number", "IP address")
 
 
-def _named_cells(df: DataFrame, columns: list[str], carry: list[str]) -> DataFrame:
-    stacked = [F.lit(len(columns))]
-    for c in columns:
-        stacked += [F.lit(c), text.clean(text_of(df[text.quoted(c)], df.schema[c].dataType))]
-    cells = df.select(*carry, F.stack(*stacked).alias("column", "cell"))
-    return cells.filter(~text.is_missing_text(F.col("cell")))
-
-
-#: Shares of the row order tried when looking for the first cells of each column.
-PREFIXES = [0.00001, 0.001, 0.1]
-_RANKED_KEYS = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
-
-
-def _first_cells(source: DataFrame, columns: list[str], key: str, looked_at: int) -> DataFrame:
-    """The first valid cells of each column in the order of ``key``.
-
-    Most columns are settled by a small prefix of the rows: a pass over the key finds
-    where some prefixes end, a pass over the longest prefix counts the valid cells in
-    each, and only the rows each column needs are then put in order. A column without
-    enough cells there is looked through as a whole.
-    """
-    ends: list = []
-    if isinstance(source.schema[key].dataType, _RANKED_KEYS):
-        found = source.agg(F.percentile_approx(key, PREFIXES, 10_000).alias("ends")).head()["ends"]
-        ends = sorted(set(found or []))
-    needs: dict[str, object] = dict.fromkeys(columns)
-    if ends:
-        cells = _named_cells(source.filter(F.col(key) <= ends[-1]), columns, [F.col(key).alias("_key")])
-        counts = cells.groupBy("column").agg(
-            *[F.count_if(F.col("_key") <= end).alias(f"until_{i}") for i, end in enumerate(ends)]
-        )
-        for row in counts.collect():  # one row per column
-            needs[row["column"]] = next((e for i, e in enumerate(ends) if row[f"until_{i}"] >= looked_at), None)
-    parts = []
-    for end in dict.fromkeys(needs.values()):
-        some = [c for c in columns if needs[c] == end]
-        rows = source if end is None else source.filter(F.col(key) <= end)
-        parts.append(_named_cells(rows, some, [F.col(key).alias("_key")]))
-    first = Window.partitionBy("column").orderBy("_key", "cell")
-    return (
-        reduce(DataFrame.unionByName, parts)
-        .withColumn("_nth", F.row_number().over(first))
-        .filter(F.col("_nth") <= looked_at)
-    )
+def detect(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """Kind of personal data per column (and dataset): content of all valid cells first, then the name."""
+    return detect_values(frequency(df, columns, by))
 
 
-def _head_cells(df: DataFrame, columns: list[str], looked_at: int) -> tuple[DataFrame | None, list[str]]:
-    """First valid cells of the columns that the first few rows settle, and the columns still open.
-
-    Reads only the start of the input; at most ``2 * looked_at`` rows come to the driver.
-    """
-    texts = [text.clean(text_of(df[text.quoted(c)], df.schema[c].dataType)).alias(f"c{i}") for i, c in enumerate(columns)]
-    head = df.select(*texts).head(2 * looked_at)
-    cells, still_open = [], []
-    for i, c in enumerate(columns):
-        valid = [r[i] for r in head if r[i] is not None and r[i].lower() not in text.MISSING_TEXTS]
-        if len(valid) >= looked_at or len(head) < 2 * looked_at:
-            cells += [(c, v) for v in valid[:looked_at]]
-        else:
-            still_open.append(c)
-    found = df.sparkSession.createDataFrame(cells, "column string, cell string") if cells else None
-    return found, still_open
-
-
-def detect(df: DataFrame, columns: list[str], row_order: str | None = None,
-           looked_at: int | None = LOOKED_AT) -> DataFrame:
-    """Kind of personal data per column: content of the first valid cells first, then the name.
-
-    ``row_order`` names the column giving the order of rows (scan order without it).
-    With ``looked_at=None`` every cell of every column is judged.
-    """
-    if looked_at is None:
-        cells = _named_cells(session.spread(df), columns, [])
-    elif row_order:
-        cells = _first_cells(df, columns, row_order, looked_at).select("column", "cell")
-    else:
-        settled, still_open = _head_cells(df, columns, looked_at)
-        parts = [settled] if settled is not None else []
-        if still_open or not parts:
-            numbered = df.withColumn("_row", F.monotonically_increasing_id())
-            parts.append(_first_cells(numbered, still_open or columns, "_row", looked_at).select("column", "cell"))
-        cells = reduce(DataFrame.unionByName, parts)
+def detect_values(ft: FrequencyTable) -> DataFrame:
+    """The same from a frequency table: patterns run once per distinct value."""
     kinds = list(pii.CONTENT_PATTERNS)
     tags = {k: "hits_" + k.lower().replace(" ", "_") for k in kinds}
-    hits = cells.groupBy("column").agg(
-        F.count(F.lit(1)).alias("looked_at"),
-        *[F.count_if(pii.matches(F.col("cell"), k)).alias(tags[k]) for k in kinds],
+
+    def hit(i: int, kind: str) -> Column:
+        told = F.col("facts").bitwiseAND(F.lit(FIRST_KIND_BIT << i)) != 0
+        return F.when(F.col("facts").isNotNull(), told).otherwise(pii.matches(F.col("value"), kind))
+
+    hits = ft.valid.groupBy(*ft.labelled).agg(
+        F.sum("n").alias("looked_at"),
+        *[F.coalesce(F.sum(F.when(hit(i, k), F.col("n"))), F.lit(0)).alias(tags[k]) for i, k in enumerate(kinds)],
     )
     needed = F.greatest(F.floor(F.col("looked_at") * SHARE_NEEDED), F.lit(1))
     hint = pii.name_hint(F.col("column"))

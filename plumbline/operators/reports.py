@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.numeric import fixed, grouped, share
 from plumbline.functions.pii import is_personal_name
 
-# Rows of the digest, warnings shown, preview size and the size that is called large.
-DIGEST_COLUMNS, DIGEST_WARNINGS, PREVIEW_ROWS, LARGE_RESULT = 20, 5, 1000, 100_000
+# Preview size and the size that is called large.
+PREVIEW_ROWS, LARGE_RESULT = 1000, 100_000
 NUMBERS = ("min", "max", "mean", "median", "std_dev", "variance", "skewness", "kurtosis", "sum",
            "p25", "p75", "p90", "p95", "p99")
 
@@ -45,6 +45,38 @@ def report_json(profile: DataFrame) -> DataFrame:
     return rows.select("ordinal", "column", F.to_json(body).alias("text"))
 
 
+def report_document(profile: DataFrame, file_name: str, file_size: int = 0, seconds: float = 0.0) -> DataFrame:
+    """The whole JSON report as one text: what was read, how many rows and columns, and every column in order."""
+    def six(c: Column) -> Column:
+        return F.round(c, 6)
+
+    rows = report_rows(profile).join(
+        profile.select("ordinal", *[c for c in ("top_values", "histogram", "notes", "unique_count") if c in profile.columns]), "ordinal")
+    named = {"std_dev": "stdDev"}
+    stats_ = [F.col("count"), F.col("missing"), F.col("distinct"), F.col("inferred_type").alias("inferredType"),
+              F.col("min_length").alias("minLength"), F.col("max_length").alias("maxLength"),
+              F.when(F.col("min").isNotNull(), F.struct(*[F.col(c).alias(named.get(c, c)) for c in NUMBERS if c in rows.columns])).alias("numeric")]
+    if "top_values" in rows.columns:
+        top = F.transform("top_values", lambda t: F.struct(t["value"].alias("value"), t["n"].alias("count"), six(t["percentage"]).alias("percentage")))
+        stats_.append(F.when(F.size("top_values") > 0, F.struct(top.alias("topValues"), F.col("unique_count").alias("uniqueCount"))).alias("categorical"))
+    if "histogram" in rows.columns:
+        bins = F.transform("histogram", lambda b: F.struct(six(b["start"]).alias("start"), six(b["end"]).alias("end"), b["n"].alias("count")))
+        first, last = F.col("histogram")[0], F.element_at("histogram", -1)
+        stats_.append(F.when(F.size("histogram") > 0, F.struct(
+            bins.alias("bins"), six(first["start"]).alias("min"), six(last["end"]).alias("max"),
+            six(first["end"] - first["start"]).alias("binWidth"))).alias("histogram"))
+    body = [F.col("column").alias("name"), F.struct(*stats_).alias("stats"),
+            F.struct("completeness", "uniqueness", F.col("potential_pii").alias("isPotentialPII")).alias("quality")]
+    if "notes" in rows.columns:
+        body.append(F.when(F.size("notes") > 0, F.col("notes")).alias("notes"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*body).alias("body")))), lambda e: e["body"])
+    whole = rows.agg(F.max("count").alias("rows"), F.count(F.lit(1)).alias("n"), listed.alias("columns"))
+    meta = F.struct(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generatedAt"), F.lit(file_name).alias("fileName"),
+                    F.lit(file_size).alias("fileSize"), F.lit(round(seconds * 1000)).alias("processingTimeMs"))
+    summary = F.struct(F.coalesce("rows", F.lit(0)).alias("totalRows"), F.col("n").alias("totalColumns"))
+    return whole.select(F.to_json(F.struct(meta.alias("meta"), summary.alias("summary"), "columns")).alias("text"))
+
+
 def report_csv(profile: DataFrame) -> DataFrame:
     """The thirteen columns of the CSV report."""
     names = {
@@ -92,8 +124,8 @@ def _signals(profile: DataFrame, outliers: str) -> DataFrame:
     })
 
 
-def issue_digest(profile: DataFrame, outliers: str = "outlier_rows") -> DataFrame:
-    """The columns most in need of attention, with a score and a rank.
+def issue_digest(profile: DataFrame, outliers: str = "outlier_rows", shown: int | None = None) -> DataFrame:
+    """The columns most in need of attention, with a score and a rank; all of them, or the first ``shown``.
 
     ``profile`` carries ``issues`` and a column counting outlying rows.
     """
@@ -111,15 +143,17 @@ def issue_digest(profile: DataFrame, outliers: str = "outlier_rows") -> DataFram
     ranked = s.withColumn("issue_score", score).withColumn(
         "rank", F.row_number().over(Window.orderBy(F.desc("issue_score"), "column"))
     )
-    return ranked.filter(F.col("rank") <= DIGEST_COLUMNS).select(
+    if shown is not None:
+        ranked = ranked.filter(F.col("rank") <= shown)
+    return ranked.select(
         "rank", "column", "inferred_type", "issue_score", F.round("_pct", 1).alias("missing_pct"),
         F.round(share(F.col("distinct"), F.col("count"), 0.0) * 100, 1).alias("distinct_pct"),
         F.when(tags == "", "-").otherwise(tags).alias("issue_tags"),
     )
 
 
-def digest_warnings(profile: DataFrame, outliers: str = "outlier_rows") -> DataFrame:
-    """The most severe warnings and how many more there are."""
+def digest_warnings(profile: DataFrame, outliers: str = "outlier_rows", shown: int | None = None) -> DataFrame:
+    """All warnings by severity, or the first ``shown`` and how many ``more`` there are."""
     s = _signals(profile, outliers)
     pct = F.concat(fixed(F.col("_pct"), 1), F.lit("% missing values"))
 
@@ -135,8 +169,13 @@ def digest_warnings(profile: DataFrame, outliers: str = "outlier_rows") -> DataF
     tall = s.select("ordinal", "column", F.explode(found).alias("w")).select("ordinal", "column", "w.*")
     ranked = tall.withColumn(
         "rank", F.row_number().over(Window.orderBy(F.desc("severity"), "ordinal"))
-    ).withColumn("more", F.greatest(F.count(F.lit(1)).over(Window.partitionBy()) - DIGEST_WARNINGS, F.lit(0)))
-    return ranked.filter(F.col("rank") <= DIGEST_WARNINGS).select("rank", "column", "message", "severity", "more")
+    )
+    if shown is None:
+        ranked = ranked.withColumn("more", F.lit(0).cast("bigint"))
+    else:
+        left = F.greatest(F.count(F.lit(1)).over(Window.partitionBy()) - shown, F.lit(0))
+        ranked = ranked.withColumn("more", left).filter(F.col("rank") <= shown)
+    return ranked.select("rank", "column", "message", "severity", "more")
 
 
 def sort_profile(profile: DataFrame, by: str = "column", descending: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ observed, expected, reason, raw``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import session
@@ -115,9 +115,33 @@ def _decided(rules: DataFrame, outcome: Column, raw: Column | None = None) -> Da
     ).select("rule_type", "column", "_o.status", "_o.observed", "_o.expected", "_o.reason", "raw")
 
 
-def evaluate_gx(rules: DataFrame, profile: DataFrame, max_columns: int) -> DataFrame:
-    """Decide suite rules (table of ``GX_SCHEMA``)."""
-    r = _against(rules, profile, max_columns)
+def _outside(rules: DataFrame, allowed: str, values: DataFrame) -> DataFrame:
+    """The rules with ``unknown``: the most frequent values of their column (three at most) that ``allowed`` does not hold.
+
+    ``values`` has one row per column and value, with ``n``, as frequency tables have.
+    """
+    def fits(v: Column) -> Column:
+        numbers = F.transform(F.col(allowed), lambda x: x.try_cast("double"))
+        return F.array_contains(allowed, v) | F.coalesce(F.array_contains(numbers, v.try_cast("double")), F.lit(False))
+
+    sets = rules.filter(F.col(allowed).isNotNull() & F.col("column").isNotNull()).select("column", allowed).distinct()
+    seen = values.select("column", F.coalesce(*[c for c in ("value", "digest") if c in values.columns]).alias("v"), "n")
+    strange = seen.join(F.broadcast(sets), "column").filter(~fits(F.col("v")))
+    order = Window.partitionBy("column", allowed).orderBy(F.desc("n"), "v")
+    first = strange.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 3)
+    lists = first.groupBy("column", allowed).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("nth", "v"))), lambda e: e["v"]).alias("unknown"))
+    known = rules.join(lists, ["column", allowed], "left")
+    return known.withColumn("unknown", F.coalesce("unknown", F.array().cast("array<string>")))
+
+
+def evaluate_gx(rules: DataFrame, profile: DataFrame, max_columns: int, values: DataFrame | None = None) -> DataFrame:
+    """Decide suite rules (table of ``GX_SCHEMA``).
+
+    Value sets are checked against all ``values`` (the valid rows of a frequency table), or without them against the
+    top values that the profile holds.
+    """
+    r = _against(rules if values is None else _outside(rules, "value_set", values), profile, max_columns)
     lo, hi = F.col("min_value"), F.col("max_value")
     found = F.col("found").isNotNull()
     valid = F.col("count") - F.col("missing")
@@ -129,7 +153,8 @@ def evaluate_gx(rules: DataFrame, profile: DataFrame, max_columns: int) -> DataF
         *[F.when(F.col("type_") == k, F.array(*[F.lit(x) for x in v])) for k, v in GX_TYPES.items()],
         F.array().cast("array<string>"),
     )
-    in_set = F.size(F.array_except(tops, F.col("value_set"))) == 0
+    unknown = F.array_except(tops, F.col("value_set")) if values is None else F.col("unknown")
+    in_set = F.size(unknown) == 0
     unique = (valid > 0) & (F.col("distinct") >= valid * UNIQUE_SHARE)
 
     def is_rule(name: str) -> Column:
@@ -221,12 +246,12 @@ def evaluate_soda(checks: DataFrame, profile: DataFrame, max_columns: int) -> Da
     return _decided(r, outcome, F.col("raw"))
 
 
-def evaluate_json_schema(rules: DataFrame, profile: DataFrame, max_columns: int) -> DataFrame:
+def evaluate_json_schema(rules: DataFrame, profile: DataFrame, max_columns: int, values: DataFrame | None = None) -> DataFrame:
     """Decide constraints of a record schema (table of ``JSON_SCHEMA``).
 
-    Constraints on absent columns give no result, except ``required``.
+    Constraints on absent columns give no result, except ``required``. ``values`` as for suites.
     """
-    r = _against(rules, profile, max_columns)
+    r = _against(rules if values is None else _outside(rules, "allowed", values), profile, max_columns)
     found, numeric = F.col("found").isNotNull(), F.col("num_count") > 0
     kind, bound = F.col("rule_type"), F.col("bound")
     seen = F.lower("inferred_type")
@@ -241,7 +266,7 @@ def evaluate_json_schema(rules: DataFrame, profile: DataFrame, max_columns: int)
     type_ok = F.array_contains(accepted, seen)
     tops = F.transform(F.col("top_values"), lambda t: t["value"])
     as_numbers = F.transform(F.col("allowed"), lambda x: x.try_cast("double"))
-    unknown = F.filter(
+    unknown = F.col("unknown") if values is not None else F.filter(
         tops,
         lambda v: ~F.array_contains(F.col("allowed"), v)
         & ~F.coalesce(F.array_contains(as_numbers, v.try_cast("double")), F.lit(False)),

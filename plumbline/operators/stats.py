@@ -9,14 +9,14 @@ from plumbline import session
 from plumbline.functions import text
 from plumbline.functions.numeric import share
 from plumbline.functions.text import finite
-from plumbline.operators.frequency import LONG_TEXT, FrequencyTable, text_of
+from plumbline.operators.frequency import LEAD, LONG_TEXT, FrequencyTable, text_of
 
 # Limits of the number of histogram bins, and of the plain histogram.
 MIN_BINS, MAX_BINS, PLAIN_BINS = 5, 50, 10
 # Reported quantiles.
 QUANTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 # Lengths of the reported lists.
-TOP_VALUES, SAMPLE_VALUES, TRACKED_VALUES = 10, 5, 1000
+TOP_VALUES, SAMPLE_VALUES = 10, 5
 
 #: Slices each histogram bin is divided into when looking for quantiles.
 SLICES = 64
@@ -75,7 +75,7 @@ def base_stats(ft: FrequencyTable) -> DataFrame:
                 F.array(F.lit("Potentially numeric with exceptions")),
             ).otherwise(F.array().cast("array<string>")),
         )
-        .withColumn("unique_count", F.least("distinct", F.lit(TRACKED_VALUES)).cast("bigint"))
+        .withColumn("unique_count", F.col("distinct").cast("bigint"))
     )
 
 
@@ -280,19 +280,20 @@ def top_values(ft: FrequencyTable, base: DataFrame, source: DataFrame | None = N
     """The most frequent values of each column, ties by value, with their share of the valid cells.
 
     Ranking runs as a per-task limit before the shuffle. Winners that were kept as a
-    digest get their text back from ``source``, the profiled rows.
+    digest get their text back from ``source`` (the counted rows unless given).
     """
-    label = F.coalesce("value", "digest")
-    order = Window.partitionBy(*ft.keys).orderBy(F.desc("n"), label)
+    near = Window.partitionBy(*ft.keys).orderBy(F.desc("n"), F.substring(F.coalesce("value", "digest"), 1, LEAD))
     best = (
         ft.valid.select(*ft.labelled, "value", "digest", "n")
-        .withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= size)
+        .withColumn("near", F.rank().over(near))
+        .filter(F.col("near") <= size)
     )
-    best = _restore_long_texts(ft, best, source, size)
+    # texts that begin alike are put in order once they are whole again
+    order = Window.partitionBy(*ft.keys).orderBy(F.desc("n"), "value")
+    best = _restore_long_texts(ft, best, source, size).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= size)
     valid = session.bounded(base.select(*ft.keys, "total_valid"), ft.max_profiles)
     return best.join(valid, ft.keys).select(
-        *ft.labelled, "position", F.coalesce("value", "digest").alias("value"), F.col("n"),
+        *ft.labelled, "position", "value", F.col("n"),
         (F.col("n") / F.col("total_valid") * 100).alias("percentage"),
     )
 
@@ -300,7 +301,8 @@ def top_values(ft: FrequencyTable, base: DataFrame, source: DataFrame | None = N
 def _restore_long_texts(ft: FrequencyTable, best: DataFrame, source: DataFrame | None, size: int) -> DataFrame:
     """Give the few chosen values that travelled as digests their texts back."""
     longish = ft.columns.of_kind("text", "container")
-    if source is None or not longish:
+    source = ft.source if source is None else source
+    if not longish:
         return best
     sought = best.filter(F.col("digest").isNotNull()).select("ordinal", "digest").distinct()
     stacked = [F.lit(len(longish))]
@@ -309,7 +311,7 @@ def _restore_long_texts(ft: FrequencyTable, best: DataFrame, source: DataFrame |
     long_cells = (
         source.select(F.stack(*stacked).alias("ordinal", "full"))
         .filter(F.octet_length("full") > LONG_TEXT)
-        .withColumn("digest", F.sha2("full", 256))
+        .withColumn("digest", F.concat(F.substring("full", 1, LEAD), F.sha2("full", 256)))
     )
     full = (
         session.attach(long_cells, sought, ["ordinal", "digest"], ft.max_profiles * size, spread=["digest"])
@@ -358,11 +360,13 @@ def distinct_exact(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def distinct_estimate(ft: FrequencyTable) -> DataFrame:
-    """Estimated distinct valid values (sketch of 2^12 registers)."""
-    return ft.valid.groupBy(*ft.labelled).agg(
-        F.approx_count_distinct(F.coalesce("value", "digest"), 0.016).alias("distinct")
-    )
+def distinct_estimate(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Estimated distinct valid values, in one pass and without a shuffle of values (sketch of 2^12 registers)."""
+    stacked = [F.lit(len(columns))]
+    for c in columns:
+        stacked += [F.lit(c), text.clean(text_of(df[text.quoted(c)], df.schema[c].dataType))]
+    cells = df.select(F.stack(*stacked).alias("column", "cell")).filter(~text.is_missing_text(F.col("cell")))
+    return cells.groupBy("column").agg(F.approx_count_distinct("cell", 0.016).alias("distinct"))
 
 
 def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import session
 
 # Examples kept per path; limits above which a tree view is advised.
 EXAMPLES, TREE_DEPTH, TREE_PATHS = 3, 5, 1000
-#: Levels followed before giving up on ever deeper input.
-DEEPEST = 32
-
 _TYPE_NAMES = {
     "object": "OBJECT<%", "array": "ARRAY<%", "string": "STRING", "boolean": "BOOLEAN", "null": "VOID",
 }
@@ -30,7 +27,7 @@ def _level(spark, parents: DataFrame) -> DataFrame:
     """Members of all objects of one level; arrays are not entered."""
     objects = parents.filter(F.col("data_type") == "object")
     return _typed(spark.sql(
-        "select row_key, concat(path, '.', m.key) as path, depth + 1 as depth, m.value as v "
+        "select row_key, array_append(path, m.key) as path, m.value as v "
         "from {objects}, lateral variant_explode(v) as m",
         objects=objects,
     ))
@@ -38,7 +35,7 @@ def _level(spark, parents: DataFrame) -> DataFrame:
 
 def _counts(nodes: DataFrame) -> DataFrame:
     # one partially aggregated record per path and type, however often the path occurs
-    return nodes.groupBy("path", "depth", "data_type").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.groupBy("path", "data_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _examples(nodes: DataFrame) -> DataFrame:
@@ -55,39 +52,40 @@ def _examples(nodes: DataFrame) -> DataFrame:
     )
 
 
-def structure_scan(df: DataFrame, json_column: str, key: str, deepest: int = DEEPEST) -> DataFrame:
+def structure_scan(df: DataFrame, json_column: str, key: str) -> DataFrame:
     """Path, parent, depth, occurrences, population in percent of the rows, type, children, examples.
 
-    One pass per level. Only the objects nested in a level are written for the next one,
-    and the scan ends with the first level that has none.
+    One pass per level, as deep as the texts go: the nodes of a level are written once, and counted, shown and
+    opened from there. A path is the list of its keys, so keys with dots stay what they are; it is printed with dots.
     """
     parsed = df.select(F.col(key).alias("row_key"), F.try_parse_json(F.col(json_column)).alias("v"))
-    nodes = _typed(parsed.filter(F.col("v").isNotNull()).select(
-        "row_key", F.lit("$").alias("path"), F.lit(0).alias("depth"), "v"))
+    nodes = session.materialize(_typed(parsed.filter(F.col("v").isNotNull()).select(
+        "row_key", F.array().cast("array<string>").alias("path"), "v")), "nodes")
     counts, examples = [_counts(nodes)], [_examples(nodes)]
-    while len(counts) <= deepest:
-        nodes = _level(df.sparkSession, nodes)
+    while not nodes.filter(F.col("data_type") == "object").isEmpty():
+        nodes = session.materialize(_level(df.sparkSession, nodes), "nodes")
         counts.append(_counts(nodes))
         examples.append(_examples(nodes))
-        nodes = session.materialize(nodes.filter(F.col("data_type") == "object"), "objects")
-        if nodes.isEmpty():
-            break
     return _summarize(reduce(DataFrame.unionByName, counts), reduce(DataFrame.unionByName, examples))
 
 
 def _summarize(kinds: DataFrame, examples: DataFrame) -> DataFrame:
-    paths = kinds.groupBy("path", "depth").agg(
+    def printed(keys: Column) -> Column:
+        return F.concat_ws(".", F.lit("$"), keys)
+
+    paths = kinds.groupBy("path").agg(
         F.sum("n").alias("occurrences"),
         F.when(F.count(F.lit(1)) > 1, "mixed").otherwise(F.max("data_type")).alias("data_type"),
     )
-    parent = F.when(F.col("path") != "$", F.regexp_extract("path", r"^(.*)\.[^.]*$", 1))
+    parent = F.when(F.size("path") > 0, F.slice("path", F.lit(1), F.size("path") - 1))
     children = paths.groupBy(parent.alias("path")).agg(F.count(F.lit(1)).alias("child_count"))
-    rows = paths.filter(F.col("path") == "$").agg(F.max("occurrences")).scalar()
+    rows = paths.filter(F.size("path") == 0).agg(F.max("occurrences")).scalar()
     return (
         paths.join(examples, "path", "left")
         .join(children, "path", "left")
         .select(
-            "path", parent.alias("parent_path"), "depth", "data_type", "occurrences",
+            printed(F.col("path")).alias("path"), F.when(F.size("path") > 0, printed(parent)).alias("parent_path"),
+            F.size("path").alias("depth"), "data_type", "occurrences",
             (F.col("occurrences") / rows * 100).alias("population"),
             F.coalesce("child_count", F.lit(0)).cast("bigint").alias("child_count"),
             F.coalesce("examples", F.array().cast("array<string>")).alias("examples"),

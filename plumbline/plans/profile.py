@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import session
 from plumbline.functions.pii import name_hint
 from plumbline.operators import personal_data, quality, stats
+from plumbline.operators.rules_gen import MAX_SET
 from plumbline.operators.frequency import FrequencyTable, frequency
 
 ALL_PARTS = frozenset({"moments", "quantiles", "histogram", "top", "samples", "pii"})
@@ -48,22 +49,18 @@ def profile(
         order = "_row"
     names = list(columns) if columns is not None else [c for c in df.columns if c != by]
     ft = frequency(source, names, by, order if "samples" in parts else None, materialized=True)
-    more = {}
-    if "pii" in parts and by is None:
-        more["pii"] = personal_data.detect(df, names, row_order).select("column", "pii_type")
-    out = profile_frequencies(ft, parts, df, more)
-    if "pii" not in more:
-        out = out.withColumn("pii_type", name_hint(F.col("column")))
+    out = profile_frequencies(ft, parts, df)
+    if "pii" not in parts:
+        # like the check of contents, the name counts where there are cells
+        out = out.withColumn("pii_type", F.when(F.col("total_valid") > 0, name_hint(F.col("column"))))
     return session.materialize(quality.with_quality(out, "pii_type"), "profile")
 
 
-def profile_frequencies(ft: FrequencyTable, parts: Collection[str], source: DataFrame | None = None,
-                        more: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """The profile rows of a frequency table, before quality is judged.
-
-    ``more`` holds further tables with one row per column, joined by column name.
-    """
+def profile_frequencies(ft: FrequencyTable, parts: Collection[str], source: DataFrame | None = None) -> DataFrame:
+    """The profile rows of a frequency table, before quality is judged."""
     keys, bound = ft.keys, ft.max_profiles
+    # value sets of rules hold more values than a report shows
+    top_size = MAX_SET if parts == RULES else stats.TOP_VALUES
     base = session.materialize(stats.base_stats(ft), "base")
     extras: dict[str, DataFrame] = {}
     if set(parts) & {"moments", "quantiles", "histogram"}:
@@ -77,14 +74,15 @@ def profile_frequencies(ft: FrequencyTable, parts: Collection[str], source: Data
             bins = stats.histogram(ft, base, sliced)
             extras["histogram"] = _packed(bins, keys, "bin", ["start", "end", "n"], "histogram")
     if "top" in parts:
-        top = stats.top_values(ft, base, source)
+        top = stats.top_values(ft, base, source, top_size)
         extras["top_values"] = _packed(top, keys, "position", ["value", "n", "percentage"], "top_values")
     if "samples" in parts:
         extras["samples"] = _packed(stats.sample_values(ft, source), keys, "position", ["value"], "sample_values")
-    written = session.materialize_all({**extras, **(more or {})})
+    if "pii" in parts:
+        extras["pii"] = personal_data.detect_values(ft).select(*keys, "pii_type")
     out = base
-    for name, table in written.items():
-        out = out.join(session.bounded(table, bound), keys if name in extras else "column", "left")
+    for table in session.materialize_all(extras).values():
+        out = out.join(session.bounded(table, bound), keys, "left")
     return out
 
 

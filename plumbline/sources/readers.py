@@ -13,21 +13,21 @@ from plumbline.functions import text
 
 # Candidate delimiters in order of preference, records looked at.
 DELIMITERS, RECORDS_LOOKED_AT = {"comma": ",", "tab": "\t", "semicolon": ";", "pipe": "|"}, 10
-#: Up to this many files are peeked at one by one, each stopping after the first records.
+#: Up to this many files are peeked at one by one, each stopping after the first records; more in one job. The answers are the same.
 PEEKED_FILES = 64
 BAD_RECORD = "_bad_record"
 
 
 def _first_lines(spark: SparkSession, paths: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` lines of every file, with the file name."""
+    """The first ``n`` lines of every file, numbered, with the file name."""
     if len(paths) <= PEEKED_FILES:
-        heads = [spark.read.text(p).select(F.lit(p).alias("file"), "value").limit(n) for p in paths]
+        heads = [spark.read.text(p).select(F.lit(p).alias("file"), "value", F.monotonically_increasing_id().alias("nth")).limit(n) for p in paths]
         return reduce(DataFrame.unionByName, heads)
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")
     ).filter(F.col("_metadata.file_block_start") == 0)
     first = Window.partitionBy("file").orderBy("at")
-    return lines.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= n).select("file", "value")
+    return lines.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= n).select("file", "value", "nth")
 
 
 def delimiter_scores(lines: DataFrame) -> DataFrame:
@@ -58,22 +58,56 @@ def detect_delimiter(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
+def _files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    return sorted(spark.read.text(list(paths)).inputFiles())
+
+
+def files_with_long_records(spark: SparkSession, files: Sequence[str]) -> set[str]:
+    """Files in which some line holds an odd number of quotes: a quoted cell goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.text(list(files)).select(F.col("_metadata.file_path").alias("file"), (quotes % 2).alias("odd"))
+    return {_place(r["file"]) for r in lines.filter("odd = 1").select("file").distinct().collect()}
+
+
+def _place(uri: str) -> str:
+    """One spelling of a file's address."""
+    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
+
+
+def csv_layouts(spark: SparkSession, files: Sequence[str], delimiter: str | None = None,
+                multiline: bool | None = None) -> dict[tuple[str, str, bool], list[str]]:
+    """Files by delimiter, first line and whether records span lines. One small row per file comes to the driver."""
+    first = _first_lines(spark, files, 1).select("file", F.col("value").alias("head"))
+    found = first.withColumn("delimiter", F.lit(delimiter)) if delimiter else first.join(detect_delimiter(spark, files), "file", "left")
+    spanning = files_with_long_records(spark, files) if multiline is None else {_place(f) for f in files} if multiline else set()
+    layouts: dict[tuple[str, str, bool], list[str]] = {}
+    for r in found.orderBy("file").collect():
+        layouts.setdefault((r["delimiter"] or ",", r["head"], _place(r["file"]) in spanning), []).append(r["file"])
+    return layouts
+
+
 def scan_csv(spark: SparkSession, paths: Sequence[str] | str, delimiter: str | None = None,
-             header: bool = True) -> DataFrame:
+             header: bool = True, multiline: bool | None = None, dataset: str | None = None) -> DataFrame:
     """All cells as text; records with the wrong number of fields are kept aside in ``_bad_record``.
 
-    Without a header the columns are called ``_c0, _c1, …``.
+    Delimiter and header are those of each file; files of equal layout are read together. Files with line breaks inside
+    quotes are read whole, one task per file; the others are split (``multiline`` says it without looking).
+    Without a header the columns are called ``_c0, _c1, …``. ``dataset`` names a column for the path of each row's file.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    if delimiter is None:
-        found = detect_delimiter(spark, paths[:1]).head()
-        delimiter = found["delimiter"] if found else ","
-    options = {"sep": delimiter, "header": header, "quote": '"', "escape": '"', "inferSchema": False,
-               "mode": "PERMISSIVE"}
-    names = spark.read.options(**options).csv(paths[0]).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(BAD_RECORD, T.StringType())])
-    # every field is parsed even when few are asked for, else short and long records go unnoticed
-    return spark.read.options(**options, columnNameOfCorruptRecord=BAD_RECORD, columnPruning=False).schema(schema).csv(paths)
+    files = _files(spark, [paths] if isinstance(paths, str) else paths)
+    parts = []
+    for (mark, _, spans), group in csv_layouts(spark, files, delimiter, multiline).items():
+        options = {"sep": mark, "header": header, "quote": '"', "escape": '"', "inferSchema": False, "mode": "PERMISSIVE", "multiLine": spans}
+        names = spark.read.options(**options).csv(group[0]).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(BAD_RECORD, T.StringType())])
+        # every field is parsed even when few are asked for, else short and long records go unnoticed
+        part = spark.read.options(**options, columnNameOfCorruptRecord=BAD_RECORD, columnPruning=False).schema(schema).csv(group)
+        parts.append(part.select("*", F.col("_metadata.file_path").alias(dataset)) if dataset else part)
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(BAD_RECORD, T.StringType())]))
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    last = [BAD_RECORD] + ([dataset] if dataset else [])
+    return whole.select(*[F.col(text.quoted(c)) for c in whole.columns if c not in last], *last)
 
 
 def _is_bad(scanned: DataFrame) -> Column:
@@ -169,12 +203,30 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return good_rows(df) if BAD_RECORD in df.columns else df
 
 
+def unreadable(spark: SparkSession, paths: Sequence[str], form: str = "parquet") -> DataFrame:
+    """``path, error`` of the files that cannot be opened."""
+    failed = []
+    for path in paths:  # footers and listings only
+        try:
+            spark.read.format(form).load(path).schema  # noqa: B018  reading it is the test
+        except Exception as error:
+            failed.append((path, str(error).splitlines()[0]))
+    return spark.createDataFrame(failed, "path string, error string")
+
+
 def scan_many(spark: SparkSession, paths: Sequence[str], form: str = "parquet", dataset: str = "dataset") -> DataFrame:
-    """Several files of one format as one table, each row naming its file; unreadable files are passed over."""
-    reader = spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True)
+    """Several files of one format as one table, each row naming the path of its file.
+
+    Files that cannot be opened are left out; ``unreadable`` lists them with the reason.
+    """
+    bad = {r["path"] for r in unreadable(spark, paths, form).collect()}
+    paths = [p for p in paths if p not in bad]
     if form == "csv":
-        reader = reader.option("header", True).option("escape", '"')
-    return reader.format(form).load(list(paths)).select("*", F.col("_metadata.file_name").alias(dataset))
+        return scan_csv(spark, paths, dataset=dataset)
+    reader = spark.read.option("mergeSchema", True)
+    if form == "json":
+        reader = reader.option("columnNameOfCorruptRecord", BAD_RECORD)
+    return reader.format(form).load(paths).select("*", F.col("_metadata.file_path").alias(dataset))
 
 
 def register_table(spark: SparkSession, source: str | DataFrame, name: str = "data") -> DataFrame:
@@ -185,9 +237,12 @@ def register_table(spark: SparkSession, source: str | DataFrame, name: str = "da
 
 
 def describe_schema(df: DataFrame) -> DataFrame:
-    """Column names and types, without reading data."""
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "ordinal int, column string, type string")
+    """Column names and types, with the rows of the table and how many of them fill each column."""
+    fields = list(enumerate(df.schema.fields))
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(df[text.quoted(f.name)]).alias(f"n{i}") for i, f in fields])
+    entries = [F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+                        "rows", F.col(f"n{i}").alias("filled")) for i, f in fields]
+    return counts.select(F.inline(F.array(*entries)))
 
 
 def schema_json(df: DataFrame) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import session
 from plumbline.functions import text
-from plumbline.operators.frequency import LONG_TEXT, text_of
+from plumbline.operators.frequency import text_of
 from plumbline.operators.stats import inferred_type, row_digests
 
 
@@ -60,10 +60,9 @@ def profile_stream(stream: DataFrame) -> DataFrame:
 
 
 def frequency_stream(stream: DataFrame) -> DataFrame:
-    """Running count of every value of every column; long texts are told apart by their digest."""
+    """Running count of every value of every column. The state holds each distinct value once, whatever its length."""
     cells = _text_cells(stream).filter(~text.is_missing_text(F.col("cell")))
-    value = F.when(F.octet_length("cell") > LONG_TEXT, F.sha2("cell", 256)).otherwise(F.col("cell"))
-    return cells.groupBy("column", value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return cells.groupBy("column", F.col("cell").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def duplicates_stream(stream: DataFrame) -> DataFrame:

@@ -49,11 +49,12 @@ def test_flatten_record(spark):
     assert tuple(flatten.flatten_json(df).head()) == ("1", "2", "x", "[array:2]", "")
 
 
-def test_flatten_stops_at_depth_and_width(spark):
+def test_flatten_stops_at_depth_and_keeps_every_column(spark):
     df = spark.sql("select named_struct('b', named_struct('c', named_struct('d', named_struct('e', 1)))) as a, 2 as z")
     assert flatten.flatten_json(df).columns == ["a.b.c.d", "z"]
     assert flatten.flatten_json(df).head()[0] == '{"e":1}'
-    assert len(flatten.flatten_json(df, max_columns=1).columns) == 1
+    wide = spark.range(1).select(*[F.lit(i).alias(f"c{i}") for i in range(600)])
+    assert len(flatten.flatten_json(wide).columns) == 600 and len(flatten.select_paths(wide, [f"$.c{i}" for i in range(600)]).columns) == 600
 
 
 def test_array_stats(spark):
@@ -66,3 +67,13 @@ def test_recommended_view(spark):
     df = spark.sql("select named_struct('b', named_struct('c', named_struct('d', 1))) as a")
     assert flatten.recommended_view(flatten.schema_tree(df)).head()["mode"] == "tree"
     assert flatten.recommended_view(flatten.schema_tree(spark.range(1))).head()["mode"] == "tabular"
+
+
+def test_deep_and_dotted_keys(spark):
+    deep = "1"
+    for _ in range(40):
+        deep = '{"k": ' + deep + "}"
+    df = spark.createDataFrame([(1, deep), (2, '{"a.b": 1, "a": {"b": 2}}')], "id long, j string")
+    paths = structure.structure_scan(df, "j", "id")
+    assert structure.structure_summary(paths).head()["max_depth"] == 40
+    assert sorted((r["depth"], r["parent_path"], r["examples"]) for r in paths.filter("path = '$.a.b'").collect()) == [(1, "$", ["1"]), (2, "$.a", ["2"])]

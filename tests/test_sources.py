@@ -85,3 +85,14 @@ def test_tables(spark, sf):
     readers.register_table(spark, f"{sf}/region.parquet", "some_region")
     assert "some_region" in readers.list_tables(spark)
     assert readers.drop_table(spark, "some_region") and "some_region" not in readers.list_tables(spark)
+
+
+def test_records_over_several_lines_and_files_of_different_layout(spark):
+    one = text_file(spark, "id,note", '1,"first', 'second ""line"""', "2,plain", '3,"a,b"')
+    scanned = readers.scan_csv(spark, one)
+    assert rows(readers.good_rows(scanned)) == [("1", 'first\nsecond "line"'), ("2", "plain"), ("3", "a,b")]
+    assert tuple(readers.malformed_rows(scanned).head()) == (3, 0, 3)
+    two = text_file(spark, "id;extra", "7;x", "9;w")
+    both = readers.scan_csv(spark, [one, two])
+    assert rows(readers.good_rows(both), "id", "note", "extra")[-2:] == [("7", None, "x"), ("9", None, "w")]
+    assert readers.malformed_rows(both).head()["malformed"] == 0
