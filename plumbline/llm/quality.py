@@ -119,7 +119,7 @@ class Network:
     def __init__(self, prior: float):
         self.prior, self.weights = prior, None
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 3e-3, seed: int = 11) -> Network:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 20, batch: int = 64, rate: float = 2e-3, seed: int = 11) -> Network:
         random = np.random.default_rng(seed)
         aside = np.arange(len(x)) % 5 == 0  # rows come in random order
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -136,7 +136,7 @@ class Network:
                 hidden = np.maximum(x[part] @ weights[0] + weights[1], 0)
                 error = (_logistic(hidden @ weights[2] + weights[3]) - y[part]) / len(part)
                 back = np.outer(error, weights[2]) * (hidden > 0)
-                slopes = [x[part].T @ back + 1e-4 * weights[0], back.sum(axis=0), hidden.T @ error + 1e-4 * weights[2], error.sum()]
+                slopes = [x[part].T @ back + 2e-3 * weights[0], back.sum(axis=0), hidden.T @ error + 2e-3 * weights[2], error.sum()]
                 step += 1
                 for k, slope in enumerate(slopes):
                     first[k] = 0.9 * first[k] + 0.1 * slope
