@@ -6,8 +6,9 @@ nodes link when 100 * intersection >= percent * union.
 *Prefix filter.* N-grams have one global order: those that are not frequent first, the frequent ones behind, by hash
 within each. Linked nodes share one of their first n - ceil(t n) + 1 n-grams in that order. Each node emits
 its first n-grams by hash, with ``MARGIN`` of its size to spare; one shuffle by n-gram counts them, and every frequent
-one is replaced by the next rare one in the margin. A node whose margin runs out (most of it is frequent) is joined on its plain
-prefix by hash, against which the same bound holds, so no link is lost. An n-gram that ``CROWDED`` nodes of one block
+one is replaced by the next rare one in the margin. Nodes whose margin runs out, because much of them is frequent, are
+compared among themselves by their whole sets, in exact order of frequency there; for the comparison with the other nodes their
+prefixes are completed from the whole sets, and the others' entries of those n-grams are looked up. So no link is lost. An n-gram that ``CROWDED`` nodes of one block
 hold is known to be frequent there and then: it is not sent to one place to be counted.
 
 *Pairs.* An n-gram held by many nodes does not give all pairs. First every node of a list is compared with two leaders
@@ -106,13 +107,23 @@ def _scan(rows: DataFrame, percent: int, n: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _entries(rows: DataFrame, percent: int, n: int) -> DataFrame:
-    """``gram, node, place`` of the entries that are not crowded; and one entry without a node for each crowded gram of each block."""
+def _entries(rows: DataFrame, percent: int, n: int, all_of: bool = False, wanted=None) -> DataFrame:
+    """``gram, node, place`` of the entries that are not crowded; and one entry without a node for each crowded gram of each block.
+
+    With ``all_of`` crowded entries are among them and nothing else; ``wanted`` is a broadcast sorted array of the grams to keep.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 1):
             grams, nodes, places, crowded, told = _block_entries([shingles(t, n) for t in as_bytes(block.column(1))], percent)
-            yield pa.record_batch({"gram": pa.array(grams[~crowded]), "node": pa.array(nodes[~crowded]), "place": pa.array(places[~crowded])})
+            kept = np.ones(len(grams), bool) if all_of else ~crowded
+            if wanted is not None:
+                asked = wanted.value
+                at = np.searchsorted(asked, grams)
+                kept &= asked[np.minimum(at, len(asked) - 1)] == grams if len(asked) else False
+            yield pa.record_batch({"gram": pa.array(grams[kept]), "node": pa.array(nodes[kept]), "place": pa.array(places[kept])})
+            if all_of:
+                continue
             yield pa.record_batch({"gram": pa.array(told), "node": pa.nulls(len(told), pa.int64()), "place": pa.nulls(len(told), pa.int64())})
 
     return rows.mapInArrow(run, "gram long, node long, place long")
@@ -189,10 +200,18 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(stars.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def _lists(rows: DataFrame, crowded: DataFrame, percent: int, n: int) -> DataFrame:
-    """Prefix entries of grams that several nodes hold: ``gram, node, size, at, lead`` with two leaders of each list.
+RARE, ADDED, WHOLE = 0, 1, 2
+
+
+def _need(size: Column, percent: int) -> Column:
+    return size - F.ceil(size * percent / 100) + 1
 
-    ``plain`` lists are in order of hash and join only with nodes whose margin ran out (``lead``).
+
+def _lists(rows: DataFrame, crowded: DataFrame, percent: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Prefix entries of rare grams that several nodes hold; what each node has to skip; the frequent grams (``gram``).
+
+    Entries: ``gram, kind, node, size, at, lead`` (its margin ran out), with two leaders of each list (``first``, ``last``).
+    Skipped: ``of`` (node), ``skipped`` ranks, ``exhausted``.
     """
     entries = _entries(rows, percent, n)
     by_gram = Window.partitionBy("gram")
@@ -202,51 +221,74 @@ def _lists(rows: DataFrame, crowded: DataFrame, percent: int, n: int) -> DataFra
         F.min(ticket).over(by_gram).alias("first"), F.max(ticket).over(by_gram).alias("last"))
     few = counted.where("node is not null and (told or first.node <> last.node)").select(
         "gram", "node", "place", (F.col("many") | F.col("told")).alias("frequent"), F.col("first.node").alias("first"), F.col("last.node").alias("last"))
-    crowded = crowded.select("gram", "node", "place", F.lit(True).alias("frequent"),
-                                              F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
+    nobody = F.lit(None).cast("long")
+    crowded = crowded.select("gram", "node", "place", F.lit(True).alias("frequent"), nobody.alias("first"), nobody.alias("last"))
     lists = session.materialize(few.union(crowded), "lists")
 
-    # frequent lists are few; their leaders are found over all parts of them
-    frequent = lists.where("frequent")
-    heads = frequent.groupBy(F.col("gram").alias("of")).agg(F.min(ticket).alias("head"), F.max(ticket).alias("tail"))
-    led = frequent.join(heads, F.col("gram") == F.col("of")).where("head.node <> tail.node").select(
-        "gram", "node", "place", "frequent", F.col("head.node").alias("first"), F.col("tail.node").alias("last"))
-    led = session.materialize(led, "frequent-lists")
-
-    size = F.shiftright("place", 32)
-    need = lambda size: size - F.ceil(size * percent / 100) + 1
-    skipped = led.groupBy(F.col("node").alias("of")).agg(F.sort_array(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF))).alias("skipped"), F.max(size).alias("own"))
-    skipped = skipped.select("of", "skipped", (F.floor(F.col("own") * MARGIN) < F.size("skipped")).alias("exhausted"))
-    every = lists.where("not frequent").union(led).select(
-        "gram", "node", size.alias("size"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("rank"), "frequent", "first", "last")
-    marked = every.join(skipped, F.col("node") == F.col("of"), "left").withColumn("exhausted", F.coalesce("exhausted", F.lit(False)))
-    before = F.coalesce(F.size(F.filter("skipped", lambda r: r < F.col("rank"))), F.lit(0))
-    at = F.col("rank") - before
-    options = F.array(
-        F.when(~F.col("exhausted") & ~F.col("frequent") & (at < need(F.col("size"))), F.struct(F.lit(False).alias("plain"), at.alias("at"), F.lit(True).alias("lead"))),
-        F.when(F.col("rank") < need(F.col("size")), F.struct(F.lit(True).alias("plain"), F.col("rank").alias("at"), F.col("exhausted").alias("lead"))))
-    options = F.filter(options, lambda o: o.isNotNull())
-    placed = marked.withColumn("option", F.explode(options)).select("gram", "node", "size", "first", "last", "option.*").distinct()
-    placed = session.materialize(placed, "placed")
-    # a plain list matters only where it has a node that leads
-    led_lists = placed.where("plain and lead").select(F.col("gram").alias("of")).distinct()
-    plain = placed.where("plain").join(led_lists, F.col("gram") == F.col("of"), "left_semi")
-    return session.materialize(placed.where("not plain").union(plain), "prefixes")
+    size, rank = F.shiftright("place", 32), F.col("place").bitwiseAND(0xFFFFFFFF)
+    skipped = lists.where("frequent").groupBy(F.col("node").alias("of")).agg(F.sort_array(F.collect_set(rank)).alias("skipped"), F.max(size).alias("own"))
+    skipped = session.materialize(skipped.select("of", "skipped", (F.floor(F.col("own") * MARGIN) < F.size("skipped")).alias("exhausted")), "skipped")
+    marked = lists.join(skipped, F.col("node") == F.col("of"), "left").select(
+        "gram", "node", size.alias("size"), rank.alias("rank"), "frequent", "first", "last", F.coalesce("exhausted", F.lit(False)).alias("lead"),
+        (rank - F.coalesce(F.size(F.filter("skipped", lambda r: r < F.col("place").bitwiseAND(0xFFFFFFFF))), F.lit(0))).alias("at"))
+    marked = session.materialize(marked, "marked")
+    rare = marked.where(~F.col("frequent") & (F.col("at") < _need(F.col("size"), percent)))
+    kept = rare.select("gram", F.lit(RARE).alias("kind"), "node", "size", "at", "lead", "first", "last").distinct()
+    return kept, skipped, lists.where("frequent").select("gram").distinct()
+
+
+def _added_lists(rows: DataFrame, sets: DataFrame, skipped: DataFrame, frequent: DataFrame, percent: int, n: int) -> DataFrame:
+    """The rest of the prefixes of nodes whose margin ran out (``lead``), with the entries other nodes have for the same grams."""
+    size = F.size("grams")
+    emitted = _need(size, percent) + F.floor(size * MARGIN)
+    grams = sets.select("node", size.alias("size"), emitted.alias("emitted"), F.posexplode("grams").alias("rank", "gram"))
+    known = frequent.select(F.col("gram").alias("of"))
+    order = Window.partitionBy("node").orderBy("rank")
+    rest = grams.join(known, F.col("gram") == F.col("of"), "left_anti").withColumn("at", F.row_number().over(order) - 1)
+    rest = rest.where((F.col("rank") >= F.col("emitted")) & (F.col("at") < _need(F.col("size"), percent)))
+    added = session.materialize(rest.select("gram", "node", "size", "at"), "added")
+    wanted = session.materialize(added.select("gram").distinct(), "added-grams")
+    entries = _entries(rows, percent, n, all_of=True)
+    if wanted.count() <= session.NARROW_BROADCAST_ROWS:
+        held = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64)))
+        entries = _entries(rows, percent, n, all_of=True, wanted=held)
+    met = entries.join(wanted.withColumnRenamed("gram", "of"), F.col("gram") == F.col("of"), "left_semi")
+    met = met.join(skipped, F.col("node") == F.col("of"), "left").where(~F.coalesce("exhausted", F.lit(False)))
+    rank = F.col("place").bitwiseAND(0xFFFFFFFF)
+    at = rank - F.coalesce(F.size(F.filter("skipped", lambda r: r < F.col("place").bitwiseAND(0xFFFFFFFF))), F.lit(0))
+    met = met.select("gram", "node", F.shiftright("place", 32).alias("size"), at.alias("at")).where(F.col("at") < _need(F.col("size"), percent))
+    nobody = F.lit(None).cast("long")
+    each = lambda df, lead: df.select("gram", F.lit(ADDED).alias("kind"), "node", "size", "at", F.lit(lead).alias("lead"), nobody.alias("first"), nobody.alias("last"))
+    return each(added, True).union(each(met.distinct(), False))
+
+
+def _whole_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """Prefix entries of whole sets in exact order of frequency among them; leaders are the nodes with the least before the gram."""
+    grams = sets.select("node", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    held = grams.groupBy(F.col("gram").alias("of")).agg(F.count(F.lit(1)).alias("held")).where("held >= 2")
+    by_node = Window.partitionBy("node")
+    shared = grams.join(held, F.col("gram") == F.col("of")).drop("of")
+    # grams that one node holds alone come before all of these
+    at = F.row_number().over(by_node.orderBy("held", "gram")) - 1 + F.col("size") - F.count(F.lit(1)).over(by_node)
+    prefix = shared.select("gram", "node", "size", at.alias("at")).where(F.col("at") < _need(F.col("size"), percent))
+    prefix = session.materialize(prefix, "whole")
+    ticket = F.struct("at", F.xxhash64("node").alias("ticket"), "node")
+    leaders = prefix.groupBy(F.col("gram").alias("of")).agg(F.min(ticket)["node"].alias("first"), F.min(F.struct(F.xxhash64("node").alias("ticket"), "node"))["node"].alias("last"))
+    return prefix.join(leaders, F.col("gram") == F.col("of")).select("gram", F.lit(WHOLE).alias("kind"), "node", "size", "at", F.lit(True).alias("lead"), "first", "last")
 
 
 def _candidates(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of nodes in different components that share a prefix gram and pass the length and position filters."""
     of = roots.withColumnRenamed("node", "of")
     rooted = lists.join(of, F.col("node") == F.col("of"), "left").select(
-        "gram", "plain", "node", "size", "at", "lead", F.coalesce("root", "node").alias("root"))
-    open_lists = rooted.groupBy(F.col("gram").alias("g"), F.col("plain").alias("p")).agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    open_lists = open_lists.where("least <> most").select("g", "p")
-    left = session.materialize(rooted.join(open_lists, (F.col("gram") == F.col("g")) & (F.col("plain") == F.col("p"))).drop("g", "p"), "open")
+        "gram", "kind", "node", "size", "at", "lead", F.coalesce("root", "node").alias("root"))
+    open_lists = rooted.groupBy(F.col("gram").alias("g"), F.col("kind").alias("k")).agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    open_lists = open_lists.where("least <> most").select("g", "k")
+    left = session.materialize(rooted.join(open_lists, (F.col("gram") == F.col("g")) & (F.col("kind") == F.col("k"))).drop("g", "k"), "open")
     right = left.select(*(F.col(c).alias(f"{c}_") for c in left.columns))
-    total = F.col("size") + F.col("size_")
-    needed = F.ceil(total * percent / (100 + percent))
-    pairs = left.join(right, (F.col("gram") == F.col("gram_")) & (F.col("plain") == F.col("plain_")) & (F.col("node") < F.col("node_"))
-                      & (F.col("root") != F.col("root_")) & (F.col("lead") | F.col("lead_"))
+    needed = F.ceil((F.col("size") + F.col("size_")) * percent / (100 + percent))
+    pairs = left.join(right, (F.col("gram") == F.col("gram_")) & (F.col("kind") == F.col("kind_")) & (F.col("node") < F.col("node_"))
+                      & (F.col("root") != F.col("root_")) & ((F.col("kind") != ADDED) | (F.col("lead") != F.col("lead_")))
                       & (100 * F.least("size", "size_") >= percent * F.greatest("size", "size_"))
                       & (F.least(F.col("size") - F.col("at"), F.col("size_") - F.col("at_")) >= needed))
     return pairs.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
@@ -254,16 +296,20 @@ def _candidates(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 def _led(lists: DataFrame) -> DataFrame:
     """Distinct pairs of each node with the two leaders of its lists."""
-    each = lists.select("node", F.explode(F.array("first", "last")).alias("leader")).where("node <> leader")
+    each = lists.where(F.col("kind") != ADDED).select("node", F.explode(F.array("first", "last")).alias("leader")).where("node <> leader")
     return each.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
 def connect(rows: DataFrame, scanned: DataFrame, percent: int, n: int) -> DataFrame:
     """``node, root`` for the nodes that link with another."""
-    lists = _lists(rows, scanned.where("gram is not null"), percent, n)
+    lists, skipped, frequent = _lists(rows, scanned.where("gram is not null"), percent, n)
     nodes = session.materialize(scanned.where("gram is null and node is not null").groupBy("node").agg(
         F.first("size").alias("size"), F.first("bins").alias("bins"), F.min("doc").alias("doc")), "nodes")
 
+    whole = _sets(rows, nodes.join(skipped.where("exhausted"), F.col("node") == F.col("of")).select("node", "doc"), n)
+    added = _added_lists(rows, whole, skipped, frequent, percent, n)
+    lists = session.materialize(lists.union(added).union(_whole_lists(whole, percent)), "prefixes")
+
     def linked(pairs: DataFrame, checked: DataFrame | None) -> DataFrame:
         """``a, b, linked`` of the pairs that pass the suffix filter and are not checked yet."""
         if checked is not None:
