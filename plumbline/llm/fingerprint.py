@@ -16,8 +16,8 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from plumbline.llm.common import blocks, kept_in_worker, pick
 from plumbline.llm.ngram_join import LOWER
 
-SAMPLES = 128
-BLOCK_CHARS = 500_000
+SAMPLES = 96
+BLOCK_CHARS = 1_000_000
 MOST_BLOCKS = 20_000
 DRAWN_PER_BLOCK = 20
 ROWS_AT_ONCE = 1024
@@ -107,6 +107,11 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], draws: Draws) -> list[
     return best
 
 
+def _written(signature: np.ndarray) -> str:
+    """Sixteen bits a sample, in base 64."""
+    return base64.b64encode(signature.tobytes()).decode()
+
+
 def likeness(one: np.ndarray, one_empty: bool, other: np.ndarray, other_empty: bool) -> float:
     if one_empty or other_empty:
         return float(one_empty and other_empty)
@@ -171,7 +176,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 bag = terms_of(following.encode())
                 made[following] = signatures([bag], draws)[0], not len(bag[0])
             own, other, after = made[text], made[changed], made[following]
-            out.append((doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), own[0].tobytes().hex(), other[0].tobytes().hex(),
+            out.append((doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), _written(own[0]), _written(other[0]),
                         likeness(*own, *other), likeness(*own, *after)))
             made = {following: after}
         columns = list(zip(*out))
