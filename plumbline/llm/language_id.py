@@ -30,6 +30,8 @@ PROBES = 3
 BITS_PER_GRAM = 16
 HELD_GRAMS = 1_000_000
 BLANK = 32
+#: Bytes of text whose trigrams are in memory at a time (some 40 bytes each).
+TEXT_AT_ONCE = 2 << 20
 
 
 def _letters() -> np.ndarray:
@@ -66,7 +68,7 @@ def count_grams(docs: DataFrame, learn: Column, lang_col: str, text_col: str) ->
                 yield pa.record_batch({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(grams.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
             held.clear()
 
-        for block in blocks(batches, 1):
+        for block in blocks(batches, 1, TEXT_AT_ONCE):
             langs = np.array(block.column(0).to_pylist(), object)
             texts = block.column(1).to_pylist()
             for lang in set(langs):
@@ -153,7 +155,7 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = Filters([], 1)
         filters.__dict__.update(shared.value)
-        for block in blocks(batches, 1):
+        for block in blocks(batches, 1, TEXT_AT_ONCE):
             grams, sizes = trigrams(block.column(1).to_pylist())
             langs, scores = ["und"] * len(sizes), np.zeros(len(sizes))
             if filters.langs:
