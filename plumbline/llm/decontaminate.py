@@ -181,11 +181,21 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
+def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without the words of the merged spans."""
+    places = [m.span() for m in WORD.finditer(text.translate(NORMAL))]
+    kept, last = [], 0
+    for start, end in spans:
+        kept.append(text[last:places[start][0]])
+        last = places[end - 1][1]
+    return b"".join([*kept, text[last:]])
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _passes(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, min_words: int, scan) -> DataFrame:
-    """Run ``scan(batches, automata)`` with a few shards at a time; each pass sees what the one before left."""
+    """Run ``scan(block, automata, last)`` with a few shards at a time; each pass adds to the spans of the one before."""
     automata = _automata(items, item_id, item_text, min_words)
     shards = sorted(r[0] for r in automata.select("shard").collect())
     rounds = [shards[i:i + SHARDS_PER_PASS] for i in range(0, len(shards), SHARDS_PER_PASS)] or [[]]
@@ -193,10 +203,10 @@ def _passes(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, min
         blobs = [r[0] for r in automata.where(F.col("shard").isin(some)).select("automaton").collect()] if some else []
         shared = docs.sparkSession.sparkContext.broadcast([bytes(b) for b in blobs])
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, last=number + 1 == len(rounds)):
             loaded = [pickle.loads(b) for b in shared.value] if len(shared.value) == 1 else None
             for block in blocks(batches, 1):
-                yield from scan(block, loaded or (pickle.loads(b) for b in shared.value))
+                yield from scan(block, loaded or (pickle.loads(b) for b in shared.value), last)
 
         docs = docs.mapInArrow(run, docs.schema)
         if number + 1 < len(rounds):
@@ -210,7 +220,7 @@ def find_matches(
 ) -> DataFrame:
     """Per document: ``doc``, ``n_words``, the hit word ``spans`` (start, end) and the ``items`` found in it."""
 
-    def scan(block: pa.RecordBatch, automata) -> Iterator[pa.RecordBatch]:
+    def scan(block: pa.RecordBatch, automata, last: bool) -> Iterator[pa.RecordBatch]:
         words = [(t or b"").translate(NORMAL).split() for t in as_bytes(block.column(1))]
         spans = [[(s["start"], s["end"]) for s in old] for old in block.column(2).to_pylist()]
         items = [set(old) for old in block.column(3).to_pylist()]
@@ -240,29 +250,25 @@ def decontaminate(
     """``docs`` without the spans that occur in items; documents with more than ``max_coverage`` of their words in such spans go."""
     columns = docs.columns
     rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), docs[text_col].alias("text"),
+                       F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"),
                        F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"))
 
-    def scan(block: pa.RecordBatch, automata) -> Iterator[pa.RecordBatch]:
+    def scan(block: pa.RecordBatch, automata, last: bool) -> Iterator[pa.RecordBatch]:
+        """Spans are gathered on the uncut text; the last pass cuts them out."""
         texts = as_bytes(block.column(1))
-        out, totals, hits = list(texts), block.column(2).to_pylist(), block.column(3).to_pylist()
+        words = [(t or b"").translate(NORMAL).split() for t in texts]
+        spans = [[(s["start"], s["end"]) for s in old] for old in block.column(2).to_pylist()]
         for a in automata:
-            for at, text in enumerate(out):
-                normal = (text or b"").translate(NORMAL)
-                words = normal.split()
-                totals[at] = max(totals[at], len(words))
-                spans, _ = match_words(words, a)
-                if not spans:
-                    continue
-                places = [m.span() for m in WORD.finditer(normal)]
-                kept, last = [], 0
-                for start, end in _merge(spans):
-                    hits[at] += end - start
-                    kept.append(text[last:places[start][0]])
-                    last = places[end - 1][1]
-                out[at] = b"".join([*kept, text[last:]])
+            for at, some in enumerate(words):
+                more, _ = match_words(some, a)
+                if more:
+                    spans[at] = _merge(spans[at] + more)
+        out = [_cut(t, x) if last and x else t for t, x in zip(texts, spans)]
         yield pa.record_batch({
             "row": block.column(0), "text": pa.array([None if t is None else t.decode() for t in out], pa.string()),
-            "n_words": pa.array(totals, pa.int64()), "n_hit": pa.array(hits, pa.int64()),
+            "spans": pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPANS),
+            "n_words": pa.array([len(w) for w in words], pa.int64()),
+            "n_hit": pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()),
         })
 
     done = _passes(rows, items, item_id, item_text, min_words, scan)

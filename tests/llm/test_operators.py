@@ -63,6 +63,25 @@ def test_decontaminated_texts_hold_no_window(awkward, items):
     assert untouched <= {r[0] for r in clean.collect()}
 
 
+@pytest.mark.parametrize("shard_chars", [600_000, 300, 1])
+def test_shards_cut_the_whole_text_once(spark, awkward, items, monkeypatch, shard_chars):
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", shard_chars)
+    w = [f"w{n}" for n in range(40)]
+    more = [(21, " ".join(w[:10])), (22, " ".join(w[5:15])), (23, " ".join(w[20:25] + w[35:40]))]
+    more += [(30 + n, " ".join(f"i{n}x{k}" for k in range(10))) for n in range(8)]
+    texts = [" ".join(w[:15] + [f"a{n}" for n in range(14)]), " ".join(w[:15] + [f"a{n}" for n in range(30)]),
+             " ".join(w[20:25] + w[:15] + w[35:40] + [f"b{n}" for n in range(20)])]
+    docs = awkward.select("doc_id", "text").union(spark.createDataFrame([(100 + n, t) for n, t in enumerate(texts)], "doc_id long, text string"))
+    all_items = items.select("item_id", "text").union(spark.createDataFrame(more, "item_id long, text string"))
+    expected = []
+    for doc, text in [(r[0], r[1]) for r in awkward_rows()] + [(100 + n, t) for n, t in enumerate(texts)]:
+        n, hit, _ = plain_matches(text, ITEMS + more)
+        if hit <= n * 0.5:
+            expected.append((doc, n - hit))
+    got = decontaminate.decontaminate(docs, all_items).collect()
+    assert sorted(((r["doc_id"], len(words_of(r["text"]))) for r in got), key=repr) == sorted(expected, key=repr)
+
+
 def test_nothing_to_decontaminate(nothing, awkward, items):
     assert listed(decontaminate.find_matches(nothing, items)) == []
     assert listed(decontaminate.find_matches(awkward, items.limit(0)).where("size(items) > 0")) == []
