@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from plumbline.llm.common import blocks, kept_in_worker, pick
 from plumbline.llm.ngram_join import LOWER
 
-SAMPLES = 96
+SAMPLES = 128
 BLOCK_CHARS = 1_000_000
 MOST_BLOCKS = 20_000
 DRAWN_PER_BLOCK = 20
@@ -50,19 +50,22 @@ class Draws:
         self.seeds = np.array([xxhash.xxh3_64_intdigest(b"sample %d" % k) for k in range(SAMPLES)], np.uint64)
 
     def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        mixed = (terms[:, None] ^ self.seeds) * np.uint64(0xBF58476D1CE4E5B9)
+        """r, ln c and b with one row per sample and one column per term."""
+        mixed = terms ^ self.seeds[:, None]
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x94D049BB133111EB)
         mixed ^= mixed >> np.uint64(32)
-        r = self.r[(mixed & np.uint64(0x3FFF)).astype(np.intp)]
-        log_c = self.log_c[((mixed >> np.uint64(14)) & np.uint64(0x3FFFF)).astype(np.intp)]
-        return r, log_c, (mixed >> np.uint64(32)).astype(np.float32) * np.float32(2.0**-32)
+        low = mixed.astype(np.uint32)
+        r = self.r.take((low & np.uint32(0x3FFF)).astype(np.intp), mode="clip")
+        log_c = self.log_c.take((low >> np.uint32(14)).astype(np.intp), mode="clip")
+        return r, log_c, (mixed >> np.uint64(32)).astype(np.uint32).astype(np.float32) * np.float32(2.0**-32)
 
 
 def terms_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the terms of a text, and their weights."""
     words = text.translate(LOWER).split()
-    if any(len(w) > LONG_WORD for w in words):
+    if max(map(len, words), default=0) > LONG_WORD:
         words = [p for w in words for p in ([w] if len(w) <= LONG_WORD else [w[k:k + PIECE] for k in range(0, len(w), PIECE)])]
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if len(hashes) > 1:
@@ -81,6 +84,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], draws: Draws) -> list[
     union = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
     least = [np.full(SAMPLES, np.inf, np.float32) for _ in bags]
     best = [np.zeros(SAMPLES, "<u2") for _ in bags]
+    samples = np.arange(SAMPLES)
     for start in range(0, len(union), ROWS_AT_ONCE):
         part = union[start:start + ROWS_AT_ONCE]
         r, log_c, b = draws.of(part)
@@ -91,18 +95,23 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], draws: Draws) -> list[
                 continue
             own, weight = terms[lo:hi], weights[lo:hi]
             at = np.searchsorted(part, own)
-            value = alone[at] if len(at) < len(part) else alone.copy()
-            level = np.zeros(value.shape, np.float32) if (weight > 1).any() else None
-            if level is not None:
-                many = np.flatnonzero(weight > 1)
-                rows = at[many]
-                level[many] = np.floor(np.log(weight[many]).astype(np.float32)[:, None] / r[rows] + b[rows])
-                value[many] = log_c[rows] - r[rows] * (level[many] - b[rows] + 1)
-            first = value.argmin(axis=0)
-            lowest = value[first, np.arange(SAMPLES)]
+            many = np.flatnonzero(weight > 1)
+            value = alone.take(at, axis=1, mode="clip") if len(at) < len(part) else alone.copy() if len(many) else alone
+            if len(many):
+                places = at[many]
+                r_many, b_many = r.take(places, axis=1, mode="clip"), b.take(places, axis=1, mode="clip")
+                level = np.floor(np.log(weight[many]).astype(np.float32) / r_many + b_many)
+                value[:, many] = log_c.take(places, axis=1, mode="clip") - r_many * (level - b_many + 1)
+            first = value.argmin(axis=1)
+            lowest = value[samples, first]
+            levels = np.zeros(SAMPLES, np.float32)
+            if len(many):
+                column = np.full(len(own), -1)
+                column[many] = np.arange(len(many))
+                column = column[first]
+                levels = np.where(column >= 0, level[samples, column], levels)
             better = lowest < least[n]
             least[n] = np.where(better, lowest, least[n])
-            levels = np.zeros(SAMPLES, np.float32) if level is None else level[first, np.arange(SAMPLES)]
             best[n] = np.where(better, _finish(own[first], levels), best[n])
     return best
 
@@ -162,23 +171,26 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ])
 
     def judge(block: list[tuple]) -> pa.RecordBatch:
-        """Rows of a block with the row after each (doc, text, next text)."""
+        """Rows of a block with the row after each (doc, text, next text). A text and its edit are drawn together, once per row."""
         draws = kept_in_worker("cws_draws", Draws)
         out = []
-        made: dict[str, tuple[np.ndarray, bool]] = {}
+        signed = []
         for doc, text, following in block:
             changed = edited(text, following)
-            new = [t for t in dict.fromkeys((text, changed)) if t not in made]
-            bags = [terms_of(t.encode()) for t in new]
-            for t, (terms, _), signature in zip(new, bags, signatures(bags, draws)):
-                made[t] = signature, not len(terms)
-            if following not in made:
+            bags = [terms_of(t.encode()) for t in ((text,) if changed == text else (text, changed))]
+            pair = [(signature, not len(terms)) for (terms, _), signature in zip(bags, signatures(bags, draws))]
+            signed.append((pair[0], pair[-1], changed))
+        for at, (doc, text, following) in enumerate(block):
+            own, other, changed = signed[at]
+            if at + 1 < len(block) and block[at + 1][1] == following:
+                after = signed[at + 1][0]
+            elif following == text:
+                after = own
+            else:
                 bag = terms_of(following.encode())
-                made[following] = signatures([bag], draws)[0], not len(bag[0])
-            own, other, after = made[text], made[changed], made[following]
+                after = signatures([bag], draws)[0], not len(bag[0])
             out.append((doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), _written(own[0]), _written(other[0]),
                         likeness(*own, *other), likeness(*own, *after)))
-            made = {following: after}
         columns = list(zip(*out))
         return pa.record_batch([pa.array(columns[0], kind), *(pa.array(c, t) for c, t in zip(columns[1:], (
             pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())))], names=schema.names)

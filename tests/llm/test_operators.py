@@ -1,5 +1,6 @@
 """The corpus operators on awkward rows, against plain versions of the same definitions."""
 
+import base64
 import hashlib
 import random
 import re
@@ -210,6 +211,11 @@ def test_collisions_estimate_the_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
 
 
+def test_fingerprints_hold_128_samples(awkward):
+    sizes = {len(base64.b64decode(r[c])) for r in fingerprint.fingerprint_edits(awkward).collect() for c in ("fingerprint", "edited_fingerprint")}
+    assert sizes == {2 * 128}
+
+
 def test_no_fingerprints(nothing):
     assert fingerprint.fingerprint_edits(nothing).count() == 0
 
