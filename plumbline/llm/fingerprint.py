@@ -1,8 +1,8 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is a bag of its adjacent word pairs (a single word stands alone; words longer than 24 bytes are cut into pieces of 8),
-weighted by how often they occur. For each of ``SAMPLES`` samples every term draws, from its hash alone, two Gamma(2, 1) values
-r, c and a uniform b; with weight w it gets the level t = floor(ln w / r + b) and the value ln c - r (t - b + 1). The term
+A text is a bag of its adjacent word pairs (a single word stands alone; in place of a word longer than 24 bytes stand all
+its runs of 8 code points, so that an insertion changes only the terms around it, in writing without spaces too), weighted by
+how often they occur. For each of ``SAMPLES`` samples every term draws, from its hash alone, two Gamma(2, 1) values r, c and a uniform b; with weight w it gets the level t = floor(ln w / r + b) and the value ln c - r (t - b + 1). The term
 with the least value is the sample, together with its level. Two texts share a sample with a chance equal to the generalised
 Jaccard similarity of their bags, so the share of equal samples estimates it.
 
@@ -62,11 +62,16 @@ class Draws:
         return r, log_c, (mixed >> np.uint64(32)).astype(np.uint32).astype(np.float32) * np.float32(2.0**-32)
 
 
+def pieces(word: str) -> list[str]:
+    """All runs of ``PIECE`` code points of a long word."""
+    return [word[k:k + PIECE] for k in range(max(1, len(word) - PIECE + 1))]
+
+
 def terms_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the terms of a text, and their weights."""
     words = text.translate(LOWER).split()
     if max(map(len, words), default=0) > LONG_WORD:
-        words = [p for w in words for p in ([w] if len(w) <= LONG_WORD else [w[k:k + PIECE] for k in range(0, len(w), PIECE)])]
+        words = [p for w in words for p in ([w] if len(w) <= LONG_WORD else pieces(w.decode()))]
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if len(hashes) > 1:
         hashes = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] + np.uint64(0x7F4A7C15))

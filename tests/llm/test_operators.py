@@ -216,6 +216,16 @@ def test_fingerprints_hold_128_samples(awkward):
     assert sizes == {2 * 128}
 
 
+def test_an_insertion_changes_only_the_terms_around_it():
+    r = random.Random(5)
+    chinese = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(2000))
+    token = base64.b64encode(r.randbytes(1500)).decode()
+    for text, more in ((chinese, "\u4e00"), (token, "x"), ("word " + token, "x")):
+        assert generalised_jaccard(text, text[:7] + more + text[7:]) > 0.95
+        assert generalised_jaccard(text, text[::-1]) < 0.1
+    assert fingerprint.pieces("\U0001F600" * 7) == ["\U0001F600" * 7]
+
+
 def test_no_fingerprints(nothing):
     assert fingerprint.fingerprint_edits(nothing).count() == 0
 
