@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import fixed, grouped, share
 from plumbline.functions.pii import is_personal_name
+from plumbline.operators.stats import TOP_VALUES
 
 # Preview size and the size that is called large.
 PREVIEW_ROWS, LARGE_RESULT = 1000, 100_000
@@ -26,13 +27,18 @@ def report_rows(profile: DataFrame) -> DataFrame:
     )
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    """The first of the top values; profiles hold more, for rules."""
+    return rows.withColumn("top_values", F.slice("top_values", 1, TOP_VALUES)) if "top_values" in rows.columns else rows
+
+
 def report_json(profile: DataFrame) -> DataFrame:
     """One JSON object per column."""
     rows = report_rows(profile)
     numeric = F.struct(*[F.col(c) for c in NUMBERS if c in rows.columns])
     extra = [c for c in ("top_values", "histogram", "notes") if c in profile.columns]
     if extra:
-        rows = rows.join(profile.select("ordinal", *extra), "ordinal")
+        rows = _shown(rows.join(profile.select("ordinal", *extra), "ordinal"))
     body = F.struct(
         F.col("column").alias("name"),
         F.struct("count", "missing", "distinct", F.col("inferred_type").alias("inferredType"),
@@ -50,8 +56,8 @@ def report_document(profile: DataFrame, file_name: str, file_size: int = 0, seco
     def six(c: Column) -> Column:
         return F.round(c, 6)
 
-    rows = report_rows(profile).join(
-        profile.select("ordinal", *[c for c in ("top_values", "histogram", "notes", "unique_count") if c in profile.columns]), "ordinal")
+    rows = _shown(report_rows(profile).join(
+        profile.select("ordinal", *[c for c in ("top_values", "histogram", "notes", "unique_count") if c in profile.columns]), "ordinal"))
     named = {"std_dev": "stdDev"}
     stats_ = [F.col("count"), F.col("missing"), F.col("distinct"), F.col("inferred_type").alias("inferredType"),
               F.col("min_length").alias("minLength"), F.col("max_length").alias("maxLength"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline import session
 from plumbline.functions.numeric import fixed, grouped, plain, share
+from plumbline.operators.rules_gen import all_held
 
 RESULT = ("rule_type", "column", "status", "observed", "expected", "reason", "raw")
 
@@ -56,6 +57,9 @@ def with_table_facts(profile: DataFrame) -> DataFrame:
     )
 
 
+NOT_ALL_HELD = "The profile does not hold all distinct values"
+
+
 def _against(rules: DataFrame, profile: DataFrame, max_columns: int) -> DataFrame:
     """Each rule with the profile row of its column (null where there is none) and the table facts."""
     facts = profile.agg(F.max("count").alias("r"), F.count(F.lit(1)).alias("c"))
@@ -139,7 +143,7 @@ def evaluate_gx(rules: DataFrame, profile: DataFrame, max_columns: int, values:
     """Decide suite rules (table of ``GX_SCHEMA``).
 
     Value sets are checked against all ``values`` (the valid rows of a frequency table), or without them against the
-    top values that the profile holds.
+    top values that the profile holds; where those are not all values and none is outside, the rule is skipped.
     """
     r = _against(rules if values is None else _outside(rules, "value_set", values), profile, max_columns)
     lo, hi = F.col("min_value"), F.col("max_value")
@@ -155,6 +159,7 @@ def evaluate_gx(rules: DataFrame, profile: DataFrame, max_columns: int, values:
     )
     unknown = F.array_except(tops, F.col("value_set")) if values is None else F.col("unknown")
     in_set = F.size(unknown) == 0
+    undecided = F.lit(values is None) & in_set & ~all_held(F.col("top_values"), valid)
     unique = (valid > 0) & (F.col("distinct") >= valid * UNIQUE_SHARE)
 
     def is_rule(name: str) -> Column:
@@ -191,6 +196,7 @@ def evaluate_gx(rules: DataFrame, profile: DataFrame, max_columns: int, values:
         .when(is_rule("expect_column_values_to_be_unique"), _outcome(
             unique, seen_unique, F.when(~unique, "All values unique")))
         .when(tops.isNull(), _skipped("No categorical statistics available"))
+        .when(undecided, _skipped(NOT_ALL_HELD))
         .otherwise(_outcome(
             in_set,
             F.when(in_set, _text("Top values: ", _listed(tops, 5, True)))
@@ -273,6 +279,7 @@ def evaluate_json_schema(rules: DataFrame, profile: DataFrame, max_columns: int,
     )
     one_of = _text("One of: ", F.array_join("allowed", ", "))
     none_unknown = F.size(unknown) == 0
+    undecided = F.lit(values is None) & none_unknown & ~all_held(F.col("top_values"), F.col("count") - F.col("missing"))
     above, below = F.col("min") >= bound, F.col("max") <= bound
     outcome = (
         F.when((kind == "required") & found, _outcome(F.lit(True), F.lit("present"), F.lit("present")))
@@ -287,6 +294,7 @@ def evaluate_json_schema(rules: DataFrame, profile: DataFrame, max_columns: int,
         .when(kind == "maximum", _outcome(
             below, plain(F.col("max")), _text("<= ", plain(bound)),
             F.when(~below, _text("Observed max (", plain(F.col("max")), ") is greater than schema maximum"))))
+        .when(undecided, _skipped(NOT_ALL_HELD))
         .otherwise(_outcome(
             none_unknown, F.when(~none_unknown, _text("Found: ", F.array_join(F.slice(unknown, 1, 3), ", "), "...")),
             one_of, F.when(~none_unknown, "Column contains values not in enum list")))

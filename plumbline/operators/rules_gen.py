@@ -35,6 +35,11 @@ def _mapped(c: Column, table: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in table.items()])
 
 
+def all_held(tops: Column, valid: Column) -> Column:
+    """Whether the top values of a profile are all values of the column."""
+    return F.aggregate(tops, F.lit(0).cast("bigint"), lambda s, t: s + t["n"]) >= valid
+
+
 def _gx(name: str, **args: Column) -> Column:
     slots = {
         "min_value": "double", "max_value": "double", "mostly": "double", "type_": "string", "value": "double",
@@ -85,7 +90,7 @@ def generate_gx(profile: DataFrame, options: SuiteOptions = SuiteOptions()) -> D
             _gx("expect_column_values_to_be_in_set", value_set=F.array(*[F.lit(v) for v in BOOLEAN_SET])),
         ),
         F.when(
-            (inferred == "String") & (F.col("unique_count") <= MAX_SET) & (valid > 0),
+            (inferred == "String") & (F.col("unique_count") <= MAX_SET) & (valid > 0) & all_held(F.col("top_values"), valid),
             _gx("expect_column_distinct_values_to_be_in_set", value_set=tops),
         ),
     ]

@@ -60,7 +60,7 @@ def profile_frequencies(ft: FrequencyTable, parts: Collection[str], source: Data
     """The profile rows of a frequency table, before quality is judged."""
     keys, bound = ft.keys, ft.max_profiles
     # value sets of rules hold more values than a report shows
-    top_size = MAX_SET if parts == RULES else stats.TOP_VALUES
+    top_size = max(MAX_SET, stats.TOP_VALUES)
     base = session.materialize(stats.base_stats(ft), "base")
     extras: dict[str, DataFrame] = {}
     if set(parts) & {"moments", "quantiles", "histogram"}:

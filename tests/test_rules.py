@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from plumbline.operators import rules_eval, rules_gen, rules_load
-from plumbline.plans.profile import RULES, profile
+from plumbline.operators import reports, rules_eval, rules_gen, rules_load
+from plumbline.plans.profile import ALL_PARTS, RULES, profile
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,35 @@ def test_generated_suite_passes_on_its_own_table(people):
     assert "gone" not in {c for _, c in got}
 
 
+@pytest.mark.parametrize("parts", [ALL_PARTS, {"moments", "top", "quantiles"}, RULES])
+def test_value_sets_beyond_ten_values(spark, parts):
+    letters = "abcdefghijkl"
+    of = lambda bad, n=12: profile(
+        spark.createDataFrame([(c, str(i)) for i in range(5) for c in letters[:n]] + [(b, "x") for b in bad], "c string, other string"), parts=parts)
+    p = of([])
+    rules = rules_gen.generate_gx(p)
+    sets = {r["column"]: r["value_set"] for r in rules.filter("rule_type = 'expect_column_distinct_values_to_be_in_set'").collect()}
+    assert sorted(sets["c"]) == list(letters)
+    ask = rules.filter("rule_type = 'expect_column_distinct_values_to_be_in_set' and column = 'c'").drop("ordinal", "nth")
+    enum = rules_load.json_schema_rules(spark.createDataFrame(
+        [(json.dumps({"type": "object", "properties": {"c": {"enum": list(letters)}}}),)], "text string"))
+
+    def status(q):
+        return (rules_eval.evaluate_gx(ask, q, 2).head()["status"],
+                {r["rule_type"]: r["status"] for r in rules_eval.evaluate_json_schema(enum, q, 2).collect()}["enum"])
+
+    assert status(p) == ("pass", "pass")
+    assert status(of(["bad"])) == ("fail", "fail")  # the bad value is the thirteenth
+    few = p.withColumn("top_values", F.slice("top_values", 1, 10))
+    assert status(few) == ("skipped", "skipped")
+    assert "c" not in {r["column"] for r in rules_gen.generate_gx(few).collect() if r["value_set"]}
+
+
+def test_only_ten_top_values_are_reported(spark):
+    p = profile(spark.createDataFrame([(c,) for c in "abcdefghijkl"], "c string"))
+    assert len(json.loads(reports.report_json(p).head()["text"])["stats"]["top_values"]) == 10
+
+
 def test_generated_bounds(people):
     g = {(r["rule_type"], r["column"]): r for r in rules_gen.generate_gx(people).collect()}
     assert g[("expect_column_values_to_not_be_null", "age")]["mostly"] == 0.945
