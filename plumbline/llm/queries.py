@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontaminate, fingerprint, language_id, mixing, ngram_join, quality, secret_scan, suffix_dedup, token_files, toxicity
+from plumbline.llm import (collocations, decontaminate, fingerprint, language_id, mixing, ngram_join, quality, secret_scan, spelling, suffix_dedup,
+                           token_files, toxicity, url_filter)
 from plumbline.llm.common import documents, fold
 from plumbline.llm.twins import TWINS
 
@@ -89,13 +90,34 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), (fold(F.col("doc"), 4) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of two and three words."""
+    return collocations.mine(documents(spark, sf_dir)).drop("words")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.group(spelling.count_words(documents(spark, sf_dir)))
+
+
+#: Rules of ``op13_url_filter``: verdict, host and path.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL by rules, else by boosted trees that learned from the URLs with a rule."""
+    judged = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_decontaminate, op2_secrets, op3_mix, op4_fingerprint, op5_suffix_dedup, op6_quality, op7_token_files, op8_ngram_join, op9_toxicity, op10_language, pipeline,
+        op1_decontaminate, op2_secrets, op3_mix, op4_fingerprint, op5_suffix_dedup, op6_quality, op7_token_files, op8_ngram_join, op9_toxicity, op10_language,
+        op11_collocations, op12_spelling, op13_url_filter, pipeline,
     )}
 
 

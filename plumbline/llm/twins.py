@@ -113,3 +113,65 @@ select doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bi
     sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
 from texts left join written using (doc_id)
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+TWINS["op11_collocations"] = rf"""
+with pieces as (
+    select coalesce(lang, 'und') lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') w
+    from documents),
+places as (select lang, w, unnest(range(1, len(w) + 1)) i from pieces),
+f1 as (select lang, w[i] x, count(*) n from places group by all),
+f2 as (select lang, w[i] x, w[i + 1] y, count(*) n from places where i < len(w) group by all),
+f3 as (select lang, w[i] x, w[i + 1] y, w[i + 2] z, count(*) n from places where i + 1 < len(w) group by all having n >= 10),
+totals as (select lang, sum(n)::bigint n from f1 group by 1),
+around as (
+    select lang, x, y, max(n) longest from (select lang, x, y, n from f3 union all select lang, y, z, n from f3) group by all),
+cuts as (
+    select p.lang, p.x || ' ' || p.y phrase, p.n a, 1 k, l.n l, r.n r
+    from f2 p join f1 l on l.lang = p.lang and l.x = p.x join f1 r on r.lang = p.lang and r.x = p.y
+    left join around s on s.lang = p.lang and s.x = p.x and s.y = p.y
+    where p.n >= 10 and coalesce(100 * longest < 50 * p.n, true)
+    union all
+    select p.lang, p.x || ' ' || p.y || ' ' || p.z, p.n, 1, l.n, r.n
+    from f3 p join f1 l on l.lang = p.lang and l.x = p.x join f2 r on r.lang = p.lang and r.x = p.y and r.y = p.z
+    union all
+    select p.lang, p.x || ' ' || p.y || ' ' || p.z, p.n, 2, l.n, r.n
+    from f3 p join f2 l on l.lang = p.lang and l.x = p.x and l.y = p.y join f1 r on r.lang = p.lang and r.x = p.z),
+scored as (
+    select *, ((1000000::hugeint * a * a) // (l::hugeint * r))::bigint score from cuts),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from lowest join totals using (lang) qualify rank <= 2000
+"""
+
+# crc32: every byte is mixed in, then eight steps to the right (the marks of 256)
+_CRC32 = """list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar || ':' || run, ''),
+        lambda c: flatten(list_transform(case when unicode(c) < 128 then [unicode(c)] else [195, unicode(c) - 64] end,
+        lambda b: [b::bigint, 256, 256, 256, 256, 256, 256, 256, 256]))))),
+        lambda crc, b: case when b < 256 then xor(crc, b) else xor(crc >> 1, 3988292384 * (crc & 1)) end)"""
+
+TWINS["op12_spelling"] = rf"""
+with recursive runs as (
+    select doc_id, run, count(*) times
+    from (select doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) run from documents) where length(run) >= 6 group by all),
+hashed as (select run, times, xor({_CRC32}, 4294967295) h from runs),
+written as (
+    select times, case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word from hashed),
+words as (select word, sum(times)::bigint n from written where length(word) >= 6 group by 1 having sum(times) >= 5),
+places as (select word, n, unnest(range(1, length(word) + 1)) i from words),
+cut as (select word, n, i, left(word, (i - 1)::int) || substr(word, (i + 1)::int) rest from places),
+near as (
+    select a.word, a.n, b.word near, b.n near_n from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+    union select a.word, a.n, b.word, b.n from words a join cut b on a.word = b.rest
+    union select b.word, b.n, a.word, a.n from words a join cut b on a.word = b.rest),
+best as (select word, count(*) n_near, max(near_n) form_n, arg_min(near, (-near_n, near)) form from near group by 1),
+formed as (
+    select w.word, w.n, coalesce(n_near, 0) n_near, case when form_n >= 5 * w.n then form end form, case when form_n >= 5 * w.n then form_n end form_n
+    from words w left join best using (word)),
+chain as (
+    select word, word reached, 0 step from formed union all
+    select c.word, f.form, step + 1 from chain c join formed f on f.word = c.reached where f.form is not null),
+roots as (select word, arg_max(reached, step) root from chain group by 1)
+select word, n, n_near::bigint n_near, form, form_n, root from formed join roots using (word)
+"""

@@ -20,7 +20,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_twin(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "pages"):
         con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     df = queries.queries()[name](spark, sf)
     result = con.execute(queries.oracle_sql()[name])
