@@ -1,6 +1,6 @@
 """Phrase collocations by top-order marginalisation.
 
-Only the longest windows are counted: every word with the ``most - 1`` words after it in its piece, padded with nulls at the
+Only the longest windows are counted: every word with the two words after it in its piece, padded with nulls at the
 piece's end. Blocks of text lay them out as lead columns (the word column shifted by 1, 2, ...) and add up equal windows before
 the one large shuffle. A phrase's count is the sum over the windows that begin with it, which Spark's ROLLUP gives
 for all shorter prefixes at once; no other n-gram is ever exploded. What comes after a window's first words (``head``) is
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from plumbline import session
 from plumbline.llm.common import as_bytes, blocks, pick
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: A head with more than ``1 / PARTS`` of the sampled windows is split; so at most ``PARTS`` heads are.
 PARTS = 1000
 SAMPLE_TEXTS = 64
-WINDOWS = "lang string, w1 string, w2 string, w3 string, n long"
+WINDOWS = "lang string, head string, w3 string, n long"
 NAMES = ["w1", "w2", "w3"]
-HEAD = ["lang", "w1", "w2"]
+HEAD = ["lang", "head"]
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: One byte for one byte: lower case, piece ends to line feeds, tabs to blanks.
@@ -42,31 +42,35 @@ PLAIN = bytes(10 if b in PIECE_ENDS else 32 if b == 9 else b + 32 if 65 <= b <=
 
 
 def lead_windows(langs: list[bytes | None], texts: list[bytes | None]) -> pa.RecordBatch:
-    """Distinct (lang, w1, w2, w3) of some texts with their counts, in order."""
-    flat = b"\n".join(t or b"" for t in texts).translate(PLAIN)
-    words = flat.split()
-    at = np.frombuffer(flat, np.uint8)
-    in_word = (at != 32) & (at != 10)
-    starts = np.flatnonzero(in_word & ~np.concatenate(([False], in_word[:-1])))
-    piece = np.cumsum(at == 10, dtype=np.int32)[starts] if len(at) else np.zeros(0, np.int32)
+    """Distinct (lang, head, w3) of some texts with their counts, in order; the head is "w1 w2", or "w1" at the end of a piece."""
+    flat = np.frombuffer(b"\n".join(t or b"" for t in texts).translate(PLAIN), np.uint8)
+    in_word = (flat != 32) & (flat != 10)
+    edges = np.flatnonzero(np.diff(in_word, prepend=False, append=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    # a word's piece is told by the line feeds before it, its text by where the texts end
+    piece = np.cumsum(np.bincount(np.searchsorted(starts, np.flatnonzero(flat == 10)), minlength=len(starts) + 1), dtype=np.int32)[:len(starts)]
     ends = np.cumsum([len(t or b"") + 1 for t in texts], dtype=np.int64)
     names, lang_of_text = np.unique(np.array([b"und" if v is None else v for v in langs], dtype=object), return_inverse=True)
-    lang = lang_of_text[np.searchsorted(ends, starts, side="right")]
-    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+    lang = lang_of_text[np.searchsorted(ends, starts, side="right")].astype(np.int64)
+    offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat[in_word])])
+    coded = words.dictionary_encode()
+    del flat, in_word, edges, starts, lengths, offsets, words
     order = pc.sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(1, len(order) + 1)  # 0 is the padding
     first = rank[coded.indices.to_numpy()]
-    columns = [lang.astype(np.int64), first]
+    columns = [lang, first]
     for lead in range(1, len(NAMES)):
         shifted = np.zeros_like(first)
         shifted[:-lead] = np.where(piece[lead:] == piece[:-lead], first[lead:], 0)
         columns.append(shifted)
     columns, counts = distinct_rows(columns, [len(names), *[len(order) + 1] * len(NAMES)])
-    dictionary = coded.dictionary.take(pa.array(order)).cast(pa.large_string()).cast(pa.string())
-    lang_names = pa.array(list(names), pa.binary()).cast(pa.string())
-    picked = [lang_names.take(pa.array(columns[0]))] + [dictionary.take(pa.array(c - 1, mask=c == 0)) for c in columns[1:]]
-    return pa.record_batch([*picked, pa.array(counts, pa.int64())], ["lang", *NAMES, "n"])
+    text_of = coded.dictionary.take(pa.array(order)).cast(pa.large_string()).cast(pa.string())
+    w1, w2, w3 = (text_of.take(pa.array(c - 1, mask=c == 0)) for c in columns[1:])
+    lang = pa.array(list(names), pa.binary()).cast(pa.string()).take(pa.array(columns[0]))
+    head = pc.binary_join_element_wise(w1, w2, " ", null_handling="skip")
+    return pa.record_batch([lang, head, w3, pa.array(counts, pa.int64())], ["lang", "head", "w3", "n"])
 
 
 def distinct_rows(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -94,9 +98,9 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _crowded(texts: DataFrame) -> DataFrame:
-    """Heads that hold a large share of all windows on a sample of the texts (at most ``PARTS`` rows): ``lang``, ``w1``, ``w2``, ``slices``."""
+    """Heads that hold a large share of all windows on a sample of the texts (at most ``PARTS`` rows): ``lang``, ``head``, ``slices``."""
     sample = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE_TEXTS)) == 0).select("lang", "text").mapInArrow(_count_blocks, WINDOWS)
-    by_head = sample.where(F.col("w2").isNotNull()).groupBy(*HEAD).agg(F.count(F.lit(1)).alias("rows"))
+    by_head = sample.groupBy(*HEAD).agg(F.count(F.lit(1)).alias("rows"))
     by_head = session.materialize(by_head, "heads")
     rows = by_head.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     return by_head.where(F.col("rows") * PARTS > rows).select(*HEAD, F.ceil(F.col("rows") * PARTS / F.lit(max(1, rows))).alias("slices"))
@@ -113,7 +117,9 @@ def count_phrases(docs: DataFrame, least: int = 10, text_col: str = "text", lang
     whole = dealt.groupBy(*HEAD, "slice", "w3").agg(F.sum("n").alias("n"))
     folded = whole.groupBy(*HEAD, "slice", F.when(F.col("n") >= least, F.col("w3")).alias("w3")).agg(F.sum("n").alias("n"))
     in_head = F.sum("n").over(Window.partitionBy(*HEAD, "slice"))
-    folded = folded.withColumn("in_head", in_head).withColumn("w2", F.when((F.col("in_head") >= least) | (F.col("slice") >= 0), F.col("w2")))
+    pair = F.split("head", " ")
+    folded = folded.withColumn("in_head", in_head).select(
+        "lang", pair[0].alias("w1"), F.when((F.col("in_head") >= least) | (F.col("slice") >= 0), F.get(pair, F.lit(1))).alias("w2"), "w3", "n")
     summed = folded.rollup("lang", *NAMES).agg(F.sum("n").alias("n"), F.grouping_id().alias("rolled"))
     size = F.when(F.col("rolled") == 0, 3).when(F.col("rolled") == 1, 2).when(F.col("rolled") == 3, 1).when(F.col("rolled") == 7, 0)
     last = F.when(F.col("size") == 3, F.col("w3")).when(F.col("size") == 2, F.col("w2")).otherwise(F.lit(""))
@@ -147,7 +153,7 @@ def mine(
     triples = of(3).select("lang", *NAMES, F.col("n").alias("a"))
     around = triples.select("lang", F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), "a")
     around = around.groupBy("lang", "p.w1", "p.w2").agg(F.max("a").alias("longest"))
-    pairs = pairs.join(around, HEAD, "left").where(F.coalesce(100 * F.col("longest") < share * F.col("a"), F.lit(True)))
+    pairs = pairs.join(around, ["lang", "w1", "w2"], "left").where(F.coalesce(100 * F.col("longest") < share * F.col("a"), F.lit(True)))
     pairs = pairs.join(counted(1, "w1", "l"), ["lang", "w1"]).join(counted(1, "w2", "r"), ["lang", "w2"])
     cut = lambda k, left, right: F.struct(
         score(F.col("a"), left, right).alias("score"), F.lit(k).alias("k"), left.alias("l"), right.alias("r"))

@@ -90,8 +90,8 @@ def test_scores_beyond_64_bits(spark):
 def test_a_crowded_head_is_divided(spark, monkeypatch):
     monkeypatch.setattr(collocations, "SAMPLE_TEXTS", 1)
     docs = spark.createDataFrame([(k, "en", " . ".join(f"hot pair tail{k}x{j}" for j in range(20))) for k in range(100)], "doc_id long, lang string, text string")
-    crowded = {(r["w1"], r["w2"]): r["slices"] for r in collocations._crowded(docs.withColumnRenamed("doc_id", "id")).collect()}
-    assert crowded[("hot", "pair")] > 100 and len(crowded) <= collocations.PARTS
+    crowded = {r["head"]: r["slices"] for r in collocations._crowded(docs.withColumnRenamed("doc_id", "id")).collect()}
+    assert crowded["hot pair"] > 100 and len(crowded) <= collocations.PARTS
     found = {r["phrase"]: r["a"] for r in collocations.mine(docs).collect()}
     assert found == {"hot pair": 2000}
 
