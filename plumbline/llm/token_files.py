@@ -97,7 +97,8 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Token ids of words as bytes, with a cache.
+    """Token ids of words as bytes, with a cache of two generations: when the young one is full it becomes the old one, and
+    words that are met again move back, so that only words not met for long are forgotten.
 
     Plain words (letters only) are handed to the tokenizer many at a time: each is one unit to it, and ends where an id
     with the end-of-word mark stands. A word followed by plain punctuation is the two side by side. All others are encoded alone.
@@ -114,6 +115,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[n for word, n in vocabulary.items() if word.endswith(self.END_MARK)]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def _alone(self, words: list[str]) -> None:
         for at in range(0, len(words), 10_000):
@@ -154,9 +156,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
+            self.known, self.old = {"": b""}, self.known
         words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.add({w for some in words for w in some if w not in self.known})
+        seen = set()
+        for some in words:
+            seen.update(some)
+        fresh = seen.difference(self.known)
+        again = {w: self.old[w] for w in fresh.intersection(self.old)}
+        self.known.update(again)
+        self.add(fresh.difference(again))
         return [b"".join(map(self.known.__getitem__, some)) + end for some in words]
 
 
