@@ -1,14 +1,16 @@
-"""Language identification with bit-sliced Bloom filters over letter trigrams.
+"""Language identification with bit-sliced Bloom filters over letter n-grams.
 
-Trigrams (exact, 63 bits; words padded with a blank) are counted by language over all documents to learn from. A
-language owns the trigrams that make up at least ``LEAST_SHARE`` of its own, and at least ``LEAST_RATIO`` of their largest
-share in any language; so it owns at most 1 / LEAST_SHARE of them, however large the corpus. The filters of all languages
-lie bit by bit beside each other: one probe returns the set of languages that may own a trigram, as a bit mask. A document
-counts the bits per language, corrects them for the false positives of each filter's fill, and takes the largest count.
+Trigrams around a letter (exact, 63 bits; words padded with a blank) and single letters are counted by language over all
+documents to learn from. A language's filter holds its most frequent n-grams that make up ``COVERAGE`` of all
+occurrences (those counted alike come in together), at most ``MOST_GRAMS`` of them; so a language with any letter has a filter. All filters have
+room for the language with the most n-grams and lie bit by bit beside each other: one probe returns the set of languages
+that hold an n-gram, as a bit mask. A document counts the bits per language, corrects them for the false positives of
+each filter's fill, and takes the largest count. Single letters count ``LETTER_WEIGHT`` as much: they decide where a script has so many letters that
+trigrams are seldom met again.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal counts go to the first language by
-name; without anything to learn from everything is ``und``; repeated rows get equal results; an empty table gives an empty
-result; further columns are ignored.
+name; a text of letters that no language knows gets the language with the most letters to learn from, with score 0; without anything to learn
+from everything is ``und``; repeated rows get equal results; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import session
 from plumbline.llm.common import blocks, kept_in_worker, pick
 
-LEAST_SHARE = 5e-5
-LEAST_RATIO = 0.2
+COVERAGE = 0.99
+#: Bound on the n-grams of a language's filter (beyond it only where a single size class is larger); at 16 bits each, the filters of 64 languages take 32 MB.
+MOST_GRAMS = 200_000
+LETTER_WEIGHT = 0.1
 PROBES = 3
 BITS_PER_GRAM = 16
 HELD_GRAMS = 1_000_000
@@ -45,8 +49,8 @@ def _letters() -> np.ndarray:
     return table
 
 
-def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All trigrams around a letter, and the number of them in each text."""
+def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All trigrams around a letter, those letters alone, and the number of them in each text."""
     table = kept_in_worker("letters", _letters)
     joined = "\n".join(["", *(t or "" for t in texts), ""])
     points = table[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
@@ -54,7 +58,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     grams = (points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:]
     ends = np.cumsum([len(t or "") + 1 for t in texts])
     upto = np.concatenate(([0], np.cumsum(middle)))[ends - 1] if texts else np.zeros(0, np.int64)
-    return grams[middle], np.diff(np.concatenate(([0], upto)))
+    return grams[middle], points[1:-1][middle], np.diff(np.concatenate(([0], upto)))
 
 
 def count_grams(docs: DataFrame, learn: Column, lang_col: str, text_col: str) -> DataFrame:
@@ -72,7 +76,8 @@ def count_grams(docs: DataFrame, learn: Column, lang_col: str, text_col: str) ->
             langs = np.array(block.column(0).to_pylist(), object)
             texts = block.column(1).to_pylist()
             for lang in set(langs):
-                grams, counts = np.unique(trigrams([t for t, own in zip(texts, langs) if own == lang])[0], return_counts=True)
+                found = ngrams([t for t, own in zip(texts, langs) if own == lang])
+                grams, counts = np.unique(np.concatenate(found[:2]), return_counts=True)
                 if lang in held:
                     grams, inverse = np.unique(np.concatenate([held[lang][0], grams]), return_inverse=True)
                     counts = np.bincount(inverse, np.concatenate([held[lang][1], counts]), len(grams))
@@ -86,13 +91,20 @@ def count_grams(docs: DataFrame, learn: Column, lang_col: str, text_col: str) ->
 
 
 def owned(counts: DataFrame) -> DataFrame:
-    """``lang, gram``: what each language's filter holds."""
-    totals = counts.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("total"))
-    shares = counts.join(F.broadcast(totals), F.col("lang") == F.col("of")).select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
-    frequent = session.materialize(shares.where(F.col("share") >= LEAST_SHARE * LEAST_RATIO), "shares")
-    largest = frequent.groupBy(F.col("gram").alias("of")).agg(F.max("share").alias("most"))
-    return frequent.join(largest, F.col("gram") == F.col("of")).where(
-        (F.col("share") >= LEAST_SHARE) & (F.col("share") >= LEAST_RATIO * F.col("most"))).select("lang", "gram")
+    """``lang, gram, total``: what each language's filter holds, and the language's letters in all.
+
+    Counts are looked at by size class (sixteen to a doubling), of which a language has a few hundred, from the largest on.
+    """
+    kind, level = (F.col("gram") < 1 << 21).alias("letter"), F.floor(F.log2("n") * 16).alias("level")
+    levels = counts.groupBy("lang", kind, level).agg(F.count(F.lit(1)).alias("grams"), F.sum("n").alias("n"))
+    larger = Window.partitionBy("lang", "letter").orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    before = lambda c: F.sum(c).over(larger) - F.col(c)
+    whole = Window.partitionBy("lang", "letter")
+    held = levels.select("lang", "letter", "level", before("n").alias("covered"), F.sum("grams").over(larger).alias("upto"), F.sum("n").over(whole).alias("total"))
+    held = held.where((F.col("covered") < COVERAGE * F.col("total")) & ((F.col("upto") <= MOST_GRAMS) | (F.col("covered") == 0)))
+    lowest = held.groupBy(F.col("lang").alias("of"), F.col("letter").alias("kind")).agg(F.min("level").alias("least"), F.first("total").alias("total"))
+    rows = counts.select("lang", "gram", kind, level)
+    return rows.join(lowest, (F.col("lang") == F.col("of")) & (F.col("letter") == F.col("kind")) & (F.col("level") >= F.col("least"))).select("lang", "gram", "total")
 
 
 class Filters:
@@ -101,6 +113,7 @@ class Filters:
     def __init__(self, langs: list[str], size: int):
         self.langs, self.size = langs, size
         self.rows = np.zeros((size, max(1, -(-len(langs) // 64))), np.uint64)
+        self.usual = 0
 
     def places(self, grams: np.ndarray) -> Iterator[np.ndarray]:
         mixed = grams * np.uint64(0x9E3779B97F4A7C15)
@@ -142,9 +155,12 @@ def train(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str
     names = np.array(table.column("lang").to_pylist(), object)
     langs = sorted(set(names))
     grams = table.column("gram").to_numpy().view(np.uint64)
-    size = 1 << max(10, (BITS_PER_GRAM * len(np.unique(grams))).bit_length())
+    owners = np.searchsorted(langs, names) if langs else np.zeros(0, np.int64)
+    size = 1 << max(10, (BITS_PER_GRAM * int(np.bincount(owners).max(initial=0))).bit_length())
     filters = Filters(langs, size)
-    filters.add(grams, np.searchsorted(langs, names) if langs else np.zeros(0, np.int64))
+    filters.add(grams, owners)
+    totals = dict(zip(owners.tolist(), table.column("total").to_pylist()))
+    filters.usual = max(totals, key=lambda k: (totals[k], -k), default=0)
     return filters.close()
 
 
@@ -156,11 +172,12 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
         filters = Filters([], 1)
         filters.__dict__.update(shared.value)
         for block in blocks(batches, 1, TEXT_AT_ONCE):
-            grams, sizes = trigrams(block.column(1).to_pylist())
+            grams, letters, sizes = ngrams(block.column(1).to_pylist())
             langs, scores = ["und"] * len(sizes), np.zeros(len(sizes))
             if filters.langs:
-                counts = filters.counts(grams, sizes)
-                best, total = counts.argmax(axis=1), counts.sum(axis=1)
+                counts = filters.counts(grams, sizes) + LETTER_WEIGHT * filters.counts(letters, sizes)
+                total = counts.sum(axis=1)
+                best = np.where(total > 0, counts.argmax(axis=1), filters.usual)
                 langs = [filters.langs[b] if n else "und" for b, n in zip(best, sizes)]
                 scores = np.where((sizes > 0) & (total > 0), counts.max(axis=1) / np.maximum(total, 1e-12), 0.0)
             yield pa.record_batch({"doc": block.column(0), "lang": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})

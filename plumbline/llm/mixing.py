@@ -5,8 +5,8 @@ words of its source up to and including it, divided by the source's target. A so
 repeated goes round again, up to ``max_rounds`` times. All copies are ordered by finish time (range
 partitioned over the cluster) and cut where the total budget is reached.
 
-No source is ever ordered in one task: its documents are dealt to slices of the hash range of about
-``SLICE_ROWS`` rows, running sums come from slice totals. DataFrame operations only.
+No source is ever ordered in one task: its documents are dealt to slices of the hash range, as many as the square root of
+its rows, so that a task that sums up one slice, or the totals of all, sees no more than that root. DataFrame operations only.
 
 Defined results: null text counts 0 words and is never taken; null sources are a source of their own,
 ordered last; equal ids or wholly equal rows are separate documents; an empty table gives an empty result;
@@ -16,6 +16,7 @@ further columns are ignored (schedule) or kept (mix).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from plumbline import session
 from plumbline.llm.common import pick
 
-SLICE_ROWS = 200
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,7 +77,7 @@ def schedule(
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     facts = sources.withColumnRenamed("source", "of")
     sliced = sized.join(facts, sized["source"].eqNullSafe(facts["of"])).drop("of").withColumn(
-        "slice", F.floor(F.col("place") * F.ceil(F.col("rows") / SLICE_ROWS)))
+        "slice", F.floor(F.col("place") * F.ceil(F.sqrt("rows"))))
     sums = sliced.groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))
     offsets = sums.select("source", "slice", (F.sum("in_slice").over(Window.partitionBy("source").orderBy("slice")) - F.col("in_slice")).alias("before"))
     offsets = session.materialize(offsets, "offsets").withColumnRenamed("slice", "at")
@@ -107,7 +107,7 @@ def _last_taken(queued: DataFrame, budget: float):
     Words are counted by bin of finish time; copies are put in order within the one bin where the budget ends.
     """
     copies = queued.where(F.col("finishes").isNotNull()).select("source", "place", "size", F.explode("finishes").alias("finish"))
-    bins = max(1, queued.count() // SLICE_ROWS)
+    bins = max(1, isqrt(queued.count()))
     copies = copies.withColumn("bin", F.floor(F.col("finish") * bins))
     counted = session.materialize(copies.groupBy("bin").agg(F.sum("size").alias("words")), "bins")
     running = counted.select("bin", F.sum("words").over(Window.orderBy("bin")).alias("upto"), "words")
@@ -126,11 +126,13 @@ def _last_taken(queued: DataFrame, budget: float):
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture: rows of ``docs``, each as often as it is taken, in order of virtual finish time."""
     plan = schedule(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = plan.groupBy(F.col("key").alias("__key")).agg(
-        F.flatten(F.collect_list("finishes")).alias("__finishes"), F.count(F.lit(1)).alias("__rows")).where(F.size("__finishes") > 0)
-    keyed = docs.withColumn("__key", F.xxhash64(docs[id_col], docs[source_col], docs[text_col]))
-    keyed = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.col(id_col))))
+    copies = plan.groupBy(F.col("key").alias("of")).agg(
+        F.flatten(F.collect_list("finishes")).alias("finishes"), F.count(F.lit(1)).alias("rows")).where(F.size("finishes") > 0)
+    # the caller's row travels as one struct, so that its names cannot meet those used here
+    keyed = docs.select(F.struct(*(docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("row"), docs[id_col].alias("id"),
+                        F.xxhash64(docs[id_col], docs[source_col], docs[text_col]).alias("key"))
+    keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("id")))
     # wholly equal rows share the copies out among themselves
-    own = F.filter("__finishes", lambda f, i: i % F.col("__rows") == F.col("__nth") - 1)
-    mixed = keyed.join(copies, "__key").withColumn("__finish", F.explode(own))
-    return mixed.orderBy("__finish", "__key").select(*docs.columns)
+    own = F.filter("finishes", lambda f, i: i % F.col("rows") == F.col("nth") - 1)
+    mixed = keyed.join(copies, F.col("key") == F.col("of")).select("row", "key", F.explode(own).alias("finish"))
+    return mixed.orderBy("finish", "key").select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))

@@ -146,7 +146,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             })
 
     few = session.bounded(wanted.withColumnRenamed("doc", "of"), wanted.count())
-    texts = rows.join(few, rows["doc"].eqNullSafe(F.col("of"))).select("text", "node")
+    texts = rows.join(few, rows["doc"] == F.col("of")).select("text", "node")
     return session.materialize(texts.mapInArrow(run, "node long, grams array<bigint>"), "sets").dropDuplicates(["node"])
 
 
@@ -325,28 +325,33 @@ def connect(rows: DataFrame, scanned: DataFrame, percent: int, n: int) -> DataFr
     return session.materialize(components(first.union(rest).where("linked").select("a", "b")), "roots")
 
 
-def _link(rows: DataFrame, percent: int, n: int) -> DataFrame:
+def _link(docs: DataFrame, percent: int, n: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: ``doc`` (its id and the hash of its text, so that null or repeated ids are not all one), ``n_shingles``,
+    ``component_id``, and ``least``, the first ``doc`` of its component (itself if it links with nothing)."""
+    rows = docs.select(F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text")).alias("doc"), docs[text_col].alias("text"))
     scanned = session.materialize(_scan(rows, percent, n), "scanned")
     facts = scanned.where("gram is null")
     roots = connect(rows, scanned, percent, n).withColumnRenamed("node", "of")
     placed = facts.select("doc", "node", "size").join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
     several = placed.where("node is not null").groupBy(F.col("root").alias("of_root")).agg(
-        F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        F.min("doc.id").alias("component_id"), F.min("doc").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     named = placed.join(several, F.col("root") == F.col("of_root"), "left")
-    return named.select("doc", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    return named.select("doc", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc.id").alias("component_id"),
+                        F.coalesce("least", "doc").alias("least"))
 
 
 def link(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc``, ``n_shingles`` and ``component_id``."""
-    return _link(pick(docs, doc=id_col, text=text_col), percent, n)
+    return _link(docs, percent, n, id_col, text_col).select(F.col("doc.id").alias("doc"), "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: that of its smallest id. Rows without n-grams stay."""
-    key = F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text"))
-    linked = _link(docs.select(key.alias("doc"), docs[text_col].alias("text")), percent, n)
-    kept = linked.where("n_shingles = 0 or doc <=> component_id").select(F.col("doc").alias("__kept"), (F.col("n_shingles") == 0).alias("__empty")).distinct()
-    rows = docs.withColumn("__key", key)
-    rows = rows.join(kept, F.col("__key").eqNullSafe(F.col("__kept")))
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    return rows.withColumn("__nth", nth).where("__nth = 1 or __empty").select(*(rows[c] for c in docs.columns))
+    linked = _link(docs, percent, n, id_col, text_col)
+    kept = linked.where("n_shingles = 0 or doc = least").select(F.col("doc").alias("kept"), (F.col("n_shingles") == 0).alias("empty")).distinct()
+    whole = docs.select(F.struct(*(docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("row"),
+                        F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text")).alias("key"))
+    rows = whole.join(kept, F.col("key") == F.col("kept"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    alone = rows.where(~F.col("empty")).withColumn("nth", nth).where("nth = 1").select("row").union(rows.where("empty").select("row"))
+    return alone.select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
