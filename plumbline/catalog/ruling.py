@@ -44,7 +44,7 @@ def _gx_query(name, rows, sql, columns=("rule_type", "column", "status", "observ
     @query(name, f"WITH {ME}{', ' + top_sql() if tops else ''} {sql}")
     def run(spark, sf):
         p = messy_profile(spark, sf, {"moments", "top"}) if tops else messy_base(spark, sf)
-        values = frequency(derived(spark, sf, MESSY)).valid if tops else None
+        values = frequency(derived(spark, sf, MESSY)) if tops else None
         return rules_eval.evaluate_gx(_gx(spark, rows), p, WIDTH, values).select(*columns)
 
 
@@ -124,6 +124,32 @@ SELECT rule AS rule_type, want AS "column", CASE WHEN ok THEN 'pass' ELSE 'fail'
  'Top values: ' || array_to_string(vs[1:5], ', ') || CASE WHEN ok AND len(vs) > 5 THEN '...' ELSE '' END AS observed,
  'Values in set: ' || array_to_string(ws[1:5], ', ') || CASE WHEN len(ws) > 5 THEN '...' ELSE '' END AS expected, {NO} AS reason FROM j""".replace(" , tl", " tl"), tops=True)
 
+#: texts of some 300 bytes that differ at their end only
+LABELS = "SELECT doc_id, concat(repeat('the label of a document in the language ', 8), lang) AS label FROM documents"
+LABEL = "the label of a document in the language " * 8
+
+
+@query("gx_in_set_long", f"""WITH l AS ({LABELS}), r AS (SELECT unnest([1, 2]) AS nth, unnest([['en', 'de', 'fr', 'es'], ['en', 'de', 'xx']]) AS langs),
+ s AS (SELECT nth, list_transform(langs, lambda x: '{LABEL}' || x) AS allowed FROM r),
+ o AS (SELECT nth, count(*) AS n FROM s, l WHERE NOT list_contains(allowed, label) GROUP BY nth),
+ u AS (SELECT nth, label, count(*) AS n FROM s, l WHERE NOT list_contains(allowed, label) GROUP BY ALL),
+ f AS (SELECT nth, string_agg(label, ', ' ORDER BY n DESC, label) AS found FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY nth ORDER BY n DESC, label) <= 3) GROUP BY nth)
+SELECT nth, kind, CASE WHEN n IS NULL THEN 'pass' ELSE 'fail' END AS status, CASE WHEN kind = 'enum' AND n IS NOT NULL THEN 'Found: ' || found || '...' END AS found
+FROM s LEFT JOIN o USING (nth) LEFT JOIN f USING (nth), (SELECT unnest(['set', 'enum']) AS kind)""")
+def gx_in_set_long(spark, sf):
+    labels = derived(spark, sf, LABELS)
+    p, values = profile(labels, ["label"], parts=RULES), frequency(labels, ["label"], materialized=True)
+    out = None
+    for nth, langs in ((1, ("en", "de", "fr", "es")), (2, ("en", "de", "xx"))):
+        allowed = [LABEL + x for x in langs]
+        gx = rules_eval.evaluate_gx(_gx(spark, [{"rule_type": "expect_column_values_to_be_in_set", "column": "label", "value_set": allowed}]), p, 2, values)
+        enum = rules_eval.evaluate_json_schema(_json_schema(spark, [("enum", "label", None, None, allowed)]), p, 2, values)
+        both = gx.select(F.lit("set").alias("kind"), "status", F.lit(None).cast("string").alias("found")).union(enum.select(F.lit("enum"), "status", "observed"))
+        both = both.select(F.lit(nth).alias("nth"), "kind", "status", "found")
+        out = both if out is None else out.union(both)
+    return out
+
+
 _gx_query("gx_unsupported", [{"rule_type": r, "column": "amount"} for r in ("expect_column_stdev_to_be_between", "expect_column_values_to_match_regex")],
           f"""SELECT rule AS rule_type, 'amount' AS "column", 'skipped' AS status, {NO} AS observed, {NO} AS expected, 'Cannot validate: requires raw data evaluation' AS reason
  FROM (VALUES ('expect_column_stdev_to_be_between'), ('expect_column_values_to_match_regex')) v(rule), (SELECT count(*) AS n FROM base) WHERE n > 0""")
@@ -202,7 +228,7 @@ def _js_query(name, rows, sql, tops=False):
     @query(name, f"WITH {ME}{', ' + top_sql() if tops else ''} {sql}")
     def run(spark, sf):
         p = messy_profile(spark, sf, {"moments", "top"}) if tops else messy_base(spark, sf)
-        values = frequency(derived(spark, sf, MESSY)).valid if tops else None
+        values = frequency(derived(spark, sf, MESSY)) if tops else None
         return rules_eval.evaluate_json_schema(_json_schema(spark, rows), p, WIDTH, values).select("rule_type", "column", "status", "observed", "expected", "reason")
 
 

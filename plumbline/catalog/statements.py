@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline import session
-from plumbline.catalog.twin import LINEITEM, clean_sql, missing_sql, profile_sql, query, rr, rr_sql, table
+from plumbline.catalog.twin import LINEITEM, clean_sql, missing_sql, profile_sql, query, rr, rr_sql, table, top_sql
 from plumbline.operators import stats
 from plumbline.plans import sqlmode
 from plumbline.streaming import profile_stream as streams
@@ -83,6 +83,30 @@ def profile_stream(spark, sf):
                         F.round("skewness", 5).alias("skewness"), F.round("kurtosis", 5).alias("kurtosis"))
 
 
+#: texts of the documents with gaps, and some texts above 256 bytes with a common beginning
+STREAM = {"doc_id": "int", "text": "text", "lang": "text", "source": "text", "n_chars": "int"}
+DOCS = profile_sql("documents", STREAM)
+
+
+@query("profile_stream_full", f"""WITH {DOCS}, {top_sql()},
+ tl AS (SELECT ordinal, sha256(string_agg(value || '=' || n, chr(10) ORDER BY position)) AS top_values FROM tops GROUP BY 1),
+ fs AS (SELECT ordinal, value, min(doc_id) AS first_row FROM (
+   SELECT 0 AS ordinal, CAST(doc_id AS VARCHAR) AS value, doc_id FROM documents UNION ALL SELECT 1, {clean_sql('text')}, doc_id FROM documents UNION ALL SELECT 2, {clean_sql('lang')}, doc_id FROM documents UNION ALL
+   SELECT 3, {clean_sql('source')}, doc_id FROM documents UNION ALL SELECT 4, CAST(n_chars AS VARCHAR), doc_id FROM documents) WHERE NOT {missing_sql('value')} GROUP BY ALL),
+ sl AS (SELECT ordinal, sha256(string_agg(value, chr(10) ORDER BY first_row, value)) AS samples FROM (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY first_row, value) <= 5) GROUP BY 1)
+SELECT ordinal, col AS "column", inferred_type, count, missing, total_valid, "distinct", min_length, max_length, {', '.join(f'{rr_sql(c)} AS {c}' for c in ('min', 'max', 'mean', 'std_dev', 'median', 'p25', 'p75', 'p90', 'p95', 'p99'))},
+ round(completeness, 6) AS completeness, round(uniqueness, 6) AS uniqueness, top_values, samples
+FROM prof LEFT JOIN tl USING (ordinal) LEFT JOIN sl USING (ordinal)""")
+def profile_stream_full(spark, sf):
+    stream = events_stream(spark, sf, "documents")
+    p = streams.StreamProfile.of(stream, row_order="doc_id").run(stream).profile()
+    tops = F.transform(F.slice("top_values", 1, 10), lambda t: F.concat(t["value"], F.lit("="), t["n"].cast("string")))
+    return p.select("ordinal", "column", "inferred_type", "count", "missing", "total_valid", "distinct", "min_length", "max_length",
+                    *[rr(c).alias(c) for c in ("min", "max", "mean", "std_dev", "median", "p25", "p75", "p90", "p95", "p99")],
+                    F.round("completeness", 6).alias("completeness"), F.round("uniqueness", 6).alias("uniqueness"),
+                    F.sha2(F.array_join(tops, "\n"), 256).alias("top_values"), F.sha2(F.array_join("sample_values", "\n"), 256).alias("samples"))
+
+
 @query("stream_frequency", f"""WITH c AS (SELECT unnest(['event_type', 'props', 'user_id']) AS "column", unnest([event_type, props, CAST(user_id AS VARCHAR)]) AS value FROM events),
  n AS (SELECT "column", value, count(*) AS n FROM c GROUP BY ALL)
 SELECT "column", value, n FROM n QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) <= 10""")

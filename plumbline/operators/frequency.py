@@ -138,7 +138,7 @@ def cells(df: DataFrame, columns: ColumnSet, lane: str, carry: Sequence[str] = (
     )
     return trimmed.select(
         *carried, "ordinal",
-        F.when(is_long, F.concat(F.substring(cell, 1, LEAD), F.sha2(cell, 256))).when(~text.is_missing_text(cell), cell).alias("short"),
+        F.when(is_long, digest_of(cell)).when(~text.is_missing_text(cell), cell).alias("short"),
         F.when(is_long, facts).alias("facts"), F.when(is_long, text.number_of_text(cell)).alias("number"),
     )
 
@@ -207,6 +207,8 @@ class FrequencyTable:
     datasets: int | None = field(default=None)
     #: the rows that were counted, for texts that travelled as digests
     source: DataFrame | None = field(default=None, compare=False)
+    #: those texts themselves (``ordinal, digest, full``), where the rows are gone
+    texts: DataFrame | None = field(default=None, compare=False)
 
     @property
     def keys(self) -> list[str]:
@@ -248,18 +250,7 @@ def frequency(
     picked = ColumnSet.pick(df, columns, [by] if by else [])
     carry = ([by] if by else []) + ([row_order] if row_order and row_order != by else [])
     df = session.spread(df.select(*[text.quoted(c) for c in dict.fromkeys([*carry, *picked.names])]))
-    keep_first = row_order is not None
-    lanes = []
-    for lane in LANES:
-        raw = cells(df, picked, lane, carry)
-        if raw is None:
-            continue
-        wanted = [F.count(F.lit(1)).alias("n")]
-        if keep_first:
-            wanted.append(F.min(row_order).alias("first_row"))
-        lanes.append(raw.groupBy(*([by] if by else []), "ordinal", *LANE_COLUMNS[lane]).agg(*wanted))
-    counted = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lanes)
-    counted = describe_values(counted, picked)
+    counted = describe_values(count_cells(df, picked, by, row_order), picked)
     if materialized:
         counted = session.materialize(counted, "frequency")
     table = FrequencyTable(counted, picked, by, source=df)
@@ -268,3 +259,41 @@ def frequency(
         seen = df.select(by).distinct().limit(session.BROADCAST_ROWS + 1).count()
         table = replace(table, datasets=seen)
     return table
+
+
+def count_cells(df: DataFrame, picked: ColumnSet, by: str | None = None, row_order: str | None = None) -> DataFrame:
+    """How often each column holds each value, as lane columns with ``n`` and maybe ``first_row``. Such counts add up."""
+    carry = ([by] if by else []) + ([row_order] if row_order and row_order != by else [])
+    lanes = []
+    for lane in LANES:
+        raw = cells(df, picked, lane, carry)
+        if raw is None:
+            continue
+        wanted = [F.count(F.lit(1)).alias("n")]
+        if row_order is not None:
+            wanted.append(F.min(row_order).alias("first_row"))
+        lanes.append(raw.groupBy(*([by] if by else []), "ordinal", *LANE_COLUMNS[lane]).agg(*wanted))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lanes)
+
+
+def add_counts(counts: DataFrame) -> DataFrame:
+    """Counts of several parts of a table added up."""
+    summed = {"n": F.sum("n").alias("n"), "first_row": F.min("first_row").alias("first_row")}
+    return counts.groupBy(*[c for c in counts.columns if c not in summed]).agg(*[v for c, v in summed.items() if c in counts.columns])
+
+
+def long_texts(df: DataFrame, picked: ColumnSet) -> DataFrame | None:
+    """``ordinal, digest, full``: every cell that is counted as a digest, with its text."""
+    members = picked.of_kind("text", "container")
+    if not members:
+        return None
+    stacked = [F.lit(len(members))]
+    for i in members:
+        stacked += [F.lit(i), text.clean(text_of(df[text.quoted(picked.names[i])], picked.types[i]))]
+    cells_ = df.select(F.stack(*stacked).alias("ordinal", "full")).filter(F.octet_length("full") > LONG_TEXT)
+    return cells_.select("ordinal", digest_of(F.col("full")).alias("digest"), "full")
+
+
+def digest_of(full: Column) -> Column:
+    """What stands for a long text."""
+    return F.concat(F.substring(full, 1, LEAD), F.sha2(full, 256))

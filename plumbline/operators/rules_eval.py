@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from plumbline import session
 from plumbline.functions.numeric import fixed, grouped, plain, share
+from plumbline.operators.frequency import LONG_TEXT, FrequencyTable, digest_of
 from plumbline.operators.rules_gen import all_held
+from plumbline.operators.stats import restore_long_texts
 
 RESULT = ("rule_type", "column", "status", "observed", "expected", "reason", "raw")
 
@@ -119,30 +121,41 @@ def _decided(rules: DataFrame, outcome: Column, raw: Column | None = None) -> Da
     ).select("rule_type", "column", "_o.status", "_o.observed", "_o.expected", "_o.reason", "raw")
 
 
-def _outside(rules: DataFrame, allowed: str, values: DataFrame) -> DataFrame:
+def _outside(rules: DataFrame, allowed: str, values: DataFrame | FrequencyTable) -> DataFrame:
     """The rules with ``unknown``: the most frequent values of their column (three at most) that ``allowed`` does not hold.
 
-    ``values`` has one row per column and value, with ``n``, as frequency tables have.
+    ``values`` is a frequency table, or has one row per column and value, with ``n``. Long texts are compared by their
+    digests where ``values`` holds these; a frequency table also gives their texts back, for the few that are shown.
     """
-    def fits(v: Column) -> Column:
+    table = values if isinstance(values, FrequencyTable) else None
+    values = table.valid if table else values
+    digest = F.col("digest") if "digest" in values.columns else F.lit(None).cast("string")
+
+    def fits(v: Column, d: Column) -> Column:
         numbers = F.transform(F.col(allowed), lambda x: x.try_cast("double"))
-        return F.array_contains(allowed, v) | F.coalesce(F.array_contains(numbers, v.try_cast("double")), F.lit(False))
+        told = F.transform(F.filter(allowed, lambda x: F.octet_length(x) > LONG_TEXT), digest_of)
+        return F.when(d.isNotNull(), F.array_contains(told, d)).otherwise(
+            F.array_contains(allowed, v) | F.coalesce(F.array_contains(numbers, v.try_cast("double")), F.lit(False)))
 
     sets = rules.filter(F.col(allowed).isNotNull() & F.col("column").isNotNull()).select("column", allowed).distinct()
-    seen = values.select("column", F.coalesce(*[c for c in ("value", "digest") if c in values.columns]).alias("v"), "n")
-    strange = seen.join(F.broadcast(sets), "column").filter(~fits(F.col("v")))
-    order = Window.partitionBy("column", allowed).orderBy(F.desc("n"), "v")
+    own = ["ordinal"] if table else []
+    seen = values.select("column", *own, "value", digest.alias("digest"), "n")
+    strange = seen.join(session.bounded(sets, sets.count()), "column").filter(~fits(F.col("value"), F.col("digest")))
+    shown = F.coalesce("value", "digest")
+    order = Window.partitionBy("column", allowed).orderBy(F.desc("n"), shown)
     first = strange.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 3)
+    if table and table.columns.of_kind("text", "container"):
+        first = restore_long_texts(table, first, None, 3 * max(1, len(table.columns.names)))
     lists = first.groupBy("column", allowed).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("nth", "v"))), lambda e: e["v"]).alias("unknown"))
+        F.transform(F.array_sort(F.collect_list(F.struct("nth", shown.alias("v")))), lambda e: e["v"]).alias("unknown"))
     known = rules.join(lists, ["column", allowed], "left")
     return known.withColumn("unknown", F.coalesce("unknown", F.array().cast("array<string>")))
 
 
-def evaluate_gx(rules: DataFrame, profile: DataFrame, max_columns: int, values: DataFrame | None = None) -> DataFrame:
+def evaluate_gx(rules: DataFrame, profile: DataFrame, max_columns: int, values: DataFrame | FrequencyTable | None = None) -> DataFrame:
     """Decide suite rules (table of ``GX_SCHEMA``).
 
-    Value sets are checked against all ``values`` (the valid rows of a frequency table), or without them against the
+    Value sets are checked against all ``values`` (a frequency table), or without them against the
     top values that the profile holds; where those are not all values and none is outside, the rule is skipped.
     """
     r = _against(rules if values is None else _outside(rules, "value_set", values), profile, max_columns)
@@ -252,7 +265,7 @@ def evaluate_soda(checks: DataFrame, profile: DataFrame, max_columns: int) -> Da
     return _decided(r, outcome, F.col("raw"))
 
 
-def evaluate_json_schema(rules: DataFrame, profile: DataFrame, max_columns: int, values: DataFrame | None = None) -> DataFrame:
+def evaluate_json_schema(rules: DataFrame, profile: DataFrame, max_columns: int, values: DataFrame | FrequencyTable | None = None) -> DataFrame:
     """Decide constraints of a record schema (table of ``JSON_SCHEMA``).
 
     Constraints on absent columns give no result, except ``required``. ``values`` as for suites.

@@ -9,7 +9,7 @@ from plumbline import session
 from plumbline.functions import text
 from plumbline.functions.numeric import share
 from plumbline.functions.text import finite
-from plumbline.operators.frequency import LEAD, LONG_TEXT, FrequencyTable, text_of
+from plumbline.operators.frequency import LEAD, FrequencyTable, long_texts, text_of
 
 # Limits of the number of histogram bins, and of the plain histogram.
 MIN_BINS, MAX_BINS, PLAIN_BINS = 5, 50, 10
@@ -279,18 +279,17 @@ def top_values(ft: FrequencyTable, base: DataFrame, source: DataFrame | None = N
                size: int = TOP_VALUES) -> DataFrame:
     """The most frequent values of each column, ties by value, with their share of the valid cells.
 
-    Ranking runs as a per-task limit before the shuffle. Winners that were kept as a
-    digest get their text back from ``source`` (the counted rows unless given).
+    Ranking runs as a per-task limit before the shuffle, and keeps at most ``size`` short and ``size`` long values of a column,
+    however many are equally frequent. Short values are ranked as they stand. Long ones are known by digest; those
+    that are certain to be listed, or that win a tie as whole texts, get their text back.
     """
-    near = Window.partitionBy(*ft.keys).orderBy(F.desc("n"), F.substring(F.coalesce("value", "digest"), 1, LEAD))
-    best = (
-        ft.valid.select(*ft.labelled, "value", "digest", "n")
-        .withColumn("near", F.rank().over(near))
-        .filter(F.col("near") <= size)
-    )
-    # texts that begin alike are put in order once they are whole again
+    labels = [*ft.labelled, "value", "digest", "n"]
+    short = Window.partitionBy(*ft.keys).orderBy(F.desc("n"), "value")
+    best = ft.valid.filter(F.col("digest").isNull()).select(*labels).withColumn("near", F.row_number().over(short)).filter(F.col("near") <= size)
+    if ft.columns.of_kind("text", "container"):
+        best = best.drop("near").unionByName(_top_long(ft, source, size))
     order = Window.partitionBy(*ft.keys).orderBy(F.desc("n"), "value")
-    best = _restore_long_texts(ft, best, source, size).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= size)
+    best = best.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= size)
     valid = session.bounded(base.select(*ft.keys, "total_valid"), ft.max_profiles)
     return best.join(valid, ft.keys).select(
         *ft.labelled, "position", "value", F.col("n"),
@@ -298,23 +297,46 @@ def top_values(ft: FrequencyTable, base: DataFrame, source: DataFrame | None = N
     )
 
 
-def _restore_long_texts(ft: FrequencyTable, best: DataFrame, source: DataFrame | None, size: int) -> DataFrame:
-    """Give the few chosen values that travelled as digests their texts back."""
-    longish = ft.columns.of_kind("text", "container")
-    source = ft.source if source is None else source
-    if not longish:
+def _top_long(ft: FrequencyTable, source: DataFrame | None, size: int) -> DataFrame:
+    """The ``size`` most frequent long values of each column, ties by text, with their texts.
+
+    Where the last place is a tie, the texts decide that the digests do not show: the ``size`` least texts of that
+    count are found by a limit inside each task, among the texts alone.
+    """
+    labels = [*ft.labelled, "value", "digest", "n"]
+    by_count = Window.partitionBy(*ft.keys).orderBy(F.desc("n"), "digest")
+    first = ft.valid.filter(F.col("digest").isNotNull()).select(*labels).withColumn("near", F.row_number().over(by_count)).filter(F.col("near") <= size + 1)
+    first = session.materialize(first, "long-values")
+    # the count at which a column's list ends, where one more value has it
+    edge = first.groupBy(*ft.keys).agg(
+        F.max(F.when(F.col("near") == size, F.col("n"))).alias("edge"), F.max(F.when(F.col("near") == size + 1, F.col("n"))).alias("beyond"))
+    edge = session.materialize(edge.where("edge = beyond").drop("beyond"), "edges")
+    if not edge.head(1):
+        return restore_long_texts(ft, first.filter(F.col("near") <= size), source, size).select(*labels)
+    tied = session.attach(ft.valid.filter(F.col("digest").isNotNull()).select(*labels), edge, ft.keys, ft.max_profiles, ["digest"]).where("n = edge").drop("edge")
+    # those that begin late are out already; of the others every text once, and of them the least of each column
+    early = Window.partitionBy(*ft.keys).orderBy(F.substring("digest", 1, LEAD))
+    tied = tied.withColumn("near", F.rank().over(early)).filter(F.col("near") <= size).drop("near")
+    texts = ft.texts if ft.texts is not None else long_texts(ft.source if source is None else source, ft.columns)
+    wanted = tied.select("ordinal", "digest").distinct()
+    texts = texts.join(wanted, ["ordinal", "digest"], "left_semi").groupBy("ordinal", "digest").agg(F.any_value("full").alias("full"))
+    whole = tied.join(texts, ["ordinal", "digest"]).withColumn("value", F.col("full")).select(*labels)
+    by_text = Window.partitionBy(*ft.keys).orderBy("value")
+    least = whole.withColumn("near", F.row_number().over(by_text)).filter(F.col("near") <= size).select(*labels)
+    above = session.attach(first.filter(F.col("near") <= size).drop("near"), edge, ft.keys, ft.max_profiles, ["digest"], "left").where("edge is null or n > edge").drop("edge")
+    return restore_long_texts(ft, above, source, size).select(*labels).unionByName(least)
+
+
+def restore_long_texts(ft: FrequencyTable, best: DataFrame, source: DataFrame | None, size: int) -> DataFrame:
+    """Give the few chosen values that travelled as digests (at most ``size`` for each column) their texts back."""
+    found = ft.texts
+    if found is None:
+        found = long_texts(ft.source if source is None else source, ft.columns)
+    if found is None:
         return best
     sought = best.filter(F.col("digest").isNotNull()).select("ordinal", "digest").distinct()
-    stacked = [F.lit(len(longish))]
-    for i in longish:
-        stacked += [F.lit(i), text.clean(text_of(source[text.quoted(ft.columns.names[i])], ft.columns.types[i]))]
-    long_cells = (
-        source.select(F.stack(*stacked).alias("ordinal", "full"))
-        .filter(F.octet_length("full") > LONG_TEXT)
-        .withColumn("digest", F.concat(F.substring("full", 1, LEAD), F.sha2("full", 256)))
-    )
     full = (
-        session.attach(long_cells, sought, ["ordinal", "digest"], ft.max_profiles * size, spread=["digest"])
+        session.attach(found, sought, ["ordinal", "digest"], ft.max_profiles * size, spread=["digest"])
         .groupBy("ordinal", "digest").agg(F.any_value("full").alias("full"))
     )
     return best.join(full, ["ordinal", "digest"], "left").withColumn("value", F.coalesce("value", "full")).drop("full")
@@ -328,7 +350,7 @@ def sample_values(ft: FrequencyTable, source: DataFrame | None = None, size: int
         .withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= size)
     )
-    return _restore_long_texts(ft, first, source, size).select(
+    return restore_long_texts(ft, first, source, size).select(
         *ft.labelled, "position", F.coalesce("value", "digest").alias("value")
     )
 

@@ -49,7 +49,12 @@ def profile(
         order = "_row"
     names = list(columns) if columns is not None else [c for c in df.columns if c != by]
     ft = frequency(source, names, by, order if "samples" in parts else None, materialized=True)
-    out = profile_frequencies(ft, parts, df)
+    return finished(ft, parts, df)
+
+
+def finished(ft: FrequencyTable, parts: Collection[str] = ALL_PARTS, source: DataFrame | None = None) -> DataFrame:
+    """The whole profile of a frequency table, written to the shared folder."""
+    out = profile_frequencies(ft, parts, source)
     if "pii" not in parts:
         # like the check of contents, the name counts where there are cells
         out = out.withColumn("pii_type", F.when(F.col("total_valid") > 0, name_hint(F.col("column"))))

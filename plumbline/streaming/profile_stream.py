@@ -1,14 +1,28 @@
-"""Profiles of a file stream. State covers the whole input; there is no event time."""
+"""Profiles of a file stream. State covers the whole input; there is no event time.
+
+``profile_stream`` keeps counters in the state store. ``StreamProfile`` is the whole profile: each batch adds its own
+counts of values to a table in the shared folder, and the finished profile is worked out from their sum by the same code
+as a table's, so that it is equal to it, quantiles, lists and personal data included.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Collection, Sequence
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import session
 from plumbline.functions import text
-from plumbline.operators.frequency import text_of
+from plumbline.operators.frequency import ColumnSet, FrequencyTable, add_counts, count_cells, describe_values, long_texts, text_of
 from plumbline.operators.stats import inferred_type, row_digests
+from plumbline.plans.profile import ALL_PARTS, finished
+
+#: After so many batches their counts are added up into one table, so that readers never meet more parts than that.
+ADDED_UP_AFTER = 32
 
 
 def read_stream(spark: SparkSession, folder: str, schema, form: str = "parquet", glob: str | None = None,
@@ -59,6 +73,91 @@ def profile_stream(stream: DataFrame) -> DataFrame:
     return grouped.withColumn("inferred_type", inferred_type())
 
 
+@dataclass(frozen=True)
+class StreamProfile:
+    """The whole profile of a stream, kept below ``place`` in the shared folder.
+
+    * ``counts/batch=k``: how often each column held each value in batch k, and the first row it was seen in;
+    * ``sums/upto=k``: the sum of all batches up to k, written every ``ADDED_UP_AFTER`` batches;
+    * ``texts/batch=k``: the texts above 256 bytes that batch k counted by digest, each once;
+    * ``progress``: the stream's checkpoint. A batch that is run again replaces what its first try has written, so a lost
+      executor, a stopped driver or a second run go on without counting anything twice.
+
+    ``row_order`` names the column that orders rows (for the sample values); else rows count as they arrive.
+    """
+
+    spark: SparkSession
+    place: str
+    schema: T.StructType
+    columns: tuple[str, ...]
+    row_order: str | None = None
+
+    @classmethod
+    def of(cls, stream: DataFrame, place: str | None = None, columns: Sequence[str] | None = None, row_order: str | None = None) -> StreamProfile:
+        place = place or session.scratch_path(stream.sparkSession, "stream-profile")
+        return cls(stream.sparkSession, place, stream.schema, tuple(columns or stream.columns), row_order)
+
+    @property
+    def picked(self) -> ColumnSet:
+        return ColumnSet(self.columns, tuple(self.schema[c].dataType for c in self.columns))
+
+    def run(self, stream: DataFrame) -> StreamProfile:
+        """Process everything that is there and not yet counted, in batches."""
+        query = (
+            stream.writeStream.foreachBatch(self._count).option("checkpointLocation", f"{self.place}/progress")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        return self
+
+    def _count(self, batch: DataFrame, number: int) -> None:
+        order = self.row_order or "_row"
+        if self.row_order is None:
+            batch = batch.withColumn(order, F.struct(F.lit(number).cast("long").alias("batch"), F.monotonically_increasing_id().alias("row")))
+        rows = session.spread(batch.select(*[text.quoted(c) for c in dict.fromkeys([order, *self.columns])]))
+        count_cells(rows, self.picked, row_order=order).write.mode("overwrite").parquet(f"{self.place}/counts/batch={number}")
+        texts = long_texts(rows, self.picked)
+        if texts is not None:
+            texts.groupBy("ordinal", "digest").agg(F.any_value("full").alias("full")).write.mode("overwrite").parquet(f"{self.place}/texts/batch={number}")
+        if number % ADDED_UP_AFTER == ADDED_UP_AFTER - 1:
+            self.counts(number).write.mode("overwrite").parquet(f"{self.place}/sums/upto={number}")
+
+    def _parts(self, name: str) -> DataFrame | None:
+        """A table of parts; None if none is written. Parts still being written do not show."""
+        try:
+            return self.spark.read.option("basePath", f"{self.place}/{name}").parquet(f"{self.place}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    def counts(self, upto: int | None = None) -> DataFrame:
+        """Counts of all batches (up to a number): the last sum before it, and the batches since."""
+        parts, sums = self._parts("counts"), self._parts("sums")
+        if parts is None:
+            order = T.StructType().add("batch", "long").add("row", "long") if self.row_order is None else self.schema[self.row_order].dataType
+            empty = self.spark.createDataFrame([], self.schema.add("_row", order) if self.row_order is None else self.schema)
+            return count_cells(empty, self.picked, row_order=self.row_order or "_row")
+        if upto is not None:
+            parts = parts.where(F.col("batch") <= upto)
+            sums = None if sums is None else sums.where(F.col("upto") < upto)
+        last = None if sums is None else sums.agg(F.max("upto")).first()[0]
+        if last is not None:
+            parts = parts.where(F.col("batch") > last).drop("batch").unionByName(sums.where(F.col("upto") == last).drop("upto"))
+        return add_counts(parts.drop("batch"))
+
+    def frequency(self) -> FrequencyTable:
+        counted = session.materialize(describe_values(self.counts(), self.picked), "frequency")
+        texts = self._parts("texts")
+        if texts is None:
+            texts = self.spark.createDataFrame([], "ordinal int, digest string, full string")
+        return FrequencyTable(counted, self.picked, texts=texts.select("ordinal", "digest", "full"))
+
+    def profile(self, parts: Collection[str] = ALL_PARTS) -> DataFrame:
+        """The profile of everything counted so far; also while the stream goes on."""
+        return finished(self.frequency(), parts)
+
+
 def frequency_stream(stream: DataFrame) -> DataFrame:
     """Running count of every value of every column. The state holds each distinct value once, whatever its length."""
     cells = _text_cells(stream).filter(~text.is_missing_text(F.col("cell")))

@@ -196,3 +196,25 @@ def test_texts_of_any_length(spark):
     top = [r["value"] for r in stats.top_values(ft, base).filter("column = 't'").orderBy("position").collect()]
     assert top == ["a" * 300 + "c", "a" * 300 + "z", "b" * 300]
     assert [r["value"] for r in stats.top_values(ft, base, size=2).filter("column = 't'").orderBy("position").collect()] == top[:2]
+
+
+def test_top_values_of_many_equal_counts(spark, monkeypatch):
+    """Short values are cut exactly; long ones that begin alike are put in order as whole texts."""
+    lead = "https://example.com/a/common/beginning/that/is/longer/than/sixty-four/characters/"
+    rows = [(f"{lead}{k:05d}", f"{lead * 4}{k:05d}") for k in range(5000)] + [(f"{lead}00007", f"{lead * 4}99999"), ("z", f"{lead * 4}99999")]
+    df = spark.createDataFrame(rows, "short string, long string").repartition(4)
+    ft = frequency(df)
+    sizes = []
+    attach = session.attach
+
+    def counted(rows, facts, keys, most, *rest, **more):
+        sizes.append((facts.count(), most))
+        return attach(rows, facts, keys, most, *rest, **more)
+
+    monkeypatch.setattr(session, "attach", counted)
+    got = {}
+    for r in stats.top_values(ft, stats.base_stats(ft)).orderBy("position").collect():
+        got.setdefault(r["column"], []).append(r["value"])
+    assert got["short"] == [f"{lead}00007"] + [f"{lead}{k:05d}" for k in (0, 1, 2, 3, 4, 5, 6, 8, 9)]
+    assert got["long"] == [f"{lead * 4}99999"] + [f"{lead * 4}{k:05d}" for k in range(9)]
+    assert all(rows <= most for rows, most in sizes)

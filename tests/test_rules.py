@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from plumbline.operators import reports, rules_eval, rules_gen, rules_load
+from plumbline.operators.frequency import frequency
 from plumbline.plans.profile import ALL_PARTS, RULES, profile
 
 
@@ -141,3 +142,24 @@ def test_generated_json_schema_passes(spark, people):
     assert schema["properties"]["category"]["maxLength"] == 1
     results = rules_eval.evaluate_json_schema(rules_load.json_schema_rules(text), people, 6)
     assert rules_eval.rule_summary(results, []).head()["failed"] == 0
+
+
+def test_value_sets_of_long_texts(spark):
+    """Long texts are counted by digest; sets name them as they are."""
+    a, b, c = "z" * 300, "é" * 200, "z" * 299 + "y"
+    df = spark.createDataFrame([(a,), (a,), (b,), ("a",)], "c string")
+    table, p = frequency(df), profile(df, parts=RULES)
+    fields = [f.split()[0] for f in rules_eval.GX_SCHEMA.split(", ")]
+
+    def decide(allowed, values):
+        rule = {"rule_type": "expect_column_values_to_be_in_set", "column": "c", "value_set": allowed}
+        gx = rules_eval.evaluate_gx(spark.createDataFrame([tuple(rule.get(f) for f in fields)], rules_eval.GX_SCHEMA), p, 1, values).head()
+        enum = spark.createDataFrame([("enum", "c", None, None, allowed)], rules_eval.JSON_SCHEMA)
+        js = rules_eval.evaluate_json_schema(enum, p, 1, values).head()
+        return gx, js
+
+    for values in (table, table.valid, df.groupBy(F.col("c").alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("column", F.lit("c"))):
+        assert [r["status"] for r in decide([a, b, "a"], values)] == ["pass", "pass"]
+        assert [r["status"] for r in decide([c, b, "a"], values)] == ["fail", "fail"]
+    gx, js = decide([c, "a"], table)
+    assert a in gx["observed"] and a in js["observed"]
