@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline import session
 from plumbline.functions import text
 
 # Candidate delimiters in order of preference, records looked at.
@@ -86,12 +90,145 @@ def csv_layouts(spark: SparkSession, files: Sequence[str], delimiter: str | None
     return layouts
 
 
+LINES = "file string, block long, ends_if_out boolean, ends_if_in boolean, opens boolean"
+RECORDS = "file string, block long, part string, first boolean, record string"
+
+
+class QuoteState:
+    """Whether a line ends inside a quoted cell, from whether it begins inside one. A quote opens a cell only where a cell begins."""
+
+    def __init__(self, mark: str):
+        sep = re.escape(mark)
+        self.cell = re.compile(rf'(^|{sep})"[^"]*(?:""[^"]*)*"(?={sep}|\r?\Z)')
+        self.opening = re.compile(rf'(?:^|{sep})"')
+        self.closing = re.compile(rf'[^"]*(?:""[^"]*)*"(?={sep}|\r?\Z)')
+
+    def after(self, line: str, inside: bool) -> bool:
+        if inside:
+            closed = self.closing.match(line)
+            if not closed:
+                return True
+            line = line[closed.end():] or "\r"
+        return self.opening.search(self.cell.sub(r"\1", line)) is not None
+
+
+def _lines(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """Lines as they stand between line feeds, with the split each belongs to. They arrive in order within a split."""
+    return spark.read.option("lineSep", "\n").text(list(files)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], str, bool]]:
+    """(split, line, does it hold a quote) of each line."""
+    for batch in batches:
+        quoted = pc.match_substring(batch.column(2), '"').to_pylist()
+        yield from zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).to_pylist(), quoted)
+
+
+def split_states(lines: DataFrame, mark: str) -> dict[str, list[tuple[int, bool, bool, bool]]]:
+    """Per file and split, in order: where it starts, whether it starts inside a quoted cell, whether it ends inside one, whether any line does.
+
+    Every split is looked at alone, for both ways it may start; one small row per split comes to the driver, where
+    the ways are put together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, found = QuoteState(mark), {}
+        for split, line, quoted in _runs(batches):
+            out, in_, opens = found.get(split, (False, True, False))
+            if quoted:
+                out, in_ = state.after(line, out), state.after(line, in_)
+            found[split] = out, in_, opens or out
+        yield pa.record_batch({
+            "file": pa.array([f for f, _ in found], pa.string()), "block": pa.array([b for _, b in found], pa.int64()),
+            **{name: pa.array([v[k] for v in found.values()], pa.bool_()) for k, name in enumerate(("ends_if_out", "ends_if_in", "opens"))}})
+
+    states: dict[str, list[tuple[int, bool, bool, bool]]] = {}
+    inside: dict[str, bool] = {}
+    for r in lines.mapInArrow(run, LINES).orderBy("file", "block").collect():
+        start = inside.get(r["file"], False)
+        inside[r["file"]] = r["ends_if_in"] if start else r["ends_if_out"]
+        states.setdefault(r["file"], []).append((r["block"], start, inside[r["file"]], start or r["opens"]))
+    return states
+
+
+def _records(lines: DataFrame, mark: str, inside: frozenset[tuple[str, int]]) -> DataFrame:
+    """Lines put together to records, split by split; ``part`` is ``whole``, or what the split holds of a record: ``head`` (its end), ``tail``, ``through``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, now, open_, came_in, held, first, rows = QuoteState(mark), None, False, False, [], False, []
+
+        def take(part: str) -> None:
+            nonlocal held, first
+            rows.append((*now, part, first, "\n".join(held)))
+            held, first = [], False
+
+        def out() -> pa.RecordBatch:
+            names = [c.split()[0] for c in RECORDS.split(", ")]
+            types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
+            done = pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+            rows.clear()
+            return done
+
+        for split, line, quoted in _runs(batches):
+            if split != now:
+                if held:
+                    take("through" if came_in else "tail")
+                now, open_ = split, split in inside
+                came_in, first = open_, split[1] == 0
+            held.append(line)
+            if quoted:
+                open_ = state.after(line, open_)
+            if not open_:
+                take("head" if came_in else "whole")
+                came_in = False
+                if len(rows) >= 10_000:
+                    yield out()
+        if held:
+            take("through" if came_in else "tail")
+        yield out()
+
+    return lines.mapInArrow(run, RECORDS)
+
+
+def _spanning_records(spark: SparkSession, files: Sequence[str], mark: str) -> DataFrame:
+    """``file, first, record`` of files whose records span lines. Splits are put together alone; what crosses their borders is joined afterwards."""
+    lines = _lines(spark, files)
+    states = split_states(lines, mark)
+    inside = frozenset((f, block) for f, splits in states.items() for block, start, *_ in splits if start)
+    whole = _records(lines, mark, inside).where("part = 'whole'").select("file", "first", "record")
+    crossing = [(f, block) for f, splits in states.items() for block, start, end, _ in splits if start or end]
+    if not crossing:
+        return whole
+    asked = spark.createDataFrame(crossing, "file string, block long")
+    pieces = _records(lines.join(session.bounded(asked, len(crossing)), ["file", "block"], "left_semi"), mark, inside).where("part <> 'whole'")
+    # at most two pieces for each split: the end of a record that came in, and the beginning of one that goes on
+    so_far = Window.partitionBy("file").orderBy("block", F.col("part") == "tail").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = pieces.withColumn("nth", F.count_if(F.col("part") == "tail").over(so_far))
+    order = F.sort_array(F.collect_list(F.struct("block", "first", "record")))
+    joined = numbered.groupBy("file", "nth").agg(F.bool_or("first").alias("first"), F.array_join(F.transform(order, lambda p: p["record"]), "\n").alias("record"))
+    return whole.union(joined.select("file", "first", "record"))
+
+
+def _parsed(records: DataFrame, schema: T.StructType, options: dict, header: bool) -> DataFrame:
+    """Records as columns, each parsed alone; blank ones and the header of each file are left out."""
+    # as in a file read whole: line breaks are line feeds
+    text_ = F.replace(F.regexp_replace("record", "\r$", ""), F.lit("\r\n"), F.lit("\n"))
+    kept = records.where(~F.col("first")) if header else records
+    kept = kept.select("file", text_.alias("record")).where(F.length("record") > 0)
+    said = {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items() if k not in ("header", "multiLine", "inferSchema")}
+    ddl = ", ".join(f"{text.quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+    row = F.from_csv("record", ddl, {**said, "columnNameOfCorruptRecord": BAD_RECORD})
+    return kept.select("file", row.alias("row")).select("file", *[F.col("row").getField(f.name).alias(f.name) for f in schema.fields])
+
+
 def scan_csv(spark: SparkSession, paths: Sequence[str] | str, delimiter: str | None = None,
              header: bool = True, multiline: bool | None = None, dataset: str | None = None) -> DataFrame:
     """All cells as text; records with the wrong number of fields are kept aside in ``_bad_record``.
 
-    Delimiter and header are those of each file; files of equal layout are read together. Files with line breaks inside
-    quotes are read whole, one task per file; the others are split (``multiline`` says it without looking).
+    Delimiter and header are those of each file; files of equal layout are read together. All files are split. In those with line
+    breaks inside quotes, the state in which each split starts is found first; its records are put together then, those
+    that cross a border from their pieces (``multiline`` says without looking whether there may be such records).
     Without a header the columns are called ``_c0, _c1, …``. ``dataset`` names a column for the path of each row's file.
     """
     files = _files(spark, [paths] if isinstance(paths, str) else paths)
@@ -101,6 +238,10 @@ def scan_csv(spark: SparkSession, paths: Sequence[str] | str, delimiter: str | N
         names = spark.read.options(**options).csv(group[0]).columns
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(BAD_RECORD, T.StringType())])
         # every field is parsed even when few are asked for, else short and long records go unnoticed
+        if spans:
+            part = _parsed(_spanning_records(spark, group, mark), schema, options, header)
+            parts.append(part.withColumnRenamed("file", dataset).select(*names, BAD_RECORD, dataset) if dataset else part.drop("file"))
+            continue
         part = spark.read.options(**options, columnNameOfCorruptRecord=BAD_RECORD, columnPruning=False).schema(schema).csv(group)
         parts.append(part.select("*", F.col("_metadata.file_path").alias(dataset)) if dataset else part)
     if not parts:

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -96,3 +99,66 @@ def test_records_over_several_lines_and_files_of_different_layout(spark):
     both = readers.scan_csv(spark, [one, two])
     assert rows(readers.good_rows(both), "id", "note", "extra")[-2:] == [("7", None, "x"), ("9", None, "w")]
     assert readers.malformed_rows(both).head()["malformed"] == 0
+
+
+def raw_file(spark, tmp_path, text, name="raw.csv"):
+    (tmp_path / name).write_bytes(text.encode())
+    return str(tmp_path / name)
+
+
+def small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+
+@pytest.fixture
+def splits_restored(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_records_across_lines_are_read_in_splits(spark, tmp_path, splits_restored, seed):
+    """The same rows as one task gets that reads the file whole."""
+    r = random.Random(seed)
+    end = r.choice(["\n", "\r\n"])
+    mark = r.choice([",", ";", "|"])
+
+    def cell():
+        kind = r.random()
+        if kind < 0.5:
+            return "".join(r.choice("abc é 5") for _ in range(r.randint(1, 6))) + r.choice(["", "", '" pipe'])
+        inner = "".join(r.choice(["x", "yz", '""', end, mark, " ", "line" + end]) for _ in range(r.randint(0, 14 if kind < 0.97 else 400)))
+        return f'"{inner}"'
+
+    lines = [mark.join(["one", "two", "three"])] + [mark.join(cell() for _ in range(r.choice([3, 3, 3, 3, 3, 2, 4]))) for _ in range(300)]
+    path = raw_file(spark, tmp_path, end.join(lines) + r.choice(["", end]))
+    options = {"sep": mark, "header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad_record"}
+    whole = spark.read.options(**options, multiLine=True).schema("one string, two string, three string, _bad_record string").csv(path)
+    fields = ["one", "two", "three"]
+    expected = rows(whole.selectExpr(*fields, "_bad_record is not null"))
+    small_splits(spark, 300)
+    scanned = readers.scan_csv(spark, path, mark, multiline=True, dataset="place")
+    assert rows(scanned.selectExpr(*fields, "_bad_record is not null")) == expected
+    found = readers.split_states(readers._lines(spark, [path]), mark)
+    assert len(found) == 1 and len(next(iter(found.values()))) > 10
+    assert readers._lines(spark, [path]).rdd.getNumPartitions() > 10
+    assert {x["place"].split("/")[-1] for x in scanned.select("place").distinct().collect()} == {"raw.csv"}
+
+
+def test_a_cell_longer_than_several_splits(spark, tmp_path, splits_restored):
+    big = "line of text\n" * 200
+    path = raw_file(spark, tmp_path, f'a,b\n1,"{big}"\n2,x\n3,"open at the end\nof the file')
+    small_splits(spark, 256)
+    got = {x["a"]: x["b"] for x in readers.scan_csv(spark, path).collect()}
+    assert got["1"] == big and got["2"] == "x" and set(got) == {"1", "2", "3"}
+
+
+@pytest.mark.parametrize("line, out, in_", [
+    ("a,b", False, True), ('"a","b', True, True), ('x","y', True, True), ('x",y', False, False), ('5" pipe,b', False, True),
+    ('"a ""x"" b', True, True), ('"",""', False, True), ('"""', True, False), ('', False, True), ('"a"\r', False, True), ('"', True, False), (',"', True, False)])
+def test_quote_states(line, out, in_):
+    state = readers.QuoteState(",")
+    assert (state.after(line, False), state.after(line, True)) == (out, in_)
