@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from plumbline import session
@@ -12,7 +14,7 @@ from plumbline.catalog.twin import (
 from plumbline.functions import pii, text
 from plumbline.functions.pii import CONTENT_PATTERNS, NAME_HINTS, REPORT_NAME_FRAGMENTS, SEVERITY
 from plumbline.operators import anomalies, correlation, personal_data, quality, stats
-from plumbline.operators.frequency import frequency
+from plumbline.operators.frequency import cell_table, frequency
 from plumbline.plans.profile import profile, table_profile
 
 MESSY_SRC = f"({MESSY}) AS messy"
@@ -26,8 +28,8 @@ def messy(spark, sf):
 
 
 def li_base(spark, sf, columns=None):
-    ft = frequency(table(spark, sf, "lineitem"), columns, materialized=True)
-    return ft, stats.base_stats(ft)
+    ft = cell_table(table(spark, sf, "lineitem"), columns)
+    return ft, session.materialize(stats.base_stats(ft), "base")
 
 
 # --- flagship ------------------------------------------------------------------
@@ -109,13 +111,13 @@ _predicate_query("is_date_text", text.is_date_text, is_date_sql)
 
 @query("base_stats", f"""WITH {ME} SELECT col AS "column", count, missing, total_valid FROM base""")
 def base_stats(spark, sf):
-    return stats.base_stats(frequency(messy(spark, sf))).select("column", "count", "missing", "total_valid")
+    return stats.base_stats(cell_table(messy(spark, sf))).select("column", "count", "missing", "total_valid")
 
 
 @query("infer_types", f"""WITH {ME} SELECT col AS "column", inferred_type, integer_count, numeric_count, boolean_count,
  date_count, inferred_type = 'String' AND numeric_count > 0.5 * total_valid AS mostly_numeric FROM base""")
 def infer_types(spark, sf):
-    return stats.base_stats(frequency(messy(spark, sf))).select(
+    return stats.base_stats(cell_table(messy(spark, sf))).select(
         "column", "inferred_type", "integer_count", "numeric_count", "boolean_count", "date_count",
         (F.size("notes") > 0).alias("mostly_numeric"))
 
@@ -219,7 +221,7 @@ PG = {"url": "text", "html": "text"}
 
 @query("text_lengths", f"""WITH {profile_sql("pages", PG)} SELECT col AS "column", min_length, max_length FROM base""")
 def text_lengths(spark, sf):
-    return stats.base_stats(frequency(table(spark, sf, "pages"), list(PG))).select("column", "min_length", "max_length")
+    return stats.base_stats(cell_table(table(spark, sf, "pages"), list(PG))).select("column", "min_length", "max_length")
 
 
 def _histogram_sql(cte, bins, width, where):
@@ -243,8 +245,8 @@ def histogram(spark, sf):
 
 @query("histogram_fixed", _histogram_sql(ME, "10", "CASE WHEN max > min THEN (max - min) / 10 ELSE 1.0 END", ""))
 def histogram_fixed(spark, sf):
-    ft = frequency(messy(spark, sf), materialized=True)
-    return stats.histogram(ft, stats.base_stats(ft), fixed_bins=stats.PLAIN_BINS).select(
+    ft = cell_table(messy(spark, sf))
+    return stats.histogram(ft, session.materialize(stats.base_stats(ft), "base"), fixed_bins=stats.PLAIN_BINS).select(
         "column", "bin", rr("start").alias("start"), rr("end").alias("end"), "n")
 
 
@@ -307,14 +309,14 @@ def correlation_pairwise(spark, sf):
 @query("health_score", f"""WITH {ME}, s AS (SELECT sum(count - missing) * 100.0 / sum(count) AS p FROM base)
 SELECT round(p, 1) AS health_score, CASE WHEN p < 70 THEN 'red' WHEN p < 90 THEN 'amber' ELSE 'green' END AS band FROM s""")
 def health_score(spark, sf):
-    return quality.health_score(stats.base_stats(frequency(messy(spark, sf))), [])
+    return quality.health_score(stats.base_stats(cell_table(messy(spark, sf))), [])
 
 
 @query("missing_badge", f"""WITH {ME}, p AS (SELECT col, missing * 100.0 / count AS pct FROM base)
 SELECT col AS "column", round(pct, 6) AS missing_pct, CASE WHEN pct < 10 THEN 'excellent' WHEN pct <= 25 THEN 'warning' ELSE 'critical' END AS badge,
  CASE WHEN pct < 5 THEN 'good' WHEN pct < 20 THEN 'warning' ELSE 'bad' END AS report_class FROM p""")
 def missing_badge(spark, sf):
-    return quality.missing_badge(stats.base_stats(frequency(messy(spark, sf)))).select(
+    return quality.missing_badge(stats.base_stats(cell_table(messy(spark, sf)))).select(
         "column", F.round("missing_pct", 6).alias("missing_pct"), "badge", "report_class")
 
 
@@ -483,21 +485,25 @@ def pii_summary(spark, sf):
     return quality.pii_summary(joined, "pii_type")
 
 
+#: the columns of the given tables, as their schemas have them
+NAMES = {
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "pages": "page_id url html",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars",
+    "conversations": "conv_id turn role text", "nation": "n_nationkey n_name n_regionkey"}
+
+
 @query("potential_pii_name", "WITH n AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count(*) AS rows FROM {t}" for t, cs in
-    (("customer", ("c_custkey", "c_name", "c_mktsegment")), ("supplier", ("s_name", "s_acctbal")), ("pages", ("url",)),
-     ("events", ("event_type", "props")), ("embeddings", ("embedding",)), ("orders", ("o_orderpriority",))) for c in cs)
-    + f""") SELECT "column", rows, regexp_matches(lower("column"), '{'|'.join(REPORT_NAME_FRAGMENTS)}') AS potential_pii FROM n""")
+    f"SELECT '{t}' AS dataset, '{c}' AS \"column\", count({c}) AS filled FROM {t}" for t, cs in NAMES.items() for c in cs.split())
+    + f""") SELECT dataset, "column", filled, filled > 0 AND regexp_matches(lower("column"), '{'|'.join(REPORT_NAME_FRAGMENTS)}') AS potential_pii FROM n""")
 def potential_pii_name(spark, sf):
+    """Every column of the tables by its name, with the cells it fills."""
     parts = []
-    for t, cs in (("customer", ("c_custkey", "c_name", "c_mktsegment")), ("supplier", ("s_name", "s_acctbal")), ("pages", ("url",)),
-                  ("events", ("event_type", "props")), ("embeddings", ("embedding",)), ("orders", ("o_orderpriority",))):
-        rows = table(spark, sf, t).agg(F.count(F.lit(1)).alias("rows"))
-        parts.append(rows.select(F.explode(F.array(*[F.lit(c) for c in cs])).alias("column"), "rows"))
-    tall = parts[0]
-    for p in parts[1:]:
-        tall = tall.unionByName(p)
-    return tall.withColumn("potential_pii", pii.is_personal_name(F.col("column")))
+    for name in NAMES:
+        base = stats.base_stats(cell_table(table(spark, sf, name)))
+        parts.append(base.select(F.lit(name).alias("dataset"), "column", F.col("total_valid").alias("filled")))
+    tall = reduce(lambda a, b: a.unionByName(b), parts)
+    return tall.withColumn("potential_pii", (F.col("filled") > 0) & pii.is_personal_name(F.col("column")))
 
 
 # --- row findings ----------------------------------------------------------------------

@@ -220,10 +220,13 @@ def trends(spark, sf):
     return t.withColumns({"baseline": rr("baseline"), "avg_change": rr("avg_change")})
 
 
-@query("batch_compare", f"""WITH {TRENDS} SELECT direction, count(*) AS trends FROM tr GROUP BY direction""")
+@query("batch_compare", f"""WITH {TRENDS} SELECT col AS "column", metric, {rr_sql('baseline')} AS baseline, datasets, {rr_sql('avg_change')} AS avg_change, direction,
+ (SELECT count(*) FROM nd) AS deltas, (SELECT count(*) FROM nd WHERE presence <> 'shared') AS not_shared FROM tr""")
 def batch_compare(spark, sf):
     r = batch.batch_compare(yearly(spark, sf), "dataset", BASELINE, len(YEARLY_COLUMNS))
-    return r.trends.groupBy("direction").agg(F.count(F.lit(1)).alias("trends"))
+    deltas = r.deltas.agg(F.count(F.lit(1)).alias("deltas"), F.count_if(F.col("presence") != "shared").alias("not_shared"))
+    return r.trends.select("column", "metric", rr("baseline").alias("baseline"), "datasets", rr("avg_change").alias("avg_change"), "direction").withColumns(
+        {c: deltas.select(c).scalar() for c in deltas.columns})
 
 
 @query("nway_summary", f"""WITH {NWAY} SELECT count(DISTINCT dataset) AS files_compared,
@@ -300,10 +303,11 @@ def merge_top_values(spark, sf):
     return merge.merge_top_values(top).withColumn("position", F.col("position").cast("bigint"))
 
 
-@query("batch_merge", f"""WITH {YP}, yp AS (SELECT * FROM prof), {_merged_sql('col')} SELECT col AS "column", count, missing, "distinct", inferred_type FROM mg""")
+@query("batch_merge", f"""WITH {YP}, yp AS (SELECT * FROM prof), {_merged_sql('col')} SELECT col AS "column", count, missing, "distinct", inferred_type, num_count,
+ {', '.join(f"{rr_sql(c if c != 'std_dev' else 'sqrt(variance)')} AS {c}" for c in MERGED_COLUMNS)} FROM mg""")
 def batch_merge(spark, sf):
     r = batch.batch_merge(_numbered(yearly(spark, sf, {"moments", "quantiles"}, ragged=False)), "dataset", "nth", BASELINE, forced=True)
-    return r.merged.select("column", "count", "missing", "distinct", "inferred_type")
+    return r.merged.select("column", "count", "missing", "distinct", "inferred_type", "num_count", *[rr(c).alias(c) for c in MERGED_COLUMNS])
 
 
 @query("sort_merged", f"""WITH {YP}, {KEPT_SQL}, {_merged_sql('col')}

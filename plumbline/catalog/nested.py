@@ -60,7 +60,8 @@ def array_stats_nested(spark, sf):
     return flatten.array_stats(order_records(spark, sf)).withColumn("avg_length", F.round("avg_length", 6))
 
 
-@query("schema_tree", """WITH n AS (SELECT count(*) >= 0 AS ok FROM orders) SELECT path, parent_path, depth, data_type, 100.0::DOUBLE AS population, child_count FROM n, (VALUES
+@query("schema_tree", """WITH n AS (SELECT count(*) AS rows, count(*) FILTER (WHERE o_orderstatus <> 'P') AS tagged FROM orders) SELECT path, parent_path, depth, data_type,
+ CASE WHEN path = '$.tags' THEN tagged * 100.0::DOUBLE / rows ELSE 100.0::DOUBLE END AS population, child_count FROM n, (VALUES
  ('$', NULL, 0, 'object', 3), ('$.id', '$', 1, 'number', 0), ('$.customer', '$', 1, 'object', 2), ('$.customer.key', '$.customer', 2, 'number', 0),
  ('$.customer.state', '$.customer', 2, 'object', 2), ('$.customer.state.status', '$.customer.state', 3, 'string', 0), ('$.customer.state.more', '$.customer.state', 3, 'object', 2),
  ('$.customer.state.more.priority', '$.customer.state.more', 4, 'string', 0), ('$.customer.state.more.when', '$.customer.state.more', 4, 'object', 1),

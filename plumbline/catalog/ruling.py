@@ -343,17 +343,23 @@ def gx_round_trip(spark, sf):
 SODA_SHORT = "regexp_replace(regexp_replace(format('{{:.4f}}', round({x}, 4)), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
 
 
-@query("generate_soda", f"""WITH {PA}, l AS (SELECT 'row_count > 0' AS line UNION ALL
- SELECT 'missing_count(' || col || ') = 0' FROM prof WHERE missing = 0 UNION ALL
- SELECT 'missing_percent(' || col || ') < ' || CAST(ceil(missing * 100.0 / count * 1.1::DOUBLE + 1) AS BIGINT) FROM prof WHERE missing > 0 UNION ALL
- SELECT 'duplicate_count(' || col || ') = 0' FROM prof WHERE total_valid > 0 AND "distinct" >= total_valid * 0.999::DOUBLE UNION ALL
- SELECT 'max(' || col || ') <= ' || {SODA_SHORT.format(x='max * 1.1::DOUBLE')} FROM prof WHERE num_count > 0 UNION ALL
- SELECT 'avg(' || col || '):' FROM prof WHERE num_count > 0 UNION ALL SELECT 'schema:' FROM prof WHERE inferred_type <> 'Null')
-SELECT line, count(*) AS n FROM l GROUP BY line""")
+def _soda_band(width):
+    return f"{SODA_SHORT.format(x=f'mean * (1 - {width}::DOUBLE)')} || ' and ' || {SODA_SHORT.format(x=f'mean * (1 + {width}::DOUBLE)')}"
+
+
+@query("generate_soda", f"""WITH {PA}, l AS (SELECT 'row_count > 0' AS line, {NO} AS thresholds UNION ALL
+ SELECT 'missing_count(' || col || ') = 0', {NO} FROM prof WHERE missing = 0 UNION ALL
+ SELECT 'missing_percent(' || col || ') < ' || CAST(ceil(missing * 100.0 / count * 1.1::DOUBLE + 1) AS BIGINT), {NO} FROM prof WHERE missing > 0 UNION ALL
+ SELECT 'duplicate_count(' || col || ') = 0', {NO} FROM prof WHERE total_valid > 0 AND "distinct" >= total_valid * 0.999::DOUBLE UNION ALL
+ SELECT 'min(' || col || ') >= ' || CASE WHEN min = 0 THEN '0.0000e+0' ELSE {SODA_SHORT.format(x='min * (CASE WHEN min >= 0 THEN 0.9 ELSE 1.1 END)::DOUBLE')} END, {NO} FROM prof WHERE num_count > 0 UNION ALL
+ SELECT 'max(' || col || ') <= ' || {SODA_SHORT.format(x='max * (CASE WHEN max >= 0 THEN 1.1 ELSE 0.9 END)::DOUBLE')}, {NO} FROM prof WHERE num_count > 0 UNION ALL
+ SELECT 'avg(' || col || '):', 'fail: when not between ' || {_soda_band(0.1)} || chr(10) || 'warn: when not between ' || {_soda_band(0.05)} FROM prof WHERE num_count > 0 UNION ALL
+ SELECT 'schema:', 'warn:' || chr(10) || '  when wrong column type:' || chr(10) || '    ' || col || ': ' || CASE inferred_type WHEN 'Integer' THEN 'integer' WHEN 'Numeric' THEN 'decimal' WHEN 'String' THEN 'text'
+  WHEN 'Boolean' THEN 'boolean' ELSE 'date' END FROM prof WHERE inferred_type <> 'Null')
+SELECT line, thresholds, count(*) AS n FROM l GROUP BY ALL""")
 def generate_soda(spark, sf):
     g = rules_gen.generate_soda(profile(table(spark, sf, "part"), parts=SUMMARY), "part")
-    # lower bounds are left to the tests: how a small number is written differs between the engines
-    return g.filter(~F.col("line").startswith("min(")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    return g.groupBy("line", "thresholds").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("generate_jsonschema", f"""WITH {ME} SELECT col AS "column", CASE inferred_type WHEN 'Integer' THEN 'integer' WHEN 'Numeric' THEN 'number' WHEN 'Boolean' THEN 'boolean' WHEN 'Null' THEN 'null' ELSE 'string' END AS type,

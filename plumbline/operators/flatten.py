@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions import text
+
 # Levels of objects expanded, and columns above which a tree view is advised.
 MAX_DEPTH, MANY_COLUMNS = 3, 500
 
@@ -97,21 +99,31 @@ def select_paths(df: DataFrame, paths: list[str], json_column: str | None = None
 
 
 def schema_tree(df: DataFrame) -> DataFrame:
-    """Every path of a typed schema with depth, type and number of children."""
-    rows = [("$", None, 0, "object", 100.0, len(df.schema.fields))]
+    """Every path of a typed schema with depth, type, number of children, and the share of rows in which it is filled.
+
+    One aggregate counts all paths; an empty table fills none.
+    """
+    nodes: list[tuple[str, str | None, int, str, int, Column]] = [("$", None, 0, "object", len(df.schema.fields), F.lit(1))]
 
-    def visit(parent: str, schema: T.StructType, depth: int) -> None:
+    def visit(parent: str, schema: T.StructType, depth: int, of: Column | None) -> None:
         for field in schema.fields:
             path = f"{parent}.{field.name}"
+            own = df[text.quoted(field.name)] if of is None else of.getField(field.name)
             nested = field.dataType if isinstance(field.dataType, T.StructType) else None
-            rows.append((path, parent, depth, node_type(field.dataType), 100.0, len(nested.fields) if nested else 0))
+            nodes.append((path, parent, depth, node_type(field.dataType), len(nested.fields) if nested else 0, own))
             if nested:
-                visit(path, nested, depth + 1)
-
-    visit("$", df.schema, 1)
-    return df.sparkSession.createDataFrame(
-        rows, "path string, parent_path string, depth int, data_type string, population double, child_count int"
-    )
+                visit(path, nested, depth + 1, own)
+
+    visit("$", df.schema, 1, None)
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*[F.count(own) for *_, own in nodes]).alias("filled"))
+    told = F.array(*[
+        F.struct(F.lit(path).alias("path"), F.lit(parent).cast("string").alias("parent_path"), F.lit(depth).alias("depth"),
+                 F.lit(kind).alias("data_type"), F.lit(children).alias("child_count"))
+        for path, parent, depth, kind, children, _ in nodes])
+    tall = counts.select("rows", F.posexplode(F.arrays_zip(told.alias("told"), "filled")).alias("nth", "node"))
+    return tall.select(
+        "node.told.path", "node.told.parent_path", "node.told.depth", "node.told.data_type",
+        F.when(F.col("rows") > 0, F.col("node.filled") * 100.0 / F.col("rows")).otherwise(0.0).alias("population"), "node.told.child_count")
 
 
 def node_type(dtype: T.DataType) -> str:

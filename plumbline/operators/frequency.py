@@ -207,6 +207,8 @@ class FrequencyTable:
     datasets: int | None = field(default=None)
     #: the rows that were counted, for texts that travelled as digests
     source: DataFrame | None = field(default=None, compare=False)
+    #: whether equal values are one row; else every cell is a row of its own and nothing was shuffled
+    counted: bool = True
     #: those texts themselves (``ordinal, digest, full``), where the rows are gone
     texts: DataFrame | None = field(default=None, compare=False)
 
@@ -261,6 +263,20 @@ def frequency(
     return table
 
 
+def cell_table(df: DataFrame, columns: Sequence[str] | None = None, by: str | None = None) -> FrequencyTable:
+    """Every cell as a row with ``n`` = 1, for statistics that need no equal values brought together: counts, types, lengths,
+    moments, bins, quantiles. They are sums over rows, partially aggregated where the rows are, and no value is shuffled.
+    """
+    picked = ColumnSet.pick(df, columns, [by] if by else [])
+    df = session.spread(df.select(*[text.quoted(c) for c in dict.fromkeys([*([by] if by else []), *picked.names])]))
+    lanes = [raw.withColumn("n", F.lit(1).cast("bigint")) for lane in LANES if (raw := cells(df, picked, lane, [by] if by else [])) is not None]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lanes)
+    table = FrequencyTable(describe_values(stacked, picked), picked, by, source=df, counted=False)
+    if by:
+        table = replace(table, datasets=df.select(by).distinct().limit(session.BROADCAST_ROWS + 1).count())
+    return table
+
+
 def count_cells(df: DataFrame, picked: ColumnSet, by: str | None = None, row_order: str | None = None) -> DataFrame:
     """How often each column holds each value, as lane columns with ``n`` and maybe ``first_row``. Such counts add up."""
     carry = ([by] if by else []) + ([row_order] if row_order and row_order != by else [])

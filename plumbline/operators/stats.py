@@ -40,7 +40,7 @@ def inferred_type() -> Column:
 
 
 def base_stats(ft: FrequencyTable) -> DataFrame:
-    """One row per column: counts, type counters, inferred type, lengths and number bounds."""
+    """One row per column: counts, type counters, inferred type, lengths and number bounds; distinct values where they are counted."""
     n, valid = F.col("n"), ~F.col("missing")
 
     def counted(flag: Column) -> Column:
@@ -52,7 +52,7 @@ def base_stats(ft: FrequencyTable) -> DataFrame:
         .agg(
             F.sum(n).alias("count"),
             counted(F.col("missing")).alias("missing"),
-            F.count(F.when(valid, 1)).alias("distinct"),
+            (F.count(F.when(valid, 1)) if ft.counted else F.first(F.lit(None).cast("bigint"))).alias("distinct"),
             counted(valid).alias("total_valid"),
             counted(valid & F.col("is_integer")).alias("integer_count"),
             counted(valid & F.col("is_numeric")).alias("numeric_count"),

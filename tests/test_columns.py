@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conftest import by_column, rows
 from plumbline import session
 from plumbline.operators import anomalies, correlation, quality, stats
-from plumbline.operators.frequency import frequency
+from plumbline.operators.frequency import cell_table, frequency
 from plumbline.plans.profile import profile, table_profile
 
 
@@ -218,3 +218,21 @@ def test_top_values_of_many_equal_counts(spark, monkeypatch):
     assert got["short"] == [f"{lead}00007"] + [f"{lead}{k:05d}" for k in (0, 1, 2, 3, 4, 5, 6, 8, 9)]
     assert got["long"] == [f"{lead * 4}99999"] + [f"{lead * 4}{k:05d}" for k in range(9)]
     assert all(rows <= most for rows, most in sizes)
+
+
+def test_statistics_of_cells_need_no_shuffle_of_values(spark):
+    """The same figures from cells as from frequencies, and nothing is dealt out by value."""
+    r = random.Random(1)
+    df = spark.createDataFrame([(k, r.choice([None, 1.5, float(k), -2e9]), r.choice(["7", "x", " 8.5 ", "N/A", "z" * 300])) for k in range(500)], "a long, b double, c string")
+    counted, cells = frequency(df), cell_table(df)
+    base = stats.base_stats(cells)
+    pairs = [(base.drop("distinct", "unique_count"), stats.base_stats(counted).drop("distinct", "unique_count"))]
+    for of in (stats.moments, stats.histogram, stats.quantiles_wide):
+        pairs.append((of(cells, base), of(counted, stats.base_stats(counted))))
+    for a, b in pairs:
+        rounded = lambda df: rows(df.select(*[F.format_string("%.8e", c) if t == "double" else c for c, t in df.dtypes]))
+        assert rounded(a) == rounded(b)
+    for df in (base, stats.moments(cells, base), stats.histogram(cells, base)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" in plan
+        assert not any(name in line for line in plan.splitlines() if "Exchange hashpartitioning" in line for name in ("short", "whole", "real", "value", "num#"))
