@@ -28,12 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import session
-from plumbline.llm.common import blocks, kept_in_worker, pick
+from plumbline.llm.common import as_bytes, blocks, kept_in_worker, pick
 
 SEGMENT_IDS = 1 << 19
 SAMPLE = 64
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
+#: Words handed to the tokenizer as one text; where their ends cannot be told apart, fewer, then each alone.
+TOGETHER = 1000
 END_ID = 1
+#: Plain white space, which words are cut at, as blanks.
+BLANKS = bytes(32 if b in b"\t\n\r" else b for b in range(256))
 HEAD = "<4sBQQI"
 MAGIC = b"EFS1"
 
@@ -123,13 +127,16 @@ class WordEncoder:
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, found))
 
-    def _together(self, words: list[str]) -> None:
-        parts = [words[at:at + 200] for at in range(0, len(words), 200)]
+    def _together(self, words: list[str], size: int = TOGETHER) -> None:
+        parts = [words[at:at + size] for at in range(0, len(words), size)]
         for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(found.ids, self.kind)
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-            if len(cuts) != len(part):  # not a vocabulary that marks the ends of words
-                self._alone(part)
+            if len(cuts) != len(part):  # not a vocabulary that marks the ends of words, or an odd word among them
+                if size > 50:
+                    self._together(part, size // 10)
+                else:
+                    self._alone(part)
                 continue
             data, start = ids.tobytes(), 0
             for word, end in zip(part, cuts.tolist()):
@@ -154,18 +161,44 @@ class WordEncoder:
         self._alone(list(other))
         known.update((word, known[core] + known[word[len(core):]]) for word, core in tails.items())
 
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
         if len(self.known) > CACHED_WORDS:
             self.known, self.old = {"": b""}, self.known
-        words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        seen = set()
-        for some in words:
-            seen.update(some)
-        fresh = seen.difference(self.known)
+        fresh = set(words).difference(self.known)
         again = {w: self.old[w] for w in fresh.intersection(self.old)}
         self.known.update(again)
         self.add(fresh.difference(again))
-        return [b"".join(map(self.known.__getitem__, some)) + end for some in words]
+        return list(map(self.known.__getitem__, words))
+
+    def encode(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
+        """Ids of every text, each followed by ``end``. Distinct words are looked up, then all places are filled side by side."""
+        if not texts:
+            return []
+        texts = [(t or b"").translate(BLANKS) for t in texts]
+        flat = np.frombuffer(b"\n".join(texts), np.uint8)
+        in_word = (flat != 32) & (flat != 10)
+        edges = np.flatnonzero(np.diff(in_word, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        offsets = np.concatenate(([0], np.cumsum(ends - starts, dtype=np.int64)))
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat[in_word])])
+        coded = words.dictionary_encode()
+        found = self._look_up(coded.dictionary.cast(pa.large_string()).to_pylist())
+        size = np.dtype(self.kind).itemsize
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // size
+        begins = np.cumsum(lengths) - lengths
+        codes = coded.indices.to_numpy()
+        own = lengths[codes]
+        before = np.cumsum(own) - own
+        # one end id stands behind each text, so a text's ids are that many places further on
+        text_ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        text_of = np.searchsorted(text_ends, starts, side="right")
+        places = np.arange(int(own.sum()))
+        upto = np.cumsum(np.bincount(text_of, own, len(texts)).astype(np.int64) + 1)
+        out = np.full(int(upto[-1]), np.frombuffer(end, self.kind)[0], self.kind)
+        out[places + np.repeat(text_of, own)] = np.frombuffer(b"".join(found), self.kind)[places + np.repeat(begins[codes] - before, own)]
+        data, bounds = out.tobytes(), (np.concatenate(([0], upto)) * size).tolist()
+        return [data[at:to] for at, to in zip(bounds, bounds[1:])]
 
 
 def write(
@@ -205,7 +238,7 @@ def write(
 
         for block in blocks(batches, 1):
             doc_type = block.column(0).type
-            for doc, some in zip(block.column(0).to_pylist(), encoder.encode(block.column(1).to_pylist(), end)):
+            for doc, some in zip(block.column(0).to_pylist(), encoder.encode(as_bytes(block.column(1)), end)):
                 if held and held + len(some) > SEGMENT_IDS * width:
                     yield flush()
                     segment, held, docs, ids = segment + 1, 0, [], []
