@@ -32,7 +32,7 @@ from plumbline.llm.common import as_bytes, blocks, kept_in_worker, pick
 
 SEGMENT_IDS = 1 << 19
 SAMPLE = 64
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 #: Words handed to the tokenizer as one text; where their ends cannot be told apart, fewer, then each alone.
 TOGETHER = 1000
 END_ID = 1
