@@ -15,6 +15,7 @@ their texts; null ids come first; an empty table gives files without segments; f
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import zlib
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,10 +34,15 @@ from plumbline.llm.common import as_bytes, blocks, kept_in_worker, pick
 
 SEGMENT_IDS = 1 << 19
 SAMPLE = 64
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 #: Words handed to the tokenizer as one text; where their ends cannot be told apart, fewer, then each alone.
 TOGETHER = 1000
 END_ID = 1
+#: Plain punctuation, in tails of at most so many bytes; longer ones stay with their words.
+IS_MARK = np.isin(np.arange(256), list(b",.;:!?"))
+LONGEST_TAIL = 8
+#: Code points that UTF-8 writes in one or two bytes.
+SHORT = 1 << 11
 #: Plain white space, which words are cut at, as blanks.
 BLANKS = bytes(32 if b in b"\t\n\r" else b for b in range(256))
 HEAD = "<4sBQQI"
@@ -101,14 +108,15 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Token ids of words as bytes, with a cache of two generations: when the young one is full it becomes the old one, and
-    words that are met again move back, so that only words not met for long are forgotten.
+    """Token ids of the words of texts. Words met before are found in an Arrow array of known words, whose ids stand in one
+    flat array; when too many are known, those not met for longest are forgotten.
 
-    Plain words (letters only) are handed to the tokenizer many at a time: each is one unit to it, and ends where an id
-    with the end-of-word mark stands. A word followed by plain punctuation is the two side by side. All others are encoded alone.
+    A word is told apart from plain punctuation that follows its last letter, where every tokenizer of words divides, too.
+    Words of letters only are handed to the tokenizer many at a time: each is one unit to it, and ends where an id
+    with the end-of-word mark stands. All others are encoded alone.
     """
 
-    END_MARK, MARKS = "</w>", ",.;:!?"
+    END_MARK = "</w>"
 
     def __init__(self, described: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -118,58 +126,60 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[n for word, n in vocabulary.items() if word.endswith(self.END_MARK)]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _alone(self, words: list[str]) -> None:
+        # letters that a comma is divided from; not "İ", say, which becomes a letter and a sign in lower case
+        letters = [c for c in map(chr, range(SHORT)) if c.isalpha()]
+        alone, followed, comma = (
+            [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)] for some in (letters, [c + "," for c in letters], [","]))
+        self.letters = np.zeros(SHORT, bool)
+        self.letters[[ord(c) for c, a, b in zip(letters, alone, followed) if a + comma[0] == b]] = True
+        self.words = pa.array([], pa.large_binary())
+        self.ids, self.bounds = np.zeros(0, kind), np.zeros(1, np.int64)
+        self.met, self.calls = np.zeros(0, np.int64), 0
+
+    def _alone(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids side by side, and how many each word has."""
         for at in range(0, len(words), 10_000):
-            part = words[at:at + 10_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, found))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[at:at + 10_000], add_special_tokens=False)]
+            yield np.array(list(itertools.chain.from_iterable(found)), self.kind), np.array(list(map(len, found)), np.int64)
 
-    def _together(self, words: list[str], size: int = TOGETHER) -> None:
+    def _together(self, words: list[str], size: int = TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         parts = [words[at:at + size] for at in range(0, len(words), size)]
         for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(found.ids, self.kind)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-            if len(cuts) != len(part):  # not a vocabulary that marks the ends of words, or an odd word among them
-                if size > 50:
-                    self._together(part, size // 10)
-                else:
-                    self._alone(part)
-                continue
-            data, start = ids.tobytes(), 0
-            for word, end in zip(part, cuts.tolist()):
-                self.known[word] = data[start:end]
-                start = end
-
-    def add(self, words: set[str]) -> None:
-        known = self.known
-        tails, plain, other = {}, set(), set()
-        for word in words:
-            core = word.rstrip(self.MARKS)
-            if not core.isalpha():
-                other.add(word)
-                continue
-            if core not in known:
-                plain.add(core)
-            if core is not word and len(core) < len(word):
-                tails[word] = core
-                if (tail := word[len(core):]) not in known:
-                    other.add(tail)
-        self._together(list(plain))
-        self._alone(list(other))
-        known.update((word, known[core] + known[word[len(core):]]) for word, core in tails.items())
-
-    def _look_up(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.old = {"": b""}, self.known
-        fresh = set(words).difference(self.known)
-        again = {w: self.old[w] for w in fresh.intersection(self.old)}
-        self.known.update(again)
-        self.add(fresh.difference(again))
-        return list(map(self.known.__getitem__, words))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                yield ids, np.diff(cuts, prepend=0)
+            elif size > 50:  # not a vocabulary that marks the ends of words, or an odd word among them
+                yield from self._together(part, size // 10)
+            else:
+                yield from self._alone(part)
+
+    def _forget(self) -> None:
+        kept = np.sort(np.argsort(-self.met, kind="stable")[: CACHED_WORDS // 2])
+        lengths = np.diff(self.bounds)[kept]
+        bounds = np.concatenate(([0], np.cumsum(lengths)))
+        self.ids = self.ids[np.arange(bounds[-1]) + np.repeat(self.bounds[kept] - bounds[:-1], lengths)]
+        self.words, self.bounds, self.met = self.words.take(pa.array(kept)), bounds, self.met[kept]
+
+    def _look_up(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among the known ones; new ones are encoded and become known."""
+        if len(self.words) > CACHED_WORDS:
+            self._forget()
+        self.calls += 1
+        found = pc.index_in(words, value_set=self.words)
+        at, fresh = found.fill_null(-1).to_numpy().astype(np.int64), np.flatnonzero(found.is_null())
+        new = words.take(pa.array(fresh))
+        as_text = new.cast(pa.large_string()).to_pylist()
+        plain = np.fromiter(map(str.isalpha, as_text), bool, len(as_text))
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        coded = [*self._together(list(itertools.compress(as_text, plain))), *self._alone(list(itertools.compress(as_text, ~plain)))]
+        at[fresh[order]] = len(self.words) + np.arange(len(order))
+        self.words = pa.concat_arrays([self.words, new.take(pa.array(order))])
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in coded)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in coded)]))])
+        self.met = np.concatenate((self.met, np.zeros(len(order), np.int64)))
+        self.met[at] = self.calls
+        return at
 
     def encode(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
         """Ids of every text, each followed by ``end``. Distinct words are looked up, then all places are filled side by side."""
@@ -180,25 +190,41 @@ class WordEncoder:
         in_word = (flat != 32) & (flat != 10)
         edges = np.flatnonzero(np.diff(in_word, prepend=False, append=False))
         starts, ends = edges[::2], edges[1::2]
-        offsets = np.concatenate(([0], np.cumsum(ends - starts, dtype=np.int64)))
-        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat[in_word])])
-        coded = words.dictionary_encode()
-        found = self._look_up(coded.dictionary.cast(pa.large_string()).to_pylist())
-        size = np.dtype(self.kind).itemsize
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // size
-        begins = np.cumsum(lengths) - lengths
-        codes = coded.indices.to_numpy()
-        own = lengths[codes]
-        before = np.cumsum(own) - own
-        # one end id stands behind each text, so a text's ids are that many places further on
-        text_ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
-        text_of = np.searchsorted(text_ends, starts, side="right")
-        places = np.arange(int(own.sum()))
-        upto = np.cumsum(np.bincount(text_of, own, len(texts)).astype(np.int64) + 1)
-        out = np.full(int(upto[-1]), np.frombuffer(end, self.kind)[0], self.kind)
-        out[places + np.repeat(text_of, own)] = np.frombuffer(b"".join(found), self.kind)[places + np.repeat(begins[codes] - before, own)]
-        data, bounds = out.tobytes(), (np.concatenate(([0], upto)) * size).tolist()
-        return [data[at:to] for at, to in zip(bounds, bounds[1:])]
+        tails = tail_lengths(flat, starts, ends, self.letters)
+        # a word and its tail, if it has one, stand side by side among the pieces
+        upto = np.cumsum(ends - starts)
+        pieces = np.stack((upto - tails, upto), axis=1)[np.stack((np.ones(len(tails), bool), tails > 0), axis=1)]
+        cut = pa.Array.from_buffers(
+            pa.large_binary(), len(pieces), [None, pa.py_buffer(np.concatenate(([0], pieces)).astype(np.int64)), pa.py_buffer(flat[in_word])])
+        coded = cut.dictionary_encode()
+        at = self._look_up(coded.dictionary)
+        # the end id is one more word, behind the pieces of each text
+        text_ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        before = np.concatenate(([0], np.cumsum(1 + (tails > 0))))[np.searchsorted(starts, text_ends)]
+        codes = np.insert(coded.indices.to_numpy(), before, len(at))
+        begins = np.append(self.bounds[at], len(self.ids))
+        lengths = np.append(self.bounds[at + 1] - self.bounds[at], 1)[codes]
+        behind = np.cumsum(lengths)
+        source = np.append(self.ids, np.frombuffer(end, self.kind))
+        data = source[np.arange(behind[-1]) + np.repeat(begins[codes] - behind + lengths, lengths)].tobytes()
+        bounds = (np.concatenate(([0], behind[before + np.arange(len(texts))])) * np.dtype(self.kind).itemsize).tolist()
+        return [data[start:stop] for start, stop in zip(bounds, bounds[1:])]
+
+
+def tail_lengths(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Bytes of plain punctuation at the end of each word, behind one of ``letters``; 0 for more than ``LONGEST_TAIL``."""
+    tails = np.zeros(len(ends), np.int64)
+    open_ = np.flatnonzero(IS_MARK[flat[ends - 1]])
+    for length in range(1, LONGEST_TAIL + 1):
+        last = ends[open_] - length - 1
+        inside = last >= starts[open_]
+        open_, last = open_[inside], last[inside]
+        byte, ahead = flat[last].astype(np.int64), flat[np.maximum(last - 1, 0)].astype(np.int64)
+        two = (byte >> 6 == 2) & (ahead >> 5 == 6)
+        letter = np.where(two, letters[(ahead & 31) << 6 | byte & 63], (byte < 128) & letters[byte])
+        tails[open_[letter]] = length
+        open_ = open_[IS_MARK[flat[last]]]
+    return tails
 
 
 def write(
