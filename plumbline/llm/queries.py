@@ -66,10 +66,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored, 0.5)
 
 
-def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+def _judged(scored: DataFrame, threshold: float, *more: str) -> DataFrame:
     return scored.select(
         F.col("doc").alias("doc_id"), (fold(F.col("doc"), 3) == 1).alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"))
+        (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +78,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity score of every document; learned from two thirds of the labels."""
+    """Toxicity score of every document, and what the threshold of its language flags; learned from two thirds of the labels."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _judged(toxicity.train(docs, labels, fold(F.col("doc_id"), 3) != 1).score(docs), 0.7)
+    model = toxicity.train(docs, labels, fold(F.col("doc_id"), 3) != 1)
+    return _judged(model.score(docs, lang_col="lang"), 0.7, "flagged")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

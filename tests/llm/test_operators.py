@@ -442,7 +442,9 @@ def test_toxicity_on_held_out_rows(labelled, awkward, nothing):
     scores = model.score(awkward).collect()
     assert len(scores) == len(awkward_rows()) and all(0 <= r["score"] <= 1 for r in scores)
     assert model.score(nothing).count() == 0
-    flagged = docs.join(model.score(docs).withColumnRenamed("doc", "doc_id"), "doc_id").where(model.flag(F.col("score"), F.col("lang")))
+    judged = docs.join(model.score(docs, lang_col="lang").withColumnRenamed("doc", "doc_id"), "doc_id")
+    assert all(r["flagged"] == (r["score"] >= model.thresholds.get(r["lang"], model.thresholds[None])) for r in judged.collect())
+    flagged = judged.where("flagged")
     assert flagged.where("text rlike 'gnarf|blorg|zzinsult'").count() > 0.95 * docs.where("text rlike 'gnarf|blorg|zzinsult'").count()
 
 
@@ -451,7 +453,8 @@ def test_scores_without_both_labels(spark, awkward, rows, expected):
     labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
     always = F.lit(True)
     assert {r["score"] for r in quality.train(awkward, labels, always).score(awkward, awkward["doc_id"]).collect()} == {expected}
-    assert {r["score"] for r in toxicity.train(awkward, labels, always).score(awkward).collect()} == {expected}
+    found = toxicity.train(awkward, labels, always).score(awkward, lang_col="lang").collect()
+    assert {r["score"] for r in found} == {expected} and all(r["flagged"] == (expected >= toxicity.CUT) for r in found)
 
 
 def test_languages(spark, awkward, nothing):
