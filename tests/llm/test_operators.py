@@ -486,3 +486,21 @@ def test_filters_hold_many_languages():
 
 def test_schema_is_known(spark):
     assert len(spark.createDataFrame(awkward_rows(), COLUMNS).columns) == 15
+
+
+def test_toxicity_network_equals_a_plain_loop():
+    r = random.Random(3)
+    words = [f"word{k}" for k in range(60)] + ["gnarf", "blorg"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 20))).encode() for _ in range(400)]
+    network = toxicity.Convolution(0.5)
+    network.fit(texts, np.array([float(b"gnarf" in t or b"blorg" in t) for t in texts], np.float32))
+    for text, found in zip([*texts, None], network.raw([*texts, None])):
+        ids, distinct = toxicity.numbered([text])
+        vectors = [network.embeddings[some].sum(axis=0) for some in network.rows(distinct)]
+        line = [vectors[k] for k in ids[0]] + [np.zeros(toxicity.DIMENSIONS)] * 2
+        largest = []
+        for filters, bias in zip(network.filters, network.biases):
+            for f in range(toxicity.FILTERS):
+                sums = [bias[f] + sum(float(line[at + j] @ filters[j][:, f]) for j in range(len(filters))) for at in range(len(line) - 2)]
+                largest.append(max([0.0, *sums]))
+        assert abs(found - (np.dot(largest, network.out) + network.bias)) < 1e-3
