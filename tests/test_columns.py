@@ -143,6 +143,37 @@ def test_correlation(spark):
     assert r[("x", "same")] == (5, 0.0) and r[("x", "gap")] == (4, 1.0)
 
 
+def test_correlation_by_blocks_of_columns(spark):
+    """Column blocks give what one matrix gives; offsets, gaps and numbers that are equal only where both are there."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(200, 7)) * [1, 5, 1e4, 1, 1e-3, 1, 1] + [0, 1e8, 0, -3, 0, 0, 0]
+    x[:, 5] = np.where(x[:, 6] > 0, 3.7, x[:, 5])
+    x[x[:, 6] <= 0, 6] = np.nan
+    x[::9, 0] = np.nan
+    names = [f"c{i}" for i in range(7)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"{c} double" for c in names))
+    want = {}
+    for i in range(7):
+        for j in range(i + 1, 7):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = x[both, i], x[both, j]
+            want[names[i], names[j]] = (int(both.sum()), 0.0 if a.min() == a.max() or b.min() == b.max() else np.corrcoef(a, b)[0, 1])
+    whole = {(r[0], r[1]): (r[2], r[3]) for r in correlation.pairwise(df, names).collect()}
+    assert whole.keys() == want.keys() and all(whole[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    sums = {(r["i"], r["j"]): r for r in correlation._pair_sums(df, names, block=3).collect()}
+    assert len(sums) == 21 and all(sums[i, j]["n"] == want[names[i], names[j]][0] for i, j in sums)
+    one = {(r["i"], r["j"]): r["xy"] for r in correlation._pair_sums(df, names).collect()}
+    assert all(r["xy"] == pytest.approx(one[k], rel=1e-9, abs=1e-9) for k, r in sums.items())
+
+
+def test_correlation_of_nothing(spark):
+    empty = spark.range(3).selectExpr("double(id) as a", "double(id) as b").where("a < 0")
+    assert [tuple(r) for r in correlation.pairwise(empty, ["a", "b"]).collect()] == [("a", "b", 0, 0.0)]
+    assert correlation.pairwise(empty, ["a"]).count() == 0 and correlation.matrix(empty, ["a"]).count() == 1
+
+
 @pytest.mark.parametrize("count,missing,want", [(100, 15, 0.85), (100, 0, 1.0), (100, 100, 0.0), (0, 0, 1.0)])
 def test_completeness(spark, count, missing, want):
     assert spark.range(1).select(quality.completeness(F.lit(count), F.lit(missing))).head()[0] == want
