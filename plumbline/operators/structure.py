@@ -11,6 +11,8 @@ from plumbline import session
 
 # Examples kept per path; limits above which a tree view is advised.
 EXAMPLES, TREE_DEPTH, TREE_PATHS = 3, 5, 1000
+#: Levels that one pass goes down.
+LEVELS = 8
 _TYPE_NAMES = {
     "object": "OBJECT<%", "array": "ARRAY<%", "string": "STRING", "boolean": "BOOLEAN", "null": "VOID",
 }
@@ -23,14 +25,21 @@ def _typed(values: DataFrame) -> DataFrame:
     return values.withColumn("data_type", F.when(F.is_variant_null("v"), "null").otherwise(kind))
 
 
-def _level(spark, parents: DataFrame) -> DataFrame:
-    """Members of all objects of one level; arrays are not entered."""
-    objects = parents.filter(F.col("data_type") == "object")
-    return _typed(spark.sql(
-        "select row_key, array_append(path, m.key) as path, m.value as v "
-        "from {objects}, lateral variant_explode(v) as m",
-        objects=objects,
-    ))
+def _unrolled(starts: DataFrame, levels: int) -> DataFrame:
+    """All members of the nodes ``row_key, path, v`` down to ``levels`` below them, the nodes too; arrays are not entered.
+
+    The levels are arrays of the same row, each made from the one above it, so one pass over the texts yields them all.
+    """
+    member = "struct<path: array<string>, v: variant>"
+    opened = starts.select("row_key", F.array(F.struct("path", "v")).alias("level0"))
+    for k in range(levels):
+        # a value that is no object has no members
+        below = F.expr(
+            f"flatten(transform(level{k}, n -> coalesce(transform(map_entries(try_variant_get(n.v, '$', 'map<string, variant>')), "
+            f"m -> struct(array_append(n.path, m.key) as path, m.value as v)), cast(array() as array<{member}>))))")
+        opened = opened.withColumn(f"level{k + 1}", below)
+    every = F.concat(*[F.col(f"level{k}") for k in range(levels + 1)])
+    return opened.select("row_key", F.inline(every).alias("path", "v"))
 
 
 def _counts(nodes: DataFrame) -> DataFrame:
@@ -55,17 +64,24 @@ def _examples(nodes: DataFrame) -> DataFrame:
 def structure_scan(df: DataFrame, json_column: str, key: str) -> DataFrame:
     """Path, parent, depth, occurrences, population in percent of the rows, type, children, examples.
 
-    One pass per level, as deep as the texts go: the nodes of a level are written once, and counted, shown and
-    opened from there. A path is the list of its keys, so keys with dots stay what they are; it is printed with dots.
+    One pass over the texts yields the nodes of ``LEVELS`` levels, counted by path and type where the rows are; the passes go
+    on only where objects are left below. Nothing but these counts is written, however many nodes there are. A path is the list
+    of its keys, so keys with dots stay what they are; it is printed with dots. Texts that are no JSON are left out.
     """
     parsed = df.select(F.col(key).alias("row_key"), F.try_parse_json(F.col(json_column)).alias("v"))
-    nodes = session.materialize(_typed(parsed.filter(F.col("v").isNotNull()).select(
-        "row_key", F.array().cast("array<string>").alias("path"), "v")), "nodes")
-    counts, examples = [_counts(nodes)], [_examples(nodes)]
-    while not nodes.filter(F.col("data_type") == "object").isEmpty():
-        nodes = session.materialize(_level(df.sparkSession, nodes), "nodes")
-        counts.append(_counts(nodes))
-        examples.append(_examples(nodes))
+    starts = parsed.filter(F.col("v").isNotNull()).select("row_key", F.array().cast("array<string>").alias("path"), "v")
+    counts, examples, depth = [], [], 0
+    while True:
+        nodes = _unrolled(starts, LEVELS)
+        # what the next pass starts from is counted there
+        here = nodes if depth == 0 else nodes.filter(F.size("path") > depth)
+        typed = _typed(here)
+        counts.append(session.materialize(_counts(typed), "paths"))
+        examples.append(_examples(typed))
+        depth += LEVELS
+        if counts[-1].filter((F.size("path") == depth) & (F.col("data_type") == "object")).isEmpty():
+            break
+        starts = nodes.filter(F.size("path") == depth)
     return _summarize(reduce(DataFrame.unionByName, counts), reduce(DataFrame.unionByName, examples))
 
 

@@ -77,3 +77,13 @@ def test_deep_and_dotted_keys(spark):
     paths = structure.structure_scan(df, "j", "id")
     assert structure.structure_summary(paths).head()["max_depth"] == 40
     assert sorted((r["depth"], r["parent_path"], r["examples"]) for r in paths.filter("path = '$.a.b'").collect()) == [(1, "$", ["1"]), (2, "$.a", ["2"])]
+
+
+def test_passes_of_few_levels_see_every_level_once(spark, monkeypatch):
+    texts = ['{"a":{"b":{"c":{"d":1,"e":{"f":[1]}},"c2":null},"x":"1"}}', '{"a":{"b":{"c":7}}}', '{"a":"flat"}', "[1]", "{", "3"]
+    whole = rows(scan(spark, *texts))
+    for levels in (1, 2, 3):
+        monkeypatch.setattr(structure, "LEVELS", levels)
+        assert rows(scan(spark, *texts)) == whole
+    assert {r[0]: r[4] for r in whole}["$"] == 5 and {r[0]: r[3] for r in whole}["$.a.b.c"] == "mixed"
+    assert scan(spark, "nope").count() == 0
