@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -79,6 +80,50 @@ def test_a_bad_file_does_not_stop_the_others(spark, sf, capsys):
     assert any("r_name" in x for x in lines)
 
 
+def written(spark, out, name):
+    return [r[0] for r in spark.read.text(f"{out}/{name}").collect()]
+
+
+def csv_folder(folder, **files):
+    """A folder of CSV files by name."""
+    for name, lines in files.items():
+        (folder / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    return folder
+
+
+def test_the_job_expands_patterns_and_writes_whole_documents(spark, tmp_path):
+    folder, out = csv_folder(tmp_path, a=["id,v", "1,x", "2,y"], b=["id,v", "3,", "4,z", "5,z"]), session.scratch_path(spark, "reports")
+    assert cli.run([f"{folder}/*.csv", "--out", out, "--merge", "--compare"], spark) == 0
+    whole = {n: json.loads("\n".join(written(spark, out, f"{n}.csv_profile.json"))) for n in "ab"}
+    assert [(w["meta"]["fileName"], w["summary"]["totalRows"], [c["name"] for c in w["columns"]]) for w in whole.values()] == [
+        ("a.csv", 2, ["id", "v"]), ("b.csv", 3, ["id", "v"])]
+    assert whole["a"]["meta"]["fileSize"] == 13
+    merged = {r["column"]: r for r in map(json.loads, written(spark, out, "merged_profile.json"))}
+    assert (merged["id"]["count"], merged["id"]["mean"], merged["v"]["missing"]) == (5, 3.0, 1)
+    deltas = {r["column"]: r for r in map(json.loads, written(spark, out, "comparison.json"))}
+    assert deltas["id"]["presence"] == "shared" and deltas["id"]["mean_delta"] == 2.5
+    trends = [(r["column"], r["metric"]) for r in map(json.loads, written(spark, out, "trends.json"))]
+    assert trends == [("id", "distinct"), ("id", "mean"), ("id", "null_rate"), ("v", "distinct"), ("v", "null_rate")]
+
+
+def test_the_job_does_not_merge_different_schemas_unless_forced(spark, tmp_path, capsys):
+    folder = csv_folder(tmp_path, a=["id,v", "1,x"], b=["id", "3"])
+    out = session.scratch_path(spark, "reports")
+    assert cli.run([f"{folder}/a.csv", f"{folder}/b.csv", "--out", out, "--merge", "--format", "csv"], spark) == 2
+    assert "schemas differ" in capsys.readouterr().err and len(written(spark, out, "schema_check.csv")) == 3
+    assert cli.run([f"{folder}/a.csv", f"{folder}/b.csv", "--out", out, "--merge", "--force", "--format", "csv"], spark) == 0
+    head, *body = written(spark, out, "merged_profile.csv")
+    assert head.startswith("column,") and [line.split(",")[0] for line in body] == ["id", "v"]
+    assert written(spark, out, "a.csv_profile.csv")[0].startswith("Column,")
+    assert cli.run([f"{folder}/none*.csv", "--out", out], spark) == 2
+    assert cli.run([f"{folder}/a.csv", "--out", out, "--merge"], spark) == 2
+
+
+def test_report_names_tell_paths_apart():
+    assert cli.report_names(["/x/a.csv", "/y/a.csv", "/y/b.csv", "/y/b.csv"]) == ["x_a.csv", "y_a.csv", "y_b.csv", "y_b.csv_2"]
+    assert cli.report_names(["s3://k/t/"]) == ["t"] and cli.report_names([]) == []
+
+
 def test_gates_set_the_exit_code(spark, sf):
     assert cli.run([f"{sf}/region.parquet", "--quiet", "--fail-on-missing", "5", "--fail-on-duplicates"], spark) == 0
     assert cli.run([f"{sf}/nation.parquet", "--quiet", "--fail-on-duplicates"], spark) == 1
