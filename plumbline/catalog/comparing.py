@@ -9,7 +9,7 @@ from plumbline.catalog.twin import (
     EARLY, EARLY_COLUMNS, LATE, LATE_COLUMNS, MESSY, MESSY_COLUMNS, YEARLY, YEARLY_COLUMNS, derived, profile_sql,
     query, rr, rr_sql, table, top_sql,
 )
-from plumbline.operators import compare, merge, reports, stats
+from plumbline.operators import compare, merge, reports, sketches, stats
 from plumbline.operators.frequency import frequency
 from plumbline.plans import batch
 from plumbline.plans.profile import SUMMARY, profile
@@ -310,6 +310,20 @@ def batch_merge(spark, sf):
     return r.merged.select("column", "count", "missing", "distinct", "inferred_type", "num_count", *[rr(c).alias(c) for c in MERGED_COLUMNS])
 
 
+@query("merge_sketched", f"""WITH {YP}, yp AS (SELECT * FROM prof), {_merged_sql('col')}, entire AS (SELECT * FROM ({{whole}}))
+SELECT mg.col AS "column", mg.count, mg."distinct", entire."distinct" AS exact, true AS distinct_close, CASE WHEN entire.median IS NOT NULL THEN true END AS median_close
+ FROM mg JOIN entire ON entire.col = mg.col""".replace("{whole}", f"WITH {profile_sql(f'({YEARLY})', YEARLY_COLUMNS)} SELECT * FROM prof"))
+def merge_sketched(spark, sf):
+    """Whether distinct counts and medians of all years are within the bounds of the united sketches."""
+    df = derived(spark, sf, YEARLY)
+    parts = session.materialize(sketches.sketches(df, list(YEARLY_COLUMNS), by="dataset"), "sketches")
+    m = merge.merge_by_name(_numbered(yearly(spark, sf, {"moments", "quantiles"}, ragged=False)), "nth", parts)
+    exact = profile(df, list(YEARLY_COLUMNS), parts={"quantiles"}).select("column", F.col("distinct").alias("exact"), F.col("median").alias("middle"))
+    return m.join(session.bounded(exact, len(YEARLY_COLUMNS)), "column").select(
+        "column", "count", "distinct", "exact", F.col("exact").between(F.col("distinct_low"), F.col("distinct_high")).alias("distinct_close"),
+        F.col("middle").between(F.col("median_low"), F.col("median_high")).alias("median_close"))
+
+
 @query("sort_merged", f"""WITH {YP}, {KEPT_SQL}, {_merged_sql('col')}
 SELECT row_number() OVER (ORDER BY coalesce(mean, '-inf'::DOUBLE) DESC, col) AS position, col AS "column", {rr_sql('mean')} AS mean FROM mg""")
 def sort_merged(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import sketches
 from plumbline.operators.stats import TOP_VALUES
 
 
@@ -49,9 +50,14 @@ def _merged(profiles: DataFrame, group: list[str], order: str) -> DataFrame:
     )
 
 
-def merge_by_name(profiles: DataFrame, order: str) -> DataFrame:
-    """Merged statistics per column name; ``order`` numbers the datasets."""
-    return _merged(profiles, ["column"], order).drop("name")
+def merge_by_name(profiles: DataFrame, order: str, sketched: DataFrame | None = None) -> DataFrame:
+    """Merged statistics per column name; ``order`` numbers the datasets.
+
+    Sums of distinct counts and weighted medians are what profiles alone allow. With the ``sketched`` columns of the same datasets
+    (``sketches.sketches``) the estimates of both over all rows stand beside them, with their bounds.
+    """
+    merged = _merged(profiles, ["column"], order).drop("name")
+    return merged if sketched is None else merged.join(sketches.united(sketched), "column", "left")
 
 
 def merge_by_position(profiles: DataFrame, order: str) -> DataFrame:

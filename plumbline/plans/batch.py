@@ -28,14 +28,18 @@ def batch_profile(df: DataFrame, dataset: str, columns: list[str] | None = None,
     return profile(df, columns, by=dataset, parts=parts)
 
 
-def batch_merge(profiles: DataFrame, dataset: str, order: str, baseline: str, forced: bool = False) -> MergeResult:
-    """Check that the schemas agree, then merge; nothing is merged when they do not, unless forced."""
+def batch_merge(profiles: DataFrame, dataset: str, order: str, baseline: str, forced: bool = False,
+                sketched: DataFrame | None = None) -> MergeResult:
+    """Check that the schemas agree, then merge; nothing is merged when they do not, unless forced.
+
+    With the ``sketched`` columns of the datasets, distinct count and median of all rows are estimated too.
+    """
     datasets = profiles.select(dataset).distinct().limit(2).count()
     if datasets < 2:
         raise ValueError("merging needs at least two datasets")
     check = compare.batch_schema_check(profiles, dataset, baseline)
     agreed = check.select("all_compatible").head()[0]
-    merged = merge.merge_by_name(profiles, order) if agreed or forced else None
+    merged = merge.merge_by_name(profiles, order, sketched) if agreed or forced else None
     return MergeResult(check, merged)
 
 

@@ -14,7 +14,7 @@ from plumbline.catalog.twin import TABLES
 SELECTION = {
     "column_profile", "column_profile_messy", "quantiles", "histogram_fixed", "top_values_long", "column_score", "pii_content",
     "drilldown", "compare_profiles", "nway_deltas", "trends", "merge_profiles_by_name", "generate_gx", "soda_load",
-    "jsonschema_load", "issue_digest", "gx_in_set", "jsonschema_enum", "distinct_estimate", "quantiles_estimate", "structure_scan", "scan_csv_quoted", "scan_many", "batch_pii", "select_paths_json", "scan_json", "sql_derived", "profile_stream", "profile_stream_full", "gx_in_set_long", "schema_tree", "potential_pii_name", "batch_compare", "batch_merge", "generate_soda", "base_stats", "numeric_moments", "infer_types", "text_lengths", "histogram",
+    "jsonschema_load", "issue_digest", "gx_in_set", "jsonschema_enum", "distinct_estimate", "quantiles_estimate", "structure_scan", "scan_csv_quoted", "scan_many", "batch_pii", "select_paths_json", "scan_json", "sql_derived", "profile_stream", "profile_stream_full", "gx_in_set_long", "schema_tree", "potential_pii_name", "batch_compare", "batch_merge", "merge_sketched", "correlation_matrix", "correlation_pairwise", "generate_soda", "base_stats", "numeric_moments", "infer_types", "text_lengths", "histogram",
 }
 
 

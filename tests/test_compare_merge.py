@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import by_column, rows
-from plumbline.operators import compare, merge
+from plumbline.operators import compare, merge, sketches
 from plumbline.plans import batch
 from plumbline.plans.profile import SUMMARY, profile
 
@@ -45,6 +45,20 @@ def test_merging_parts_equals_the_whole(orders):
         assert merged[c]["inferred_type"] == whole[c]["inferred_type"]
 
 
+def test_united_sketches_tell_of_all_rows_what_one_sketch_tells(spark):
+    """Datasets that share most values and differ in size: sums and weighted medians are far off, united sketches are not."""
+    df = spark.range(60_000).select(
+        F.when(F.col("id") < 50_000, "big").otherwise("small").alias("dataset"), (F.col("id") % 5_000).alias("n"),
+        F.concat(F.lit("x" * 300), F.col("id") % 700).alias("t"), F.lit(None).cast("double").alias("gone"))
+    parts = sketches.sketches(df, ["n", "t", "gone"], by="dataset")
+    got = by_column(sketches.united(parts))
+    assert set(got) == {"n", "t"}
+    assert got["n"]["distinct_low"] <= 5_000 <= got["n"]["distinct_high"] and got["n"]["distinct_high"] < 5_200
+    assert got["t"]["distinct_low"] <= 700 <= got["t"]["distinct_high"] and got["t"]["median_estimate"] is None
+    assert got["n"]["median_low"] <= 2_500 <= got["n"]["median_high"] and abs(got["n"]["median_estimate"] - 2_500) <= 50
+    assert sketches.united(parts.where("false")).count() == 0
+
+
 def deltas(spark, changes):
     """One column whose mean moves from 100 by the given amounts."""
     rows_ = [("base", 100.0)] + [(f"d{i}", 100.0 + x) for i, x in enumerate(changes)]
