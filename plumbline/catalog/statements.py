@@ -67,8 +67,7 @@ def profile_paths(spark, sf):
 
 def events_stream(spark, sf, name="events"):
     """The table as a file stream."""
-    schema = table(spark, sf, name).schema
-    return streams.read_stream(spark, sf, schema, glob=f"{name}.parquet")
+    return streams.read_table(spark, f"{sf}/{name}.parquet")
 
 
 EV = profile_sql("events", {"event_id": "int", "ts": "time", "user_id": "int", "event_type": "text", "value": "real", "props": "text"})

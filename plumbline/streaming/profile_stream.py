@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass
+from pathlib import PurePosixPath
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,16 @@ def read_stream(spark: SparkSession, folder: str, schema, form: str = "parquet",
     return reader.load(folder)
 
 
+def read_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream: a folder of files, or a single file (whose folder is then read for its name alone)."""
+    df = spark.read.parquet(path)
+    place = PurePosixPath(path)
+    files = [PurePosixPath(f) for f in df.inputFiles()]
+    if len(files) == 1 and files[0].name == quote(place.name) and files[0].parent.name != quote(place.name):
+        return read_stream(spark, str(place.parent), df.schema, glob=place.name, files_per_batch=files_per_batch)
+    return read_stream(spark, path, df.schema, files_per_batch=files_per_batch)
+
+
 def _text_cells(df: DataFrame) -> DataFrame:
     stacked = [F.lit(len(df.columns))]
     for c in df.columns:
@@ -191,8 +203,13 @@ def run_to_table(running: DataFrame, label: str, keys: list[str] | None = None)
         .option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    if not keys:
-        return spark.read.schema(running.schema).parquet(result)
-    states = spark.read.option("basePath", result).parquet(result)
+    try:
+        if not keys:
+            return spark.read.schema(running.schema).parquet(result)
+        states = spark.read.schema(T.StructType([*running.schema, T.StructField("batch", T.IntegerType())])).option("basePath", result).parquet(result)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], running.schema)  # nothing has come
     rest = [c for c in running.columns if c not in keys]
     return states.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from conftest import by_column
 from plumbline import session
+from plumbline.catalog import statements
 from plumbline.operators import stats
 from plumbline.operators.frequency import frequency
 from plumbline.plans.profile import SUMMARY, profile
@@ -103,3 +104,20 @@ def test_stream_without_an_order_and_without_files(spark):
     got = by_column(streams.StreamProfile.of(stream).run(stream).profile())
     assert (got["b"]["missing"], got["b"]["distinct"], len(got["a"]["sample_values"]), got["a"]["median"]) == (20, 1, 5, 19.5)
     assert streams.StreamProfile.of(stream).profile().count() == 0
+
+
+def test_tables_as_streams_be_they_files_or_folders(spark, sf):
+    """A table of many files used to give a stream without files, and a stream without files used to fail."""
+    df = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "role")
+    place = session.scratch_path(spark, "stream-tables")
+    df.repartition(3).write.parquet(f"{place}/conversations.parquet")
+    df.repartition(1).write.parquet(f"{place}/events.parquet")
+    whole = tuple(stats.duplicate_rows(df).head())
+    for path in (f"{sf}/conversations.parquet", f"{place}/conversations.parquet", f"{place}/events.parquet"):
+        stream = streams.read_table(spark, path, files_per_batch=1).select("conv_id", "role")
+        assert tuple(stats.duplicate_summary(streams.run_to_table(streams.duplicates_stream(stream), "rows", ["row_digest"])).head()) == whole
+    asked = statements.stream_duplicates(spark, place).head()
+    assert (asked["total_rows"], asked["duplicate_rows"]) == whole[:2]
+    nothing = streams.read_stream(spark, place, df.schema, glob="absent.parquet")
+    assert tuple(stats.duplicate_summary(streams.run_to_table(streams.duplicates_stream(nothing), "rows", ["row_digest"])).head())[:2] == (0, 0)
+    assert streams.run_to_table(streams.frequency_stream(nothing), "values").count() == 0
