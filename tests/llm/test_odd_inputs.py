@@ -154,3 +154,19 @@ def test_forgotten_words_are_encoded_alike(monkeypatch):
             ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
             assert list(memoryview(found).cast("H")) == [*ids, 1]
     assert len(encoder.words) < 400
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Eighty signs, each in a few texts: groups of 300 rows must all count, in the features as in the thresholds."""
+    r = random.Random(4)
+    signs = ["zq" + "".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(80)]
+    rows = [(k, prose(k, 12) + (" " + signs[k // 3 % 80] if k % 3 == 0 else ""), "xx" if k < 1800 else "yy") for k in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True), sample_rows=300)
+    assert (model.network.rows([s.encode() for s in signs])[1:, 0] > 0).all()
+    assert set(model.thresholds) == {None, "xx", "yy"}
+    scores = {x["doc"]: x["score"] for x in model.score(docs).collect()}
+    assert sum((s >= toxicity.CUT) == (k % 3 == 0) for k, s in scores.items()) > 0.97 * len(rows)
+    again = toxicity.train(docs.repartition(5), labels, F.lit(True), sample_rows=300)
+    assert (again.network.embeddings == model.network.embeddings).all() and again.thresholds == model.thresholds
