@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from plumbline import session
 from plumbline.functions import pii, text
 
+#: Pieces a core into which a table of few splits is divided where every cell is described.
+CELL_PIECES = 4
 #: Texts above this many bytes travel through shuffles as a digest, not in full, with what is told of them.
 LONG_TEXT = 256
 #: A digest begins with this many characters of its text, which puts it in order.
@@ -146,8 +148,9 @@ def cells(df: DataFrame, columns: ColumnSet, lane: str, carry: Sequence[str] = (
 def describe_values(counted: DataFrame, columns: ColumnSet) -> DataFrame:
     """Turn counted lane columns into text, number, length and type flags.
 
-    Runs on distinct values, not on cells.
+    Runs on distinct values, not on cells. With so many expressions the whole of a stage can be too large to be compiled.
     """
+    session.compiled(counted.sparkSession)
     parts = {"short": "string", "facts": "bigint", "number": "double", "whole": "bigint", "real": "double"}
     have = counted.columns
     gaps = [f"cast(null as {kind}) as {name}" for name, kind in parts.items() if name not in have]
@@ -268,7 +271,7 @@ def cell_table(df: DataFrame, columns: Sequence[str] | None = None, by: str | No
     moments, bins, quantiles. They are sums over rows, partially aggregated where the rows are, and no value is shuffled.
     """
     picked = ColumnSet.pick(df, columns, [by] if by else [])
-    df = session.spread(df.select(*[text.quoted(c) for c in dict.fromkeys([*([by] if by else []), *picked.names])]))
+    df = session.spread(df.select(*[text.quoted(c) for c in dict.fromkeys([*([by] if by else []), *picked.names])]), CELL_PIECES)
     lanes = [raw.withColumn("n", F.lit(1).cast("bigint")) for lane in LANES if (raw := cells(df, picked, lane, [by] if by else [])) is not None]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lanes)
     table = FrequencyTable(describe_values(stacked, picked), picked, by, source=df, counted=False)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: The same for tables of two numbers, such as where each partition starts.
 NARROW_BROADCAST_ROWS = 2_000_000
+#: The JVM compiles no method of more bytes than this.
+COMPILED_BYTES = 8000
 #: Number of slices a hot join key is split into when the small side cannot be broadcast.
 SALT_SLICES = 32
 
@@ -76,10 +78,15 @@ def materialize_all(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         return {name: future.result() for name, future in written.items()}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Divide an input that has fewer splits than there are cores; larger inputs are left alone."""
+def spread(df: DataFrame, each: int = 1) -> DataFrame:
+    """Divide an input that has fewer splits than there are cores into ``each`` pieces a core; larger inputs are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores * each) if df.rdd.getNumPartitions() < cores else df
+
+
+def compiled(spark: SparkSession) -> None:
+    """Let Spark give up on generated methods that the JVM would only interpret; their operators then run one by one, compiled."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(COMPILED_BYTES))
 
 
 def bounded(df: DataFrame, max_rows: int, limit: int | None = None) -> DataFrame:

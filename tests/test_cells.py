@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from plumbline.functions import numeric, pii, text
+from plumbline.operators.frequency import cell_table
 
 
 def flags(spark, values, fn):
@@ -66,3 +67,12 @@ def test_arithmetic(spark):
         numeric.grouped(F.lit(1234567.5)), numeric.grouped(F.lit(1234567), 0), numeric.fixed(F.lit(2.0), 1), numeric.plain(F.lit(3.0)),
     ).head()
     assert tuple(got) == (None, -25.0, -11.0, -9.0, 1.234568, "1,234,567.5", "1,234,567", "2.0", "3")
+
+
+def test_cells_are_described_by_compiled_methods_in_small_pieces(spark):
+    """Generated methods above 8000 bytes were interpreted: 1 million rows took three times as long."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    cells = cell_table(spark.createDataFrame([(k, str(k)) for k in range(100)], "a long, b string").coalesce(1))
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    assert cells.source.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert sum(r["n"] for r in cells.df.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()) == 200
