@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import session
-from plumbline.llm.common import as_bytes, blocks, pick
+from plumbline.llm.common import as_bytes, blocks, map_blocks, pick
 
 BLOCK_BYTES = 12 << 20
 #: A head with more than ``1 / PARTS`` of the sampled windows is split; so at most ``PARTS`` heads are.
@@ -99,7 +99,7 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _crowded(texts: DataFrame) -> DataFrame:
     """Heads that hold a large share of all windows on a sample of the texts (at most ``PARTS`` rows): ``lang``, ``head``, ``slices``."""
-    sample = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE_TEXTS)) == 0).select("lang", "text").mapInArrow(_count_blocks, WINDOWS)
+    sample = map_blocks(texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE_TEXTS)) == 0).select("lang", "text"), _count_blocks, WINDOWS)
     by_head = sample.groupBy(*HEAD).agg(F.count(F.lit(1)).alias("rows"))
     by_head = session.materialize(by_head, "heads")
     rows = by_head.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
@@ -109,7 +109,7 @@ def _crowded(texts: DataFrame) -> DataFrame:
 def count_phrases(docs: DataFrame, least: int = 10, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """``lang``, ``w1``, ``w2``, ``w3``, ``n``, ``size``: phrases of 1 to 3 words with at least ``least`` occurrences; size 0 counts all words of a language."""
     texts = pick(docs, lang=lang_col, text=text_col, id=id_col)
-    windows = texts.select("lang", "text").mapInArrow(_count_blocks, WINDOWS)
+    windows = map_blocks(texts.select("lang", "text"), _count_blocks, WINDOWS)
     crowded = F.broadcast(_crowded(texts))
     dealt = windows.join(crowded, HEAD, "left").select(
         *HEAD, "w3", "n", F.coalesce(F.pmod(F.xxhash64("w3"), F.col("slices")), F.lit(-1)).alias("slice")).repartition(*HEAD, "slice")

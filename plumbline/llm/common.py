@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a task works on at a time.
 BLOCK_BYTES = 4 << 20
@@ -36,13 +37,21 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 def blocks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that none holds much more than ``size`` bytes of text (or one single text)."""
     for batch in batches:
-        rows = max(1, batch.num_rows)
-        each = max(1, batch.column(text_at).get_total_buffer_size() // rows)
-        step = max(1, size // each)
+        pieces = max(1, round(batch.column(text_at).get_total_buffer_size() / size))
+        step = max(1, -(-batch.num_rows // pieces))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
 
 
+def map_blocks(rows: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` whose tasks get their rows in batches of about ``BLOCK_BYTES`` (or one single row).
+
+    Spark's own bound is 64 MB: each task would hold several such batches, in the JVM and in its Python worker, which both keep the room.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def kept_in_worker(name: str, make: Callable[[], object]) -> object:
     """A value built once per Python worker and reused by its later tasks."""
     shelf = sys.modules.setdefault("_corpus_worker_shelf", types.ModuleType("_corpus_worker_shelf"))

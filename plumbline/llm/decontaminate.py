@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import session
-from plumbline.llm.common import as_bytes, blocks, pick
+from plumbline.llm.common import as_bytes, blocks, map_blocks, pick
 
 SHARD_CHARS = 600_000
 SHARDS_PER_PASS = 4
@@ -208,7 +208,7 @@ def _passes(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, min
             for block in blocks(batches, 1):
                 yield from scan(block, loaded or (pickle.loads(b) for b in shared.value), last)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_blocks(docs, run, docs.schema)
         if number + 1 < len(rounds):
             docs = session.materialize(docs, "matched")
     return docs

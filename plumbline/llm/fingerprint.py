@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import blocks, kept_in_worker, pick
+from plumbline.llm.common import blocks, kept_in_worker, map_blocks, pick
 from plumbline.llm.ngram_join import LOWER
 
 SAMPLES = 128
@@ -219,4 +219,5 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield judge(held)
                 held = []
 
-    return _blocks(rows).repartition("block").sortWithinPartitions("block", "ahead", F.col("doc").asc_nulls_first(), "text").mapInArrow(run, schema)
+    dealt = _blocks(rows).repartition("block").sortWithinPartitions("block", "ahead", F.col("doc").asc_nulls_first(), "text")
+    return map_blocks(dealt, run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import session
-from plumbline.llm.common import blocks, kept_in_worker, pick
+from plumbline.llm.common import blocks, kept_in_worker, map_blocks, pick
 
 COVERAGE = 0.99
 #: Bound on the n-grams of a language's filter (beyond it only where a single size class is larger); at 16 bits each, the filters of 64 languages take 32 MB.
@@ -87,7 +87,7 @@ def count_grams(docs: DataFrame, learn: Column, lang_col: str, text_col: str) ->
         yield from flush()
 
     rows = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_blocks(rows, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def owned(counts: DataFrame) -> DataFrame:
@@ -183,4 +183,4 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
             yield pa.record_batch({"doc": block.column(0), "lang": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
     rows = pick(docs, doc=id_col, text=text_col)
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return map_blocks(rows, run, T.StructType([rows.schema["doc"], T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))

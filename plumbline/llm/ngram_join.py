@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import session
-from plumbline.llm.common import as_bytes, blocks, pick
+from plumbline.llm.common import as_bytes, blocks, map_blocks, pick
 
 FREQUENT = 64
 MARGIN = 0.1
@@ -104,7 +104,7 @@ def _scan(rows: DataFrame, percent: int, n: int) -> DataFrame:
                 "doc": pa.nulls(count, block.column(0).type), "node": pa.array(nodes[crowded]), "size": pa.nulls(count, pa.int32()),
                 "bins": pa.nulls(count, pa.list_(pa.int32())), "gram": pa.array(grams[crowded]), "place": pa.array(places[crowded])})
 
-    return rows.mapInArrow(run, schema)
+    return map_blocks(rows, run, schema)
 
 
 def _entries(rows: DataFrame, percent: int, n: int, all_of: bool = False, wanted=None) -> DataFrame:
@@ -126,7 +126,7 @@ def _entries(rows: DataFrame, percent: int, n: int, all_of: bool = False, wanted
                 continue
             yield pa.record_batch({"gram": pa.array(told), "node": pa.nulls(len(told), pa.int64()), "place": pa.nulls(len(told), pa.int64())})
 
-    return rows.mapInArrow(run, "gram long, node long, place long")
+    return map_blocks(rows, run, "gram long, node long, place long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     few = session.bounded(wanted.withColumnRenamed("doc", "of"), wanted.count())
     texts = rows.join(few, rows["doc"] == F.col("of")).select("text", "node")
-    return session.materialize(texts.mapInArrow(run, "node long, grams array<bigint>"), "sets").dropDuplicates(["node"])
+    return session.materialize(map_blocks(texts, run, "node long, grams array<bigint>"), "sets").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

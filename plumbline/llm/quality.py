@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import session
-from plumbline.llm.common import as_bytes, blocks, pick
+from plumbline.llm.common import as_bytes, blocks, map_blocks, pick
 
 WORDS = 1 << 14
 DIMENSIONS = 64
@@ -83,7 +83,7 @@ def context_sums(docs: DataFrame, text_col: str) -> DataFrame:
         columns = {"slot": pa.array(used.astype(np.int32)), "n": pa.array(counts[used])}
         yield pa.record_batch(columns | {f"d{k}": pa.array(sums[used, k]) for k in range(DIMENSIONS)})
 
-    parts = pick(docs, text=text_col).mapInArrow(run, schema)
+    parts = map_blocks(pick(docs, text=text_col), run, schema)
     return parts.groupBy("slot").agg(F.sum("n").alias("n"), *(F.sum(f"d{k}").alias(f"d{k}") for k in range(DIMENSIONS)))
 
 
@@ -185,7 +185,7 @@ def train(
 
     rows = pick(docs, id=id_col, text=text_col)
     chosen = rows.join(F.broadcast(sample), "id").select("text", "label", F.xxhash64("id", "text").alias("id"))
-    learned = chosen.mapInArrow(features, "x binary, label float, id long").orderBy("id", "x").limit(sample_rows).collect()
+    learned = map_blocks(chosen, features, "x binary, label float, id long").orderBy("id", "x").limit(sample_rows).collect()
     y = np.array([r["label"] for r in learned], np.float32)
     net = Network(float(y.mean()) if len(y) else 0.5)
     if 0 < y.sum() < len(y):
@@ -211,7 +211,7 @@ class Model:
                 yield pa.record_batch({"doc": block.column(0), "score": pa.array(scores, pa.float64())})
 
         rows = docs.select(doc.alias("doc"), docs[text_col].alias("text"))
-        return rows.mapInArrow(judge, T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())]))
+        return map_blocks(rows, judge, T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import session
-from plumbline.llm.common import as_bytes, blocks, kept_in_worker, pick
+from plumbline.llm.common import as_bytes, blocks, kept_in_worker, map_blocks, pick
 
 DEPTH = 200
 GRAM = 32
@@ -226,7 +226,7 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
                 "doc": pa.nulls(len(told), block.column(0).type), "h": pa.nulls(len(told), pa.int64()), "nth": pa.nulls(len(told), pa.int32()),
                 "gram": pa.array(told), "stretch": pa.nulls(len(told), pa.int64()), "n": pa.array(np.zeros(len(told), np.int64)), "kind": pa.array(np.full(len(told), 3, np.int32))})
 
-    return rows.select("doc", "h", "text").mapInArrow(run, schema)
+    return map_blocks(rows.select("doc", "h", "text"), run, schema)
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def _opened(rows: DataFrame, candidates: DataFrame) -> DataFrame:
                 "text": pa.array([t if m else None for t, m in zip(texts, marks)], pa.binary()),
                 "ranges": pa.array(ranges, _RANGE), "stretches": pa.array(stretches, arrow_stretch)})
 
-    return session.materialize(joined.mapInArrow(run, schema), "opened")
+    return session.materialize(map_blocks(joined, run, schema), "opened")
 
 
 def _sorted_repeats(opened: DataFrame) -> DataFrame:
@@ -378,7 +378,7 @@ def _sorted_repeats(opened: DataFrame) -> DataFrame:
         if held:
             yield judge()
 
-    return session.materialize(stretches.repartition("gram", "core", "chunk").sortWithinPartitions("gram", "core", "chunk").mapInArrow(run, schema), "repeats")
+    return session.materialize(map_blocks(stretches.repartition("gram", "core", "chunk").sortWithinPartitions("gram", "core", "chunk"), run, schema), "repeats")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,7 +406,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     touched = opened.where("sha256 is null")
     touched = touched.join(ranges, touched["doc"].eqNullSafe(ranges["of"]) & (touched["h"] == ranges["of_h"]), "left")
     done = opened.where("sha256 is not null").select("doc", "n_bytes", F.expr(f"cast(array() as {_RANGES})").alias("removed"), F.col("sha256").alias("kept_sha256"))
-    return touched.select("doc", "n_bytes", "text", "ranges", "more").mapInArrow(run, schema).union(done)
+    return map_blocks(touched.select("doc", "n_bytes", "text", "ranges", "more"), run, schema).union(done)
 
 
 def cut(text: bytes, removed: list[tuple[int, int]]) -> bytes:

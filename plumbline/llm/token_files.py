@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import session
-from plumbline.llm.common import as_bytes, blocks, kept_in_worker, pick
+from plumbline.llm.common import as_bytes, blocks, kept_in_worker, map_blocks, pick
 
 SEGMENT_IDS = 1 << 19
 SAMPLE = 64
@@ -275,7 +275,7 @@ def write(
             yield flush()
 
     # the texts are put in order, not the ids: the range partitioner reads its input twice
-    rows.repartitionByRange("doc").sortWithinPartitions("doc", "text").mapInArrow(run, schema).write.parquet(path)
+    map_blocks(rows.repartitionByRange("doc").sortWithinPartitions("doc", "text"), run, schema).write.parquet(path)
     return path
 
 
@@ -305,7 +305,7 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
                     "offset": pa.array(starts[:-1]), "n_tokens": pa.array(np.diff(starts)), "ids_crc32": pa.array(sums, pa.int64()),
                 })
 
-    rows = files.select("part", "segment", "width", "docs", "ids", "boundaries").mapInArrow(run, schema)
+    rows = map_blocks(files.select("part", "segment", "width", "docs", "ids", "boundaries"), run, schema)
     return rows.join(bases, ["part", "segment"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 

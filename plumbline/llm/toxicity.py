@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import session
-from plumbline.llm.common import as_bytes, blocks, pick
+from plumbline.llm.common import as_bytes, blocks, map_blocks, pick
 from plumbline.llm.decontaminate import NORMAL
 
 #: What one group holds, about; there are as many groups as all labelled documents need.
@@ -273,7 +273,7 @@ class Model:
         lang = docs[lang_col].cast("string") if lang_col else F.lit(None).cast("string")
         rows = pick(docs, doc=id_col, text=text_col, lang=lang)
         schema = T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType()), T.StructField("lang", T.StringType())])
-        found = rows.mapInArrow(judge, schema)
+        found = map_blocks(rows, judge, schema)
         flagged = [self.flag(F.col("score"), F.col("lang")).alias("flagged")] if lang_col else []
         return found.select("doc", "score", *flagged)
 
@@ -330,7 +330,7 @@ def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             keys, total, positive = count_features(as_bytes(block.column(0)), block.column(1).to_numpy(zero_copy_only=False))
             yield pa.record_batch({"key": pa.array(keys.astype(np.int64)), "total": pa.array(total), "positive": pa.array(positive)})
 
-    counted = rows.select("text", "label").mapInArrow(count, "key long, total long, positive long")
+    counted = map_blocks(rows.select("text", "label"), count, "key long, total long, positive long")
     counted = counted.groupBy("key").agg(F.sum("total").alias("total"), F.sum("positive").alias("positive"))
     found = counted.where(F.col("total") >= LEAST_DOCS).toArrow()
     order = np.argsort(found.column("key").to_numpy())
@@ -377,7 +377,7 @@ def _scored(network: Convolution, rows: DataFrame) -> tuple[np.ndarray, np.ndarr
             steps = np.rint(np.clip(own.raw(as_bytes(block.column(0))), -30, 30) * STEPS).astype(np.int64)
             yield pa.record_batch({"step": pa.array(steps), "label": block.column(1), "lang": block.column(2)})
 
-    found = rows.select("text", "label", "lang").mapInArrow(judge, "step long, label float, lang string")
+    found = map_blocks(rows.select("text", "label", "lang"), judge, "step long, label float, lang string")
     found = found.groupBy("step", "label", "lang").agg(F.count(F.lit(1)).alias("n")).orderBy("step", "label", "lang").toArrow()
     shared.unpersist()
     langs = np.array(found.column("lang").to_pylist(), object)
