@@ -34,8 +34,10 @@ SAMPLES = 128
 BLOCK_CHARS = 1_000_000
 MOST_BLOCKS = 20_000
 DRAWN_PER_BLOCK = 20
-ROWS_AT_ONCE = 1024
+#: Their draws for all samples fit into a core's cache.
+TERMS_AT_ONCE = 512
 LONG_WORD, PIECE = 24, 8
+EACH = np.arange(SAMPLES)
 
 
 class Draws:
@@ -52,14 +54,40 @@ class Draws:
     def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """r, ln c and b with one row per sample and one column per term."""
         mixed = terms ^ self.seeds[:, None]
+        other = np.empty_like(mixed)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(31)
+        mixed ^= np.right_shift(mixed, np.uint64(31), out=other)
         mixed *= np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(32)
-        low = mixed.astype(np.uint32)
-        r = self.r.take((low & np.uint32(0x3FFF)).astype(np.intp), mode="clip")
-        log_c = self.log_c.take((low >> np.uint32(14)).astype(np.intp), mode="clip")
-        return r, log_c, (mixed >> np.uint64(32)).astype(np.uint32).astype(np.float32) * np.float32(2.0**-32)
+        # bits 0 to 13 of the two halves' difference say r, 14 to 31 c, the upper half b
+        b = mixed.view("<u4")[:, 1::2].astype(np.float32)
+        b *= np.float32(2.0**-32)
+        mixed ^= np.right_shift(mixed, np.uint64(32), out=other)
+        r = self.r.take(np.bitwise_and(mixed, np.uint64(0x3FFF), out=other).view(np.intp), mode="clip")
+        np.right_shift(mixed, np.uint64(14), out=other)
+        other &= np.uint64(0x3FFFF)
+        log_c = self.log_c.take(other.view(np.intp), mode="clip")
+        return r, log_c, b
+
+    def least(self, terms: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per sample the least value among sorted ``terms`` (of weight 1 unless given), its term and level; of equal values that of the first term."""
+        lowest, chosen, levels = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.float32)
+        for start in range(0, len(terms), TERMS_AT_ONCE):
+            part = terms[start:start + TERMS_AT_ONCE]
+            r, log_c, b = self.of(part)
+            level = None
+            if weights is None:
+                np.subtract(1, b, out=b)
+            else:
+                level = np.floor(np.log(weights[start:start + TERMS_AT_ONCE]).astype(np.float32) / r + b)
+                np.add(np.subtract(level, b, out=b), 1, out=b)
+            value = np.subtract(log_c, np.multiply(r, b, out=r), out=log_c)
+            first = value.argmin(axis=1)
+            low = value[EACH, first]
+            better = low < lowest
+            lowest, chosen = np.where(better, low, lowest), np.where(better, part[first], chosen)
+            if level is not None:
+                levels = np.where(better, level[EACH, first], levels)
+        return lowest, chosen, levels
 
 
 def pieces(word: str) -> list[str]:
@@ -84,40 +112,25 @@ def _finish(terms: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], draws: Draws) -> list[np.ndarray]:
-    """One signature per bag of (terms, weights). Terms that several bags share are drawn once."""
-    found = [t for t, _ in bags if len(t)]
-    union = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    least = [np.full(SAMPLES, np.inf, np.float32) for _ in bags]
-    best = [np.zeros(SAMPLES, "<u2") for _ in bags]
-    samples = np.arange(SAMPLES)
-    for start in range(0, len(union), ROWS_AT_ONCE):
-        part = union[start:start + ROWS_AT_ONCE]
-        r, log_c, b = draws.of(part)
-        alone = log_c - r * (1 - b)
-        for n, (terms, weights) in enumerate(bags):
-            lo, hi = np.searchsorted(terms, part[0]), np.searchsorted(terms, part[-1], "right")
-            if lo == hi:
-                continue
-            own, weight = terms[lo:hi], weights[lo:hi]
-            at = np.searchsorted(part, own)
-            many = np.flatnonzero(weight > 1)
-            value = alone.take(at, axis=1, mode="clip") if len(at) < len(part) else alone.copy() if len(many) else alone
-            if len(many):
-                places = at[many]
-                r_many, b_many = r.take(places, axis=1, mode="clip"), b.take(places, axis=1, mode="clip")
-                level = np.floor(np.log(weight[many]).astype(np.float32) / r_many + b_many)
-                value[:, many] = log_c.take(places, axis=1, mode="clip") - r_many * (level - b_many + 1)
-            first = value.argmin(axis=1)
-            lowest = value[samples, first]
-            levels = np.zeros(SAMPLES, np.float32)
-            if len(many):
-                column = np.full(len(own), -1)
-                column[many] = np.arange(len(many))
-                column = column[first]
-                levels = np.where(column >= 0, level[samples, column], levels)
-            better = lowest < least[n]
-            least[n] = np.where(better, lowest, least[n])
-            best[n] = np.where(better, _finish(own[first], levels), best[n])
+    """One signature per bag of (terms, weights), for one or two bags. Terms that both hold once are drawn and compared once."""
+    once = [terms[weights == 1] for terms, weights in bags]
+    parts = [(once[0], (0,))]
+    if len(bags) == 2:
+        both = np.intersect1d(*once, assume_unique=True)
+        alone = [own[both.take(np.searchsorted(both, own), mode="clip") != own] if len(both) else own for own in once]
+        parts = [(both, (0, 1)), (alone[0], (0,)), (alone[1], (1,))]
+    found = [(draws.least(terms), holders) for terms, holders in parts]
+    for n, (terms, weights) in enumerate(bags):
+        many = weights > 1
+        found.append((draws.least(terms[many], weights[many]), (n,)))
+    best = []
+    for n, (terms, _) in enumerate(bags):
+        (lowest, chosen, levels), *more = (one for one, holders in found if n in holders)
+        for low, term, level in more:
+            # of equal values that of the smaller term, whatever the parts were
+            better = (low < lowest) | (low == lowest) & (term < chosen)
+            lowest, chosen, levels = np.where(better, low, lowest), np.where(better, term, chosen), np.where(better, level, levels)
+        best.append(_finish(chosen, levels) if len(terms) else np.zeros(SAMPLES, "<u2"))
     return best
 
 
