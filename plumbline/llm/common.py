@@ -47,14 +47,29 @@ def map_blocks(rows: DataFrame, run: Callable, schema: T.StructType | str) -> Da
     """``mapInArrow`` whose tasks get their rows in batches of about ``BLOCK_BYTES`` (or one single row).
 
     Spark's own bound is 64 MB: each task would hold several such batches, in the JVM and in its Python worker, which both keep the room.
+    Workers outlive the job that started them: a task drops what other operators kept there, and gives free room back at its end.
     """
+    owner = run.__module__
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shelf = _shelf()
+        if getattr(shelf, "owner", owner) != owner:
+            shelf.__dict__.clear()
+        shelf.owner = owner
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(task, schema)
+
+
+def _shelf() -> types.ModuleType:
+    return sys.modules.setdefault("_corpus_worker_shelf", types.ModuleType("_corpus_worker_shelf"))
 
 
 def kept_in_worker(name: str, make: Callable[[], object]) -> object:
-    """A value built once per Python worker and reused by its later tasks."""
-    shelf = sys.modules.setdefault("_corpus_worker_shelf", types.ModuleType("_corpus_worker_shelf"))
+    """A value built once per Python worker and reused by its later tasks, until another operator's task runs there."""
+    shelf = _shelf()
     if not hasattr(shelf, name):
         setattr(shelf, name, make())
     return getattr(shelf, name)

@@ -38,3 +38,16 @@ def test_blocks_are_cut_evenly():
     assert len(cut(100_000)) == 11 and max(cut(100_000)) <= 100
     assert cut(1) == [1] * 1050
     assert list(common.blocks([batch.slice(0, 0)], 0)) == []
+
+
+def test_workers_drop_what_other_operators_kept(spark):
+    def keeping(name, owner):
+        def run(batches):
+            for b in batches:
+                yield pa.record_batch({"kept": [len(common.kept_in_worker(name, lambda: "x" * 10))], "names": [",".join(sorted(set(common._shelf().__dict__) & {"one", "two"}))]})
+
+        run.__module__ = owner
+        return sorted({tuple(r) for r in common.map_blocks(spark.range(0, 50, 1, 1), run, "kept long, names string").collect()})
+
+    for name, owner in (("one", "plumbline.llm.a"), ("two", "plumbline.llm.b"), ("one", "plumbline.llm.a")):
+        assert keeping(name, owner) == [(10, name)]
