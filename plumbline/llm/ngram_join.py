@@ -27,35 +27,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import session
-from plumbline.llm.common import as_bytes, blocks, map_blocks, pick
+from plumbline.llm.common import blocks, map_blocks
 
 FREQUENT = 64
 MARGIN = 0.1
 CROWDED = 16
 BINS = 128
-#: Only A-Z change; bytes.split() then cuts at exactly the white space that the contract names.
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def shingles(text: bytes | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text."""
-    words = (text or b"").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    width = min(n, len(words))
-    mixed = np.full(len(words) - width + 1, width, np.uint64)
+
+
+def _mixed(words: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``width`` words, from the hashes of the words."""
+    count = max(0, len(words) - width + 1)
+    mixed = np.full(count, width, np.uint64)
     for k in range(width):
-        mixed = (mixed ^ hashes[k:len(words) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= words[k:k + count]
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(mixed ^ (mixed >> np.uint64(32)))
+    mixed ^= mixed >> np.uint64(32)
+    return mixed
+
+
+def shingles(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word n-grams of each text of a block; a distinct word of the block is hashed once.
+
+    Arrow's ASCII functions change only A-Z and cut at exactly the white space that the contract names.
+    """
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.large_string() if wide else pa.string())))
+    words = split.flatten().dictionary_encode()
+    known = words.dictionary.view(pa.large_binary() if wide else pa.binary())
+    # one joined value that Python cuts again: much faster than a Python object made of each Arrow value
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(known)], known), pa.scalar(b" ", known.type))[0].as_py()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, joined.split(b" ") if len(known) else ()), np.uint64, len(known))
+    codes = words.indices.to_numpy(zero_copy_only=False)
+    # white space at either end of a text leaves an empty word there
+    full = codes != pc.index(known, pa.scalar(b"", known.type)).as_py()
+    lengths = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(full)))[np.concatenate(([0], np.cumsum(lengths)))]
+    hashed = hashes[codes[full]]
+    mixed = _mixed(hashed, n)
+    return [_distinct(mixed[a:b - n + 1] if b - a >= n else _mixed(hashed[a:b], b - a) if b > a else mixed[:0])
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """``np.unique``, which takes five times as long for a text's hashes."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]))]
 
 
 def prefix_length(n: int | np.ndarray, percent: int):
@@ -63,24 +89,43 @@ def prefix_length(n: int | np.ndarray, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def _node(grams: np.ndarray) -> int:
-    return int(np.array(xxhash.xxh3_64_intdigest(grams.tobytes()), np.uint64).view(np.int64))
+def _nodes(sets: list[np.ndarray]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, sets), np.uint64, len(sets)).view(np.int64)
 
 
-def _block_entries(sets: list[np.ndarray], percent: int):
+def _block_entries(sets: list[np.ndarray], nodes: np.ndarray, percent: int):
     """Prefix entries of one block: ``gram``, ``node``, ``place`` (size and rank in one number), which are crowded, and the crowded grams."""
     own = {}
-    for some in sets:
-        if len(some):
-            length = prefix_length(len(some), percent) + int(len(some) * MARGIN)
-            own.setdefault(_node(some), (len(some), some[:length].view(np.int64)))
+    for node, some in zip(nodes.tolist(), sets):
+        if len(some) and node not in own:
+            own[node] = len(some), some[:prefix_length(len(some), percent) + int(len(some) * MARGIN)].view(np.int64)
     lengths = np.array([len(g) for _, g in own.values()], np.int64)
     grams = np.concatenate([np.zeros(0, np.int64), *(g for _, g in own.values())])
-    nodes = np.repeat(np.fromiter(own, np.int64, len(own)), lengths)
+    holders = np.repeat(np.fromiter(own, np.int64, len(own)), lengths)
     ranks = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     places = np.repeat(np.array([size for size, _ in own.values()], np.int64), lengths) << 32 | ranks
-    distinct, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
-    return grams, nodes, places, (counts >= CROWDED)[inverse], distinct[counts >= CROWDED]
+    ordered = np.sort(grams)
+    told = _distinct(ordered[CROWDED - 1:][ordered[CROWDED - 1:] == ordered[:len(ordered) - CROWDED + 1]]) if len(ordered) >= CROWDED else ordered[:0]
+    return grams, holders, places, _among(grams, told), told
+
+
+def _among(grams: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which ``grams`` are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(grams), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, grams), len(ordered) - 1)] == grams
+
+
+def _lists_of(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), kind))
+
+
+def _bins(sets: list[np.ndarray]) -> np.ndarray:
+    """A row for each set: how many of its hashes are in each of ``BINS`` equal ranges."""
+    where = np.concatenate([np.zeros(0, np.uint64), *sets]) // np.uint64((1 << 64) // BINS)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return np.bincount(rows * BINS + where.astype(np.int64), minlength=len(sets) * BINS).reshape(len(sets), BINS)
 
 
 def _scan(rows: DataFrame, percent: int, n: int) -> DataFrame:
@@ -88,20 +133,20 @@ def _scan(rows: DataFrame, percent: int, n: int) -> DataFrame:
     schema = T.StructType([
         T.StructField("doc", rows.schema["doc"].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()),
         T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("gram", T.LongType()), T.StructField("place", T.LongType())])
-    edges = np.arange(1, BINS, dtype=np.uint64) * np.uint64((1 << 64) // BINS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 1):
-            sets = [shingles(t, n) for t in as_bytes(block.column(1))]
-            bins = [np.diff(np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))) for s in sets]
+            sets = shingles(block.column(1), n)
+            nodes = _nodes(sets)
+            sizes = np.array([len(s) for s in sets], np.int32)
             yield pa.record_batch({
-                "doc": block.column(0), "node": pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
-                "size": pa.array([len(s) for s in sets], pa.int32()), "bins": pa.array(bins, pa.list_(pa.int32())),
+                "doc": block.column(0), "node": pa.array(nodes, mask=sizes == 0),
+                "size": pa.array(sizes), "bins": _lists_of(list(_bins(sets)), pa.int32()),
                 "gram": pa.nulls(len(sets), pa.int64()), "place": pa.nulls(len(sets), pa.int64())})
-            grams, nodes, places, crowded, _ = _block_entries(sets, percent)
+            grams, holders, places, crowded, _ = _block_entries(sets, nodes, percent)
             count = int(crowded.sum())
             yield pa.record_batch({
-                "doc": pa.nulls(count, block.column(0).type), "node": pa.array(nodes[crowded]), "size": pa.nulls(count, pa.int32()),
+                "doc": pa.nulls(count, block.column(0).type), "node": pa.array(holders[crowded]), "size": pa.nulls(count, pa.int32()),
                 "bins": pa.nulls(count, pa.list_(pa.int32())), "gram": pa.array(grams[crowded]), "place": pa.array(places[crowded])})
 
     return map_blocks(rows, run, schema)
@@ -115,12 +160,11 @@ def _entries(rows: DataFrame, percent: int, n: int, all_of: bool = False, wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 1):
-            grams, nodes, places, crowded, told = _block_entries([shingles(t, n) for t in as_bytes(block.column(1))], percent)
+            sets = shingles(block.column(1), n)
+            grams, nodes, places, crowded, told = _block_entries(sets, _nodes(sets), percent)
             kept = np.ones(len(grams), bool) if all_of else ~crowded
             if wanted is not None:
-                asked = wanted.value
-                at = np.searchsorted(asked, grams)
-                kept &= asked[np.minimum(at, len(asked) - 1)] == grams if len(asked) else False
+                kept &= _among(grams, wanted.value)
             yield pa.record_batch({"gram": pa.array(grams[kept]), "node": pa.array(nodes[kept]), "place": pa.array(places[kept])})
             if all_of:
                 continue
@@ -138,11 +182,11 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 0):
-            sets = [shingles(t, n) for t in as_bytes(block.column(0))]
-            same = [_node(s) == node if len(s) else False for s, node in zip(sets, block.column(1).to_pylist())]
+            sets = shingles(block.column(0), n)
+            same = (_nodes(sets) == block.column(1).to_numpy(zero_copy_only=False)) & np.array([len(s) > 0 for s in sets], bool)
             yield pa.record_batch({
-                "node": block.column(1).filter(pa.array(same, pa.bool_())),
-                "grams": pa.array([s.view(np.int64) for s, ok in zip(sets, same) if ok], pa.list_(pa.int64())),
+                "node": block.column(1).filter(pa.array(same)),
+                "grams": _lists_of([s.view(np.int64) for s, ok in zip(sets, same) if ok], pa.int64()),
             })
 
     few = session.bounded(wanted.withColumnRenamed("doc", "of"), wanted.count())
@@ -177,12 +221,14 @@ def components(edges: DataFrame) -> DataFrame:
     def least_first(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def mark(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def done(e: DataFrame) -> bool:
+        """All that is left are stars: no node hangs on two others, or on one and has nodes that hang on it."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        held = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return held.where("up > 1 or up = 1 and down = 1").isEmpty()
 
     stars = session.materialize(least_first(edges), "stars")
-    before = mark(stars)
-    while before[0]:
+    while not done(stars):
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         small = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("m"))
         large = both.join(small, both["a"] == small["at"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -192,10 +238,6 @@ def components(edges: DataFrame) -> DataFrame:
         handed = large.join(small, large["a"] == small["at"])
         stars = session.materialize(least_first(
             handed.select(F.col("b").alias("a"), F.col("m").alias("b")).union(handed.select("a", F.col("m").alias("b")))), "stars")
-        after = mark(stars)
-        if after == before:
-            break
-        before = after
     roots = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(stars.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
@@ -250,7 +292,7 @@ def _added_lists(rows: DataFrame, sets: DataFrame, skipped: DataFrame, frequent:
     wanted = session.materialize(added.select("gram").distinct(), "added-grams")
     entries = _entries(rows, percent, n, all_of=True)
     if wanted.count() <= session.NARROW_BROADCAST_ROWS:
-        held = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64)))
+        held = rows.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["gram"].to_numpy()))
         entries = _entries(rows, percent, n, all_of=True, wanted=held)
     met = entries.join(wanted.withColumnRenamed("gram", "of"), F.col("gram") == F.col("of"), "left_semi")
     met = met.join(skipped, F.col("node") == F.col("of"), "left").where(~F.coalesce("exhausted", F.lit(False)))
@@ -322,7 +364,9 @@ def connect(rows: DataFrame, scanned: DataFrame, percent: int, n: int) -> DataFr
     first = linked(_led(lists), None)
     roots = session.materialize(components(first.where("linked").select("a", "b")), "roots")
     rest = linked(_candidates(lists, roots, percent), first)
-    return session.materialize(components(first.union(rest).where("linked").select("a", "b")), "roots")
+    # the components so far stand for all of their links
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return session.materialize(components(known.union(rest.where("linked").select("a", "b"))), "roots")
 
 
 def _link(docs: DataFrame, percent: int, n: int, id_col: str, text_col: str) -> DataFrame:
