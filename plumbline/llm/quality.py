@@ -88,11 +88,16 @@ def context_sums(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def word_table(sums: DataFrame) -> np.ndarray:
-    """Context vectors of length one beside index vectors: one row per slot (a table of fixed size)."""
-    rows = np.array([tuple(r) for r in sums.collect()], np.float64).reshape(-1, DIMENSIONS + 2)
+    """Context vectors of length one beside index vectors: one row per slot (a table of fixed size).
+
+    It comes as Arrow columns: as rows it would be a million Python numbers, whose room the driver keeps.
+    """
+    rows = sums.toArrow()
     context = np.zeros((WORDS, DIMENSIONS), np.float32)
-    vectors = rows[:, 2:]
-    context[rows[:, 0].astype(int)] = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    vectors = np.empty((rows.num_rows, DIMENSIONS))
+    for k in range(DIMENSIONS):
+        vectors[:, k] = rows[f"d{k}"].to_numpy()
+    context[rows["slot"].to_numpy()] = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     return np.hstack([context, index_vectors()[:WORDS].astype(np.float32) / np.sqrt(NONZERO)])
 
 
@@ -185,11 +190,11 @@ def train(
 
     rows = pick(docs, id=id_col, text=text_col)
     chosen = rows.join(F.broadcast(sample), "id").select("text", "label", F.xxhash64("id", "text").alias("id"))
-    learned = map_blocks(chosen, features, "x binary, label float, id long").orderBy("id", "x").limit(sample_rows).collect()
-    y = np.array([r["label"] for r in learned], np.float32)
+    learned = map_blocks(chosen, features, "x binary, label float, id long").orderBy("id", "x").limit(sample_rows).toArrow()
+    y = learned["label"].to_numpy()
     net = Network(float(y.mean()) if len(y) else 0.5)
     if 0 < y.sum() < len(y):
-        net.fit(np.array([np.frombuffer(r["x"], np.float32) for r in learned]), y)
+        net.fit(np.frombuffer(b"".join(learned["x"].to_pylist()), np.float32).reshape(len(y), -1), y)
     return Model(table, spark.sparkContext.broadcast(net.__dict__))
 
 

@@ -58,3 +58,21 @@ def test_scores_equal_a_plain_loop(spark):
     net, table = model.net.value, model.table.value
     assert net["weights"] is not None and len({round(s, 6) for s in got.values()}) > 10
     assert all(got[i] == pytest.approx(plain_score(t, table, net), abs=1e-4) for i, t in rows)
+
+
+def test_training_collects_no_rows(spark, monkeypatch):
+    """Word vectors and learning rows reach the driver as Arrow columns, not as a Python object for each number."""
+    docs = spark.createDataFrame([(k, "good words only " * (1 + k % 5) if k % 2 else "$$ bad ## words $$ " * (1 + k % 3)) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    sums = quality.context_sums(docs, "text")
+    rows = np.array([tuple(r) for r in sums.collect()], np.float64)
+    monkeypatch.setattr(type(docs), "collect", lambda self: pytest.fail("collected as rows"))
+    table = quality.word_table(sums)
+    lengths = np.linalg.norm(rows[:, 2:], axis=1, keepdims=True)
+    assert np.allclose(table[rows[:, 0].astype(int), :quality.DIMENSIONS], rows[:, 2:] / np.maximum(lengths, 1e-9), atol=1e-6)
+    model = quality.train(docs, labels, F.lit(True))
+    assert model.net.value["weights"] is not None
+    monkeypatch.undo()
+    scores = {r["doc"]: r["score"] for r in model.score(docs, docs["doc_id"]).collect()}
+    assert min(v for k, v in scores.items() if k % 2) > max(v for k, v in scores.items() if not k % 2)
+    assert not quality.word_table(sums.limit(0))[:, :quality.DIMENSIONS].any()
